@@ -32,7 +32,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = rf"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents
 ), starts AS (
   SELECT doc_id, i, w[i:i + 7] AS words FROM split, unnest(generate_series(1, len(w) - 7)) AS s(i) WHERE len(w) >= 8
@@ -47,8 +47,8 @@ WITH split AS (
          word_chars / nullif(len(w), 0) AS mean_word_chars, n_symbols / nullif(len(w), 0) AS symbols_per_word,
          len(list_intersect(list_distinct(w), [{", ".join(f"'{x}'" for x in quality.STOP_WORDS)}])) / nullif(len(w), 0) AS stop_word_share,
          (len(l) - len(list_distinct(l))) / nullif(len(l), 0) AS dup_line_share,
-         len(list_filter(l, x -> rtrim(x) LIKE '%...')) / nullif(len(l), 0) AS ellipsis_line_share,
-         len(list_filter(l, x -> regexp_matches(ltrim(x), '^[-*•]'))) / nullif(len(l), 0) AS bullet_line_share
+         len(list_filter(l, lambda x: rtrim(x) LIKE '%...')) / nullif(len(l), 0) AS ellipsis_line_share,
+         len(list_filter(l, lambda x: regexp_matches(ltrim(x), '^[-*•]'))) / nullif(len(l), 0) AS bullet_line_share
   FROM split LEFT JOIN covered USING (doc_id)
 ), judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
