@@ -20,7 +20,12 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.shared import scratch, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, as changes since the last snapshot; without files allocated ahead, which weigh more than small stores hold.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 STATE = "digest string, keeper struct<doc_id: bigint, file: string, row: bigint>, group_size bigint"
 
 
@@ -44,8 +49,9 @@ def keeper_state(spark: SparkSession, path: str, state_dir: str, files_per_trigg
     # as a pattern, which names the same path: the stream source takes a single file only so
     stream = located(spark.readStream.option("maxFilesPerTrigger", files_per_trigger), f"{path[:-1]}[{path[-1]}]", digest)
     groups = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, v in ROCKSDB.items():
+        spark.conf.set(k, v)
     try:
         query = (
             groups.writeStream.outputMode("update")
@@ -56,7 +62,8 @@ def keeper_state(spark: SparkSession, path: str, state_dir: str, files_per_trigg
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if query.lastProgress is None and not query.recentProgress:
         return spark.createDataFrame([], STATE)
     updates = spark.read.schema(STATE).option("recursiveFileLookup", "true").parquet(f"{state_dir}/updates")
