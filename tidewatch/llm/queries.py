@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, quality
+from tidewatch.llm import bpe, exact_dedup, langid, packing, quality, secrets, simhash, substring, toxicity, warc
 from tidewatch.llm.shared import documents
 
 
@@ -56,9 +56,66 @@ WITH split AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {quality.verdict_sql()} AS kept FROM judged
 """
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated(documents(spark, sf_dir))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(documents(spark, sf_dir))
+    return rows.select("row.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    learned = langid.profiles(docs.where(~langid.held_out()))
+    return langid.identify(docs, learned).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+BASE_KINDS = ("assign", "access", "hex")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.findings(documents(spark, sf_dir))
+    counts = [secrets.count(k).alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_text(BASE_KINDS), 256).alias("base_sha256"), secrets.span_text(secrets.KINDS).alias("spans"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_simhash": op4_simhash,
+    "op5_language_id": op5_language_id,
+    "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
+    "op8_toxicity": op8_toxicity,
+    "op9_bpe": op9_bpe,
+    "op10_secrets": op10_secrets,
 }
 SQL = {
     "op1_exact_dedup": OP1_SQL,
