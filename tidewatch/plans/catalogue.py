@@ -1,4 +1,6 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tidewatch.plans import series_queries  # noqa: F401
+from tidewatch.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
