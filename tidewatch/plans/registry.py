@@ -35,6 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def derive(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """A table that a query derives from the named ones, by SQL that DuckDB reads as well."""
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(sql)
+
+
 def r6(c: Column | str) -> Column:
     return F.round((F.col(c) if isinstance(c, str) else c) * F.lit(1.000000000001), 6)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +24,15 @@ def session(master: str | None = None, app: str = "tidewatch", **conf: str) -> S
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_own: dict[str, str] = {}
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of `spark.checkpoint.dir`, or in a temporary one where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
+    if not base and app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spark-work-", dir="/tmp")
+    return f"{(base or _own[app]).rstrip('/')}/{name}-{uuid.uuid4().hex}"
