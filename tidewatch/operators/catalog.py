@@ -36,14 +36,14 @@ def flatten_panels(dashboards: DataFrame, depth: int = 5) -> DataFrame:
     for n in range(depth):
         nests = "panels" in level.schema["panel"].dataType.fieldNames()
         inner = F.size(F.coalesce(F.col("panel.panels"), F.array())) if nests else F.lit(0)
-        leaf = level.where((inner == 0) & (F.size("panel.targets") > 0))
+        last = n == depth - 1
+        shallow = F.assert_true(inner == 0, "panels nest too deep").isNull() if last else inner == 0
+        leaf = level.where(shallow & (F.size("panel.targets") > 0))
         panel = F.struct(*[F.col(f"panel.{c}").alias(c) for c in ("id", "title", "type", "datasource", "targets")])
         leaves = leaf.select("connection_id", "dashboard_uid", "dashboard_title", "at", panel.alias("panel"))
         found = leaves if found is None else found.unionByName(leaves)
-        if not nests:
+        if last or not nests:
             return found
-        if n == depth - 1:
-            return found.where(F.assert_true(~F.exists(F.array(inner > 0), lambda x: x), "panels nest too deep").isNull())
         level = level.where(inner > 0).select("connection_id", "dashboard_uid", "dashboard_title", "at", F.posexplode("panel.panels").alias("_i", "panel")).withColumn("at", F.concat("at", F.array("_i"))).drop("_i")
     return found
 
