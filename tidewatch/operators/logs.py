@@ -26,11 +26,12 @@ def cap_stream(events: DataFrame, most: int = CAP) -> tuple[DataFrame, DataFrame
 
 
 def correlate_logs(events: DataFrame, names: Sequence[str], how: str, stats: DataFrame | None = None) -> DataFrame:
-    """key, completeness, n_events and events (stream, ts, message in order) by one of three operators.
+    """key, completeness and n_events by one of three operators; `events_of` has the events themselves.
 
     `and`: keys on every stream. `or`: every key; complete where all streams have it. `unless`: keys of the first stream
-    that no other has. One shuffle on the key serves any number of streams. `stats` of capped streams makes `and` and `or`
-    add a column `truncated`; `unless` with a truncated stream on the right is an error, as keys could seem absent.
+    that no other has. One shuffle of counts on the key, after map-side aggregation, serves any number of streams and any
+    number of events of one key. `stats` of capped streams makes `and` and `or` add a column `truncated`; `unless` with a
+    truncated stream on the right is an error, as keys could seem absent.
     """
     if how not in ("and", "or", "unless"):
         raise ValueError(f"no such operator: {how}")
@@ -38,7 +39,8 @@ def correlate_logs(events: DataFrame, names: Sequence[str], how: str, stats: Dat
     if how == "unless" and set(cut) & set(names[1:]):
         raise ValueError(f"truncated streams can't show that a key is absent: {', '.join(sorted(set(cut) & set(names[1:])))}")
     own = events.where(F.col("stream").isin(list(names)))
-    grouped = own.groupBy("key").agg(F.collect_set("stream").alias("_on"), F.count(F.lit(1)).alias("n_events"), F.sort_array(F.collect_list(F.struct("ts", "stream", "message"))).alias("events"))
+    # a set of stream names is as small as their number
+    grouped = own.groupBy("key").agg(F.collect_set("stream").alias("_on"), F.count(F.lit(1)).alias("n_events"))
     whole = F.size("_on") == len(set(names))
     if how == "and":
         rows = grouped.where(whole)
@@ -47,10 +49,15 @@ def correlate_logs(events: DataFrame, names: Sequence[str], how: str, stats: Dat
     else:
         rows = grouped.where((F.size("_on") == 1) & (F.get("_on", F.lit(0)) == names[0]))
     done = F.lit("partial") if how == "unless" else F.when(whole, "complete").otherwise("partial")
-    rows = rows.select("key", done.alias("completeness"), "n_events", "events")
+    rows = rows.select("key", done.alias("completeness"), "n_events")
     return rows.withColumn("truncated", F.lit(bool(cut))) if stats is not None else rows
 
 
+def events_of(found: DataFrame, events: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The events of all streams in `names` with a key that `found` has, one row each."""
+    return events.where(F.col("stream").isin(list(names))).join(found.select("key"), "key", "left_semi")
+
+
 def join_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, within_ms: int | None = None) -> DataFrame:
     """Each event of the left with each of the right whose key, of another name, is equal, and near in time if asked."""
     a = left.select(F.col(left_key).cast("string").alias("key"), F.col("ts").alias("left_ts"), F.col("message").alias("left_message"))

@@ -87,9 +87,9 @@ def brief_excursions(samples: DataFrame, keys: Sequence[str], width: float = EXC
 
 def cap_runs(runs: DataFrame, keys: Sequence[str], most: int = MAX_RUNS) -> DataFrame:
     """The first `most` runs of each key by start, with `total`."""
-    window = Window.partitionBy(*keys)
-    ranked = runs.withColumn("_i", F.row_number().over(window.orderBy("start_t", "end_t"))).withColumn("total", F.count(F.lit(1)).over(window))
-    return ranked.where(F.col("_i") <= most).drop("_i")
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("start_t", "end_t"))
+    totals = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    return runs.withColumn("_i", order).where(F.col("_i") <= most).drop("_i").join(totals, list(keys))
 
 
 def onset(samples: DataFrame, baseline: DataFrame, keys: Sequence[str], sigma: float = SIGMA) -> DataFrame:
@@ -123,10 +123,26 @@ def downsample(samples: DataFrame, keys: Sequence[str], most: int = MAX_POINTS,
     return rows.where(kept).drop("_j")
 
 
-def resolution(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+def resolution(samples: DataFrame, keys: Sequence[str], chunk_ms: int = DAY) -> DataFrame:
     """points, gap_ms (the upper median of the gaps) and span_ms over the distinct times, for two times or more."""
-    times = samples.where("t is not null").select(*keys, F.unix_millis("t").alias("ms")).distinct()
-    gap = F.col("ms") - F.lag("ms").over(Window.partitionBy(*keys).orderBy("ms"))
-    rows = times.withColumn("gap", gap)
+    times = samples.where("t is not null").select(*keys, F.unix_millis("t").alias("ms"), _chunk(chunk_ms).alias("_chunk")).distinct()
+    ends = times.groupBy(*keys, "_chunk").agg(F.max("ms").alias("_end"))
+    ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk"))).drop("_end")
+    last = F.lag("ms").over(Window.partitionBy(*keys, "_chunk").orderBy("ms"))
+    rows = times.withColumn("_last", last).join(ends, [*keys, "_chunk"]).withColumn("gap", F.col("ms") - F.coalesce("_last", "_before"))
     upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY gap DESC)")
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), upper.cast("bigint").alias("gap_ms"), (F.max("ms") - F.min("ms")).alias("span_ms")).where("points >= 2")
+
+
+def window_report(tagged: DataFrame, keys: Sequence[str], threshold: Column | None = None, direction: str = "above", include_points: bool = False, most: int = MAX_POINTS, provenance: str = "panel") -> dict[str, DataFrame]:
+    """What one asks of samples in windows: `stats` and, with a threshold, `runs` of all points, and `points` if wanted.
+
+    Points are downsampled only where they are given out. `provenance` says where the query came from; hand-written ones
+    (`adhoc`) are marked so in the verdict.
+    """
+    out = {"stats": series_stats(tagged, keys).withColumn("provenance", F.lit(provenance))}
+    if threshold is not None:
+        out["runs"] = cap_runs(threshold_runs(tagged, keys, threshold, direction), keys)
+    if include_points:
+        out["points"] = downsample(tagged, keys, most)
+    return out

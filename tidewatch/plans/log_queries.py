@@ -109,22 +109,22 @@ ROLES = "SELECT conv_id::VARCHAR AS key, count(*) FILTER (WHERE role = 'user') A
 
 @register("q_j3_and", f"SELECT key, 'complete' AS completeness, u + a AS n_events FROM ({ROLES}) WHERE u > 0 AND a > 0")
 def j3(spark, sf_dir):
-    return logs.correlate_logs(turns(spark, sf_dir), ["user", "assistant"], "and").drop("events")
+    return logs.correlate_logs(turns(spark, sf_dir), ["user", "assistant"], "and")
 
 
 @register("q_j4_or", f"SELECT key, CASE WHEN u > 0 AND s > 0 THEN 'complete' ELSE 'partial' END AS completeness, u + s AS n_events FROM ({ROLES}) WHERE u + s > 0")
 def j4(spark, sf_dir):
-    return logs.correlate_logs(turns(spark, sf_dir), ["user", "system"], "or").drop("events")
+    return logs.correlate_logs(turns(spark, sf_dir), ["user", "system"], "or")
 
 
 @register("q_j5_unless", f"SELECT key, 'partial' AS completeness, u AS n_events FROM ({ROLES}) WHERE u > 0 AND s = 0")
 def j5(spark, sf_dir):
-    return logs.correlate_logs(turns(spark, sf_dir), ["user", "system"], "unless").drop("events")
+    return logs.correlate_logs(turns(spark, sf_dir), ["user", "system"], "unless")
 
 
 @register("q_j6_and_of_three", f"SELECT key, 'complete' AS completeness, u + a + s AS n_events FROM ({ROLES}) WHERE u > 0 AND a > 0 AND s > 0")
 def j6(spark, sf_dir):
-    return logs.correlate_logs(turns(spark, sf_dir), ["user", "assistant", "system"], "and").drop("events")
+    return logs.correlate_logs(turns(spark, sf_dir), ["user", "assistant", "system"], "and")
 
 
 @register("q_j7_within", "SELECT a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id WHERE a.event_type = 'click' AND b.event_type = 'error' AND abs(epoch_ms(a.ts) - epoch_ms(b.ts)) <= 3600000")
@@ -149,6 +149,13 @@ def j8_stats(spark, sf_dir):
     return logs.cap_stream(turns(spark, sf_dir), 60)[1].select("stream", "total", F.col("fetched").cast("bigint").alias("fetched"), "truncated")
 
 
+@register("q_j3_events", f"SELECT conv_id::VARCHAR AS key, role AS stream, turn FROM conversations WHERE role IN ('user', 'assistant') AND conv_id::VARCHAR IN (SELECT key FROM ({ROLES}) WHERE u > 0 AND a > 0)")
+def j3_events(spark, sf_dir):
+    every = turns(spark, sf_dir)
+    found = logs.correlate_logs(every, ["user", "assistant"], "and")
+    return logs.events_of(found, every, ["user", "assistant"]).select("key", "stream", F.expr("unix_seconds(ts)").alias("turn"))
+
+
 @register("q_tool_correlate_logs", f"SELECT key, CASE WHEN u > 0 AND a > 0 AND s > 0 THEN 'complete' ELSE 'partial' END AS completeness, u + a + s AS n_events FROM ({ROLES})")
 def tool_correlate(spark, sf_dir):
     kept, stats = logs.cap_stream(turns(spark, sf_dir), 10_000_000)

@@ -405,3 +405,29 @@ def a9(spark, sf_dir):
 def summarize(spark, sf_dir):
     crossed = F.when(F.col("threshold_crossed").isNull(), "unknown").when(F.col("threshold_crossed"), "yes").otherwise("no")
     return verdicts(spark, sf_dir).groupBy("class", crossed.alias("crossed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+REPORT = f"""WITH {SAMPLES}, {TAGGED}, {RUNS.format(on="v > 80.0", source="tagged", keys="incident_id, label, series_key")}, counted AS (SELECT incident_id, label, series_key, count(*) AS runs FROM runs GROUP BY ALL)
+SELECT t.incident_id, t.label, t.series_key, count(v) AS n, round(avg(v), 6) AS mean, coalesce(any_value(runs), 0) AS runs, least(count(*), 40) AS points, 'PROVENANCE' AS provenance
+FROM tagged t LEFT JOIN counted USING (incident_id, label, series_key) GROUP BY 1, 2, 3"""
+
+
+def _report(spark, sf_dir, provenance):
+    keys = ["incident_id", "label", "series_key"]
+    out = series.window_report(tagged(spark, sf_dir), keys, F.lit(80.0), include_points=True, most=40, provenance=provenance)
+    runs = out["runs"].groupBy(*keys).agg(F.first("total").alias("runs"))
+    points = out["points"].groupBy(*keys).agg(F.count(F.lit(1)).alias("points"))
+    rows = out["stats"].join(runs, keys, "left").join(points, keys)
+    return rows.select(*keys, "n", r6("mean").alias("mean"), F.coalesce("runs", F.lit(0)).alias("runs"), "points", "provenance")
+
+
+@register("q_tool_execute_query_window", REPORT.replace("PROVENANCE", "panel"))
+def execute_window(spark, sf_dir):
+    """Every window of every incident: statistics, runs above a threshold, and how many points a chart would get."""
+    return _report(spark, sf_dir, "panel")
+
+
+@register("q_tool_execute_adhoc_query", REPORT.replace("PROVENANCE", "adhoc"))
+def execute_adhoc(spark, sf_dir):
+    """The same report over a frame that the user brings."""
+    return _report(spark, sf_dir, "adhoc")
