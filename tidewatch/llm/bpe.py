@@ -2,10 +2,14 @@
 
 A word is a run without ASCII white space. The vocabularies this is for never join across white space, so the ids of a text
 are the ids of its words in order. Documents are taken in blocks of bounded size. A block becomes a dictionary of its
-distinct words and, for each document, the positions of its words in that dictionary. The words of all blocks form the
-distinct-word table, each distinct word is encoded once, and its ids are joined to the id-to-piece table for decoding.
-The ids go back to the blocks by word, and from there to the documents by position. Only distinct words of blocks are
-shuffled by word, never each occurrence, so a word that is everywhere weighs one row for each block.
+distinct words and, for each document, the positions of its words in that dictionary. The dictionaries of all blocks are
+dealt by the hash of the word into buckets, where each distinct word is encoded once; its ids go back to the blocks, and
+from there to the documents by position. Decoding joins ids to the id-to-piece table. Only dictionaries are shuffled by
+word, never each occurrence, so a word that is everywhere weighs one entry for each block; both shuffles move packed lists.
+
+Dictionaries and positions come from two passes over the same input, which gives the same blocks as long as the input's
+partitions and their order are the same; a checksum of the dictionary goes with both, and a difference is an error. Input
+that is not read from files should be written to a table first.
 
 The id-to-piece table has one row for each id of the vocabulary, whatever the input, so every task holds a copy.
 
@@ -16,9 +20,11 @@ doc_id and text are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import texts, written
+from tidewatch.llm.shared import texts
 
 #: Bytes of text in a block, beyond which the next block begins.
-BLOCK_BYTES = 16 << 20
-#: Words given to the tokenizer at once.
-ENCODE_ROWS = 20_000
+BLOCK_BYTES = 32 << 20
+#: Words given to the tokenizer, and documents in a packed row, at once.
+ENCODE_ROWS, PACKED_ROWS = 20_000, 256
+#: Buckets of words for each shuffle partition, and at least.
+BUCKETS, LEAST_BUCKETS = 2, 64
 
 
 @lru_cache(maxsize=2)
@@ -62,94 +70,144 @@ def joined_pieces(ids: pa.Array, offsets: np.ndarray, table: pa.Array) -> pa.Arr
     return pc.binary_join(lists, " ")
 
 
-def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of two kinds: (block, at, word) for the dictionary and (block, doc_id, words) for the documents."""
-    rows = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    names = ["block", "at", "word", "doc_id", "words"]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        block = TaskContext.get().partitionId() << 32
-
-        def fresh():
-            known = defaultdict()
-            known.default_factory = known.__len__
-            return known, [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            words = list(known)
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.repeat(block, n), pa.array(np.arange(i, i + n, dtype=np.int32)), pa.array(part, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
-            for i in range(0, len(ids), 2_000):
-                n = len(ids[i : i + 2_000])
-                yield pa.RecordBatch.from_arrays([pa.repeat(block, n), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(ids[i : i + n], pa.int64()), pa.array(lists[i : i + n], pa.binary())], names=names)
-
-        known, ids, lists, size = fresh()
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py()
-                found = text.split()
-                ids.append(doc_id)
-                lists.append(press.compress(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)).tobytes()))
-                size += len(text)
-                if size >= block_bytes:
-                    yield from flush()
-                    block += 1
-                    known, ids, lists, size = fresh()
-        yield from flush()
-
-    schema = ", ".join(f"{n} {'bigint' if t == pa.int64() else 'int' if t == pa.int32() else 'binary'}" for n, t in zip(names, types, strict=True))
-    return rows.mapInArrow(build, schema)
-
-
-def distinct_words(words: DataFrame, path: str) -> DataFrame:
-    """The distinct-word table: word, its ids, and their pieces joined by a space."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = tokenizer(path), pieces(path)
-        for batch in batches:
-            column = batch.column("word")
-            for i in range(0, len(column), ENCODE_ROWS):
-                part = column.slice(i, ENCODE_ROWS)
-                coded = [e.ids for e in own.encode_batch_fast(part.cast(pa.string()).to_pylist(), add_special_tokens=False)]
-                lists = pa.array(coded, pa.list_(pa.int32()))
-                offsets = lists.offsets.to_numpy()
-                yield pa.RecordBatch.from_arrays([part, lists, joined_pieces(lists.values, offsets, table)], names=["word", "ids", "decoded"])
-
-    return words.select("word").distinct().mapInArrow(encode, "word binary, ids array<int>, decoded string")
-
-
-def restore(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """The ids and the decoded text of the documents of one block, by the positions of their words."""
-    order = np.argsort(words.column("at").to_numpy())
-    lists = words.column("ids").combine_chunks().take(pa.array(order))
-    decoded = words.column("decoded").combine_chunks().take(pa.array(order))
-    flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-    lengths = np.diff(offsets)
-    inflate = zstandard.ZstdDecompressor()
-    at = [np.frombuffer(inflate.decompress(x.as_py()), np.uint32) for x in docs.column("words")]
-    at = [x[lengths[x] > 0] for x in at] if len(lengths) else at
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in at])])
-    every = np.concatenate(at) if at else np.zeros(0, np.uint32)
-    counts = lengths[every] if len(every) else np.zeros(0, np.int64)
-    firsts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    ids = flat[np.repeat(offsets[every] - firsts[:-1], counts) + np.arange(firsts[-1])] if len(every) else np.zeros(0, np.int32)
-    id_ends = (firsts[ends] * 4).astype(np.int32)
-    binary = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(id_ends.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
-    spoken = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), decoded.take(pa.array(every))), " ")
-    return pa.table({"doc_id": docs.column("doc_id"), "ids": binary, "decoded": spoken})
+def packed(values: np.ndarray) -> bytes:
+    """An array of unsigned 32-bit integers, compressed with like bytes together."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+class Block:
+    """The distinct words of some documents in order of appearance, and each document's words by their places there."""
+
+    def __init__(self):
+        self.known = defaultdict()
+        self.known.default_factory = self.known.__len__
+        self.ids: list[int | None] = []
+        self.lists: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc_id: int | None, text: bytes) -> None:
+        found = text.split()
+        self.ids.append(doc_id)
+        self.lists.append(np.fromiter(map(self.known.__getitem__, found), np.uint32, len(found)))
+        self.size += len(text)
+
+    def checksum(self) -> int:
+        return zlib.crc32(b" ".join(self.known))
+
+
+def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, Block]]:
+    number, block = TaskContext.get().partitionId() << 32, Block()
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            block.add(doc_id, text.as_py())
+            if block.size >= block_bytes:
+                yield number, block
+                number, block = number + 1, Block()
+    if block.ids:
+        yield number, block
+
+
+def dictionaries(docs: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
+    """block, checksum, bucket, `at` (places in the block's dictionary) and `words` there: a row for each block and bucket."""
+    names = ["block", "checksum", "bucket", "at", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for number, block in blocks(batches, block_bytes):
+            dealt: list[list[int]] = [[] for _ in range(buckets)]
+            words = list(block.known)
+            for at, word in enumerate(words):
+                dealt[zlib.crc32(word) % buckets].append(at)
+            check = block.checksum()
+            rows = [(number, check, b, packed(np.diff(at, prepend=0)), press.compress(b" ".join([words[i] for i in at]))) for b, at in enumerate(dealt) if at]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    return docs.mapInArrow(run, "block bigint, checksum bigint, bucket int, at binary, words binary")
+
+
+def positions(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """block, checksum, ids, `ends` and `places`: rows for some documents each, with their words by place."""
+    names = ["block", "checksum", "ids", "ends", "places"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in blocks(batches, block_bytes):
+            check = block.checksum()
+            for i in range(0, len(block.ids), PACKED_ROWS):
+                lists = block.lists[i : i + PACKED_ROWS]
+                row = (number, check, block.ids[i : i + PACKED_ROWS], packed(np.array([len(x) for x in lists], np.uint32)), packed(np.concatenate(lists)))
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
+    return docs.mapInArrow(run, "block bigint, checksum bigint, ids array<bigint>, ends binary, places binary")
+
+
+def encode_bucket(rows: pa.Table, path: str) -> pa.Table:
+    """The ids of the words of one bucket, each distinct word encoded once: block, checksum, at, lengths, ids."""
+    own, inflate = tokenizer(path), zstandard.ZstdDecompressor()
+    known: dict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__
+    asked = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in (inflate.decompress(x.as_py()).split(b" ") for x in rows.column("words"))]
+    words, parts, lengths = list(known), [], []
+    for i in range(0, len(words), ENCODE_ROWS):
+        for e in own.encode_batch_fast([w.decode() for w in words[i : i + ENCODE_ROWS]], add_special_tokens=False):
+            parts.append(e.ids)
+            lengths.append(len(e.ids))
+    flat = np.fromiter(chain.from_iterable(parts), np.uint32, sum(lengths))
+    lengths = np.array(lengths, np.int64)
+    out = [gathered(flat, np.cumsum(lengths) - lengths, lengths, a) for a in asked]
+    return pa.table({
+        "block": rows.column("block"),
+        "checksum": rows.column("checksum"),
+        "at": rows.column("at"),
+        "lengths": pa.array([packed(lengths[a].astype(np.uint32)) for a in asked], pa.binary()),
+        "ids": pa.array([packed(ids) for ids in out], pa.binary()),
+    })
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The slices of `flat` that begin at starts[i] with lengths[i], for each i of `at`, one after the other."""
+    n = lengths[at]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts[at] - (ends - n), n) + np.arange(total)]
+
+
+def restore(docs: pa.Table, words: pa.Table, path: str) -> pa.Table:
+    """The ids and the decoded text of the documents of one block, by the places of their words."""
+    if len(set(docs.column("checksum").to_pylist()) | set(words.column("checksum").to_pylist())) > 1:
+        raise ValueError("a block's dictionary changed between two passes over the input; write the input to a table first")
+    empty = [np.zeros(0, np.uint32)]
+    at = np.concatenate([np.cumsum(unpacked(x.as_py())) for x in words.column("at")] or empty).astype(np.int64)
+    n = np.concatenate([unpacked(x.as_py()) for x in words.column("lengths")] or empty).astype(np.int64)
+    flat = np.concatenate([unpacked(x.as_py()) for x in words.column("ids")] or empty)
+    starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    starts[at], lengths[at] = np.cumsum(n) - n, n
+    table, out = pieces(path), []
+    for ids, ends, places in zip(docs.column("ids").to_pylist(), docs.column("ends"), docs.column("places"), strict=True):
+        place = unpacked(places.as_py())
+        found = gathered(flat, starts, lengths, place)
+        last = np.concatenate([[0], np.cumsum(unpacked(ends.as_py()).astype(np.int64))])
+        stops = np.concatenate([[0], np.cumsum(lengths[place])])[last].astype(np.int32)
+        binary = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((stops * 4).tobytes()), pa.py_buffer(found.astype("<u4").tobytes())])
+        out.append(pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": binary, "decoded": joined_pieces(pa.array(found), stops, table)}))
+    return pa.concat_tables(out)
 
 
 def encode_decode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, `ids` (little-endian unsigned 32-bit integers) and `decoded` for every row of `docs`."""
-    parts = written(blocks(docs, block_bytes), "bpe-blocks")
-    words = parts.where("word is not null").select("block", "at", "word")
-    coded = words.join(distinct_words(words, path), "word").select(F.col("block").alias("of"), "at", "ids", "decoded")
-    listed = parts.where("words is not null").select("block", "doc_id", "words")
-    return listed.groupBy("block").cogroup(coded.groupBy("of")).applyInArrow(restore, "doc_id bigint, ids binary, decoded string")
+    rows = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
+    buckets = max(LEAST_BUCKETS, BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    words = dictionaries(rows, buckets, block_bytes).groupBy("bucket")
+    coded = words.applyInArrow(lambda t: encode_bucket(t, path), "block bigint, checksum bigint, at binary, lengths binary, ids binary")
+    listed = positions(rows, block_bytes)
+    return listed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(lambda a, b: restore(a, b, path), "doc_id bigint, ids binary, decoded string")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
