@@ -55,34 +55,41 @@ def _chunk(chunk_ms: int) -> Column:
     return F.floor(F.unix_millis("t") / chunk_ms)
 
 
+def runs_of(samples: DataFrame, keys: Sequence[str], side: Column, chunk_ms: int = DAY, ties: Sequence[str] = ()) -> DataFrame:
+    """The maximal runs of samples with one and the same `side` (null ends a run): side, start_t, end_t, duration_ms, min_v,
+    max_v, n. Gaps in time do not end a run.
+    """
+    in_chunk = Window.partitionBy(*keys, "_chunk")
+    rows = samples.withColumn("_chunk", _chunk(chunk_ms)).withColumn("side", side)
+    rows = rows.withColumn("_i", F.row_number().over(in_chunk.orderBy("t", *ties))).withColumn("_size", F.count(F.lit(1)).over(in_chunk))
+    among = Window.partitionBy(*keys, "_chunk", "side").orderBy("t", *ties)
+    runs = rows.where("side is not null").withColumn("_run", F.col("_i") - F.row_number().over(among))
+    parts = runs.groupBy(*keys, "_chunk", "side", "_run").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.count(F.lit(1)).alias("n"), (F.min("_i") == 1).alias("_first"), (F.max("_i") == F.first("_size")).alias("_last"), F.min("_i").alias("_at"))
+    # a run goes on where it ends one chunk and begins the series' next chunk
+    chunks = samples.select(*keys, _chunk(chunk_ms).alias("_chunk")).distinct().withColumn("_before", F.lag("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk")))
+    along = Window.partitionBy(*keys).orderBy("_chunk", "_at")
+    parts = parts.join(chunks, [*keys, "_chunk"])
+    before = lambda c: F.lag(c).over(along)
+    goes_on = F.col("_first") & F.coalesce(before("_last") & (before("_chunk") == F.col("_before")) & (before("side") == F.col("side")), F.lit(False))
+    numbered = parts.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_id", F.sum("_new").over(along))
+    whole = numbered.groupBy(*keys, "side", "_id").agg(F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t"), F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"), F.sum("n").alias("n"))
+    return whole.select(*keys, "side", "start_t", "end_t", (F.unix_millis("end_t") - F.unix_millis("start_t")).alias("duration_ms"), "min_v", "max_v", "n")
+
+
 def threshold_runs(samples: DataFrame, keys: Sequence[str], threshold: Column, direction: str = "below", chunk_ms: int = DAY, ties: Sequence[str] = ()) -> DataFrame:
     """The maximal runs of samples strictly beyond `threshold`: start_t, end_t, duration_ms, min_v, max_v, n.
 
     Null, NaN and other samples end a run; gaps in time do not. `threshold` may use the samples' columns.
     """
     crossing = (below if direction == "below" else above)(F.col("v"), threshold)
-    in_chunk = Window.partitionBy(*keys, "_chunk")
-    ordered = in_chunk.orderBy("t", *ties)
-    rows = samples.withColumn("_chunk", _chunk(chunk_ms)).withColumn("_on", crossing)
-    rows = rows.withColumn("_i", F.row_number().over(ordered)).withColumn("_size", F.count(F.lit(1)).over(in_chunk))
-    runs = rows.where("_on").withColumn("_run", F.col("_i") - F.row_number().over(ordered))
-    parts = runs.groupBy(*keys, "_chunk", "_run").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.count(F.lit(1)).alias("n"), (F.min("_i") == 1).alias("_first"), (F.max("_i") == F.first("_size")).alias("_last"))
-    # a run goes on where it ends one chunk and begins the series' next chunk
-    chunks = rows.select(*keys, "_chunk").distinct().withColumn("_before", F.lag("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk")))
-    along = Window.partitionBy(*keys).orderBy("start_t", "_chunk")
-    parts = parts.join(chunks, [*keys, "_chunk"])
-    goes_on = F.col("_first") & F.coalesce(F.lag("_last").over(along), F.lit(False)) & F.coalesce(F.lag("_chunk").over(along) == F.col("_before"), F.lit(False))
-    numbered = parts.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_id", F.sum("_new").over(along))
-    whole = numbered.groupBy(*keys, "_id").agg(F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t"), F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"), F.sum("n").alias("n"))
-    return whole.select(*keys, "start_t", "end_t", (F.unix_millis("end_t") - F.unix_millis("start_t")).alias("duration_ms"), "min_v", "max_v", "n")
+    return runs_of(samples, keys, F.when(crossing, direction), chunk_ms, ties).drop("side")
 
 
 def brief_excursions(samples: DataFrame, keys: Sequence[str], width: float = EXCURSION, chunk_ms: int = DAY) -> DataFrame:
-    """Runs beyond pooled_mean +- `width` deviations, of both directions, for samples with the pooled columns."""
+    """Runs beyond pooled_mean +- `width` deviations, of both directions in one pass, for samples with the pooled columns."""
     spread = width * effective_stddev(F.col("pooled_mean"), F.col("pooled_stddev"))
-    low = threshold_runs(samples, keys, F.col("pooled_mean") - spread, "below", chunk_ms).withColumn("direction", F.lit("below"))
-    high = threshold_runs(samples, keys, F.col("pooled_mean") + spread, "above", chunk_ms).withColumn("direction", F.lit("above"))
-    return low.unionByName(high)
+    side = F.when(below(F.col("v"), F.col("pooled_mean") - spread), "below").when(above(F.col("v"), F.col("pooled_mean") + spread), "above")
+    return runs_of(samples, keys, side, chunk_ms).withColumnRenamed("side", "direction")
 
 
 def cap_runs(runs: DataFrame, keys: Sequence[str], most: int = MAX_RUNS) -> DataFrame:
