@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as c
 from tidewatch.operators import correlate, series, verdict, windows
-from tidewatch.plans.registry import EFFECTIVE, INCIDENTS, SAMPLES, USER_SAMPLES, WINDOWS, incidents, ms, r6, register, samples
+from tidewatch.plans.registry import EFFECTIVE, SAMPLES, USER_SAMPLES, WINDOWS, incidents, ms, r6, register, samples
+from tidewatch.session import stored
 
 KEYS = ["incident_id", "series_key"]
 WINDOW = ["incident_id", "role", "label", "ord", "series_key"]
@@ -18,7 +19,7 @@ def all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.exclude_overlapping(all_windows(spark, sf_dir))[0]
+    return stored(windows.exclude_overlapping(all_windows(spark, sf_dir))[0], "windows")
 
 
 def tagged(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFrame:
@@ -130,7 +131,7 @@ def f15(spark, sf_dir):
 
 
 def stats(spark, sf_dir, by_user=False):
-    return series.series_stats(tagged(spark, sf_dir, by_user), WINDOW)
+    return stored(series.series_stats(tagged(spark, sf_dir, by_user), WINDOW), "stats")
 
 
 @register("q_a1_series_stats", f"WITH {SAMPLES}, {STATS} SELECT incident_id, label, series_key, round(mean, 6) AS mean, round(stddev, 6) AS stddev, min, max, n, n_nonzero FROM stats")
@@ -289,7 +290,7 @@ def scored(spark, sf_dir):
     """Series of other event types as candidates; the primary panel shows errors, and its alert names user 8."""
     rows = tagged(spark, sf_dir, by_user=True)
     own = series.series_stats(rows.where("role = 'incident'"), [*KEYS, "event_type", "user_id"])
-    base = series.series_stats(rows.where("role = 'pre'"), KEYS).where("n > 0")
+    base = stored(series.series_stats(rows.where("role = 'pre'"), KEYS).where("n > 0"), "before")
     first = series.onset(rows.where("role = 'incident'"), base, KEYS)
     primary = series.primary_onset(first.where(F.col("series_key").startswith("A|event_type=error,")), ["incident_id"])
     base = base.select(*KEYS, F.col("mean").alias("pooled_mean"), F.col("stddev").alias("pooled_stddev"))
@@ -332,9 +333,9 @@ FROM classed c LEFT JOIN low USING (incident_id, series_key) LEFT JOIN high USIN
 def validate_baseline(spark, sf_dir):
     """Each incident's series against the pooled controls, with excursions and the controls left out."""
     kept, out = windows.exclude_overlapping(all_windows(spark, sf_dir))
-    rows = windows.tag_windows(samples(spark, sf_dir), kept)
-    by_window = series.series_stats(rows, WINDOW)
-    base = pooled(by_window)
+    rows = windows.tag_windows(samples(spark, sf_dir), stored(kept, "windows"))
+    by_window = stored(series.series_stats(rows, WINDOW), "stats")
+    base = stored(pooled(by_window), "pooled")
     beyond = series.brief_excursions(rows.where("role = 'incident'").join(base, KEYS), KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("k"))
     judged = series.classify_baseline(by_window.where("role = 'incident'").join(base, KEYS, "left")).join(beyond, KEYS, "left").join(out, "incident_id", "left")
     return judged.select(*KEYS, r6("z").alias("z"), "class", F.coalesce("k", F.lit(0)).alias("n_excursions"), F.array_join("excluded", ",").alias("excluded"))

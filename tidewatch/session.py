@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, app: str = "tidewatch", **conf: str) -> SparkSession:
@@ -36,3 +36,10 @@ def work_path(spark: SparkSession, name: str) -> str:
     if not base and app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-work-", dir="/tmp")
     return f"{(base or _own[app]).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the work folder: for windows, statistics and other small results that several steps read."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
