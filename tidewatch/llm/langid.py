@@ -27,6 +27,8 @@ ORDERS = (1, 2, 3)
 PROFILE = 1000
 DOCUMENT = 300
 UNKNOWN = "und"
+#: n-grams of a batch in memory before they are counted.
+PENDING = 2_000_000
 #: A score below this is too close to call.
 LEAST_SCORE = 0.02
 _SHIFT = 21  # bits of a code point
@@ -65,6 +67,32 @@ def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(codes, return_counts=True)
 
 
+class Counts:
+    """Counts of n-grams for each language, with few codes in memory that are not yet counted."""
+
+    def __init__(self):
+        self.codes: dict[str, list[np.ndarray]] = {}
+        self.sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.held = 0
+
+    def add(self, lang: str, codes: np.ndarray) -> None:
+        self.codes.setdefault(lang, []).append(codes)
+        self.held += len(codes)
+        if self.held > PENDING:
+            self.settle()
+
+    def settle(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        for lang, parts in self.codes.items():
+            codes, n = counted(np.concatenate(parts))
+            if lang in self.sums:
+                old, was = self.sums[lang]
+                codes, back = np.unique(np.concatenate([old, codes]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([was, n]), len(codes)).astype(np.int64)
+            self.sums[lang] = codes, n
+        self.codes, self.held = {}, 0
+        return self.sums
+
+
 def held_out(modulus: int = 3, remainder: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
@@ -74,11 +102,10 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[str, list[np.ndarray]] = {}
+            by = Counts()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                by.setdefault(lang, []).append(grams(letters(text.as_py())))
-            for lang, parts in by.items():
-                codes, n = counted(np.concatenate(parts))
+                by.add(lang, grams(letters(text.as_py())))
+            for lang, (codes, n) in by.settle().items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], names=["lang", "gram", "n"])
 
     rows = docs.where("text is not null and lang is not null").select("lang", "text")
