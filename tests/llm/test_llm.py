@@ -556,3 +556,19 @@ def test_pipeline(spark, small, known):
     assert sum(r.length for r in rows) == sum(map(len, want.values()))
     for r in rows:
         assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+
+
+def test_all_operators_are_registered():
+    import __spark_entry__
+
+    known = __spark_entry__.queries()
+    assert {int(k[2:].split("_")[0]) for k in known if k.startswith("op")} == set(range(1, 11)) and "pipeline" in known
+    assert set(__spark_entry__.oracle_sql()) <= set(known)
+
+
+def test_labels_are_a_bounded_sample(spark):
+    docs = table(spark, [(i, f"text {i}") for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    assert toxicity.labelled(docs, labels, bound=100).count() < 160
+    assert toxicity.labelled(docs, labels).count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(400))
+    assert toxicity.labelled(table(spark, [(i, "same") for i in range(400)]), labels).count() == 1
