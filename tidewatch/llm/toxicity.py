@@ -6,11 +6,11 @@ costs make likeliest. The score of a text is that of its most telling word, as i
 through itself and its beginnings, weighed by how often labelled texts with it are toxic.
 
 The character model sums n-grams over all documents and keeps the `MODEL` most frequent; the word table sums documents for
-each feature over all training labels and keeps those that tell; both reach every task and are bounded by their parameters.
+each feature over the training labels (a bounded sample of them) and keeps those that tell; both reach every task and are bounded by their parameters.
 Texts are read whole. A word without any disguise has one path through its lattice and is not decoded.
 
 Results for odd inputs: a null or empty text has the lowest score; documents without a label do not train; a label of a
-repeated doc_id counts for each row with that id; rows are scored one by one; where no label tells anything every score is
+repeated doc_id counts for each row with that id; labels without a doc_id are left out; rows are scored one by one; where no label tells anything every score is
 the lowest; columns other than doc_id, text and toxic are not read.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import langid
+from tidewatch.llm.shared import written
 
 #: n-grams in the character model.
 MODEL = 200_000
@@ -41,6 +42,8 @@ SUPPORT = 0.01
 #: A feature that tells less is dropped, so that chance words of a long text don't add up.
 LEAST = 0.55
 THRESHOLD = 0.3
+#: Labels that the words are learned from; of more, about so many are taken by the hash of their doc_id.
+LABELS = 200_000
 
 #: What a sign may stand for.
 STANDS_FOR = {
@@ -170,12 +173,24 @@ def character_model(docs: DataFrame, size: int = MODEL) -> CharacterModel:
     return CharacterModel({spelled(r.gram): r.n for r in counts.collect()})  # at most `size` rows
 
 
+def labelled(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> DataFrame:
+    """text and toxic of labelled documents that are not held out, of equal texts one.
+
+    Texts are not shuffled: the labels, about `bound` of them at most, are broadcast, and so are the documents chosen.
+    """
+    marked = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("of")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    marked = written(marked.where("of is not null"), "toxicity-labels")
+    n = marked.count()
+    if n > bound:
+        marked = marked.where(F.pmod(F.xxhash64("of"), F.lit(n)) < bound)
+    copies = docs.join(F.broadcast(marked), F.col("doc_id") == F.col("of")).groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    chosen = written(copies.agg(F.min("of").alias("of"), F.max("toxic").alias("toxic")).drop("digest"), "toxicity-chosen")
+    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "toxic")
+
+
 def word_table(docs: DataFrame, labels: DataFrame, model: CharacterModel, size: int = FEATURES) -> dict[str, float]:
     """The share of toxic texts among those with a feature, drawn to the share of all, for features that tell."""
-    marked = labels.where("toxic is not null").select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("toxic"))
-    train = docs.where(~held_out()).join(marked, F.col("doc_id") == F.col("of")).select("text", "toxic")
-    # copies count once
-    train = train.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("of")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    train = labelled(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `MODEL`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
