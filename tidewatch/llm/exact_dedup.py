@@ -26,6 +26,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Groups of copies up to which their keepers' locators (some 15 MB) are broadcast; beyond, texts are shuffled by locator.
+BROADCAST_HITS = 50_000
 STATE = "digest string, keeper struct<doc_id: bigint, file: string, row: bigint>, group_size bigint"
 
 
@@ -78,6 +80,8 @@ def exact_groups(spark: SparkSession, path: str, state_dir: str | None = None, f
     state = written(state, "dedup-keepers")
     rows = located(spark.read, path, digest)
     hits = state.where("group_size > 1").select("keeper.file", "keeper.row", F.col("digest").alias("of"))
+    if hits.count() <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
     # the locator is unique, so this join has no hot key however large a group is
     first = rows.join(hits, ["file", "row"]).select(F.col("of").alias("digest"), F.col("text").alias("keeper_text"))
     known = written(state.join(first, "digest", "left"), "dedup-known")
