@@ -572,3 +572,22 @@ def test_labels_are_a_bounded_sample(spark):
     assert toxicity.labelled(docs, labels, bound=100).count() < 160
     assert toxicity.labelled(docs, labels).count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(400))
     assert toxicity.labelled(table(spark, [(i, "same") for i in range(400)]), labels).count() == 1
+
+
+def test_words_of_a_minority_tell(spark):
+    """A word that only toxic texts have tells, however many other toxic texts there are; one of near copies alone doesn't."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    line = [word() for _ in range(60)]
+
+    def near_copy():
+        words = list(line)
+        words[rng.randrange(60)] = word()
+        return " ".join([*words, "quatsch"])
+
+    bad = [f"zorvig {word()} {word()}" for _ in range(1200)] + [f"{word()} bocoo {word()}" for _ in range(8)] + [near_copy() for _ in range(40)]
+    texts = [*bad, *(f"{word()} {word()} {word()}" for _ in range(600))]
+    docs = table(spark, list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, int(i < len(bad))) for i in range(len(texts))], "doc_id long, toxic int")
+    told = toxicity.word_table(docs, labels, toxicity.CharacterModel({}))
+    assert told["bocoo"] >= toxicity.LEAST and "zorvig" in told and "quatsch" not in told

@@ -3,7 +3,9 @@
 Words that may be disguised (figures or signs for letters, letters apart, letters repeated) become lattices of the letters
 that each character may stand for. Viterbi decoding picks the reading that a character model of the corpus and the channel's
 costs make likeliest. The score of a text is that of its most telling word, as it stands or as restored, where a word speaks
-through itself and its beginnings, weighed by how often labelled texts with it are toxic.
+through itself and its beginnings, weighed by how often labelled texts with it are toxic. All labelled texts are read, but
+a class of near copies counts once for each of its words, as it tells no more about other texts than one text. Near copies
+share one of `BANDS` groups of least hashes of runs of words: nearly all pairs with half of their runs in common do.
 
 The character model sums n-grams over all documents and keeps the `MODEL` most frequent; the word table sums documents for
 each feature over the training labels (a bounded sample of them) and keeps those that tell; both reach every task and are bounded by their parameters.
@@ -22,11 +24,13 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm import langid
+from tidewatch.llm import langid, simhash
 from tidewatch.llm.shared import written
 
 #: n-grams in the character model.
@@ -34,11 +38,13 @@ MODEL = 200_000
 #: Features in the word table.
 FEATURES = 20_000
 PREFIXES = (4, 5)
-#: Texts by which a feature's share is drawn to the share of all: so many, or this part of all toxic texts if that is more,
-#: as the words of one large group of near copies tell nothing about other texts.
-WEIGHT, WEIGHT_PART = 4.0, 0.02
-#: Of all toxic texts the share that a feature must occur in.
-SUPPORT = 0.01
+#: Texts by which a feature's share is drawn to the share of all, however many are labelled.
+WEIGHT = 4.0
+#: Toxic texts that a feature must occur in, near copies counting as one.
+SUPPORT = 4
+#: Words in a run, groups of least hashes, and hashes in a group.
+RUN, BANDS, ROWS = 3, 16, 3
+_MIX = np.random.default_rng(8).integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
 #: A feature that tells less is dropped, so that chance words of a long text don't add up.
 LEAST = 0.55
 THRESHOLD = 0.3
@@ -173,10 +179,37 @@ def character_model(docs: DataFrame, size: int = MODEL) -> CharacterModel:
     return CharacterModel({spelled(r.gram): r.n for r in counts.collect()})  # at most `size` rows
 
 
+def bands(text: str) -> list[int]:
+    """`BANDS` hashes of a text's least hashes of runs of words; near copies are likely to have one in common."""
+    words = np.array([xxhash.xxh64_intdigest(w) for w in text.lower().split()] or [0], np.uint64)
+    n = max(1, len(words) - RUN + 1)
+    hashes = np.zeros(n, np.uint64)
+    for k in range(min(RUN, len(words))):
+        hashes = (hashes ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+    # the upper half of a product depends on all bits of the hash
+    least = np.concatenate([((hashes * m) >> np.uint64(32)).min(keepdims=True) for m in _MIX])
+    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+
+
+def near_links(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `of` that connect near copies among `rows` (of, text): in each band all with the least of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bands(t.as_py() or "") for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("of"), pa.array(found, pa.list_(pa.int64()))], names=["of", "bands"])
+
+    hashed = rows.select(F.col("of").cast("long").alias("of"), "text").mapInArrow(run, "of bigint, bands array<bigint>")
+    banded = written(hashed.select("of", F.explode("bands").alias("band")), "toxicity-bands")
+    least = banded.groupBy("band").agg(F.min("of").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return banded.join(least, "band").where("of != a").select("a", F.col("of").alias("b")).distinct()
+
+
 def labelled(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> DataFrame:
-    """text and toxic of labelled documents that are not held out, of equal texts one.
+    """text, toxic and near of labelled documents that are not held out, of equal texts one.
 
-    Texts are not shuffled: the labels, about `bound` of them at most, are broadcast, and so are the documents chosen.
+    near is the class of a text that has near copies among the others, and null for other texts. Texts are not shuffled:
+    the labels, about `bound` of them at most, are broadcast, and so are the documents chosen.
     """
     marked = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("of")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marked = written(marked.where("of is not null"), "toxicity-labels")
@@ -185,38 +218,45 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> DataFra
         marked = marked.where(F.pmod(F.xxhash64("of"), F.lit(n)) < bound)
     copies = docs.join(F.broadcast(marked), F.col("doc_id") == F.col("of")).groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     chosen = written(copies.agg(F.min("of").alias("of"), F.max("toxic").alias("toxic")).drop("digest"), "toxicity-chosen")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "toxic")
+    links = near_links(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("of", "text"))
+    near = simhash.components(links).select(F.col("node").alias("of"), F.col("root").alias("near"))
+    chosen = written(chosen.join(near, "of", "left"), "toxicity-classed")
+    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "toxic", "near")
 
 
 def word_table(docs: DataFrame, labels: DataFrame, model: CharacterModel, size: int = FEATURES) -> dict[str, float]:
-    """The share of toxic texts among those with a feature, drawn to the share of all, for features that tell."""
+    """The share of toxic texts among those with a feature, drawn to the share of all, for features that tell.
+
+    The toxic texts of a class of near copies count as one text for each feature, and so do its other texts.
+    """
     train = labelled(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `MODEL`
+    names = ["feature", "near", "toxic", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         for batch in batches:
             for i in range(0, len(batch), 2000):
                 part = batch.slice(i, 2000)
-                seen: Counter[str] = Counter()
-                bad: Counter[str] = Counter()
-                for text, toxic in zip(part.column("text"), part.column("toxic").to_pylist(), strict=True):
+                seen: Counter[tuple[str, int | None, bool]] = Counter()
+                for text, toxic, near in zip(part.column("text"), part.column("toxic").to_pylist(), part.column("near").to_pylist(), strict=True):
                     found = reader.text(text.as_py() or "")
                     found.add("")  # counts the texts
-                    seen.update(found)
-                    if toxic:
-                        bad.update(found)
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([bad[f] for f in seen], pa.int64())], names=["feature", "n", "bad"])
-
-    sums = train.mapInArrow(run, "feature string, n bigint, bad bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+                    seen.update((f, near, bool(toxic)) for f in found)
+                columns = list(zip(*seen, strict=True)) or [(), (), ()]
+                kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip([*columns, seen.values()], kinds, strict=True)], names=names)
+
+    rows = train.mapInArrow(run, "feature string, near bigint, toxic boolean, n bigint").groupBy("feature", "near", "toxic").agg(F.sum("n").alias("n"))
+    once = F.when(F.col("near").isNull(), F.col("n")).otherwise(1)
+    sums = rows.groupBy("feature").agg(F.sum(once).alias("n"), F.sum(F.when(F.col("toxic"), once).otherwise(0)).alias("bad"))
     # a feature of fewer toxic texts can't reach LEAST, whatever the share of all
-    told = sums.where((F.col("feature") == "") | ((F.col("bad") >= 2) & (F.col("bad") >= LEAST * F.col("n")))).orderBy(F.col("feature") != "", F.desc("bad"), "feature").limit(size)
+    told = sums.where((F.col("feature") == "") | ((F.col("bad") >= SUPPORT) & (F.col("bad") >= LEAST * F.col("n")))).orderBy(F.col("feature") != "", F.desc("bad"), "feature").limit(size)
     rows = {r.feature: (r.n, r.bad) for r in told.collect()}  # at most `size` rows
     n, bad = rows.pop("", (0, 0))
     prior = bad / n if n else 0.0
-    weight = max(WEIGHT, WEIGHT_PART * bad)
-    shares = {f: (b + weight * prior) / (k + weight) for f, (k, b) in rows.items()}
-    return {f: p for f, p in shares.items() if p >= LEAST and rows[f][1] >= max(4, SUPPORT * bad)}
+    shares = {f: (b + WEIGHT * prior) / (k + WEIGHT) for f, (k, b) in rows.items()}
+    return {f: p for f, p in shares.items() if p >= LEAST}
 
 
 def score(docs: DataFrame, model: CharacterModel, table: dict[str, float]) -> DataFrame:
