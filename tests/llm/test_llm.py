@@ -591,3 +591,9 @@ def test_words_of_a_minority_tell(spark):
     labels = spark.createDataFrame([(i, int(i < len(bad))) for i in range(len(texts))], "doc_id long, toxic int")
     told = toxicity.word_table(docs, labels, toxicity.CharacterModel({}))
     assert told["bocoo"] >= toxicity.LEAST and "zorvig" in told and "quatsch" not in told
+
+
+def test_doubled_letters_and_signs_at_edges_are_decoded():
+    model = model_of(["idiot", "stupid", "moron", "clown", "trash", "the", "and"] * 50)
+    for seen, word in [("iddiot", "idiot"), ("sstupid", "stupid"), ("morron", "moron"), ("(lown", "clown"), ("<lown", "clown"), ("(mor0n)", "moron"), ("\"(lown\",", "clown"), ("mor0n!", "moron")]:
+        assert word in toxicity.readings(seen, model), seen

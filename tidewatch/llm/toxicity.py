@@ -58,13 +58,15 @@ STANDS_FOR = {
 }
 SIGN, DROP_SIGN, DROP_OTHER, DROP_RUN, DROP_DOUBLE = 1.0, 8.0, 0.5, 0.7, 4.0
 EDGES = ".,;:?\"'*#%&-_()[]<>"
+#: Of these, those without a reading.
+MARKS = "".join(c for c in EDGES if c not in STANDS_FOR)
 #: Tokens of which a worker remembers what they tell; beyond, it starts afresh.
 MEMORY = 300_000
 
 WORD = re.compile(r"[^\W\d_]+")
 _signs = re.escape("".join(STANDS_FOR))
-#: A sign or mark before a letter, a figure after one, or three like letters.
-DISGUISED = re.compile(rf"[{_signs}*._-][^\W\d_]|[^\W\d_][0-9@$]|([^\W\d_])\1\1")
+#: A sign that has a reading, a mark before a letter, a figure after one, or two like letters.
+DISGUISED = re.compile(rf"[{_signs}]|[*._-][^\W\d_]|[^\W\d_][0-9]|([^\W\d_])\1")
 APART = re.compile(rf"(?<![^\W_])(?:[^\W\d_]|[{_signs}])(?:[ \t._*-]{{1,2}}(?:[^\W\d_]|[{_signs}])){{2,}}(?![^\W_])")
 
 
@@ -120,8 +122,8 @@ def readings(token: str, model: CharacterModel) -> set[str]:
     """The words in a token of lower case, as they stand and, where it may be disguised, as restored."""
     bare = token.strip(EDGES)
     words = {bare} if bare.isalpha() else set(WORD.findall(token))
-    if DISGUISED.search(bare):
-        words.add(model.restore(bare))
+    # a bracket at an edge may be a letter or a bracket
+    words.update(model.restore(seen) for seen in {bare, token.strip(MARKS)} if DISGUISED.search(seen))
     words.discard("")
     return words
 
