@@ -100,6 +100,14 @@ def test_truncated_streams(events):
         logs.correlate_logs(kept, ["backend", "frontend"], "unless", stats)
 
 
+@pytest.mark.parametrize("name", ["q_tool_correlate_logs", "q_tool_find_related"])
+def test_whole_results_have_no_cap(spark, small, name):
+    from tidewatch.plans.catalogue import QUERIES
+
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "10000000)" not in plan and "2000000000" not in plan
+
+
 TARGET = "connection_id string, dashboard_uid string, dashboard_title string, panel_id long, panel_title string, target_pos int, ref_id string, datasource_uid string, expr string, query string, raw_query boolean, measurement string, tags array<struct<key:string,operator:string,value:string>>"
 
 

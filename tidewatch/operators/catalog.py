@@ -207,10 +207,15 @@ def search_index(index: DataFrame, labels: Mapping[str, str], metric: str | None
     return rows.withColumn("_i", F.row_number().over(best)).where("_i = 1").drop("_i", "labels")
 
 
+def related(found: DataFrame, backed: DataFrame, meta: DataFrame, author: str | None = None) -> DataFrame:
+    """All panels found, whether an alert backs them and whether the dashboard is the author's own."""
+    rows = found.join(backed.select(*PANEL, F.lit(True).alias("alert_backed")), PANEL, "left").join(meta, ["connection_id", "dashboard_uid"], "left")
+    return rows.withColumns({"alert_backed": F.coalesce("alert_backed", F.lit(False)), "same_author": F.coalesce(F.col("updated_by") == author, F.lit(False)) if author else F.lit(False)})
+
+
 def rank_related(found: DataFrame, backed: DataFrame, meta: DataFrame, author: str | None = None, limit: int = FOUND) -> DataFrame:
     """Alert-backed panels first, then by overlap, by the author's own dashboards, and by the latest update."""
-    rows = found.join(backed.select(*PANEL, F.lit(True).alias("alert_backed")), PANEL, "left").join(meta, ["connection_id", "dashboard_uid"], "left")
-    rows = rows.withColumns({"alert_backed": F.coalesce("alert_backed", F.lit(False)), "same_author": F.coalesce(F.col("updated_by") == author, F.lit(False)) if author else F.lit(False)})
+    rows = related(found, backed, meta, author)
     total = found.agg(F.count(F.lit(1)).alias("total"))
     top = rows.orderBy(F.desc("alert_backed"), F.desc("overlap"), F.desc("same_author"), F.desc_nulls_last("updated"), *PANEL).limit(limit)
     return top.join(F.broadcast(total))

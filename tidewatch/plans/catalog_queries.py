@@ -186,7 +186,7 @@ def t2(spark, sf_dir):
 
 @register("q_tool_find_related", f"{RELATED} SELECT alert_backed, same_author, count(*) AS n, sum(overlap)::BIGINT AS overlaps FROM ranks GROUP BY ALL")
 def find_related(spark, sf_dir):
-    rows = catalog.rank_related(found(spark, sf_dir), backed(spark, sf_dir), derive(spark, sf_dir, META, "supplier"), "alice", limit=2_000_000_000)
+    rows = catalog.related(found(spark, sf_dir), backed(spark, sf_dir), derive(spark, sf_dir, META, "supplier"), "alice")
     return rows.groupBy("alert_backed", "same_author").agg(F.count(F.lit(1)).alias("n"), F.sum("overlap").alias("overlaps"))
 
 

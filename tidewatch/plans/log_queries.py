@@ -158,8 +158,7 @@ def j3_events(spark, sf_dir):
 
 @register("q_tool_correlate_logs", f"SELECT key, CASE WHEN u > 0 AND a > 0 AND s > 0 THEN 'complete' ELSE 'partial' END AS completeness, u + a + s AS n_events FROM ({ROLES})")
 def tool_correlate(spark, sf_dir):
-    kept, stats = logs.cap_stream(turns(spark, sf_dir), 10_000_000)
-    return logs.correlate_logs(kept, ["user", "assistant", "system"], "or", stats).select("key", "completeness", "n_events")
+    return logs.correlate_logs(turns(spark, sf_dir), ["user", "assistant", "system"], "or").select("key", "completeness", "n_events")
 
 
 @register("q_u1_union", "SELECT 'c' || (user_id % 3) AS connection_id, event_type, count(*) AS n FROM events GROUP BY ALL")
