@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -336,6 +337,20 @@ def test_packing_ids_are_the_tokenizers():
         assert fast(text) == own.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 5_000_000 + "b", "x" * 5_000_000, "\n \t" * 300_000, ("a" * 399 + " ") * 2_000, ("a" * 3_000 + " ") * 200, (" " * 99 + "a") * 3_000, "漢" * 200_000, "12" * 9_999 + " " + "?!" * 9_000])
+def test_packing_ids_of_long_runs(text):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    assert packing.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_survives_long_runs(spark):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    rows = packing.pack(table(spark, [(1, "a" + " " * 1_000_000 + "b"), (2, "short")]), path).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d"))
+    assert {(r.doc_id, r.n == r.d) for r in rows.collect()} == {(1, True), (2, True)}
+
+
 def test_hilbert_curve_steps_to_neighbours():
     n = 8
     points = np.array([(x, y, z) for x in range(n) for y in range(n) for z in range(n)])
@@ -512,10 +527,48 @@ def test_ledger_scans_only_what_is_new(spark):
     assert size() == len({t or "" for _, t in SECRETS})
     secrets.extend_ledger(table(spark, [*SECRETS, (50, "new token=123456")]), ledger)
     assert size() == len({t or "" for _, t in SECRETS}) + 1
-    secrets.extend_ledger(first, ledger, rule_version="2")
+    secrets.extend_ledger(first, ledger, rules=secrets.RULES[:3])
     assert size() == 2 * len({t or "" for _, t in SECRETS}) + 1
 
 
+def test_changed_rules_find_anew(spark):
+    from tidewatch.llm.shared import scratch
+
+    ledger, docs = scratch(spark, "l"), table(spark, [(1, "secret=abcdefgh shibboleth")])
+    found = lambda rules: {s.kind for r in secrets.findings(docs, ledger, rules=rules).collect() for s in r.spans}
+    assert found(secrets.RULES) == {"assign"}
+    assert found((*secrets.RULES, ("own", "shibboleth", 0, 1))) == {"assign", "own"}
+    assert secrets.version_of() != secrets.version_of(secrets.RULES[:3])
+
+
+def test_pairs_that_are_in_the_ledger_twice_count_once(spark):
+    from tidewatch.llm.shared import scratch
+
+    ledger, docs = scratch(spark, "l"), table(spark, [(1, "secret=abcdefgh"), (2, "secret=abcdefgh")])
+    secrets.extend_ledger(docs, ledger)
+    secrets.read_ledger(docs, ledger).coalesce(1).write.mode("append").parquet(ledger)
+    assert secrets.read_ledger(docs, ledger).count() == 2
+    assert [(r.doc_id, len(r.spans)) for r in secrets.findings(docs, ledger).orderBy("doc_id").collect()] == [(1, 1), (2, 1)]
+
+
+def test_a_ledger_named_by_the_session_is_shared(spark):
+    from tidewatch.llm.shared import scratch
+
+    ledger, docs = scratch(spark, "l"), table(spark, SECRETS)
+    spark.conf.set(secrets.LEDGER_CONF, ledger)
+    try:
+        first, again = secrets.findings(docs).collect(), secrets.findings(docs).collect()
+    finally:
+        spark.conf.unset(secrets.LEDGER_CONF)
+    assert first == again and secrets.read_ledger(docs, ledger).count() == len({t or "" for _, t in SECRETS})
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "AKIA", "-----BEGIN ", "-----BEGIN PRIVATE KEY", "secret", "token=", "a", "a://", "ab://x:", "0" * 23 + " ", "eyJaaaaaaaa.", "bearer ", "password" + " " * 1000])
+def test_rules_take_time_in_proportion(piece):
+    began = time.process_time()
+    secrets.scan(piece * (2_000_000 // len(piece)))
+    assert time.process_time() - began < 5
+
 def test_redaction(spark):
     rows = {r.doc_id: r for r in secrets.without_secrets(table(spark, SECRETS)).where("doc_id is not null").collect()}
     assert rows[7].text == "[ASSIGN]" and rows[7].n_chars == 8 and rows[4].text is None and rows[5].text == ""

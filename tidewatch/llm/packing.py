@@ -32,34 +32,60 @@ END = 0
 BUCKETS = 1024
 DIMENSIONS = 3
 BITS = 16
-END_OF_TEXT = "<|endoftext|>"
+#: White space, and other characters, in one run that are more than tiktoken should be given.
+SPACES, LETTERS = 100, 400
+
+
+def long_runs(text: str) -> bool:
+    """Whether `text` may hold a run that is too long for tiktoken."""
+    lengths = [*map(len, text.split())]
+    # white space beyond one character between words
+    return len(text) - sum(lengths) - len(lengths) >= SPACES - 1 or max(lengths, default=0) >= LETTERS
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """ids of a text by the byte-level vocabulary at `path`, as the tokenizers library gives them.
 
-    The ranks of the vocabulary are read from the same file; the merges of such a vocabulary are in the order of its ids.
+    Most texts are encoded by tiktoken from the same vocabulary, whose merges are in the order of its ids: the same ids for
+    a fifth of the time. Its pattern matcher can't take very long runs of white space, nor its merging very long words;
+    a text that may hold such a run is given to the tokenizers library whole.
     """
     import json
+    import os
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
+    slow = Tokenizer.from_file(path)
+    slow.no_truncation()
+    slow.no_padding()
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    ranks = {bytes(shown[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in {t["content"] for t in model["added_tokens"]}}
     special = {t["content"]: t["id"] for t in model["added_tokens"]}
+    ranks = {bytes(shown[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    own = tiktoken.Encoding("byte level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    fast = tiktoken.Encoding("byte level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(text: str) -> list[int]:
-        return own.encode(text, allowed_special="all") if any(s in text for s in special) else own.encode_ordinary(text)
+        if len(text) >= SPACES and long_runs(text):
+            return slow.encode(text, add_special_tokens=False).ids
+        return fast.encode(text, allowed_special="all") if any(s in text for s in special) else fast.encode_ordinary(text)
 
     return ids
 
 
+@lru_cache(maxsize=2)
+def id_type(path: str) -> str:
+    """How ids of the vocabulary at `path` are stored: little-endian, in two bytes where all fit."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
 @lru_cache(maxsize=1)
 def projection() -> np.ndarray:
     return np.random.default_rng(7).standard_normal((BUCKETS, DIMENSIONS))
@@ -103,10 +129,10 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """row (unique), doc_id, key, n, ids (little-endian unsigned 16-bit integers, END last)."""
+    """row (unique), doc_id, key, n, ids (as `id_type` says, END last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, kind = encoder(path), id_type(path)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for i in range(0, len(batch), 1000):
@@ -115,11 +141,11 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                 for text in part.column("text"):
                     ids = encode(text.as_py())
                     ids.append(END)
-                    coded.append(np.array(ids, np.uint16))
+                    coded.append(np.array(ids, kind))
                 keys = hilbert(np.stack([point(c) for c in coded]))
                 rows = np.arange(row, row + len(coded))
                 row += len(coded)
-                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column("doc_id"), pa.array(keys), pa.array([len(c) for c in coded], pa.int64()), pa.array([c.astype("<u2").tobytes() for c in coded], pa.binary())], names=["row", "doc_id", "key", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column("doc_id"), pa.array(keys), pa.array([len(c) for c in coded], pa.int64()), pa.array([c.tobytes() for c in coded], pa.binary())], names=["row", "doc_id", "key", "n", "ids"])
 
     return texts(docs).mapInArrow(run, "row bigint, doc_id bigint, key bigint, n bigint, ids binary")
 
@@ -146,10 +172,11 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = id_type(path)
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for doc_id, ids, at in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("at").to_pylist(), strict=True):
-                whole = np.frombuffer(ids.as_py(), "<u2").astype("<u4")
+                whole = np.frombuffer(ids.as_py(), kind).astype("<u4")
                 start = 0
                 while start < len(whole):
                     sequence, offset = divmod(at + start, length)

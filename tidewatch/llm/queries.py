@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +120,42 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.span_text(BASE_KINDS), 256).alias("base_sha256"), secrets.span_text(secrets.KINDS).alias("spans"))
 
 
+def ascii_sql(pattern: str) -> str:
+    """A rule's pattern for an engine without ASCII-only case folding, possessive runs and looking back."""
+    pattern = re.sub(r"\(\?<!\[(.*?)\]\)", "", pattern).replace("}+", "}")
+    folded = re.search(r"\(\?ai:", pattern)
+    if not folded:
+        return pattern
+    start, depth = folded.end(), 1
+    for end in range(start, len(pattern)):
+        depth += {"(": 1, ")": -1}.get(pattern[end], 0)
+        if not depth:
+            break
+    names = re.sub(r"(?<![\[\\A-Za-z-])[a-z_]+(?![\]A-Za-z-])", lambda m: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in m[0]), pattern[start:end])
+    return f"{pattern[: folded.start()]}(?:{names}){pattern[end + 1 :]}"
+
+
+def op10_sql() -> str:
+    """Matches are cut out together with the text before them, so that lengths give their places."""
+    parts = []
+    for order, (kind, pattern, group, least) in enumerate(secrets.RULES):
+        guard = re.match(r"\(\?<!\[(.*?)\]\)", pattern)
+        before = f"(.*?(?:^|[^{guard[1]}]))" if guard else "(.*?)"
+        own = f"(?s){before}({ascii_sql(pattern)})".replace("'", "''")
+        pieces = [f"unnest(regexp_extract_all(t, '{own}', {n})) AS {name}" for n, name in ((1, "pre"), (2, "hit"), (2 + group, "val"))]
+        cut = f"SELECT doc_id, {', '.join(pieces)}, unnest(range(len(regexp_extract_all(t, '{own}', 2)))) AS i FROM docs"
+        ends = "sum(length(pre) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i)"
+        parts.append(f"SELECT doc_id, '{kind}' AS kind, {order} AS ord, val, {ends} - length(hit) AS s, {ends} AS e FROM ({cut}) QUALIFY length(val) >= {least}")
+    base = ", ".join(f"'{k}'" for k in BASE_KINDS)
+    joined = "string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, ord)"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({' UNION ALL '.join(parts)}),
+lists AS (SELECT doc_id, {counts}, {joined} FILTER (WHERE kind IN ({base})) AS base, {joined} AS spans FROM found GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN lists USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -134,4 +172,5 @@ SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op7_warc": OP7_SQL,
+    "op10_secrets": op10_sql(),
 }

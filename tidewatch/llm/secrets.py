@@ -3,7 +3,13 @@
 The ledger is a table in the shared folder with one row for each blob (content address: SHA-256 of the text) and version of
 the rules that has ever been scanned, with the spans found, or none. A run content-addresses every document version it is
 given, keeps one copy of each blob, scans only pairs of blob and rule version that the ledger lacks, appends them, and
-joins the findings back to every document with that content.
+joins the findings back to every document with that content. The version of the rules is a digest of the rules themselves,
+so changed rules never meet old findings. A pair that is there twice (runs at the same time, a repeated append) counts once.
+
+Give `ledger`, or set `LEDGER_CONF` in the session, to a folder that later runs use again; else each run has its own.
+
+Every rule is tried at most a few times for each character: a run of characters that a rule may span is entered at its
+beginning only, or is bounded in length.
 
 Of a blob's copies one is picked by map-side partial aggregation, so a blob with very many copies is never gathered. The
 join back to documents moves identifiers and digests, not texts.
@@ -15,13 +21,16 @@ it is; columns other than doc_id and text are read only where the caller names t
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.shared import scratch, written
 
@@ -31,18 +40,24 @@ BASE_RULES = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-#: Further kinds, with well-known prefixes or frames.
+#: Further kinds, with well-known prefixes or frames; white space and letters are those of ASCII.
 MORE_RULES = (
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 0, 30),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
-    ("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/-]{20,}=*", 0, 20),
-    ("userinfo", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", 0, 10),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 0, 30),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}", 0, 30),
+    ("bearer", r"(?ai:bearer)\x20+[A-Za-z0-9._~+/-]{20,}=*", 0, 20),
+    ("userinfo", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{3,64}@", 0, 10),
 )
 RULES = BASE_RULES + MORE_RULES
-RULE_VERSION = "1"
 KINDS = [r[0] for r in RULES]
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 LEDGER = f"blob string, rule_version string, spans {SPANS}"
+#: Setting of the session that names a folder for the ledger of all runs.
+LEDGER_CONF = "spark.tidewatch.secrets.ledger"
+
+
+def version_of(rules=RULES) -> str:
+    """A digest of the rules: their kinds, patterns, groups, least lengths and order."""
+    return hashlib.sha256(repr(tuple(tuple(r) for r in rules)).encode()).hexdigest()[:16]
 
 
 def scan(text: str, rules=RULES) -> list[dict]:
@@ -66,8 +81,9 @@ def read_ledger(docs: DataFrame, ledger: str) -> DataFrame | None:
         return None
 
 
-def extend_ledger(docs: DataFrame, ledger: str, rules=RULES, rule_version: str = RULE_VERSION) -> None:
+def extend_ledger(docs: DataFrame, ledger: str, rules=RULES) -> None:
     """Scan the blobs of `docs` that the ledger at `ledger` lacks for this version of the rules, and append them."""
+    rule_version = version_of(rules)
     blobs = docs.groupBy(blob().alias("blob")).agg(F.first(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
     seen = read_ledger(docs, ledger)
     if seen is not None:
@@ -82,14 +98,14 @@ def extend_ledger(docs: DataFrame, ledger: str, rules=RULES, rule_version: str =
     blobs.mapInArrow(run, LEDGER).write.mode("append").parquet(ledger)
 
 
-def findings(docs: DataFrame, ledger: str | None = None, keep: Sequence[str] = (), rules=RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+def findings(docs: DataFrame, ledger: str | None = None, keep: Sequence[str] = (), rules=RULES) -> DataFrame:
     """doc_id, blob, spans and the columns in `keep` (as keep_0, keep_1 ...) for every row of `docs`, by way of the ledger."""
-    ledger = ledger or scratch(docs.sparkSession, "secret-ledger")
-    extend_ledger(docs, ledger, rules, rule_version)
-    known = read_ledger(docs, ledger).where(F.col("rule_version") == rule_version).select(F.col("blob").alias("of"), "spans")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob().alias("blob"), *[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)])
+    ledger = ledger or docs.sparkSession.conf.get(LEDGER_CONF, None) or scratch(docs.sparkSession, "secret-ledger")
+    extend_ledger(docs, ledger, rules)
     # a blob without findings needs no row of the ledger
-    hits = known.where("size(spans) > 0")
+    hits = read_ledger(docs, ledger).where((F.col("rule_version") == version_of(rules)) & (F.size("spans") > 0))
+    hits = hits.groupBy(F.col("blob").alias("of")).agg(F.first("spans").alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob().alias("blob"), *[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)])
     joined = rows.join(hits, F.col("blob") == F.col("of"), "left").drop("of")
     return joined.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
@@ -104,17 +120,21 @@ def span_text(kinds: Sequence[str]) -> Column:
     return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """`text` with every span, overlapping ones as one, replaced by its kind in brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redact(text: str, spans: str) -> str:
+    """`text` with every span of `span_text`, overlapping ones as one, replaced by its kind in brackets."""
+    out, at = [], 0
+    for span in spans.split(","):
+        kind, start, end = span.split(":")
+        if int(start) >= at:
+            out += [text[at : int(start)], f"[{kind.upper()}]"]
+        at = max(at, int(end))
+    return "".join([*out, text[at:]])
 
-    def step(done: Column, s: Column) -> Column:
-        new = s["start"] >= done["at"]
-        gap = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        out = F.when(new, F.concat(done["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
 
-    return F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+@F.pandas_udf(T.StringType())
+def redacted(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts with their spans replaced; null texts, of rows without a span, stay null."""
+    return pd.Series([None if t is None else redact(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
 
 def without_secrets(docs: DataFrame, ledger: str | None = None) -> DataFrame:
@@ -122,7 +142,10 @@ def without_secrets(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     rows = findings(docs, ledger, docs.columns)
     at = {c: F.col(f"keep_{i}") for i, c in enumerate(docs.columns)}
     dirty = F.size("spans") > 0
-    text = F.when(dirty, redacted(at["text"], F.col("spans"))).otherwise(at["text"])
+    # only texts with secrets go through Python, though every row does
+    clean = redacted(F.when(dirty, at["text"]), span_text(KINDS))
+    rows = rows.withColumn("clean", clean)
+    text = F.when(dirty, F.col("clean")).otherwise(at["text"])
     columns = at | {"text": text}
     if "n_chars" in at:
         columns["n_chars"] = F.when(dirty, F.length(text)).otherwise(at["n_chars"]).cast(docs.schema["n_chars"].dataType)
