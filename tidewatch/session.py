@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,9 +31,11 @@ _own: dict[str, str] = {}
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of `spark.checkpoint.dir`, or in a temporary one where that is unset."""
+    """A new path in the folder of `spark.checkpoint.dir`, or in a temporary one where that is unset and Spark runs locally."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base and app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-work-", dir="/tmp")
     return f"{(base or _own[app]).rstrip('/')}/{name}-{uuid.uuid4().hex}"
