@@ -37,6 +37,27 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that may be called hot, and rows that a key must exceed to be.
+HOT, HOT_ROWS = 50_000, 1_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: str, n: str, *unique: str, how: str = "left") -> DataFrame:
+    """`rows` joined to `table`, which has one row for each key, on the column `on`.
+
+    `n` is the table's column with the number of rows of each key. A key with more than one in `HOT` of all rows is dealt
+    over several partitions by the hash of the columns `unique`, and its row of the table is repeated for each; the list of
+    these keys is broadcast, and there are fewer than `HOT` of them. `table` is read several times, so give a stored one.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0  # one row
+    most = max(HOT_ROWS, total / HOT)
+    parts = F.ceil(F.col(n) / F.lit(most)).cast("int")
+    hot = table.where(F.col(n) > most).select(F.col(on).alias("_hot"), parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left").drop("_hot")
+    dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*unique), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    repeated = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(repeated, [on, "_part"], how).drop("_part")
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null as empty) and the named columns; other columns of `docs` go, whatever their names."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
