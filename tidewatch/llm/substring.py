@@ -1,34 +1,43 @@
 """Substring deduplication over content-defined chunks.
 
 A gear rolling hash over the bytes of each text marks a cut wherever its top bits are zero, so cuts depend on the last 32
-bytes alone and an insertion moves only the chunks it touches. Chunks have `LEAST` to `MOST` bytes. Digests of chunks are
-grouped with map-side aggregation; a chunk whose digest occurs in two documents or more is repeated, and neighbouring
-repeated chunks of a document form one span. Of a repeated chunk the occurrence in the document with the smallest doc_id
-is the original.
-
-Results for odd inputs: null and empty texts have no chunks and no spans; a text below `LEAST` bytes is one chunk; rows that
-repeat a doc_id count as one document and are no repetition of each other; a null doc_id is smaller than any other; an
-empty table gives an empty result; columns other than doc_id and text are not read.
+bytes alone and an insertion moves only the chunks it touches. Chunks have `LEAST` to `MOST` bytes, but for the last. The
+unit that is deduplicated is a variable run of chunks: from each chunk's beginning to the first end of a chunk that is
+`SPAN` bytes or more away, so equal content gives equal units wherever it lies, and short chunks that are equal by chance
+make none. Digests of units are grouped with map-side aggregation; a digest that occurs twice or more, in other documents
+or in the same one, is repeated, and its least occurrence by doc_id, row and place is the original. Overlapping units of a
+text that continue each other in one original too form one span, so a span's bytes are equal to those of its original.
+
+A digest is 96 bits of BLAKE2b, and is taken as proof of equality. Digests of boilerplate, which very many texts have, are
+dealt over several partitions (`spread_join`). The bytes of a passage before its first cut and after its last are not in
+its span: some 40 on each side.
+
+Results for odd inputs: null and empty texts, and texts below `SPAN` bytes, have no units and no spans; rows that repeat are
+repetitions of each other whatever their doc_id; a null doc_id is smaller than any other; an empty table gives an empty
+result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import texts, written
+from tidewatch.llm.shared import spread_join, texts, written
 
 #: Mean distance of possible cuts is 2 ** CUT_BITS bytes.
 CUT_BITS = 5
-LEAST, MOST = 16, 256
-#: Bytes of neighbouring repeated chunks that make a span.
+LEAST, MOST = 8, 256
+#: Bytes that a unit, and so a span, has at least.
 SPAN = 64
+DIGEST_BYTES = 12
+#: Texts that a task takes at once.
+TEXTS = 500
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -59,61 +68,66 @@ def cuts(data: np.ndarray, cut_bits: int = CUT_BITS, least: int = LEAST, most: i
     return np.array(ends, np.int64)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """row (unique), doc_id, start and end in bytes, digest: one row for each chunk."""
+def units(data: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the units of a text's bytes."""
+    ends = cuts(data)
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    at = np.searchsorted(ends, starts + span)
+    whole = at < len(ends)
+    return starts[whole], ends[at[whole]]
+
+
+def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """row (unique), doc_id, start and size in bytes, digest: one row for each unit."""
     rows = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    names = ["row", "doc_id", "start", "end", "digest"]
+    names = ["row", "doc_id", "start", "size", "digest"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.slice(i, 500)
-                of, ids, begins, stops, digests = [], [], [], [], []
+            for i in range(0, len(batch), TEXTS):
+                part = batch.slice(i, TEXTS)
+                columns: list[list] = [[] for _ in names]
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
                     text = text.as_py()
-                    ends = cuts(np.frombuffer(text, np.uint8)).tolist()
-                    starts = [0, *ends[:-1]] if ends else []
-                    of += [row] * len(ends)
-                    ids += [doc_id] * len(ends)
-                    begins += starts
-                    stops += ends
-                    digests += [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(starts, ends, strict=True)]
+                    starts, ends = units(np.frombuffer(text, np.uint8), span)
+                    own = [hashlib.blake2b(text[a:b], digest_size=DIGEST_BYTES).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    for column, values in zip(columns, ([row] * len(own), [doc_id] * len(own), starts.tolist(), (ends - starts).tolist(), own), strict=True):
+                        column += values
                     row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(ids, pa.int64()), pa.array(begins, pa.int64()), pa.array(stops, pa.int64()), pa.array(digests, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "row bigint, doc_id bigint, start bigint, end bigint, digest binary")
+    return rows.mapInArrow(run, "row bigint, doc_id bigint, start int, size int, digest binary")
 
 
 def repeated(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Spans of bytes that occur in another document as well: doc_id, start, end, first_doc_id, n_rows.
+    """Spans of bytes that occur elsewhere as well: doc_id, start, end, first_doc_id, first_start, n_places.
 
-    first_doc_id is the smallest document that has the span's first chunk (doc_id itself, where this is the original), and
-    n_rows the most occurrences of a chunk of the span.
+    first_doc_id and first_start are the original's (the span's own, where it is the original), and n_places the most
+    occurrences of a unit of the span.
     """
-    every = written(chunks(docs), "substring-chunks")
-    shared = every.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"), F.count(F.lit(1)).alias("n"))
-    shared = shared.where((F.col("least") != F.col("greatest")) | ((F.col("nulls") > 0) & (F.col("nulls") < F.col("n"))))
-    shared = shared.select("digest", F.when(F.col("nulls") == 0, F.col("least")).alias("first"), F.col("n").alias("n_rows"))
-    hits = every.join(shared, "digest").select("row", "doc_id", F.struct("start", "end", "first", "n_rows").alias("c"))
-    # a document's chunks are at most its bytes over LEAST
-    lists = hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list("c")).alias("cs"))
+    every = written(digests(docs, span), "substring-units")
+    shared = every.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hits = spread_join(every.select("digest", "row", "start", "size", "doc_id"), written(shared, "substring-shared"), "digest", "n", "row", "start", how="inner")
+    unit = F.struct("start", "size", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"), "n")
+    # a text's units are at most its bytes over LEAST
+    lists = hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(unit)).alias("units"))
+    names = ["doc_id", "start", "end", "first_doc_id", "first_start", "n_places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, cs in zip(batch.column("doc_id").to_pylist(), batch.column("cs").to_pylist(), strict=True):
-                open_: list | None = None
-                for c in cs:
-                    if open_ and open_[2] == c["start"]:
-                        open_[2] = c["end"]
-                        open_[4] = max(open_[4], c["n_rows"])
+            out: list[list] = []
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), batch.column("units").to_pylist(), strict=True):
+                before = None
+                for u in own:
+                    origin = u["first_row"], u["start"] - u["first_start"]
+                    if origin == before and u["start"] <= out[-1][2]:
+                        out[-1][2] = u["start"] + u["size"]
+                        out[-1][5] = max(out[-1][5], u["n"])
                     else:
-                        if open_ and open_[2] - open_[1] >= span:
-                            out.append(tuple(open_))
-                        open_ = [doc_id, c["start"], c["end"], c["first"], c["n_rows"]]
-                if open_ and open_[2] - open_[1] >= span:
-                    out.append(tuple(open_))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(5)], names=["doc_id", "start", "end", "first_doc_id", "n_rows"])
-
-    return lists.mapInArrow(run, "doc_id bigint, start bigint, end bigint, first_doc_id bigint, n_rows bigint")
+                        out.append([doc_id, u["start"], u["start"] + u["size"], u["first_doc_id"], u["first_start"], u["n"]])
+                        before = origin
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(len(names))], names=names)
+
+    return lists.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
