@@ -1,10 +1,11 @@
 """WARC archives: writing, normalising a monolithic gzip stream into one member for each record, and reading by index.
 
-Spark's text sink writes each partition's records as one gzip stream, through whatever file system the path names and under
-its commit protocol. The normaliser inflates each such file once, piece by piece, cuts the stream at the records' declared
-lengths, and rewrites every record as a gzip member of its own; a sidecar index keeps each member's offset and length, so a
-record is later read alone. Of pages with equal payloads the one with the largest page_id is a response and the others are
-revisits that refer to it; their records hold the HTTP header (with the payload's length) and no payload.
+Spark's text sink writes each partition's records as gzip streams of some `ARCHIVE_BYTES` of content each, through whatever
+file system the path names and under its commit protocol. The normaliser inflates each such file once, piece by piece, cuts
+the stream at the records' declared lengths, and rewrites every record as a gzip member of its own; each member's offset and
+length, known as it is made, go to a sidecar index, so a record is later read alone. Of pages with equal payloads the one
+with the largest page_id is a response and the others are revisits that refer to it; their records hold the HTTP header
+(with the payload's length) and no payload. Payloads are equal if their SHA-256 and their lengths are.
 
 The text sink ends each row with a fixed separator, which a gzip file can't hold between members. A member's last byte is
 the high byte of its length and zero below 16 MiB; so the separator is a zero byte, and rows leave theirs to it. A larger
@@ -24,35 +25,34 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import scratch, written
+from tidewatch.llm.shared import scratch, spread_join, written
 
 CRLF = "\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # pages carry no date
-#: Payloads with several pages up to which they are broadcast (some 10 MB); beyond, Spark joins by shuffling.
-BROADCAST_PAYLOADS = 100_000
+#: Content of an archive on average; records in one are limited to as many as have that size at the mean.
+ARCHIVE_BYTES = 32 << 20
 EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 INDEX = "archive string, record int, offset bigint, length bigint, record_id string"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def judged(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html (never null), digest, record_type and refers_to for every row of `pages`."""
+    """page_id, url, html (never null), hex (SHA-1), record_type and refers_to for every row of `pages`."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("hex"))
+    own = F.when(F.octet_length("html") >= least, F.concat_ws(":", F.sha2("html", 256), F.octet_length("html")))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumn("own", own)
     # digests alone are grouped; a page that is the only one with its payload needs no row of the join
-    first = rows.where(F.octet_length("html") >= least).groupBy("hex").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = written(first.where("n > 1").select(F.col("hex").alias("of"), "first"), "warc-repeated")
-    if first.count() <= BROADCAST_PAYLOADS:
-        first = F.broadcast(first)
-    joined = rows.join(first, (F.col("hex") == F.col("of")) & (F.octet_length("html") >= least), "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    first = rows.where("own is not null").groupBy("own").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    joined = spread_join(rows, written(first.where("n > 1"), "warc-repeated"), "own", "n", "page_id", "url")
+    again = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
-        "page_id", "url", "html", "hex",
+        "page_id", "url", "html", F.sha1(F.col("html").cast("binary")).alias("hex"),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("first")).alias("refers_to"),
     )
@@ -98,9 +98,11 @@ def base32_sha1_of_hex(hexes: Column) -> Column:
     return F.concat(*[five(i) for i in range(32)])
 
 
-def write_monolithic(pages: DataFrame, path: str, least: int = 0) -> None:
+def write_monolithic(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write the records of `pages` under `path`, each file one gzip stream over all its records."""
-    records(pages, least).write.option("compression", "gzip").option("lineSep", CRLF * 2).text(path)
+    size = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html")).alias("bytes")).first()  # one row
+    most = max(1, archive_bytes * size.n // (size.bytes or 1)) if size.n else 1
+    records(pages, least).write.option("compression", "gzip").option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).text(path)
 
 
 def split(stream: Iterator[bytes]) -> Iterator[bytes]:
@@ -122,15 +124,20 @@ def split(stream: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError(f"{len(held)} bytes follow the last whole record")
 
 
-def inflate(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The content of a gzip stream of one or more members, piece by piece."""
-    engine = zlib.decompressobj(31)
-    while data:
-        yield engine.decompress(data, step)
-        data = engine.unconsumed_tail
-        if engine.eof:
-            data = engine.unused_data
-            engine = zlib.decompressobj(31)
+def inflate(data: bytes, step: int = 1 << 16, most: int = 1 << 20) -> Iterator[bytes]:
+    """The content of a gzip stream of one or more members, in pieces of at most `most` bytes."""
+    whole, at = memoryview(data), 0
+    while at < len(whole):
+        engine = zlib.decompressobj(31)
+        while not engine.eof:
+            if at == len(whole):
+                raise ValueError("the stream ends within a member")
+            held = whole[at : at + step]
+            at += len(held)
+            while held and not engine.eof:
+                yield engine.decompress(held, most)
+                held = engine.unconsumed_tail
+        at -= len(engine.unused_data)
 
 
 def header(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -147,29 +154,36 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
-    names = ["archive", "record", "member"]
+    names = ["archive", "record", "offset", "length", "record_id", "member"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int32(), pa.binary()))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
-                rows, held = [], 0
+                rows, held, offset = [], 0, 0
                 for n, record in enumerate(split(inflate(content.as_py()))):
                     press = zlib.compressobj(6, zlib.DEFLATED, 31)
                     member = press.compress(record) + press.flush()
                     row = member if member[-1] == 0 else member + EMPTY_MEMBER
-                    rows.append((name, n, row[:-1]))
+                    rows.append((name, n, offset, len(member), header(record)[0]["warc-record-id"], row[:-1]))
+                    offset += len(row)
                     held += len(row)
                     if held > 4 << 20:
                         yield table(rows)
                         rows, held = [], 0
                 yield table(rows)
 
-    members = files.mapInArrow(run, "archive string, record int, member binary").sortWithinPartitions("archive", "record")
-    members.select("archive", F.col("member").cast("string").alias("value")).write.partitionBy("archive").option("encoding", "ISO-8859-1").option("lineSep", "\0").text(f"{target}/archives")
-    index_of(archives(spark, target)).write.parquet(f"{target}/index")
+    # members are kept while archives and index are written from them
+    members = files.mapInArrow(run, f"{INDEX}, member binary").persist(StorageLevel.DISK_ONLY)
+    try:
+        bodies = members.sortWithinPartitions("archive", "record").select("archive", F.col("member").cast("string").alias("value"))
+        bodies.write.partitionBy("archive").option("encoding", "ISO-8859-1").option("lineSep", "\0").text(f"{target}/archives")
+        members.drop("member").write.parquet(f"{target}/index")
+    finally:
+        members.unpersist()
     return spark.read.schema(INDEX).parquet(f"{target}/index")
 
 
@@ -178,26 +192,6 @@ def archives(spark: SparkSession, target: str) -> DataFrame:
     return files.select(F.regexp_extract("path", "archive=([^/]+)/", 1).alias("archive"), "content")
 
 
-def index_of(files: DataFrame) -> DataFrame:
-    """archive, record, offset, length and record_id of every member of `files` (archive, content)."""
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
-                whole, at, rows = memoryview(content.as_buffer()), 0, []
-                while at < len(whole):
-                    engine, step, record, offset = zlib.decompressobj(31), 1 << 16, b"", at
-                    while not engine.eof:
-                        record += engine.decompress(whole[at : at + step])
-                        at += min(step, len(whole) - at) - len(engine.unused_data)
-                    if record:
-                        rows.append((name, len(rows), offset, at - offset, header(record)[0]["warc-record-id"]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["archive", "record", "offset", "length", "record_id"])
-
-    return files.mapInArrow(run, INDEX)
-
-
 def read_records(spark: SparkSession, target: str) -> DataFrame:
     """Every record of the archives under `target`, by its place in the index.
 
@@ -205,7 +199,7 @@ def read_records(spark: SparkSession, target: str) -> DataFrame:
     response is computed from what was read.
     """
     index = spark.read.schema(INDEX).parquet(f"{target}/index")
-    # an archive is one file that one task wrote, and has its places in one row
+    # an archive's records are limited in number, and their places are in one row
     places = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("record", "offset", "length"))).alias("places"))
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
