@@ -1,15 +1,16 @@
 """Byte-pair encoding and decoding over a table of distinct words.
 
-A word is a run without ASCII white space. The vocabularies this is for never join across white space, so the ids of a text
-are the ids of its words in order. Documents are taken in blocks of bounded size. A block becomes a dictionary of its
-distinct words and, for each document, the positions of its words in that dictionary. The dictionaries of all blocks are
-dealt by the hash of the word into buckets, where each distinct word is encoded once; its ids go back to the blocks, and
-from there to the documents by position. Decoding joins ids to the id-to-piece table. Only dictionaries are shuffled by
-word, never each occurrence, so a word that is everywhere weighs one entry for each block; both shuffles move packed lists.
-
-Dictionaries and positions come from two passes over the same input, which gives the same blocks as long as the input's
-partitions and their order are the same; a checksum of the dictionary goes with both, and a difference is an error. Input
-that is not read from files should be written to a table first.
+Spark splits each text into words: runs without ASCII white space. The vocabularies this is for never join across white
+space, so the ids of a text are the ids of its words in order. Documents are taken in blocks of bounded size. A block gives
+a row for each of its distinct words, with the word's place in the block, and for its documents the places of their words.
+The table of distinct words of all blocks is encoded, each word once, and its ids are joined by word to the
+rows of the blocks that have it. Those go back to their blocks, and from there to the documents by position. Decoding joins
+ids to the id-to-piece table. A word that is everywhere weighs one row for each block, never one for each occurrence, and
+what a block gathers is bounded by its size.
+
+Distinct words, blocks and positions come from passes over the same input, which give the same blocks as long as the
+input's partitions and their order are the same; a checksum of a block's words goes with its words and its positions, and a
+difference, or a word without ids, is an error. Input that is not read from files should be written to a table first.
 
 The id-to-piece table has one row for each id of the vocabulary, whatever the input, so every task holds a copy.
 
@@ -21,7 +22,6 @@ doc_id and text are not read.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -31,17 +31,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidewatch.llm.quality import word_array
 from tidewatch.llm.shared import texts
 
 #: Bytes of text in a block, beyond which the next block begins.
 BLOCK_BYTES = 32 << 20
-#: Words given to the tokenizer, and documents in a packed row, at once.
-ENCODE_ROWS, PACKED_ROWS = 20_000, 256
-#: Buckets of words for each shuffle partition, and at least.
-BUCKETS, LEAST_BUCKETS = 2, 64
+#: Rows of words given to Spark, and documents in a packed row, at once.
+WORD_ROWS, PACKED_ROWS = 100_000, 256
 
 
 @lru_cache(maxsize=2)
@@ -84,91 +84,89 @@ def unpacked(data: bytes) -> np.ndarray:
 class Block:
     """The distinct words of some documents in order of appearance, and each document's words by their places there."""
 
-    def __init__(self):
-        self.known = defaultdict()
-        self.known.default_factory = self.known.__len__
-        self.ids: list[int | None] = []
-        self.lists: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, doc_id: int | None, text: bytes) -> None:
-        found = text.split()
-        self.ids.append(doc_id)
-        self.lists.append(np.fromiter(map(self.known.__getitem__, found), np.uint32, len(found)))
-        self.size += len(text)
-
-    def checksum(self) -> int:
-        return zlib.crc32(b" ".join(self.known))
+    def __init__(self, ids: list[int | None], lists: list[pa.Array]):
+        self.ids = ids
+        coded = pa.chunked_array([x.flatten() for x in lists], pa.string()).dictionary_encode().unify_dictionaries()
+        self.words = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
+        self.places = np.concatenate([c.indices.to_numpy() for c in coded.chunks] or [np.zeros(0)]).astype(np.uint32)
+        self.lengths = np.concatenate([x.value_lengths().to_numpy() for x in lists]).astype(np.uint32)
+        self.checksum = zlib.crc32("\n".join(self.words.to_pylist()).encode())
 
 
 def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, Block]]:
-    number, block = TaskContext.get().partitionId() << 32, Block()
+    """Blocks with their numbers; where one ends depends on the rows alone, not on how they are batched."""
+    number, size = TaskContext.get().partitionId() << 32, 0
+    ids: list[int | None] = []
+    lists: list[pa.Array] = []
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            block.add(doc_id, text.as_py())
-            if block.size >= block_bytes:
-                yield number, block
-                number, block = number + 1, Block()
-    if block.ids:
-        yield number, block
-
-
-def dictionaries(docs: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
-    """block, checksum, bucket, `at` (places in the block's dictionary) and `words` there: a row for each block and bucket."""
-    names = ["block", "checksum", "bucket", "at", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        begin = 0
+        for i, n in enumerate(batch.column("size").to_pylist()):
+            size += n
+            if size >= block_bytes or i == len(batch) - 1:
+                part = batch.slice(begin, i + 1 - begin)
+                ids += part.column("doc_id").to_pylist()
+                lists.append(part.column("words"))
+                begin = i + 1
+            if size >= block_bytes:
+                yield number, Block(ids, lists)
+                number, size, ids, lists = number + 1, 0, [], []
+    if ids:
+        yield number, Block(ids, lists)
+
+
+def split(docs: DataFrame) -> DataFrame:
+    """doc_id, words and size (in bytes of text)."""
+    return texts(docs).select("doc_id", word_array(F.col("text")).alias("words"), F.octet_length("text").alias("size"))
+
+
+def block_words(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """block, checksum, `at` and word: a row for each distinct word of each block."""
+    names = ["block", "checksum", "at", "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
         for number, block in blocks(batches, block_bytes):
-            dealt: list[list[int]] = [[] for _ in range(buckets)]
-            words = list(block.known)
-            for at, word in enumerate(words):
-                dealt[zlib.crc32(word) % buckets].append(at)
-            check = block.checksum()
-            rows = [(number, check, b, packed(np.diff(at, prepend=0)), press.compress(b" ".join([words[i] for i in at]))) for b, at in enumerate(dealt) if at]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+            for i in range(0, len(block.words), WORD_ROWS):
+                part = block.words.slice(i, WORD_ROWS)
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(number, pa.int64()), n), pa.repeat(pa.scalar(block.checksum, pa.int64()), n), pa.array(np.arange(i, i + n, dtype=np.int32)), part], names=names)
 
-    return docs.mapInArrow(run, "block bigint, checksum bigint, bucket int, at binary, words binary")
+    return rows.mapInArrow(run, "block bigint, checksum bigint, at int, word string")
 
 
-def positions(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """block, checksum, ids, `ends` and `places`: rows for some documents each, with their words by place."""
-    names = ["block", "checksum", "ids", "ends", "places"]
+def block_places(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """block, checksum, ids, `lengths` and `places`: rows for some documents each, with their words by place."""
+    names = ["block", "checksum", "ids", "lengths", "places"]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in blocks(batches, block_bytes):
-            check = block.checksum()
+            ends = np.concatenate([[0], np.cumsum(block.lengths, dtype=np.int64)])
             for i in range(0, len(block.ids), PACKED_ROWS):
-                lists = block.lists[i : i + PACKED_ROWS]
-                row = (number, check, block.ids[i : i + PACKED_ROWS], packed(np.array([len(x) for x in lists], np.uint32)), packed(np.concatenate(lists)))
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
-
-    return docs.mapInArrow(run, "block bigint, checksum bigint, ids array<bigint>, ends binary, places binary")
-
-
-def encode_bucket(rows: pa.Table, path: str) -> pa.Table:
-    """The ids of the words of one bucket, each distinct word encoded once: block, checksum, at, lengths, ids."""
-    own, inflate = tokenizer(path), zstandard.ZstdDecompressor()
-    known: dict[bytes, int] = defaultdict()
-    known.default_factory = known.__len__
-    asked = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in (inflate.decompress(x.as_py()).split(b" ") for x in rows.column("words"))]
-    words, parts, lengths = list(known), [], []
-    for i in range(0, len(words), ENCODE_ROWS):
-        for e in own.encode_batch_fast([w.decode() for w in words[i : i + ENCODE_ROWS]], add_special_tokens=False):
-            parts.append(e.ids)
-            lengths.append(len(e.ids))
-    flat = np.fromiter(chain.from_iterable(parts), np.uint32, sum(lengths))
-    lengths = np.array(lengths, np.int64)
-    out = [gathered(flat, np.cumsum(lengths) - lengths, lengths, a) for a in asked]
-    return pa.table({
-        "block": rows.column("block"),
-        "checksum": rows.column("checksum"),
-        "at": rows.column("at"),
-        "lengths": pa.array([packed(lengths[a].astype(np.uint32)) for a in asked], pa.binary()),
-        "ids": pa.array([packed(ids) for ids in out], pa.binary()),
-    })
+                k = min(i + PACKED_ROWS, len(block.ids))
+                row = (number, block.checksum, block.ids[i:k], packed(block.lengths[i:k]), packed(block.places[ends[i] : ends[k]]))
+                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names=names)
+
+    return rows.mapInArrow(run, "block bigint, checksum bigint, ids array<bigint>, lengths binary, places binary")
+
+
+def ids_of(path: str) -> Column:
+    """The ids of `word` as little-endian unsigned 32-bit integers."""
+
+    @F.arrow_udf(T.BinaryType())
+    def ids(words: pa.Array) -> pa.Array:
+        coded = [e.ids for e in tokenizer(path).encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in coded], dtype=np.int64)]).astype(np.int32)
+        flat = np.fromiter(chain.from_iterable(coded), "<u4", int(ends[-1]))
+        return pa.Array.from_buffers(pa.binary(), len(coded), [None, pa.py_buffer((ends * 4).tobytes()), pa.py_buffer(flat.tobytes())])
+
+    return ids(F.col("word"))
+
+
+def word_ids(words: DataFrame, path: str) -> DataFrame:
+    """`words` (block, checksum, at, word) with the ids of each word in place of it."""
+    # a task sends each of its words once; a word has at most one row for each block
+    table = words.select("word").distinct().select("word", ids_of(path).alias("ids"))
+    return words.join(table, "word").select("block", "checksum", "at", "ids")
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -181,19 +179,20 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.n
 
 def restore(docs: pa.Table, words: pa.Table, path: str) -> pa.Table:
     """The ids and the decoded text of the documents of one block, by the places of their words."""
-    if len(set(docs.column("checksum").to_pylist()) | set(words.column("checksum").to_pylist())) > 1:
-        raise ValueError("a block's dictionary changed between two passes over the input; write the input to a table first")
-    empty = [np.zeros(0, np.uint32)]
-    at = np.concatenate([np.cumsum(unpacked(x.as_py())) for x in words.column("at")] or empty).astype(np.int64)
-    n = np.concatenate([unpacked(x.as_py()) for x in words.column("lengths")] or empty).astype(np.int64)
-    flat = np.concatenate([unpacked(x.as_py()) for x in words.column("ids")] or empty)
+    if len(set(docs.column("checksum").to_pylist()) | set(pc.unique(words.column("checksum")).to_pylist())) > 1:
+        raise ValueError("a block's words changed between passes over the input; write the input to a table first")
+    at = words.column("at").to_numpy()
+    if len(at) and at.max() != len(at) - 1:
+        raise ValueError("words of a block are missing; write the input to a table first")
+    n = pc.binary_length(words.column("ids")).to_numpy() // 4
+    flat = np.frombuffer(b"".join(words.column("ids").to_pylist()), "<u4")
     starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     starts[at], lengths[at] = np.cumsum(n) - n, n
     table, out = pieces(path), []
-    for ids, ends, places in zip(docs.column("ids").to_pylist(), docs.column("ends"), docs.column("places"), strict=True):
+    for ids, counts, places in zip(docs.column("ids").to_pylist(), docs.column("lengths"), docs.column("places"), strict=True):
         place = unpacked(places.as_py())
         found = gathered(flat, starts, lengths, place)
-        last = np.concatenate([[0], np.cumsum(unpacked(ends.as_py()).astype(np.int64))])
+        last = np.concatenate([[0], np.cumsum(unpacked(counts.as_py()).astype(np.int64))])
         stops = np.concatenate([[0], np.cumsum(lengths[place])])[last].astype(np.int32)
         binary = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((stops * 4).tobytes()), pa.py_buffer(found.astype("<u4").tobytes())])
         out.append(pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": binary, "decoded": joined_pieces(pa.array(found), stops, table)}))
@@ -202,12 +201,10 @@ def restore(docs: pa.Table, words: pa.Table, path: str) -> pa.Table:
 
 def encode_decode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, `ids` (little-endian unsigned 32-bit integers) and `decoded` for every row of `docs`."""
-    rows = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    buckets = max(LEAST_BUCKETS, BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    words = dictionaries(rows, buckets, block_bytes).groupBy("bucket")
-    coded = words.applyInArrow(lambda t: encode_bucket(t, path), "block bigint, checksum bigint, at binary, lengths binary, ids binary")
-    listed = positions(rows, block_bytes)
-    return listed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(lambda a, b: restore(a, b, path), "doc_id bigint, ids binary, decoded string")
+    rows = split(docs)
+    coded = word_ids(block_words(rows, block_bytes), path)
+    placed = block_places(rows, block_bytes)
+    return placed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(lambda a, b: restore(a, b, path), "doc_id bigint, ids binary, decoded string")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
