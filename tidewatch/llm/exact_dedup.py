@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.shared import scratch, written
+from tidewatch.llm.shared import scratch, spread_join, written
 
 #: State on disk, as changes since the last snapshot; without files allocated ahead, which weigh more than small stores hold.
 ROCKSDB = {
@@ -48,24 +48,23 @@ def keeper_state(spark: SparkSession, path: str, state_dir: str, files_per_trigg
     A later call with the same `state_dir` takes new files only and updates their groups.
     """
     path = path.rstrip("/")
+    # the settings of the stream are those of a session of its own
+    own = spark.newSession()
+    for k in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(k, spark.conf.get(k))
+    for k, v in ROCKSDB.items():
+        own.conf.set(k, v)
     # as a pattern, which names the same path: the stream source takes a single file only so
-    stream = located(spark.readStream.option("maxFilesPerTrigger", files_per_trigger), f"{path[:-1]}[{path[-1]}]", digest)
+    stream = located(own.readStream.option("maxFilesPerTrigger", files_per_trigger), f"{path[:-1]}[{path[-1]}]", digest)
     groups = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
-    for k, v in ROCKSDB.items():
-        spark.conf.set(k, v)
-    try:
-        query = (
-            groups.writeStream.outputMode("update")
-            .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{state_dir}/updates/batch={n}"))
-            .option("checkpointLocation", f"{state_dir}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query = (
+        groups.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{state_dir}/updates/batch={n}"))
+        .option("checkpointLocation", f"{state_dir}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
     if query.lastProgress is None and not query.recentProgress:
         return spark.createDataFrame([], STATE)
     updates = spark.read.schema(STATE).option("recursiveFileLookup", "true").parquet(f"{state_dir}/updates")
@@ -86,7 +85,7 @@ def exact_groups(spark: SparkSession, path: str, state_dir: str | None = None, f
     first = rows.join(hits, ["file", "row"]).select(F.col("of").alias("digest"), F.col("text").alias("keeper_text"))
     known = written(state.join(first, "digest", "left"), "dedup-known")
     same = (F.col("group_size") == 1) | (F.col("text") == F.col("keeper_text"))
-    found = written(rows.join(known, "digest").select("doc_id", "file", "row", "digest", "keeper", "group_size", same.alias("same")), "dedup-found")
+    found = written(spread_join(rows, known, "digest", "group_size", "file", "row").select("doc_id", "file", "row", "digest", "keeper", "group_size", same.alias("same")), "dedup-found")
     clash = found.where("not same").select("digest").distinct()
     if not clash.isEmpty():
         found = _by_bytes(rows, found, clash)
