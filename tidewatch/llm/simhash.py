@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import texts, written
+from tidewatch.llm.shared import spread_join, texts, written
 
 SEED = 42
 SHINGLE = 3
@@ -136,24 +136,24 @@ def components(pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, keep: Sequence[str] = (), dense: int = DENSE) -> DataFrame:
     """`row` (doc_id and the columns in `keep`), `fp`, `root` (the class, never null) and component_id for every row."""
     rows = written(fingerprints(docs, keep), "simhash-rows")
-    return rows.join(classes(rows, dense), "fp")
+    return spread_join(rows, classes(rows, dense), "fp", "n", "row.doc_id").drop("n")
 
 
 def classes(rows: DataFrame, dense: int = DENSE) -> DataFrame:
-    """fp, root and component_id for every fingerprint of `rows` (row, fp)."""
-    distinct = written(rows.groupBy("fp").agg(F.min("row.doc_id").alias("least_id")), "simhash-distinct")
+    """fp, root, component_id and n (rows) for every fingerprint of `rows` (row, fp)."""
+    distinct = written(rows.groupBy("fp").agg(F.min("row.doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), dense))
-    classed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
+    classed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id", "n")
     classed = written(classed, "simhash-classed")
     least = classed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return written(classed.select("fp", "root").join(least, "root"), "simhash-classes")
+    return written(classed.select("fp", "root", "n").join(least, "root"), "simhash-classes")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each class the row with the smallest doc_id."""
     rows = written(fingerprints(docs, docs.columns).withColumn("at", F.monotonically_increasing_id()), "simhash-rows")
     # the rows that stay are picked without their texts, which are shuffled once
-    light = rows.select("at", "row.doc_id", "fp").join(classes(rows), "fp")
+    light = spread_join(rows.select("at", "row.doc_id", "fp"), classes(rows), "fp", "n", "at")
     first = light.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "at")).alias("first")).select("first.at")
     kept = rows.join(written(first, "simhash-kept"), "at", "left_semi")
     return kept.select(*[F.col(f"row.keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
