@@ -85,6 +85,16 @@ def test_state_carries_over_runs(spark):
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows} == {(1, 3, 2, False), (3, 3, 2, True), (2, 2, 1, True), (4, 4, 1, True)}
 
 
+def test_large_groups_are_dealt_over_parts(spark, odd, monkeypatch):
+    from tidewatch.llm import shared
+
+    key = lambda r: (r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept)
+    path = exact_dedup.land(odd)
+    want = sorted(map(key, exact_dedup.exact_groups(spark, path).collect()))
+    monkeypatch.setattr(shared, "HOT_ROWS", 1)
+    assert sorted(map(key, exact_dedup.exact_groups(spark, path).collect())) == want
+
+
 def test_exact_on_nothing(spark, empty):
     assert exact_dedup.exact_groups(spark, exact_dedup.land(empty)).count() == 0
     assert exact_dedup.without_copies(empty).columns == empty.columns
@@ -154,19 +164,75 @@ def test_cuts_are_those_of_the_rolling_hash():
     assert substring.cuts(np.frombuffer(data, np.uint8)).tolist() == want
 
 
+def plain_spans(texts):
+    """Spans of all units that occur twice, by their bytes."""
+    own, by = [], {}
+    for row, (doc_id, t) in enumerate(texts):
+        data = (t or "").encode()
+        ends = substring.cuts(np.frombuffer(data, np.uint8)).tolist()
+        for a in [0, *ends[:-1]] if ends else []:
+            end = next((e for e in ends if e - a >= substring.SPAN), None)
+            if end is not None:
+                place = (doc_id is not None, doc_id or 0, row, a)
+                own.append((row, a, end, place))
+                by.setdefault(data[a:end], []).append(place)
+    out = []
+    for row, a, end, place in own:
+        data = (texts[row][1] or "").encode()
+        places = by[data[a:end]]
+        if len(places) < 2:
+            continue
+        first = min(places)
+        if out and out[-1]["row"] == row and out[-1]["end"] >= a and (out[-1]["of"], out[-1]["apart"]) == (first[2], a - first[3]):
+            out[-1]["end"], out[-1]["n"] = end, max(out[-1]["n"], len(places))
+        else:
+            out.append({"row": row, "start": a, "end": end, "of": first[2], "apart": a - first[3], "first_start": first[3], "n": len(places)})
+    return Counter((texts[o["row"]][0], o["start"], o["end"], texts[o["of"]][0], o["first_start"], o["n"]) for o in out)
+
+
+def passages(rng, n):
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    return " ".join(word() for _ in range(n))
+
+
 def test_repeated_passages(spark):
     rng = random.Random(1)
-    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(n))
-    passage = [words(52) for _ in range(60)]
-    texts = [(2 * i + k, f"{words(80)} {p} {words(70)}") for i, p in enumerate(passage) for k in (0, 1)] + [(1000 + i, words(200)) for i in range(50)]
+    passage = [passages(rng, 51) for _ in range(100)]
+    texts = [(2 * i + k, f"{passages(rng, 80)} {p} {passages(rng, 70)}") for i, p in enumerate(passage) for k in (0, 1)] + [(1000 + i, passages(rng, 200)) for i in range(50)]
     rows = substring.repeated(table(spark, texts)).collect()
     found = {r.doc_id for r in rows}
-    assert len(found & set(range(120))) >= 118 and not any(i >= 1000 for i in found)
-    by = dict(texts)
+    assert len(found & set(range(200))) >= 196 and not any(i >= 1000 for i in found)
+    by, covered = dict(texts), 0
     for r in rows:
         piece = by[r.doc_id].encode()[r.start : r.end]
-        assert piece in passage[r.doc_id // 2].encode() or piece.strip() in by[r.doc_id ^ 1].encode()
+        assert len(piece) >= substring.SPAN and piece == by[r.first_doc_id].encode()[r.first_start : r.first_start + len(piece)]
         assert r.first_doc_id == r.doc_id & ~1
+        covered += len(piece)
+    assert covered >= 0.7 * 2 * sum(len(p) for p in passage)
+
+
+def test_repeated_is_the_plain_result(spark, docs, known):
+    rng = random.Random(2)
+    p, q = passages(rng, 60), passages(rng, 40)
+    made = [(7, f"{p} x {q} {p}"), (3, f"{q} {p}"), (3, f"{q} {p}"), (None, p), (9, " ".join([p] * 50)), (10, q + p + q), (11, "a" * 3000), (12, "a" * 2000), (13, "ab" * 40), (14, None), (15, ""), (16, passages(rng, 3000))]
+    for texts, frame in ((made, table(spark, made)), (known, docs)):
+        rows = [(r.doc_id, r.start, r.end, r.first_doc_id, r.first_start, r.n_places) for r in substring.repeated(frame.coalesce(1)).collect()]
+        assert Counter(rows) == plain_spans(texts)
+
+
+def test_repeats_within_a_document(spark):
+    rows = substring.repeated(table(spark, [(1, " / ".join([passages(random.Random(5), 60)] * 50))])).collect()
+    assert sum(r.first_start != r.start for r in rows) >= 49 and {r.first_doc_id for r in rows} == {1}
+
+
+def test_popular_passages_are_dealt_over_parts(spark, monkeypatch):
+    from tidewatch.llm import shared
+
+    p = passages(random.Random(6), 60)
+    frame = table(spark, [(i, p) for i in range(40)]).coalesce(1)
+    want = sorted(map(tuple, substring.repeated(frame).collect()))
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    assert sorted(map(tuple, substring.repeated(frame).collect())) == want and len(want) == 40
 
 
 def test_repeated_on_odd_rows(odd, empty):
@@ -405,6 +471,29 @@ def test_normalised_archives_are_plain_gzip(spark, small):
         assert b"".join(gzip.decompress(content[o : o + n]) for o, n in parts) == whole
 
 
+def test_inflating_takes_time_in_proportion():
+    rng = np.random.default_rng(1)
+    press = zlib.compressobj(1, zlib.DEFLATED, 31)
+    data = press.compress(rng.integers(0, 256, 64 << 20, dtype=np.uint8).tobytes()) + press.flush()
+    began = time.process_time()
+    assert sum(map(len, warc.inflate(data))) == 64 << 20 and time.process_time() - began < 3
+    members = b"".join(gzip.compress(bytes([i % 251]) * 100) for i in range(3000))
+    assert b"".join(warc.inflate(members)) == gzip.decompress(members)
+    with pytest.raises(ValueError):
+        list(warc.inflate(data[:-9]))
+
+
+def test_archives_are_bounded(spark):
+    from tidewatch.llm.shared import scratch
+
+    source, target = scratch(spark, "w"), scratch(spark, "w")
+    frame = pages(spark, [(i, "u", f"{i} " + "x" * 100, "", "") for i in range(100)]).coalesce(1)
+    warc.write_monolithic(frame, source, archive_bytes=1000)
+    index = warc.normalise(spark, source, target)
+    assert {r["count"] for r in index.groupBy("archive").count().collect()} <= set(range(1, 11)) and index.count() == 100
+    assert {r.page_id for r in warc.read_records(spark, target).collect()} == set(range(100))
+
+
 def test_broken_stream_is_an_error():
     with pytest.raises(ValueError):
         list(warc.split(iter([b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab"])))
