@@ -1,15 +1,20 @@
 """Toxicity by a noisy-channel reading of obfuscated words.
 
-Words that may be disguised (figures or signs for letters, letters apart, letters repeated) become lattices of the letters
-that each character may stand for. Viterbi decoding picks the reading that a character model of the corpus and the channel's
-costs make likeliest. The score of a text is that of its most telling word, as it stands or as restored, where a word speaks
+Words that may be disguised (figures or signs for letters, letters or parts apart, letters repeated) become lattices: of the
+letters that each character may stand for, and of white space that may part words or be dropped. Viterbi decoding picks the
+reading that a character model of the corpus and the channel's costs make likeliest. Within a token, runs of single letters
+with separators of any length between them, and tokens that may go on in the next ones to a telling word are decoded so.
+
+The score of a text is that of its most telling word, as it stands or as restored, where a word speaks
 through itself and its beginnings, weighed by how often labelled texts with it are toxic. All labelled texts are read, but
 a class of near copies counts once for each of its words, as it tells no more about other texts than one text. Near copies
-share one of `BANDS` groups of least hashes of runs of words: nearly all pairs with half of their runs in common do.
+share one of `BANDS` groups of least hashes of runs of words: nearly all pairs with half of their runs in common do. Words
+that lean to toxic texts without telling grade the texts below the threshold.
 
 The character model sums n-grams over all documents and keeps the `MODEL` most frequent; the word table sums documents for
 each feature over the training labels (a bounded sample of them) and keeps those that tell; both reach every task and are bounded by their parameters.
-Texts are read whole. A word without any disguise has one path through its lattice and is not decoded.
+Texts are read whole. A word without any disguise has one path through its lattice and is not decoded. A path is settled
+every `SETTLED` characters, so decoding takes time in proportion and little memory, however long a token is.
 
 Results for odd inputs: a null or empty text has the lowest score; documents without a label do not train; a label of a
 repeated doc_id counts for each row with that id; labels without a doc_id are left out; rows are scored one by one; where no label tells anything every score is
@@ -48,6 +53,9 @@ _MIX = np.random.default_rng(8).integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np
 #: A feature that tells less is dropped, so that chance words of a long text don't add up.
 LEAST = 0.55
 THRESHOLD = 0.3
+#: A feature of fewer than LEAST that is toxic this many times as often as all texts grades the texts without a telling one.
+LEANS = 2.0
+LOWEST, GRADED = 0.01, 0.28
 #: Labels that the words are learned from; of more, about so many are taken by the hash of their doc_id.
 LABELS = 200_000
 
@@ -56,7 +64,10 @@ STANDS_FOR = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c", "{": "c", "<": "c", "€": "e", "£": "l",
 }
-SIGN, DROP_SIGN, DROP_OTHER, DROP_RUN, DROP_DOUBLE = 1.0, 8.0, 0.5, 0.7, 4.0
+PLAIN = str.maketrans({sign: letters[0] for sign, letters in STANDS_FOR.items()})
+SIGN, DROP_SIGN, DROP_OTHER, DROP_RUN, DROP_DOUBLE, DROP_SPACE = 1.0, 8.0, 0.5, 0.7, 4.0, 1.0
+#: Characters after which the best path so far is settled.
+SETTLED = 256
 EDGES = ".,;:?\"'*#%&-_()[]<>"
 #: Of these, those without a reading.
 MARKS = "".join(c for c in EDGES if c not in STANDS_FOR)
@@ -67,7 +78,8 @@ WORD = re.compile(r"[^\W\d_]+")
 _signs = re.escape("".join(STANDS_FOR))
 #: A sign that has a reading, a mark before a letter, a figure after one, or two like letters.
 DISGUISED = re.compile(rf"[{_signs}]|[*._-][^\W\d_]|[^\W\d_][0-9]|([^\W\d_])\1")
-APART = re.compile(rf"(?<![^\W_])(?:[^\W\d_]|[{_signs}])(?:[ \t._*-]{{1,2}}(?:[^\W\d_]|[{_signs}])){{2,}}(?![^\W_])")
+#: Three or more letters or signs, each alone between separators.
+APART = re.compile(rf"(?<![^\W_])(?:[^\W\d_]|[{_signs}])(?:[\s._*-]++(?:[^\W\d_]|[{_signs}])(?![^\W_])){{2,}}")
 
 
 class CharacterModel:
@@ -97,25 +109,48 @@ class CharacterModel:
         return int(self.cache[""])
 
     def restore(self, seen: str) -> str:
-        """The likeliest word behind `seen`, by Viterbi decoding over the last two letters."""
-        paths: dict[str, tuple[float, str]] = {" ": (0.0, "")}
+        """The likeliest words behind `seen`, by Viterbi decoding over the last two letters."""
+        settled: list[str] = []
+        # for each state its cost and its letters, linked from the last to the first
+        paths: dict[str, tuple[float, tuple | None]] = {" ": (0.0, None)}
         for i, c in enumerate(seen):
+            if i % SETTLED == SETTLED - 1:
+                state, (cost, path) = min(paths.items(), key=lambda kv: (kv[1][0], kv[0]))
+                settled.append(spelled(path))
+                paths = {state: (cost, None)}
+            ahead: dict[str, tuple[float, tuple | None]] = {}
+            if c.isspace():
+                for state, (cost, path) in paths.items():
+                    parted = (cost, path) if state == " " else (cost + self.cost(state, " "), (path, " "))
+                    for to, reached in ((" ", parted), (state, (cost + DROP_SPACE, path))):
+                        if to not in ahead or reached[0] < ahead[to][0]:
+                            ahead[to] = reached
+                paths = ahead
+                continue
             readings = [(c, 0.0)] if c.isalpha() else []
             readings += [(r, SIGN) for r in STANDS_FOR.get(c, "")]
             if i and c == seen[i - 1]:
                 drop = DROP_RUN if seen[max(0, i - 2) : i + 3].count(c) > 2 else DROP_DOUBLE
             else:
                 drop = None if c.isalpha() else DROP_SIGN if c in STANDS_FOR else DROP_OTHER
-            ahead: dict[str, tuple[float, str]] = {}
-            for state, (cost, word) in paths.items():
+            for state, (cost, path) in paths.items():
                 if drop is not None and (state not in ahead or cost + drop < ahead[state][0]):
-                    ahead[state] = (cost + drop, word)
+                    ahead[state] = (cost + drop, path)
                 for r, channel in readings:
                     to, total = (state + r)[-2:], cost + channel + self.cost(state, r)
                     if to not in ahead or total < ahead[to][0]:
-                        ahead[to] = (total, word + r)
+                        ahead[to] = (total, (path, r))
             paths = ahead
-        return min((cost + self.cost(state, " "), word) for state, (cost, word) in paths.items())[1]
+        state = min(paths, key=lambda state: (paths[state][0] + self.cost(state, " "), state))
+        return "".join([*settled, spelled(paths[state][1])]).strip()
+
+
+def spelled(path: tuple | None) -> str:
+    letters = []
+    while path:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def readings(token: str, model: CharacterModel) -> set[str]:
@@ -138,6 +173,9 @@ class Reader:
 
     def __init__(self, model: CharacterModel, only: dict[str, float] | None = None):
         self.model, self.only, self.memory = model, only, {}
+        # words that tell by themselves, and how they may begin when their parts stand apart
+        self.whole = {f for f, p in (only or {}).items() if p >= LEAST and len(f) > 3 and f.isalpha()}
+        self.parts = {w[:n] for w in self.whole for n in range(1, len(w))} - self.whole
 
     def token(self, token: str) -> tuple[str, ...]:
         known = self.memory.get(token)
@@ -152,15 +190,28 @@ class Reader:
             self.memory[token] = known
         return known
 
+    def restored(self, seen: str) -> tuple[str, ...]:
+        """The words behind `seen`."""
+        known = self.memory.get(seen)
+        if known is None:
+            if len(self.memory) >= MEMORY:
+                self.memory.clear()
+            known = self.memory[seen] = tuple(self.model.restore(seen).split())
+        return known
+
     def text(self, text: str) -> set[str]:
         text = text.lower()
-        found = set(chain.from_iterable(map(self.token, set(text.split()))))
+        tokens = text.split()
+        found = set(chain.from_iterable(map(self.token, set(tokens))))
         for m in APART.finditer(text):
-            letters = re.sub(r"[ \t._*-]", "", m[0])
-            # a word of one letter may stand on either side
-            for part in (letters, letters[1:], letters[:-1]):
-                found.update(self.token(part))
-                found.update(f for f in features({self.model.restore(part)}) if self.only is None or f in self.only)
+            found.update(f for f in features(set(self.restored(m[0]))) if self.only is None or f in self.only)
+        for i in [i for i, t in enumerate(tokens) if t in self.parts or (not t.isalpha() and t.translate(PLAIN) in self.parts)]:
+            window = [t.strip(MARKS + "!") for t in tokens[i : i + 3]]
+            whole = any("".join(window[:k]).translate(PLAIN) in self.whole for k in (2, 3))
+            if whole or len(window[0]) > 1:
+                # only whole words: beginnings of words that chance to stand together tell nothing
+                words = {*self.restored(" ".join(window[:2])), *self.restored(" ".join(window))}
+                found.update(f for f in features(words & self.whole) if f in self.only)
         return found
 
 
@@ -227,7 +278,7 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> DataFra
 
 
 def word_table(docs: DataFrame, labels: DataFrame, model: CharacterModel, size: int = FEATURES) -> dict[str, float]:
-    """The share of toxic texts among those with a feature, drawn to the share of all, for features that tell.
+    """The share of toxic texts among those with a feature, drawn to the share of all, for features that tell or lean.
 
     The toxic texts of a class of near copies count as one text for each feature, and so do its other texts.
     """
@@ -252,13 +303,21 @@ def word_table(docs: DataFrame, labels: DataFrame, model: CharacterModel, size:
     rows = train.mapInArrow(run, "feature string, near bigint, toxic boolean, n bigint").groupBy("feature", "near", "toxic").agg(F.sum("n").alias("n"))
     once = F.when(F.col("near").isNull(), F.col("n")).otherwise(1)
     sums = rows.groupBy("feature").agg(F.sum(once).alias("n"), F.sum(F.when(F.col("toxic"), once).otherwise(0)).alias("bad"))
-    # a feature of fewer toxic texts can't reach LEAST, whatever the share of all
-    told = sums.where((F.col("feature") == "") | ((F.col("bad") >= SUPPORT) & (F.col("bad") >= LEAST * F.col("n")))).orderBy(F.col("feature") != "", F.desc("bad"), "feature").limit(size)
-    rows = {r.feature: (r.n, r.bad) for r in told.collect()}  # at most `size` rows
-    n, bad = rows.pop("", (0, 0))
-    prior = bad / n if n else 0.0
-    shares = {f: (b + WEIGHT * prior) / (k + WEIGHT) for f, (k, b) in rows.items()}
-    return {f: p for f, p in shares.items() if p >= LEAST}
+    total = sums.where("feature = ''").select(F.col("n").alias("of"), (F.col("bad") / F.col("n")).alias("prior"))  # one row
+    share = (F.col("bad") + WEIGHT * F.col("prior")) / (F.col("n") + WEIGHT)
+    shares = sums.where("feature <> ''").where(F.col("bad") >= SUPPORT).join(F.broadcast(total)).withColumn("share", share)
+    told = shares.where((F.col("share") >= LEAST) | (F.col("share") >= LEANS * F.col("prior")))
+    told = told.orderBy(F.col("share") < LEAST, F.desc("bad"), "feature").limit(size)
+    return {r.feature: r.share for r in told.select("feature", "share").collect()}  # at most `size` rows
+
+
+def weigh(shares: list[float]) -> float:
+    """The score of a text from the shares of its features."""
+    told = sorted((p for p in shares if p >= LEAST), reverse=True)
+    if not told:
+        return LOWEST + GRADED * max(shares, default=0.0)
+    # further telling words close in on 1
+    return 1 - (1 - told[0]) * math.prod(1 - 0.5 * p for p in told[1:])
 
 
 def score(docs: DataFrame, model: CharacterModel, table: dict[str, float]) -> DataFrame:
@@ -269,12 +328,7 @@ def score(docs: DataFrame, model: CharacterModel, table: dict[str, float]) -> Da
         model, table = shared.value
         reader = Reader(model, table)
         for batch in batches:
-            scores = []
-            for text in batch.column("text"):
-                told = sorted((table[f] for f in reader.text(text.as_py() or "")), reverse=True)
-                # further telling words close in on 1; without any the score is as low as can be
-                doubt = math.prod(1 - 0.5 * p for p in told[1:])
-                scores.append(1 - (1 - told[0]) * doubt if told else 0.01)
+            scores = [weigh([table[f] for f in reader.text(t.as_py() or "")]) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
