@@ -330,6 +330,38 @@ def test_language(spark, docs):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def plain_grams(text):
+    """n-grams of one to three characters of words framed by spaces; a space only begins or ends one."""
+    spaced = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    spaced = re.sub(" +", " ", spaced)
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(spaced) - n + 1):
+            g = spaced[i : i + n]
+            if g.strip(" ") and " " not in g[1:-1]:
+                out[g] += 1
+    return out
+
+
+def test_language_is_the_plain_result(spark, docs, known):
+    """Profiles by sorting counts, and distances gram by gram."""
+    first = lambda counts, k: sorted(counts, key=lambda g: (-counts[g], tuple(map(ord, g.rjust(3, "\0")))))[:k]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    sums = {}
+    for r in docs.collect():
+        if r.lang is not None and not held(r.doc_id):
+            sums.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    ranks = {lang: {g: k for k, g in enumerate(first(c, langid.PROFILE))} for lang, c in sums.items()}
+    missing = max(map(len, ranks.values()))
+    want = {}
+    for i, t in known:
+        own = first(plain_grams(t), langid.DOCUMENT)
+        away = sorted((sum(abs(r[g] - k) if g in r else missing for k, g in enumerate(own)), lang) for lang, r in ranks.items())
+        want[i] = (away[0][1], pytest.approx((away[1][0] - away[0][0]) / away[1][0])) if own else ("und", 0.0)
+    rows = queries.op5_language_id(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.lang_pred, r.score) for r in rows} == want and all(r.held_out == held(r.doc_id) for r in rows)
+
+
 def test_held_out_is_the_remainder(docs):
     rows = docs.select("doc_id", langid.held_out().alias("h"), toxicity.held_out().alias("t")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.t == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
@@ -506,7 +538,7 @@ def test_toxicity(spark, small):
     sf = small.replace("0.001", "0.1")
     rows = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     bad, good = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
-    assert sum(r.predicted for r in bad) >= 0.7 * len(bad) and sum(r.predicted for r in good) <= 0.05 * len(good)
+    assert sum(r.predicted for r in bad) >= 0.9 * len(bad) and sum(r.predicted for r in good) <= 0.05 * len(good)
 
 
 def model_of(words):
@@ -522,6 +554,18 @@ def test_restored_words():
     for seen, word in [("1d10t", "idiot"), ("m0r0n", "moron"), ("tr@sh", "trash"), ("clooooown", "clown"), ("d1sgust!ng", "disgusting"), ("i.d.i.o.t", "idiot"), ("l1ttle", "little"), ("hello", "hello")]:
         assert model.restore(seen) == word
     assert {"idiot", "moron"} <= toxicity.Reader(model).text("You i d i o t, and m_o_r_o_n!")
+    reader = toxicity.Reader(model, {"idiot": 0.9, "moron": 0.9, "disgusting": 0.9})
+    for seen, word in [("you id iot", "idiot"), ("i . . . d . . . i . . . o . . . t", "idiot"), ("i   d   i   o   t", "idiot"), ("mor on", "moron"), ("i diot!", "idiot"), ("m0r 0n", "moron"), ("1d iot", "idiot"), ("dis gus ting", "disgusting")]:
+        assert reader.text(seen) == {word}, seen
+    assert not reader.text("of the and the of and") and model.restore("hello the") == "hello the"
+
+
+@pytest.mark.parametrize("piece", ["1", "a", "4a", "i d ", "1!|", "a.", "(", "id "])
+def test_decoding_takes_time_in_proportion(piece):
+    reader = toxicity.Reader(model_of(["idiot", "the"] * 20), {"idiot": 0.9})
+    began = time.process_time()
+    reader.text(piece * (320_000 // len(piece)))
+    assert time.process_time() - began < 12
 
 
 def test_viterbi_finds_the_cheapest_path():
@@ -544,6 +588,47 @@ def test_viterbi_finds_the_cheapest_path():
         assert model.restore(seen) == "".join(c for c, _ in best)
 
 
+def test_toxicity_is_the_plain_result(spark, docs, known):
+    """Word table and scores against sums over all texts; readings and near copies are tested apart."""
+    every = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.character_model(every)
+    texts = [(r.doc_id, r.text or "") for r in every.collect()]
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    by = {}
+    for i, t in texts:
+        if i in toxic:
+            least, mark = by.get(t, (i, 0))
+            by[t] = min(least, i), max(mark, toxic[i])
+    bands = [(i, set(toxicity.bands(t))) for t, (i, _) in by.items()]
+    root = {i: i for i, _ in bands}
+    for i, a in bands:
+        for j, b in bands:
+            if i < j and a & b:
+                keep, gone = sorted((root[i], root[j]))
+                root = {k: keep if r == gone else r for k, r in root.items()}
+    crowd = Counter(root.values())
+    reader, seen = toxicity.Reader(model), set()
+    for t, (i, mark) in by.items():
+        of = root[i] if crowd[root[i]] > 1 else ("alone", i)
+        seen |= {(f, of, mark) for f in {*reader.text(t), ""}}
+    n, bad = Counter(f for f, _, _ in seen), Counter(f for f, _, mark in seen if mark)
+    prior = bad[""] / n[""]
+    share = {f: (bad[f] + 4 * prior) / (n[f] + 4) for f in n if f and bad[f] >= 4}
+    share = {f: p for f, p in share.items() if p >= 0.55 or p >= 2 * prior}
+    assert 0 < len(share) < toxicity.FEATURES and toxicity.word_table(every, labels, model) == pytest.approx(share)
+    own, want = toxicity.Reader(model, share), {}
+    for i, t in texts:
+        ps = sorted(share[f] for f in own.text(t))
+        told = [p for p in ps if p >= 0.55]
+        rest = 1.0
+        for p in told[:-1]:
+            rest *= 1 - p / 2
+        want[i] = 1 - (1 - told[-1]) * rest if told else 0.01 + 0.28 * max(ps, default=0)
+    assert {r.doc_id: r.score for r in toxicity.score(every, model, share).collect()} == pytest.approx(want)
+    assert len(set(want.values())) > 3
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (6, None)], "doc_id long, toxic int")
     rows = toxicity.toxicity(odd, labels).collect()
