@@ -1,16 +1,16 @@
 """Byte-pair encoding and decoding over a table of distinct words.
 
 Spark splits each text into words: runs without ASCII white space. The vocabularies this is for never join across white
-space, so the ids of a text are the ids of its words in order. Documents are taken in blocks of bounded size. A block gives
-a row for each of its distinct words, with the word's place in the block, and for its documents the places of their words.
-The table of distinct words of all blocks is encoded, each word once, and its ids are joined by word to the
-rows of the blocks that have it. Those go back to their blocks, and from there to the documents by position. Decoding joins
-ids to the id-to-piece table. A word that is everywhere weighs one row for each block, never one for each occurrence, and
-what a block gathers is bounded by its size.
+space, so the ids of a text are the ids of its words in order. Documents are taken in blocks of bounded size. A block lists
+its distinct words, most frequent first, and for each of its documents the places of its words in that list. The lists are
+dealt out by word, packed into a row for each of many buckets of words, and unpacked there into the table of distinct words:
+each word with the blocks that have it and its place in each. Every distinct word is encoded once; its ids go back to each
+block and place, and from there to the documents by position. Decoding joins ids to the id-to-piece table. A word that is
+everywhere weighs one entry for each block, never one for each occurrence, and what a block gathers is bounded by its size.
 
-Distinct words, blocks and positions come from passes over the same input, which give the same blocks as long as the
-input's partitions and their order are the same; a checksum of a block's words goes with its words and its positions, and a
-difference, or a word without ids, is an error. Input that is not read from files should be written to a table first.
+Words and positions come from two passes over the same input, which give the same blocks as long as the input's partitions
+and their order are the same; a checksum of its words is part of a block's number, so a difference is found and is an error.
+Input that is not read from files should be written to a table first.
 
 The id-to-piece table has one row for each id of the vocabulary, whatever the input, so every task holds a copy.
 
@@ -40,8 +40,10 @@ from tidewatch.llm.shared import texts
 
 #: Bytes of text in a block, beyond which the next block begins.
 BLOCK_BYTES = 32 << 20
-#: Rows of words given to Spark, and documents in a packed row, at once.
-WORD_ROWS, PACKED_ROWS = 100_000, 256
+#: Documents in a packed row.
+PACKED_ROWS = 256
+#: Buckets of words for each shuffle partition, and at least.
+BUCKETS, LEAST_BUCKETS = 4, 4096
 
 
 @lru_cache(maxsize=2)
@@ -82,20 +84,25 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 class Block:
-    """The distinct words of some documents in order of appearance, and each document's words by their places there."""
+    """The distinct words of some documents, most frequent first, and each document's words by their places there."""
 
-    def __init__(self, ids: list[int | None], lists: list[pa.Array]):
+    def __init__(self, at: int, ids: list[int | None], lists: list[pa.Array]):
         self.ids = ids
         coded = pa.chunked_array([x.flatten() for x in lists], pa.string()).dictionary_encode().unify_dictionaries()
-        self.words = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
-        self.places = np.concatenate([c.indices.to_numpy() for c in coded.chunks] or [np.zeros(0)]).astype(np.uint32)
+        words = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
+        seen = np.concatenate([c.indices.to_numpy() for c in coded.chunks] or [np.zeros(0, np.int32)])
+        order = np.argsort(-np.bincount(seen, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        self.words: list[str] = words.take(pa.array(order)).to_pylist()
+        self.places = rank[seen]
         self.lengths = np.concatenate([x.value_lengths().to_numpy() for x in lists]).astype(np.uint32)
-        self.checksum = zlib.crc32("\n".join(self.words.to_pylist()).encode())
+        self.number = at << 32 | zlib.crc32("\n".join(self.words).encode())
 
 
-def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, Block]]:
-    """Blocks with their numbers; where one ends depends on the rows alone, not on how they are batched."""
-    number, size = TaskContext.get().partitionId() << 32, 0
+def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Block]:
+    """Blocks of a task's rows; where one ends depends on the rows alone, not on how they are batched."""
+    at, size = TaskContext.get().partitionId() << 10, 0
     ids: list[int | None] = []
     lists: list[pa.Array] = []
     for batch in batches:
@@ -108,10 +115,12 @@ def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tupl
                 lists.append(part.column("words"))
                 begin = i + 1
             if size >= block_bytes:
-                yield number, Block(ids, lists)
-                number, size, ids, lists = number + 1, 0, [], []
+                yield Block(at, ids, lists)
+                at, size, ids, lists = at + 1, 0, [], []
+                if not at & 1023:
+                    raise ValueError("more than 1,024 blocks in a task; give more partitions or larger blocks")
     if ids:
-        yield number, Block(ids, lists)
+        yield Block(at, ids, lists)
 
 
 def split(docs: DataFrame) -> DataFrame:
@@ -119,34 +128,35 @@ def split(docs: DataFrame) -> DataFrame:
     return texts(docs).select("doc_id", word_array(F.col("text")).alias("words"), F.octet_length("text").alias("size"))
 
 
-def block_words(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """block, checksum, `at` and word: a row for each distinct word of each block."""
-    names = ["block", "checksum", "at", "word"]
+def block_words(rows: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
+    """bucket and packed: for each block and bucket its words there, as lines: the block, then a place and a word in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in blocks(batches, block_bytes):
-            for i in range(0, len(block.words), WORD_ROWS):
-                part = block.words.slice(i, WORD_ROWS)
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(number, pa.int64()), n), pa.repeat(pa.scalar(block.checksum, pa.int64()), n), pa.array(np.arange(i, i + n, dtype=np.int32)), part], names=names)
+        for block in blocks(batches, block_bytes):
+            dealt: list[list[str]] = [[] for _ in range(buckets)]
+            for at, word in enumerate(block.words):
+                dealt[zlib.crc32(word.encode()) % buckets].append(f"{at} {word}")
+            full = [b for b, lines in enumerate(dealt) if lines]
+            packed = ["\n".join([str(block.number), *dealt[b]]) for b in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.string())], names=["bucket", "packed"])
 
-    return rows.mapInArrow(run, "block bigint, checksum bigint, at int, word string")
+    return rows.mapInArrow(run, "bucket int, packed string")
 
 
 def block_places(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """block, checksum, ids, `lengths` and `places`: rows for some documents each, with their words by place."""
-    names = ["block", "checksum", "ids", "lengths", "places"]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    """block, ids, `lengths` and `places`: rows for some documents each, with their words by place."""
+    names = ["block", "ids", "lengths", "places"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in blocks(batches, block_bytes):
+        for block in blocks(batches, block_bytes):
             ends = np.concatenate([[0], np.cumsum(block.lengths, dtype=np.int64)])
             for i in range(0, len(block.ids), PACKED_ROWS):
                 k = min(i + PACKED_ROWS, len(block.ids))
-                row = (number, block.checksum, block.ids[i:k], packed(block.lengths[i:k]), packed(block.places[ends[i] : ends[k]]))
+                row = (block.number, block.ids[i:k], packed(block.lengths[i:k]), packed(block.places[ends[i] : ends[k]]))
                 yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "block bigint, checksum bigint, ids array<bigint>, lengths binary, places binary")
+    return rows.mapInArrow(run, "block bigint, ids array<bigint>, lengths binary, places binary")
 
 
 def ids_of(path: str) -> Column:
@@ -162,11 +172,21 @@ def ids_of(path: str) -> Column:
     return ids(F.col("word"))
 
 
+def distinct_words(packed: DataFrame) -> DataFrame:
+    """The table of distinct words: bucket, word, and where it is (`at`: block and place)."""
+    # one shuffle of packed rows; the table keeps their partitions
+    head = F.substring_index("packed", "\n", 1)
+    rest = F.substring("packed", F.length(head) + 2, F.length("packed"))
+    lines = packed.repartition("bucket").select("bucket", head.cast("bigint").alias("block"), F.split(rest, "\n").alias("lines"))
+    each = lines.select("bucket", "block", F.explode("lines").alias("line"))
+    place, word = F.substring_index("line", " ", 1).cast("int"), F.substring("line", F.instr("line", " ") + 1, F.length("line"))
+    entries = each.select("bucket", word.alias("word"), F.struct("block", place.alias("place")).alias("at"))
+    return entries.groupBy("bucket", "word").agg(F.collect_list("at").alias("at"))
+
+
 def word_ids(words: DataFrame, path: str) -> DataFrame:
-    """`words` (block, checksum, at, word) with the ids of each word in place of it."""
-    # a task sends each of its words once; a word has at most one row for each block
-    table = words.select("word").distinct().select("word", ids_of(path).alias("ids"))
-    return words.join(table, "word").select("block", "checksum", "at", "ids")
+    """block, place and ids of every word of every block, each distinct word encoded once."""
+    return words.select(ids_of(path).alias("ids"), "at").select("ids", F.explode("at").alias("at")).select("at.block", "at.place", "ids")
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -179,11 +199,9 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.n
 
 def restore(docs: pa.Table, words: pa.Table, path: str) -> pa.Table:
     """The ids and the decoded text of the documents of one block, by the places of their words."""
-    if len(set(docs.column("checksum").to_pylist()) | set(pc.unique(words.column("checksum")).to_pylist())) > 1:
-        raise ValueError("a block's words changed between passes over the input; write the input to a table first")
-    at = words.column("at").to_numpy()
-    if len(at) and at.max() != len(at) - 1:
-        raise ValueError("words of a block are missing; write the input to a table first")
+    at = words.column("place").to_numpy()
+    if len(at) and at.max() != len(at) - 1 or not len(at) and docs.num_rows and any(len(unpacked(x.as_py())) for x in docs.column("places")):
+        raise ValueError("a block's words changed between two passes over the input; write the input to a table first")
     n = pc.binary_length(words.column("ids")).to_numpy() // 4
     flat = np.frombuffer(b"".join(words.column("ids").to_pylist()), "<u4")
     starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
@@ -202,7 +220,8 @@ def restore(docs: pa.Table, words: pa.Table, path: str) -> pa.Table:
 def encode_decode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, `ids` (little-endian unsigned 32-bit integers) and `decoded` for every row of `docs`."""
     rows = split(docs)
-    coded = word_ids(block_words(rows, block_bytes), path)
+    buckets = max(LEAST_BUCKETS, BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    coded = word_ids(distinct_words(block_words(rows, block_bytes, buckets)), path)
     placed = block_places(rows, block_bytes)
     return placed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(lambda a, b: restore(a, b, path), "doc_id bigint, ids binary, decoded string")
 
