@@ -5,7 +5,7 @@ Comparisons guard against NaN, which Spark orders above every number; aggregates
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 SECOND, MINUTE, HOUR, DAY, WEEK = 1_000, 60_000, 3_600_000, 86_400_000, 604_800_000
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def finite(v: Column) -> Column:
     """`v` where it is a finite number, else null."""
     return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
@@ -86,10 +91,6 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def escape_regex(text: Column) -> Column:
-    return F.regexp_replace(text, r"([.*+?^${}()|\[\]\\])", r"\\$1")
-
-
 def duration_text(ms: Column) -> Column:
     """Milliseconds in their largest whole unit."""
     text = F.concat(ms.cast("string"), F.lit("ms"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import label_overlap_lists, match_text
+from tidewatch.functions.columns import label_overlap_lists, match_text, once
 
 MIXED, MIRROR = "-- Mixed --", "-- Dashboard --"
 #: Datasource names that stand for no datasource of their own.
@@ -15,12 +15,21 @@ PSEUDO = (MIXED, MIRROR, "-- Grafana --", "__expr__")
 SURVEY, FOUND = 25, 20
 PANEL = ["connection_id", "dashboard_uid", "panel_id"]
 
-#: Words of the query language that are not metrics.
+#: Words of the query language that are not metrics, and those before a list of label names.
 KEYWORDS = (
-    "by without on ignoring group_left group_right offset bool and or unless sum min max avg stddev stdvar count "
-    "count_values bottomk topk quantile rate irate increase delta idelta deriv predict_linear histogram_quantile "
-    "label_replace label_join abs ceil floor round clamp clamp_max clamp_min sort sort_desc scalar vector time timestamp"
-).split()
+    "by", "without", "on", "ignoring", "group_left", "group_right", "offset", "bool", "and", "or", "unless", "sum", "min",
+    "max", "avg", "stddev", "stdvar", "count", "count_values", "bottomk", "topk", "quantile", "rate", "irate", "increase",
+    "delta", "idelta", "deriv", "predict_linear", "histogram_quantile", "label_replace", "label_join", "abs", "ceil",
+    "floor", "round", "clamp", "clamp_max", "clamp_min", "sort", "sort_desc", "scalar", "vector", "time", "timestamp",
+)
+GROUPING = ("by", "without", "on", "ignoring", "group_left", "group_right")
+#: What holds no metric's name: strings; then the insides of selectors, ranges, and lists of label names.
+STRING = r'"(?:\\.|[^"\\])*"'
+ASIDE = rf"(?<=\{{)[^{{}}]*|\[[^\]]*\]|(?i:\b(?:{'|'.join(GROUPING)})\s*\([^)]*\))"
+#: A name with the bracket that follows it, if any; a label test; a tag test.
+NAMED = r"(?<![\w:.])[A-Za-z_:][A-Za-z0-9_:]*+\s*+[({]?"
+LABEL_TEST = r'[A-Za-z_][A-Za-z0-9_]*\s*(?:=~?|![=~])\s*"[^"]*"'
+TAG_TEST = r"[A-Za-z_][A-Za-z0-9_]*\"?\s*=\s*'[^']*'"
 
 
 def flatten_panels(dashboards: DataFrame, depth: int = 5) -> DataFrame:
@@ -61,35 +70,48 @@ def active_query_fields(targets: DataFrame) -> DataFrame:
     return targets.withColumns({"query": F.when(raw.isNull() | raw, F.col("query")), "measurement": F.when(raw.isNull() | ~raw, F.col("measurement")), "tags": F.when(raw.isNull() | ~raw, F.col("tags"))})
 
 
-def _last_segment(name: Column) -> Column:
-    return F.regexp_replace(F.element_at(F.split(name, r"\."), -1), '^"|"$', "")
+def _tests(text: Column, pattern: str, quote: str) -> Column:
+    """The tests of `text` that the pattern finds, as pairs of a key and a quoted value."""
+    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    key = lambda t: F.regexp_substr(t, F.lit("^[A-Za-z0-9_]+"))
+    value = lambda t: F.rtrim(F.substring(t, F.instr(t, quote) + 1, F.length(t)), F.lit(quote))
+    return F.transform(found, lambda t: F.struct(key(t).alias("key"), value(t).alias("value")))
+
+
+def _last_name(measurement: Column) -> Column:
+    """What follows the last dot of a measurement, without quotes."""
+    return F.nullif(F.btrim(F.substring_index(measurement, ".", -1), F.lit('"')), F.lit(""))
+
+
+def _names(expr: Column) -> Column:
+    """The metrics of an expression: every name before a selector, and other names that no bracket follows."""
+    bare = F.regexp_replace(F.regexp_replace(expr, STRING, '""'), ASIDE, " ")
+    words = F.regexp_extract_all(bare, F.lit(NAMED), 0)
+    split = F.transform(words, lambda w: F.struct(F.rtrim(w, F.lit("({ \t\r\n")).alias("name"), F.right(w, F.lit(1)).alias("then")))
+    metric = lambda w: (w["then"] == "{") | ((w["then"] != "(") & ~F.lower(w["name"]).isin(*KEYWORDS))
+    return F.array_distinct(F.transform(F.filter(split, metric), lambda w: w["name"]))
 
 
 def extract_query_info(targets: DataFrame) -> DataFrame:
     """`targets` with `metrics` (distinct names) and `label_pairs` (distinct key and value) read from their query texts.
 
-    Text in quotes and in braces is blanked before names are read, so that labels and their values do not pass for metrics.
+    An expression's names are read after strings, selectors, ranges and lists of labels are taken out, so that labels and
+    their values do not pass for metrics. A statement has the last part of what it reads from, and the tags that its
+    condition tests for equality; a target that is built from fields has those of its fields. Each text is searched once
+    for names and once for tests, where a row is, without a shuffle.
     """
-    # each step is a projection of its own, so that what two later ones use is computed once
-    expr, query = F.coalesce("expr", F.lit("")), F.coalesce("query", F.lit(""))
-    rows = active_query_fields(targets).withColumn("_bare", F.regexp_replace(F.regexp_replace(expr, r'"(?:[^"\\]|\\.)*"', '""'), r"\{[^{}]*\}", "{}"))
-    rows = rows.withColumn("_ungrouped", F.regexp_replace("_bare", r"(?i)\b(?:by|without|on|ignoring|group_left|group_right)\s*\([^)]*\)|\[[^\]]*\]", " "))
-    selected = F.regexp_extract_all("_bare", F.lit(r"([a-zA-Z_:][a-zA-Z0-9_:]*)\s*\{"), 1)
-    names = F.regexp_extract_all("_ungrouped", F.lit(r"(?<![a-zA-Z0-9_:.])([a-zA-Z_:][a-zA-Z0-9_:]*)(?![a-zA-Z0-9_:])(?!\s*\()"), 1)
-    plain = F.filter(names, lambda n: ~F.lower(n).isin(*KEYWORDS))
-    pattern = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*(?:=~|!~|=|!=)\s*"([^"]*)"'
-    pairs = F.zip_with(F.regexp_extract_all(expr, F.lit(pattern), 1), F.regexp_extract_all(expr, F.lit(pattern), 2), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    promql = F.struct(F.array_distinct(F.concat(selected, plain)).alias("metrics"), F.array_distinct(F.filter(pairs, lambda p: p["key"] != "__name__")).alias("pairs"))
-
-    segment = r'(?:"[^"]+"|[a-zA-Z0-9_]+)'
-    rows = rows.withColumn("_source", F.regexp_extract(query, rf"(?i)from\s+(?:\(\s*)?({segment}(?:\.{segment})*)", 1))
-    rows = rows.withColumn("_where", F.regexp_extract(query, r"(?is)\bwhere\b(.+?)(?:\bgroup by\b|\border by\b|\blimit\b|$)", 1))
-    tag = r"\"?([a-zA-Z_][a-zA-Z0-9_]*)\"?\s*=\s*'([^']*)'"
-    written = F.zip_with(F.regexp_extract_all("_where", F.lit(tag), 1), F.regexp_extract_all("_where", F.lit(tag), 2), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    rows = active_query_fields(targets)
+    expr, query = F.col("expr"), F.coalesce("query", F.lit(""))
+    labels = F.filter(_tests(expr, LABEL_TEST, '"'), lambda p: p["key"] != "__name__")
+    promql = F.struct(_names(expr).alias("metrics"), F.array_distinct(labels).alias("pairs"))
+
+    source = F.regexp_extract(query, r'(?i)\bfrom\s+\(?\s*((?:"[^"]+"|[A-Za-z0-9_.])+)', 1)
+    condition = F.split(F.get(F.split(query, r"(?i)\bwhere\b", 2), F.lit(1)), r"(?i)\b(?:group by|order by|limit)\b", 2)
+    tested = F.coalesce(_tests(F.get(condition, F.lit(0)), TAG_TEST, "'"), F.array())
     built = F.transform(F.coalesce("tags", F.array()), lambda t: F.struct(t["key"].alias("key"), t["value"].alias("value"))) if "tags" in targets.columns else F.array()
-    named = F.array(F.when(F.col("measurement") != "", _last_segment(F.col("measurement"))), F.when(F.col("_source") != "", _last_segment(F.col("_source"))))
-    influx = F.struct(F.array_distinct(F.array_compact(named)).alias("metrics"), F.array_distinct(F.concat(built, written)).alias("pairs"))
-    info = F.when(F.col("expr").isNotNull(), promql).otherwise(influx)
+    named = F.array(_last_name(F.col("measurement")), _last_name(source))
+    statement = F.struct(F.array_distinct(F.array_compact(named)).alias("metrics"), F.array_distinct(F.concat(built, tested)).alias("pairs"))
+    info = once(F.when(expr.isNotNull(), promql).otherwise(statement), lambda x: x)
     return rows.withColumn("_info", info).select(*targets.columns, F.col("_info.metrics").alias("metrics"), F.col("_info.pairs").alias("label_pairs"))
 
 
@@ -103,9 +125,10 @@ def labels_of(pairs: Column) -> Column:
 def build_metric_index(targets: DataFrame) -> DataFrame:
     """connection_id, metric, dashboard and panel columns, labels: of a panel's targets with a metric the first one."""
     entries = extract_query_info(targets).withColumn("metric", F.explode("metrics"))
-    first = Window.partitionBy("metric", *PANEL).orderBy("target_pos", "ref_id")
-    rows = entries.withColumn("_i", F.row_number().over(first)).where("_i = 1")
-    return rows.select("connection_id", "metric", "dashboard_uid", "dashboard_title", "panel_id", "panel_title", labels_of(F.col("label_pairs")).alias("labels"))
+    # a task keeps one target of each panel and metric before the shuffle
+    first = F.min(F.struct("target_pos", "ref_id", "dashboard_title", "panel_title", "label_pairs")).alias("first")
+    rows = entries.groupBy("metric", *PANEL).agg(first)
+    return rows.select("connection_id", "metric", "dashboard_uid", "first.dashboard_title", "panel_id", "first.panel_title", labels_of(F.col("first.label_pairs")).alias("labels"))
 
 
 def index_coverage(dashboards: DataFrame, index: DataFrame) -> DataFrame:
@@ -194,17 +217,24 @@ def alert_overview(backed: DataFrame, limit: int = FOUND) -> DataFrame:
 
 
 def search_index(index: DataFrame, labels: Mapping[str, str], metric: str | None = None, text: str | None = None, excluding: str | None = None) -> DataFrame:
-    """Panels of the index that match by metric, by label values or by text, once each with the highest `overlap`."""
+    """Panels of the index that match, once each with the highest `overlap` of label values.
+
+    With a metric, the panels that show it, whatever their labels; without, those with a label value or the text.
+    """
     wanted = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]) if labels else F.create_map().cast("map<string,string>")
-    rows = index.withColumn("overlap", F.greatest(label_overlap_lists(wanted, F.col("labels")), F.lit(0)))
-    hit = F.col("overlap") > 0
-    if metric is not None:
-        hit = hit | (F.col("metric") == metric)
-    if text is not None:
-        hit = hit | match_text(text, F.col("metric"), F.col("dashboard_title"), F.col("panel_title"))
-    rows = rows.where(hit) if excluding is None else rows.where(hit & (F.col("dashboard_uid") != excluding))
-    best = Window.partitionBy(*PANEL).orderBy(F.desc("overlap"), "metric")
-    return rows.withColumn("_i", F.row_number().over(best)).where("_i = 1").drop("_i", "labels")
+    pool = index if metric is None else index.where(F.col("metric") == metric)
+    rows = pool.withColumn("overlap", F.greatest(label_overlap_lists(wanted, F.col("labels")), F.lit(0)))
+    if metric is None:
+        hit = F.col("overlap") > 0
+        if text is not None:
+            hit = hit | match_text(text, F.col("metric"), F.col("dashboard_title"), F.col("panel_title"))
+        rows = rows.where(hit)
+    if excluding is not None:
+        rows = rows.where(F.col("dashboard_uid") != excluding)
+    # of a panel the highest overlap, then the first metric
+    best = F.min(F.struct((-F.col("overlap")).alias("_o"), "metric", "overlap", "dashboard_title", "panel_title")).alias("_best")
+    rows = rows.groupBy(*PANEL).agg(best)
+    return rows.select(*PANEL, "_best.metric", "_best.overlap", "_best.dashboard_title", "_best.panel_title")
 
 
 def related(found: DataFrame, backed: DataFrame, meta: DataFrame, author: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 MARK = "knowledge"
 FENCE = r"(?is)```json\s*\n(.*?)```"
+SPACE = " \t\n\x0b\x0c\r"
 HOPS, FOLDERS = 10, 500
 
 
@@ -24,7 +25,10 @@ def extract_knowledge(panels: DataFrame, mark: str = MARK) -> DataFrame:
     fenced = F.col("content").rlike(FENCE)
     parsed = F.try_parse_json(block)
     good = fenced & parsed.isNotNull()
-    prose = F.when(good, F.trim(F.regexp_replace("content", f"{FENCE}(?![\\s\\S]*{FENCE})", ""))).otherwise(F.trim("content"))
+    # the first block alone is cut out, by its place
+    at, block_text = F.regexp_instr("content", F.lit(FENCE)), F.regexp_substr("content", F.lit(FENCE))
+    rest = F.concat(F.substring("content", F.lit(1), at - 1), F.substring("content", at + F.length(block_text), F.length("content")))
+    prose = F.btrim(F.when(good, rest).otherwise(F.col("content")), F.lit(SPACE))
     return rows.select("connection_id", "dashboard_uid", "panel_id", "product_key", F.when(good, F.to_json(parsed)).alias("json"), prose.alias("prose"), (fenced & parsed.isNull()).alias("parse_error"))
 
 
@@ -34,15 +38,16 @@ def related_uids(texts: DataFrame, column: str, *keep: str) -> DataFrame:
     return texts.select(*keep, F.explode(links).alias("uid")).distinct()
 
 
-def folder_ancestors(spark: SparkSession, folders: DataFrame, start: DataFrame, hops: int = HOPS) -> DataFrame:
+def folder_ancestors(spark: SparkSession, folders: DataFrame, start: DataFrame, hops: int = HOPS, own: bool = False) -> DataFrame:
     """uid, ancestor and depth (from 1) for each `uid` of `start`, up to `hops`; ends at a root, a cycle or a gap.
 
-    Each hop is one join, so the depth and not the size of the tree bounds the plan.
+    With `own` a folder is its own ancestor at depth 0. Each hop is one join, so the depth and not the size of the tree
+    bounds the plan.
     """
     edges = folders.select(F.col("uid").alias("_at"), "parent_uid").where("parent_uid is not null")
     known = folders.select(F.col("uid").alias("_there"))
     level = start.select("uid", F.col("uid").alias("ancestor"), F.array("uid").alias("_path"))
-    found = None
+    found = level.select("uid", "ancestor", F.lit(0).alias("depth")) if own else None
     for depth in range(1, hops + 1):
         up = level.join(edges, F.col("ancestor") == F.col("_at")).where(~F.array_contains("_path", F.col("parent_uid")))
         level = up.select("uid", F.col("parent_uid").alias("ancestor"), F.concat("_path", F.array("parent_uid")).alias("_path")).join(known, F.col("ancestor") == F.col("_there"), "left_semi")
@@ -66,15 +71,19 @@ def folder_contents(folders: DataFrame, root: str, depth: int = HOPS, most: int
 def attach_knowledge(alerts: DataFrame, keys: DataFrame, ancestors: DataFrame, knowledge: DataFrame, homes: DataFrame) -> DataFrame:
     """The best knowledge panel of each alert; no row where there is none.
 
-    `keys` has alert_id, position and key (dashboard tags, then label values); `ancestors` has alert_id, folder and depth;
-    `homes` has the folder of each knowledge dashboard. A panel on the nearest ancestor's dashboard comes before all
-    others; then the first key counts, then the dashboard.
+    `keys` has alert_id, position and key (dashboard tags, then label values); `ancestors` has alert_id, folder and depth,
+    the alert's own folder at 0; `homes` has the folder (`home`) of each knowledge dashboard. Going up, the first folder
+    with a knowledge dashboard gives the one that is tried first, with the keys in order; its first dashboard counts where
+    it has several. Then all others are tried in order, each with the keys in order. `depth` is that of the first one's
+    folder, and null for a panel of another dashboard.
     """
     wanted = keys.select("alert_id", F.lower("key").alias("product_key"), "position").groupBy("alert_id", "product_key").agg(F.min("position").alias("position"))
-    placed = knowledge.join(homes, "dashboard_uid", "left")
-    hits = alerts.select("alert_id").join(wanted, "alert_id").join(placed, "product_key")
-    hits = hits.join(ancestors.withColumnRenamed("alert_id", "_a").withColumnRenamed("folder", "_f"), (F.col("alert_id") == F.col("_a")) & (F.col("home") == F.col("_f")), "left").drop("_a", "_f")
-    best = Window.partitionBy("alert_id").orderBy(F.col("depth").asc_nulls_last(), "position", "dashboard_uid", "panel_id")
+    met = ancestors.join(homes, F.col("folder") == F.col("home"))
+    walked = met.groupBy("alert_id").agg(F.min(F.struct("depth", "dashboard_uid")).alias("walked"))
+    hits = alerts.select("alert_id").join(wanted, "alert_id").join(knowledge, "product_key").join(walked, "alert_id", "left")
+    near = F.coalesce(F.col("dashboard_uid") == F.col("walked.dashboard_uid"), F.lit(False))
+    hits = hits.withColumn("depth", F.when(near, F.col("walked.depth"))).drop("walked")
+    best = Window.partitionBy("alert_id").orderBy(F.col("depth").isNull(), "dashboard_uid", "position", "panel_id")
     return hits.withColumn("_i", F.row_number().over(best)).where("_i = 1").drop("_i")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CAP = 500
+#: Parts of a stream that are ranked apart.
+PARTS = 256
 
 
 def streams(named: Mapping[str, DataFrame], on: str) -> DataFrame:
@@ -18,9 +20,15 @@ def streams(named: Mapping[str, DataFrame], on: str) -> DataFrame:
 
 
 def cap_stream(events: DataFrame, most: int = CAP) -> tuple[DataFrame, DataFrame]:
-    """The first `most` events of each stream by time, and fetched, total and truncated of each stream."""
-    order = Window.partitionBy("stream").orderBy("ts", "key", "message")
-    kept = events.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= most).drop("_i")
+    """The first `most` events of each stream by time, and fetched, total and truncated of each stream.
+
+    The first of each of `PARTS` parts of a stream are taken, and of these the first, so no task sorts a whole stream.
+    """
+    by_time = ["ts", "key", "message"]
+    within = Window.partitionBy("stream", "_part").orderBy(*by_time)
+    parts = events.withColumn("_part", F.pmod(F.xxhash64(*by_time), F.lit(PARTS)))
+    first = parts.withColumn("_i", F.row_number().over(within)).where(F.col("_i") <= most).drop("_part")
+    kept = first.withColumn("_i", F.row_number().over(Window.partitionBy("stream").orderBy(*by_time))).where(F.col("_i") <= most).drop("_i")
     stats = events.groupBy("stream").agg(F.count(F.lit(1)).alias("total")).withColumn("fetched", F.least("total", F.lit(most)))
     return kept, stats.withColumn("truncated", F.col("total") > F.col("fetched"))
 
@@ -30,14 +38,11 @@ def correlate_logs(events: DataFrame, names: Sequence[str], how: str, stats: Dat
 
     `and`: keys on every stream. `or`: every key; complete where all streams have it. `unless`: keys of the first stream
     that no other has. One shuffle of counts on the key, after map-side aggregation, serves any number of streams and any
-    number of events of one key. `stats` of capped streams makes `and` and `or` add a column `truncated`; `unless` with a
-    truncated stream on the right is an error, as keys could seem absent.
+    number of events of one key. `stats` of capped streams adds a column `truncated`; `unless` with a truncated stream on
+    the right is an error when the rows are computed, as keys could seem absent.
     """
     if how not in ("and", "or", "unless"):
         raise ValueError(f"no such operator: {how}")
-    cut = [r.stream for r in stats.where("truncated").collect()] if stats is not None else []  # one row for each stream
-    if how == "unless" and set(cut) & set(names[1:]):
-        raise ValueError(f"truncated streams can't show that a key is absent: {', '.join(sorted(set(cut) & set(names[1:])))}")
     own = events.where(F.col("stream").isin(list(names)))
     # a set of stream names is as small as their number
     grouped = own.groupBy("key").agg(F.collect_set("stream").alias("_on"), F.count(F.lit(1)).alias("n_events"))
@@ -50,7 +55,14 @@ def correlate_logs(events: DataFrame, names: Sequence[str], how: str, stats: Dat
         rows = grouped.where((F.size("_on") == 1) & (F.get("_on", F.lit(0)) == names[0]))
     done = F.lit("partial") if how == "unless" else F.when(whole, "complete").otherwise("partial")
     rows = rows.select("key", done.alias("completeness"), "n_events")
-    return rows.withColumn("truncated", F.lit(bool(cut))) if stats is not None else rows
+    if stats is None:
+        return rows
+    cut = F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated")
+    unsure = F.coalesce(F.bool_or(F.col("truncated") & F.col("stream").isin(list(names[1:]))), F.lit(False)).alias("_unsure")
+    state = stats.agg(cut, unsure)
+    if how == "unless":
+        state = state.where(F.assert_true(~F.col("_unsure"), "truncated streams can't show that a key is absent").isNull())
+    return rows.join(F.broadcast(state.drop("_unsure")))  # one row
 
 
 def events_of(found: DataFrame, events: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -62,8 +74,14 @@ def join_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     """Each event of the left with each of the right whose key, of another name, is equal, and near in time if asked."""
     a = left.select(F.col(left_key).cast("string").alias("key"), F.col("ts").alias("left_ts"), F.col("message").alias("left_message"))
     b = right.select(F.col(right_key).cast("string").alias("key"), F.col("ts").alias("right_ts"), F.col("message").alias("right_message"))
-    met = a.join(b, "key")
-    return met if within_ms is None else met.where(F.abs(F.unix_millis("left_ts") - F.unix_millis("right_ts")) <= within_ms)
+    if within_ms is None:
+        return a.join(b, "key")
+    # events that are near lie in the same stretch of time or in neighbouring ones
+    stretch = lambda ts: F.floor(F.unix_millis(ts) / F.lit(max(1, within_ms)))
+    a = a.withColumn("_at", stretch("left_ts"))
+    b = b.withColumn("_at", F.explode(F.array(*[stretch("right_ts") + F.lit(d) for d in (-1, 0, 1)])))
+    near = F.abs(F.unix_millis("left_ts") - F.unix_millis("right_ts")) <= within_ms
+    return a.join(b, ["key", "_at"]).where(near).drop("_at")
 
 
 def search_logs(logs: DataFrame, where: Column | Mapping[str, str], from_ts: Column, to_ts: Column, limit: int = CAP, ties: Sequence[str] = ("id",)) -> tuple[DataFrame, DataFrame]:
@@ -71,4 +89,4 @@ def search_logs(logs: DataFrame, where: Column | Mapping[str, str], from_ts: Col
     if isinstance(where, Mapping):
         where = reduce(lambda a, b: a & b, [F.coalesce(F.col("labels")[k] == v, F.lit(False)) for k, v in where.items()], F.lit(True))
     found = logs.where(where & (F.col("ts") >= from_ts) & (F.col("ts") <= to_ts))
-    return found.orderBy("ts", *ties).limit(min(limit, CAP)), found.agg(F.count(F.lit(1)).alias("total"))
+    return found.orderBy("ts", *ties).limit(limit), found.agg(F.count(F.lit(1)).alias("total"))

@@ -72,26 +72,42 @@ def a15_coverage(spark, sf_dir):
     return catalog.index_coverage(rows.unionByName(more), index(spark, sf_dir))
 
 
-PRIMARY = "primary_ AS (SELECT panel_id AS incident_id, connection_id, dashboard_uid, panel_id, metric FROM index_ WHERE dashboard_uid = 'd1' AND connection_id = 'c1' AND metric <> 'up' AND panel_id < 5)"
-CANDIDATES = f"""WITH {METRICS}, {PRIMARY}, cands AS (
+KNOWLEDGE = """
+SELECT 'c0' AS connection_id, 'k' || (doc_id % 25) AS dashboard_uid, doc_id AS panel_id, doc_id AS at, CASE doc_id % 4 WHEN 0 THEN 'Knowledge: Key' || (doc_id % 60) WHEN 1 THEN 'knowledge:  key' || (doc_id % 60) || ' ' WHEN 2 THEN 'KNOWLEDGE: key' || (doc_id % 60) ELSE 'Notes' END AS title,
+       CASE WHEN doc_id % 3 = 0 THEN 'see ```json' || chr(10) || '{"id": ' || doc_id || ', "links": ["/d/d' || (doc_id % 17) || '/x"]}' || chr(10) || '``` more ```json' || chr(10) || '{"second": 2}' || chr(10) || '``` end'
+            WHEN doc_id % 3 = 1 THEN '```json' || chr(10) || '{bad' || chr(10) || '```' ELSE 'plain ' || doc_id END AS content
+FROM documents"""
+FIRST = f"""panels AS (SELECT *, lower(trim(regexp_extract(title, '(?i)^knowledge:\\s*(.+)$', 1))) AS product_key FROM ({KNOWLEDGE})),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dashboard_uid, product_key ORDER BY "at", panel_id) AS i FROM panels WHERE product_key <> '') WHERE i = 1)"""
+PRIMARY = "primary_ AS (SELECT panel_id AS incident_id, connection_id, dashboard_uid, panel_id, metric FROM index_ WHERE dashboard_uid = 'd1' AND connection_id = 'c1' AND metric <> 'up')"
+#: A primary panel's product: its dashboard and those that the knowledge panels of its key link to.
+SCOPE = f"""{FIRST}, scope AS (SELECT DISTINCT incident_id, dashboard_uid FROM primary_
+  UNION SELECT DISTINCT p.incident_id, 'd' || (f.panel_id % 17) FROM primary_ p JOIN firsts f ON f.product_key = 'key' || p.panel_id WHERE f.panel_id % 3 = 0)"""
+CANDIDATES = f"""WITH {METRICS}, {PRIMARY}, {SCOPE}, cands AS (
   SELECT p.incident_id, i.connection_id, i.dashboard_uid, i.panel_id, min(i.metric) AS metric, count(DISTINCT i.metric) AS n_shared FROM index_ i JOIN (SELECT DISTINCT incident_id, metric FROM primary_) p ON i.metric = p.metric
   WHERE NOT EXISTS (SELECT 1 FROM primary_ q WHERE q.incident_id = p.incident_id AND q.connection_id = i.connection_id AND q.dashboard_uid = i.dashboard_uid AND q.panel_id = i.panel_id)
   GROUP BY ALL), tiers AS (
-  SELECT *, CASE WHEN connection_id = 'c1' AND dashboard_uid IN ('d1', 'd4', 'd7') THEN 'product' WHEN connection_id = 'c1' THEN 'connection' ELSE 'all' END AS tier FROM cands)"""
+  SELECT *, CASE WHEN connection_id = 'c1' AND EXISTS (SELECT 1 FROM scope s WHERE s.incident_id = cands.incident_id AND s.dashboard_uid = cands.dashboard_uid) THEN 'product' WHEN connection_id = 'c1' THEN 'connection' ELSE 'all' END AS tier FROM cands)"""
 
 
 def candidates(spark, sf_dir):
     own = index(spark, sf_dir)
-    primary = own.where("dashboard_uid = 'd1' and connection_id = 'c1' and metric <> 'up' and panel_id < 5").withColumn("incident_id", F.col("panel_id"))
+    primary = own.where("dashboard_uid = 'd1' and connection_id = 'c1' and metric <> 'up'").withColumn("incident_id", F.col("panel_id"))
     return correlate.candidate_panels(own, primary), primary
 
 
 def tiered(spark, sf_dir):
     cands, primary = candidates(spark, sf_dir)
     home = primary.select("incident_id", F.col("connection_id").alias("home")).distinct()
-    declared = primary.select("incident_id", F.explode(F.array(F.lit("d4"), F.lit("d7"))).alias("dashboard_uid"))
-    product = declared.unionByName(primary.select("incident_id", "dashboard_uid")).distinct()
-    return correlate.tier_candidates(cands, home, product)
+    return correlate.tier_candidates(cands, home, product_scope(spark, sf_dir, primary))
+
+
+def product_scope(spark, sf_dir, primary):
+    """The dashboards of each incident's product: its own and those that its knowledge panels link to."""
+    linked = knowledge.related_uids(known(spark, sf_dir), "json", "product_key").withColumnRenamed("uid", "dashboard_uid")
+    keyed = primary.select("incident_id", F.concat(F.lit("key"), F.col("panel_id").cast("string")).alias("product_key")).distinct()
+    declared = keyed.join(linked, "product_key").select("incident_id", "dashboard_uid")
+    return declared.unionByName(primary.select("incident_id", "dashboard_uid")).distinct()
 
 
 @register("q_j9_candidate_panels", f"{CANDIDATES} SELECT * FROM cands")
@@ -109,11 +125,9 @@ def j10_containment(spark, sf_dir):
     return correlate.containment(tiered(spark, sf_dir))
 
 
-@register("q_u5_product_scope", f"WITH {METRICS}, {PRIMARY} SELECT DISTINCT incident_id, unnest(['d1', 'd4', 'd7']) AS dashboard_uid FROM primary_")
+@register("q_u5_product_scope", f"WITH {METRICS}, {PRIMARY}, {SCOPE} SELECT incident_id, dashboard_uid FROM scope")
 def u5(spark, sf_dir):
-    _, primary = candidates(spark, sf_dir)
-    declared = primary.select("incident_id", F.explode(F.array(F.lit("d4"), F.lit("d7"))).alias("dashboard_uid"))
-    return declared.unionByName(primary.select("incident_id", "dashboard_uid")).distinct()
+    return product_scope(spark, sf_dir, candidates(spark, sf_dir)[1])
 
 
 DATASOURCES = "SELECT 'c' || (n_nationkey % 3) AS connection_id, 'ds' || (n_nationkey // 3 + 2) AS uid, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'metrics' ELSE 'logs' END AS type FROM nation"
@@ -159,15 +173,17 @@ def t4(spark, sf_dir):
     return catalog.alert_overview(backed(spark, sf_dir)).select(*PANEL, F.col("n_rules").cast("bigint").alias("n_rules"), "total")
 
 
-SEARCH = f"""found AS (SELECT * FROM (SELECT *, (CASE WHEN svc = 's1' THEN 1 ELSE 0 END) AS overlap FROM index_) WHERE (overlap > 0 OR metric = 'metric_3' OR contains(lower(dashboard_title), 'board 2')) AND dashboard_uid <> 'd1'),
+HITS = {"text": "overlap > 0 OR contains(lower(dashboard_title), 'board 2')", "metric": "metric = 'metric_3'"}
+SEARCH = """found AS (SELECT * FROM (SELECT *, (CASE WHEN svc = 's1' THEN 1 ELSE 0 END) AS overlap FROM index_) WHERE (HITS) AND dashboard_uid <> 'd1'),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY connection_id, dashboard_uid, panel_id ORDER BY overlap DESC, metric) AS i FROM found) WHERE i = 1)"""
 
 
-def found(spark, sf_dir):
-    return catalog.search_index(index(spark, sf_dir), {"svc": "s1"}, "metric_3", "Board 2", "d1")
+def found(spark, sf_dir, metric=None):
+    """Panels of one metric, or, without one, by a label value or a text."""
+    return catalog.search_index(index(spark, sf_dir), {"svc": "s1"}, metric, "Board 2", "d1")
 
 
-@register("q_r9_search_dedupe", f"WITH {METRICS}, {SEARCH} SELECT connection_id, dashboard_uid, panel_id, metric, overlap::INT AS overlap FROM best")
+@register("q_r9_search_dedupe", f"WITH {METRICS}, {SEARCH.replace('HITS', HITS['text'])} SELECT connection_id, dashboard_uid, panel_id, metric, overlap::INT AS overlap FROM best")
 def r9(spark, sf_dir):
     return found(spark, sf_dir).select(*PANEL, "metric", "overlap")
 
@@ -178,16 +194,16 @@ RELATED = f"""{BACKED}, {METRICS[METRICS.index("entries AS"):]}, {SEARCH}, meta
   FROM best b LEFT JOIN backed k USING (connection_id, dashboard_uid, panel_id) LEFT JOIN meta USING (connection_id, dashboard_uid))"""
 
 
-@register("q_t2_related_panels", f"{RELATED} SELECT connection_id, dashboard_uid, panel_id, metric, alert_backed, overlap::INT AS overlap, same_author, (SELECT count(*) FROM ranks) AS total FROM ranks ORDER BY alert_backed DESC, overlap DESC, same_author DESC, updated DESC NULLS LAST, connection_id, dashboard_uid, panel_id LIMIT 20")
+@register("q_t2_related_panels", f"{RELATED.replace('HITS', HITS['metric'])} SELECT connection_id, dashboard_uid, panel_id, metric, alert_backed, overlap::INT AS overlap, same_author, (SELECT count(*) FROM ranks) AS total FROM ranks ORDER BY alert_backed DESC, overlap DESC, same_author DESC, updated DESC NULLS LAST, connection_id, dashboard_uid, panel_id LIMIT 20")
 def t2(spark, sf_dir):
-    rows = catalog.rank_related(found(spark, sf_dir), backed(spark, sf_dir), derive(spark, sf_dir, META, "supplier"), "alice")
+    rows = catalog.rank_related(found(spark, sf_dir, "metric_3"), backed(spark, sf_dir), derive(spark, sf_dir, META, "supplier"), "alice")
     return rows.select(*PANEL, "metric", "alert_backed", "overlap", "same_author", "total")
 
 
-@register("q_tool_find_related", f"{RELATED} SELECT alert_backed, same_author, count(*) AS n, sum(overlap)::BIGINT AS overlaps FROM ranks GROUP BY ALL")
+@register("q_tool_find_related", f"{RELATED.replace('HITS', HITS['text'])} SELECT connection_id, dashboard_uid, panel_id, metric, alert_backed, overlap::INT AS overlap, same_author, updated FROM ranks")
 def find_related(spark, sf_dir):
     rows = catalog.related(found(spark, sf_dir), backed(spark, sf_dir), derive(spark, sf_dir, META, "supplier"), "alice")
-    return rows.groupBy("alert_backed", "same_author").agg(F.count(F.lit(1)).alias("n"), F.sum("overlap").alias("overlaps"))
+    return rows.select(*PANEL, "metric", "alert_backed", "overlap", "same_author", "updated")
 
 
 @register("q_a6_label_overlap", "SELECT event_id, (CASE WHEN event_type = 'error' THEN 1 ELSE 0 END + CASE WHEN user_id = 8 THEN 1 ELSE 0 END)::INT AS overlap FROM events")
@@ -200,17 +216,17 @@ def a6(spark, sf_dir):
 PANELS = """SELECT connection_id, dashboard_uid, panel_id, min(panel_title) AS panel_title, min(target_pos) AS at, bool_and(datasource_uid = '-- Dashboard --') AS is_mirror, panel_id % 9 <> 0 AS has_targets, panel_id % 4 = 0 AS has_links FROM targets GROUP BY connection_id, dashboard_uid, panel_id"""
 
 
-@register("q_f20_mirror_panels", f"WITH targets AS (SELECT * FROM ({TARGETS}) WHERE l_partkey % 2 = 1) SELECT connection_id, dashboard_uid, l_orderkey % 5000 AS panel_id, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS mirrored FROM targets GROUP BY ALL HAVING bool_and(datasource_uid = '-- Dashboard --')")
+@register("q_f20_mirror_panels", f"WITH targets AS ({TARGETS}) SELECT connection_id, dashboard_uid, l_orderkey % 5000 AS panel_id, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS mirrored FROM targets GROUP BY ALL HAVING bool_and(datasource_uid = '-- Dashboard --')")
 def f20(spark, sf_dir):
-    rows = targets(spark, sf_dir).where("l_partkey % 2 = 1").withColumns({"panel_id": F.col("l_orderkey") % 5000, "mirrored_id": F.col("l_linenumber").cast("string")})
+    rows = targets(spark, sf_dir).withColumns({"panel_id": F.col("l_orderkey") % 5000, "mirrored_id": F.col("l_linenumber").cast("string")})
     return catalog.mirror_panels(rows).withColumn("mirrored", F.array_join("mirrored", ","))
 
 
-@register("q_f21_duplicate_panels", """WITH panels AS (SELECT l_suppkey % 40 AS d, l_orderkey % 500 AS p, 'T' || (l_partkey % 3) AS t, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber = 1),
+@register("q_f21_duplicate_panels", """WITH panels AS (SELECT l_suppkey % 40 AS d, l_orderkey % 500 AS p, 'T' || (l_partkey % 3) AS t, l_orderkey, l_linenumber, l_partkey FROM lineitem),
 n AS (SELECT d, p, count(*) AS k, count(*) FILTER (WHERE t = 'T1') AS hits FROM panels GROUP BY ALL)
 SELECT 'd' || d AS dashboard_uid, p AS panel_id, t AS panel_title, l_orderkey, l_partkey, NOT (k = 1 OR hits = 1) AS ambiguous FROM panels JOIN n USING (d, p) WHERE k = 1 OR hits <> 1 OR t = 'T1'""")
 def f21(spark, sf_dir):
-    rows = derive(spark, sf_dir, "SELECT 'c' AS connection_id, 'd' || (l_suppkey % 40) AS dashboard_uid, l_orderkey % 500 AS panel_id, 'T' || (l_partkey % 3) AS panel_title, l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1", "lineitem")
+    rows = derive(spark, sf_dir, "SELECT 'c' AS connection_id, 'd' || (l_suppkey % 40) AS dashboard_uid, l_orderkey % 500 AS panel_id, 'T' || (l_partkey % 3) AS panel_title, l_orderkey, l_partkey FROM lineitem", "lineitem")
     return catalog.find_panel(rows, "T1").select("dashboard_uid", "panel_id", "panel_title", "l_orderkey", "l_partkey", F.col("problem").isNotNull().alias("ambiguous"))
 
 
@@ -231,33 +247,43 @@ def f29(spark, sf_dir):
     return rows.withColumn("variables", F.array_join(F.transform("variables", lambda v: v["name"]), ","))
 
 
-NESTED = "id bigint, title string, type string, datasource string, targets array<struct<ref_id:string,datasource:string>>"
+INNER = "array<struct<id:bigint,title:string,type:string,datasource:string,targets:array<struct<ref_id:string,datasource:string>>>>"
 
 
 def nested(spark, sf_dir):
-    """Dashboards whose odd panels lie in one of five rows, with targets of the panel's or of their own datasource."""
-    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("d"), (F.col("l_suppkey") % 40).cast("string")).alias("uid"), (F.col("l_orderkey") % 50).alias("id"), "l_orderkey", "l_linenumber", "l_partkey")
-    target = F.struct(F.concat(F.lit("r"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"), F.lit("."), F.col("l_partkey").cast("string")).alias("ref_id"), F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("ds"), (F.col("l_partkey") % 11).cast("string"))).alias("datasource"))
-    panels = rows.groupBy("uid", "id").agg(F.collect_list(target).alias("targets"))
+    """A dashboard for each order: panels for its lines, the odd ones in a row, with the panel's or their own datasource."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("id"), "l_partkey")
+    target = F.struct(F.concat(F.lit("r"), F.col("l_partkey").cast("string")).alias("ref_id"), F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("ds"), (F.col("l_partkey") % 11).cast("string"))).alias("datasource"))
+    panels = rows.groupBy("l_orderkey", "id").agg(F.sort_array(F.collect_list(target)).alias("targets"))
     mixed = F.when(F.col("id") % 7 == 6, catalog.MIXED).otherwise(F.concat(F.lit("ds"), (F.col("id") % 7).cast("string")))
-    panel = F.struct("id", F.concat(F.lit("P"), F.col("id").cast("string")).alias("title"), F.lit("graph").alias("type"), mixed.alias("datasource"), "targets")
-    inner = panels.where("id % 2 = 1").groupBy("uid", (F.col("id") % 5).alias("row")).agg(F.collect_list(panel).alias("panels"))
-    shelf = F.struct((F.col("row") + 100).alias("id"), F.lit("row").alias("title"), F.lit("row").alias("type"), F.lit(None).cast("string").alias("datasource"), F.array().cast("array<struct<ref_id:string,datasource:string>>").alias("targets"), "panels")
-    alone = F.struct(*[panel[x].alias(x) for x in ("id", "title", "type", "datasource", "targets")], F.array().cast(f"array<struct<{NESTED.replace('id bigint', 'id:bigint').replace('title string', 'title:string').replace('type string', 'type:string').replace('datasource string, t', 'datasource:string, t').replace('targets array', 'targets:array')}>>").alias("panels"))
-    both = inner.select("uid", shelf.alias("p")).unionByName(panels.where("id % 2 = 0").select("uid", alone.alias("p")))
-    return both.groupBy("uid").agg(F.collect_list("p").alias("panels")).select(F.lit("c0").alias("connection_id"), "uid", F.col("uid").alias("title"), "panels")
+    fields = {"id": F.col("id"), "title": F.concat(F.lit("P"), F.col("id").cast("string")), "type": F.lit("graph"), "datasource": mixed, "targets": F.col("targets")}
+    panel = F.struct(*[v.alias(k) for k, v in fields.items()])
+    inner = panels.where("id % 2 = 1").groupBy("l_orderkey").agg(F.collect_list(panel).alias("panels"))
+    shelf = F.struct(F.lit(100).cast("bigint").alias("id"), F.lit("row").alias("title"), F.lit("row").alias("type"), F.lit(None).cast("string").alias("datasource"), F.array().cast("array<struct<ref_id:string,datasource:string>>").alias("targets"), "panels")
+    alone = F.struct(*[v.alias(k) for k, v in fields.items()], F.array().cast(INNER).alias("panels"))
+    both = inner.select("l_orderkey", shelf.alias("p")).unionByName(panels.where("id % 2 = 0").select("l_orderkey", alone.alias("p")))
+    uid = F.concat(F.lit("d"), F.col("l_orderkey").cast("string"))
+    boards = both.groupBy("l_orderkey").agg(F.collect_list("p").alias("panels"))
+    return boards.select(F.concat(F.lit("c"), (F.col("l_orderkey") % 3).cast("string")).alias("connection_id"), uid.alias("uid"), uid.alias("title"), "panels")
+
+
+SOURCE = "CASE WHEN l_partkey % 2 = 0 THEN 'ds' || (l_partkey % 11) WHEN l_linenumber % 7 = 6 THEN NULL ELSE 'ds' || (l_linenumber % 7) END"
 
 
-@register("q_s5_panel_targets", """SELECT 'd' || (l_suppkey % 40) AS dashboard_uid, l_orderkey % 50 AS panel_id, 'r' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS ref_id,
-CASE WHEN l_partkey % 2 = 0 THEN 'ds' || (l_partkey % 11) WHEN (l_orderkey % 50) % 7 = 6 THEN NULL ELSE 'ds' || ((l_orderkey % 50) % 7) END AS datasource_uid FROM lineitem""")
+@register("q_s5_panel_targets", f"SELECT 'd' || l_orderkey AS dashboard_uid, l_linenumber::BIGINT AS panel_id, 'r' || l_partkey AS ref_id, {SOURCE} AS datasource_uid FROM lineitem")
 def s5(spark, sf_dir):
     return catalog.panel_targets(catalog.flatten_panels(nested(spark, sf_dir))).select("dashboard_uid", "panel_id", "ref_id", "datasource_uid")
 
 
-@register("q_tool_resolve_panel_queries", "SELECT 'd' || (l_suppkey % 40) AS dashboard_uid, count(DISTINCT l_orderkey % 50) AS panels, count(*) AS targets FROM lineitem GROUP BY 1")
+@register("q_tool_resolve_panel_queries", f"""WITH ds AS ({DATASOURCES}), t AS (SELECT 'c' || (l_orderkey % 3) AS connection_id, 'd' || l_orderkey AS dashboard_uid, l_linenumber::BIGINT AS panel_id, 'r' || l_partkey AS ref_id, {SOURCE} AS source FROM lineitem)
+SELECT t.connection_id, dashboard_uid, panel_id, ref_id, source AS datasource_uid, max(ds.type) AS type FROM t LEFT JOIN ds ON ds.connection_id = t.connection_id AND ds.uid = source GROUP BY t.connection_id, dashboard_uid, panel_id, ref_id, source""")
 def resolve_panels(spark, sf_dir):
-    rows = catalog.panel_targets(catalog.flatten_panels(nested(spark, sf_dir)))
-    return rows.groupBy("dashboard_uid").agg(F.countDistinct("panel_id").alias("panels"), F.count(F.lit(1)).alias("targets"))
+    """The distinct queries of every panel with the datasource that each resolves to, and its type where it exists."""
+    rows = catalog.panel_targets(catalog.flatten_panels(nested(spark, sf_dir))).select(*PANEL, "ref_id", F.col("datasource_uid").alias("ref")).distinct()
+    sources = datasources(spark, sf_dir)
+    types = sources.select("connection_id", F.col("uid").alias("resolved"), "type")
+    resolved = catalog.resolve_datasource(rows, sources).join(types, ["connection_id", "resolved"], "left")
+    return resolved.select(*PANEL, "ref_id", F.col("resolved").alias("datasource_uid"), "type")
 
 
 @register("q_f19_panel_links", "SELECT 'd' || (s_suppkey % 40) AS dashboard_uid, s_suppkey AS panel_id, f AS field, s_name AS title, 'https://x/' || s_suppkey || coalesce(f, '') AS url FROM supplier, unnest([NULL, 'cpu']) AS t(f) WHERE f IS NULL OR s_suppkey % 2 = 0")
@@ -339,11 +365,11 @@ def a16(spark, sf_dir):
     return catalog.failed_sources(expected, got)
 
 
-@register("q_j20_paired_sources", "SELECT 'm' || s_suppkey AS metric_id, 'l' || p_partkey AS log_id, 'tag' || (s_suppkey % 10) AS shared FROM supplier JOIN part ON s_suppkey % 10 = p_partkey % 10 WHERE p_partkey < 200")
+@register("q_j20_paired_sources", "SELECT 'm' || s_suppkey AS metric_id, 'l' || p_partkey AS log_id, 'tag' || (s_suppkey % 10) AS shared FROM supplier JOIN part ON s_suppkey % 10 = p_partkey % 10")
 def j20(spark, sf_dir):
     tags = lambda k: F.array(F.concat(F.lit("tag"), (F.col(k) % 10).cast("string")), F.concat(F.lit("own"), F.col(k).cast("string")))
     metrics = table(spark, sf_dir, "supplier").select(F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("id"), tags("s_suppkey").alias("tags"))
-    other = table(spark, sf_dir, "part").where("p_partkey < 200").select(F.concat(F.lit("l"), F.col("p_partkey").cast("string")).alias("id"), F.transform(tags("p_partkey"), lambda t: F.replace(t, F.lit("own"), F.lit("log"))).alias("tags"))
+    other = table(spark, sf_dir, "part").select(F.concat(F.lit("l"), F.col("p_partkey").cast("string")).alias("id"), F.transform(tags("p_partkey"), lambda t: F.replace(t, F.lit("own"), F.lit("log"))).alias("tags"))
     return catalog.pair_sources(metrics, other).withColumn("shared", F.array_join("shared", ","))
 
 
@@ -390,22 +416,22 @@ def f28(spark, sf_dir):
 
 
 def connections(spark, sf_dir):
-    """Three regions answer to hosts 0 to 3, and host 3 to two of them."""
-    rows = table(spark, sf_dir, "region").where("r_regionkey < 3")
+    """Five regions answer to hosts 0 to 4, and all but the first to host 3 as well."""
+    rows = table(spark, sf_dir, "region")
     url = F.concat(F.lit("https://Host"), F.col("r_regionkey").cast("string"), F.lit(".example.com:3000/"))
     return rows.select(F.concat(F.lit("c"), F.col("r_regionkey").cast("string")).alias("id"), url.alias("url"), F.when(F.col("r_regionkey") > 0, F.array(F.lit("HOST3.example.com"))).alias("match_hosts"))
 
 
-@register("q_j14_connections", f"SELECT id, CASE WHEN id % 5 IN (0, 4) THEN 'no-host' WHEN h < 3 THEN 'matched' WHEN h = 3 THEN 'ambiguous' ELSE 'unmatched' END AS status, CASE WHEN id % 5 IN (1, 2, 3) AND h < 3 THEN 'c' || h END AS connection_id FROM (SELECT id, CAST(regexp_extract(lower(coalesce(panel_url, dashboard_url, generator_url)), 'host([0-9])', 1) AS VARCHAR) AS hs, TRY_CAST(hs AS INT) AS h FROM ({ALERTS}))")
+@register("q_j14_connections", f"SELECT id, CASE WHEN id % 5 IN (0, 4) THEN 'no-host' WHEN h = 3 THEN 'ambiguous' WHEN h < 5 THEN 'matched' ELSE 'unmatched' END AS status, CASE WHEN id % 5 IN (1, 2, 3) AND h < 5 AND h <> 3 THEN 'c' || h END AS connection_id FROM (SELECT id, CAST(regexp_extract(lower(coalesce(panel_url, dashboard_url, generator_url)), 'host([0-9])', 1) AS VARCHAR) AS hs, TRY_CAST(hs AS INT) AS h FROM ({ALERTS}))")
 def j14(spark, sf_dir):
     return alerts.resolve_connections(raw_alerts(spark, sf_dir).drop("connection_id"), connections(spark, sf_dir)).select("id", "status", "connection_id")
 
 
 def store(spark, sf_dir):
-    """Batches of one day's alerts each as JSON lines, every third line torn."""
+    """Batches of some of one day's alerts as JSON lines; those of every third day are torn."""
     rows = raw_alerts(spark, sf_dir)
     alert = F.struct("fingerprint", F.col("state").alias("status"), "labels", "annotations", c.iso(F.col("starts_at")).alias("startsAt"), c.iso(F.col("ends_at")).alias("endsAt"), F.col("generator_url").alias("generatorURL"), F.col("dashboard_url").alias("dashboardURL"), F.col("panel_url").alias("panelURL"))
-    batches = rows.groupBy("starts_at").agg(F.collect_list(alert).alias("alerts"))
+    batches = rows.groupBy("starts_at", F.floor(F.col("id") / 1000)).agg(F.collect_list(alert).alias("alerts"))
     line = F.to_json(F.struct(c.iso(c.later(F.col("starts_at"), F.lit(3_600_000))).alias("receivedAt"), F.struct("alerts").alias("payload")))
     torn = F.dayofmonth("starts_at") % 3 == 0
     return flatten_batches(parse_batches(batches.select(F.when(torn, F.left(line, F.lit(40))).otherwise(line).alias("value"))))
@@ -463,28 +489,18 @@ def f22(spark, sf_dir):
 
 # knowledge
 
-KNOWLEDGE = """
-SELECT 'c0' AS connection_id, 'k' || (doc_id % 25) AS dashboard_uid, doc_id AS panel_id, doc_id AS at, CASE doc_id % 4 WHEN 0 THEN 'Knowledge: Key' || (doc_id % 60) WHEN 1 THEN 'knowledge:  key' || (doc_id % 60) || ' ' WHEN 2 THEN 'KNOWLEDGE: key' || (doc_id % 60) ELSE 'Notes' END AS title,
-       CASE WHEN doc_id % 3 = 0 THEN 'see ```json' || chr(10) || '{"id": ' || doc_id || ', "links": ["/d/u' || (doc_id % 17) || '/x"]}' || chr(10) || '``` more'
-            WHEN doc_id % 3 = 1 THEN '```json' || chr(10) || '{bad' || chr(10) || '```' ELSE 'plain ' || doc_id END AS content
-FROM documents"""
-
 
 def known(spark, sf_dir):
     return knowledge.extract_knowledge(derive(spark, sf_dir, KNOWLEDGE, "documents"))
 
 
-FIRST = f"""panels AS (SELECT *, lower(trim(regexp_extract(title, '(?i)^knowledge:\\s*(.+)$', 1))) AS product_key FROM ({KNOWLEDGE})),
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dashboard_uid, product_key ORDER BY "at", panel_id) AS i FROM panels WHERE product_key <> '') WHERE i = 1)"""
-
-
-@register("q_f24_knowledge", f"""WITH {FIRST} SELECT dashboard_uid, panel_id, product_key, CASE WHEN panel_id % 3 = 0 THEN '{{"id":' || panel_id || ',"links":["/d/u' || (panel_id % 17) || '/x"]}}' END AS json,
-CASE panel_id % 3 WHEN 0 THEN 'see  more' ELSE content END AS prose, panel_id % 3 = 1 AS parse_error FROM firsts""")
+@register("q_f24_knowledge", f"""WITH {FIRST} SELECT dashboard_uid, panel_id, product_key, CASE WHEN panel_id % 3 = 0 THEN '{{"id":' || panel_id || ',"links":["/d/d' || (panel_id % 17) || '/x"]}}' END AS json,
+CASE panel_id % 3 WHEN 0 THEN 'see  more ```json' || chr(10) || '{{"second": 2}}' || chr(10) || '``` end' ELSE content END AS prose, panel_id % 3 = 1 AS parse_error FROM firsts""")
 def f24(spark, sf_dir):
     return known(spark, sf_dir).drop("connection_id")
 
 
-@register("q_f25_related_uids", f"WITH {FIRST} SELECT DISTINCT dashboard_uid, 'u' || (panel_id % 17) AS uid FROM firsts WHERE panel_id % 3 = 0")
+@register("q_f25_related_uids", f"WITH {FIRST} SELECT DISTINCT dashboard_uid, 'd' || (panel_id % 17) AS uid FROM firsts WHERE panel_id % 3 = 0")
 def f25(spark, sf_dir):
     return knowledge.related_uids(known(spark, sf_dir), "json", "dashboard_uid")
 
@@ -499,7 +515,7 @@ def f25_pages(spark, sf_dir):
 
 @register("q_j17_all_matches", f"WITH {FIRST} SELECT dashboard_uid, panel_id, product_key FROM firsts WHERE product_key IN ('key4', 'key8', 'key13')")
 def j17(spark, sf_dir):
-    keys = table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.when(F.col("r_regionkey") == 0, "KEY4").when(F.col("r_regionkey") == 1, "Key8").otherwise("key13").alias("key"))
+    keys = table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") == 0, "KEY4").when(F.col("r_regionkey") == 1, "Key8").otherwise("key13").alias("key"))
     return knowledge.knowledge_matches(known(spark, sf_dir), keys).select("dashboard_uid", "panel_id", "product_key")
 
 
@@ -511,13 +527,13 @@ def folders(spark, sf_dir):
     return rows.select(F.col("p_partkey").alias("uid"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("parent_uid"))
 
 
-WALK = f"WITH RECURSIVE folders AS ({FOLDERS}), walk AS (SELECT uid, parent_uid AS ancestor, 1 AS depth FROM folders WHERE uid % 5 = 0 AND parent_uid IS NOT NULL UNION ALL SELECT w.uid, f.parent_uid, depth + 1 FROM walk w JOIN folders f ON f.uid = w.ancestor WHERE f.parent_uid IS NOT NULL AND depth < 10)"
+WALK = f"WITH RECURSIVE folders AS ({FOLDERS}), walk AS (SELECT uid, parent_uid AS ancestor, 1 AS depth FROM folders WHERE parent_uid IS NOT NULL UNION ALL SELECT w.uid, f.parent_uid, depth + 1 FROM walk w JOIN folders f ON f.uid = w.ancestor WHERE f.parent_uid IS NOT NULL AND depth < 10)"
 
 
 @register("q_j18_ancestors", f"{WALK} SELECT uid, ancestor, depth FROM walk")
 def j18(spark, sf_dir):
     rows = folders(spark, sf_dir)
-    return knowledge.folder_ancestors(spark, rows, rows.where("uid % 5 = 0").select("uid"))
+    return knowledge.folder_ancestors(spark, rows, rows.select("uid"))
 
 
 @register("q_j19_descendants", f"WITH RECURSIVE folders AS ({FOLDERS}), walk AS (SELECT uid, 1 AS depth FROM folders WHERE parent_uid = 3 UNION ALL SELECT f.uid, depth + 1 FROM walk w JOIN folders f ON f.parent_uid = w.uid WHERE depth < 10) SELECT uid, depth, (SELECT count(*) FROM walk) > 500 AS truncated FROM walk ORDER BY depth, uid LIMIT 500")
@@ -525,31 +541,53 @@ def j19(spark, sf_dir):
     return knowledge.folder_contents(folders(spark, sf_dir), 3)
 
 
-ATTACH = f"""{WALK}, {FIRST}, al AS (SELECT o_orderkey AS alert_id, o_orderkey % 2000 AS folder, 'key' || (o_custkey % 60) AS k0, 'key' || (o_custkey % 7) AS k1 FROM orders WHERE (o_orderkey % 2000) % 5 = 0),
+ATTACH = f"""{WALK}, {FIRST}, al AS (SELECT o_orderkey AS alert_id, o_orderkey % 2000 AS folder, 'key' || (o_custkey % 60) AS k0, 'key' || (o_custkey % 7) AS k1 FROM orders),
 keys AS (SELECT alert_id, 0 AS position, k0 AS key FROM al UNION ALL SELECT alert_id, 1, k1 FROM al),
 best AS (SELECT alert_id, key, min(position) AS position FROM keys GROUP BY ALL),
-up AS (SELECT a.alert_id, w.ancestor, w.depth FROM al a JOIN walk w ON w.uid = a.folder),
-hits AS (SELECT b.alert_id, f.dashboard_uid, f.panel_id, f.product_key, b.position, u.depth FROM best b JOIN firsts f ON f.product_key = b.key LEFT JOIN up u ON u.alert_id = b.alert_id AND u.ancestor = substr(f.dashboard_uid, 2)::BIGINT)"""
+homes AS (SELECT DISTINCT dashboard_uid, 10 * substr(dashboard_uid, 2)::BIGINT AS home FROM firsts),
+up AS (SELECT uid, ancestor, depth FROM walk UNION ALL SELECT uid, uid, 0 FROM folders),
+walked AS (SELECT a.alert_id, arg_min(h.dashboard_uid, u.depth) AS near, min(u.depth) AS depth FROM al a JOIN up u ON u.uid = a.folder JOIN homes h ON h.home = u.ancestor GROUP BY 1),
+hits AS (SELECT b.alert_id, f.dashboard_uid, f.panel_id, f.product_key, b.position, CASE WHEN f.dashboard_uid = w.near THEN w.depth END AS depth
+  FROM best b JOIN firsts f ON f.product_key = b.key LEFT JOIN walked w USING (alert_id)),
+attached AS (SELECT alert_id, dashboard_uid, panel_id, product_key, depth FROM (
+  SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY depth IS NULL, dashboard_uid, position, panel_id) AS i FROM hits) WHERE i = 1)"""
 
 
-@register("q_j16_attached_knowledge", f"{ATTACH} SELECT alert_id, dashboard_uid, panel_id, product_key, depth FROM (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY depth NULLS LAST, position, dashboard_uid, panel_id) AS i FROM hits) WHERE i = 1")
+@register("q_j16_attached_knowledge", f"{ATTACH} SELECT * FROM attached")
 def j16(spark, sf_dir):
-    """Alerts in folders of the tree; a dashboard's home is the folder with its number."""
+    """Alerts in folders of the tree; every tenth folder is the home of a knowledge dashboard."""
     rows = folders(spark, sf_dir)
-    own = table(spark, sf_dir, "orders").where("(o_orderkey % 2000) % 5 = 0").select(F.col("o_orderkey").alias("alert_id"), (F.col("o_orderkey") % 2000).alias("at"), F.array(F.concat(F.lit("Key"), (F.col("o_custkey") % 60).cast("string")), F.concat(F.lit("key"), (F.col("o_custkey") % 7).cast("string"))).alias("k"))
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("alert_id"), (F.col("o_orderkey") % 2000).alias("at"), F.array(F.concat(F.lit("Key"), (F.col("o_custkey") % 60).cast("string")), F.concat(F.lit("key"), (F.col("o_custkey") % 7).cast("string"))).alias("k"))
     keys = own.select("alert_id", F.posexplode("k").alias("position", "key"))
-    up = knowledge.folder_ancestors(spark, rows, rows.where("uid % 5 = 0").select("uid"))
+    up = knowledge.folder_ancestors(spark, rows, rows.select("uid"), own=True)
     above = own.join(up, F.col("at") == F.col("uid")).select("alert_id", F.col("ancestor").alias("folder"), "depth")
     panels = known(spark, sf_dir)
-    homes = panels.select("dashboard_uid").distinct().withColumn("home", F.expr("cast(substring(dashboard_uid, 2) as bigint)"))
+    homes = panels.select("dashboard_uid").distinct().withColumn("home", F.expr("10 * cast(substring(dashboard_uid, 2) as bigint)"))
     found = knowledge.attach_knowledge(own.select("alert_id"), keys, above, panels, homes)
     return found.select("alert_id", "dashboard_uid", "panel_id", "product_key", "depth")
 
 
-@register("q_tool_get_alert_context", f"""{ATTACH}, ctx AS (SELECT id, CASE WHEN state = 'resolved' THEN 1 ELSE 0 END AS done, CASE WHEN id % 5 = 0 THEN 1 WHEN id % 5 IN (1, 2) THEN 1 ELSE 0 END AS linked FROM ({ALERTS}))
-SELECT count(*) AS alerts, sum(done)::BIGINT AS resolved, sum(linked)::BIGINT AS linked, count(DISTINCT h.alert_id) AS with_knowledge FROM ctx LEFT JOIN (SELECT DISTINCT alert_id FROM hits) h ON h.alert_id = ctx.id""")
+@register("q_tool_get_alert_context", f"""{ATTACH}, ctx AS (SELECT id, alertname AS alert_name, state, CASE id % 5 WHEN 0 THEN uid_note WHEN 1 THEN regexp_extract(panel_url, '/d/([^/]+)', 1) WHEN 2 THEN regexp_extract(dashboard_url, '/d-solo/([^?]+)', 1) END AS dashboard_uid,
+TRY_CAST(regexp_extract(lower(coalesce(panel_url, dashboard_url, generator_url)), 'host([0-9])', 1) AS INT) AS h FROM ({ALERTS}))
+SELECT id, alert_name, state, ctx.dashboard_uid, CASE WHEN h < 5 AND h <> 3 THEN 'c' || h END AS connection_id, k.dashboard_uid AS knowledge_uid, k.panel_id AS knowledge_panel, k.product_key FROM ctx LEFT JOIN attached k ON k.alert_id = ctx.id""")
 def alert_context(spark, sf_dir):
-    rows = alerts.normalize_alerts(raw_alerts(spark, sf_dir))
-    with_ = j16(spark, sf_dir).select(F.col("alert_id").alias("id"), F.lit(1).alias("k"))
-    joined = rows.join(with_, "id", "left")
-    return joined.agg(F.count(F.lit(1)).alias("alerts"), F.count("ends_at").alias("resolved"), F.count("dashboard_uid").alias("linked"), F.count("k").alias("with_knowledge"))
+    """Each alert with what it links to, the connection that its host belongs to, and its knowledge panel."""
+    raw = raw_alerts(spark, sf_dir).drop("connection_id")
+    rows = alerts.normalize_alerts(raw.withColumn("connection_id", F.lit(None).cast("string"))).select("id", "alert_name", "dashboard_uid")
+    hosts = alerts.resolve_connections(raw, connections(spark, sf_dir)).select("id", "state", "connection_id")
+    own = j16(spark, sf_dir).select(F.col("alert_id").alias("id"), F.col("dashboard_uid").alias("knowledge_uid"), F.col("panel_id").alias("knowledge_panel"), "product_key")
+    return rows.join(hosts, "id").join(own, "id", "left").select("id", "alert_name", "state", "dashboard_uid", "connection_id", "knowledge_uid", "knowledge_panel", "product_key")
+
+
+@register("q_tool_get_product_context", f"""WITH {FIRST} SELECT o_custkey % 60 AS k, count(DISTINCT o_orderkey) AS asked, any_value(n) AS panels, any_value(links) AS links FROM orders
+JOIN (SELECT product_key, count(*) AS n, count(DISTINCT CASE WHEN panel_id % 3 = 0 THEN panel_id % 17 END) AS links FROM firsts GROUP BY 1) ON product_key = 'key' || (o_custkey % 60) GROUP BY 1""")
+def product_context(spark, sf_dir):
+    """The products that customers ask for: every knowledge panel of the key, and the dashboards that these link to."""
+    panels = known(spark, sf_dir)
+    asked = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 60).alias("k")).agg(F.countDistinct("o_orderkey").alias("asked"))
+    asked = asked.withColumn("product_key", F.concat(F.lit("key"), F.col("k").cast("string")))
+    matches = knowledge.knowledge_matches(panels, asked.select(F.col("product_key").alias("key")))
+    linked = knowledge.related_uids(matches, "json", "product_key").groupBy("product_key").agg(F.countDistinct("uid").alias("links"))
+    counts = matches.groupBy("product_key").agg(F.count(F.lit(1)).alias("panels"))
+    rows = asked.join(counts, "product_key").join(linked, "product_key", "left")
+    return rows.select("k", "asked", "panels", F.coalesce("links", F.lit(0)).alias("links"))

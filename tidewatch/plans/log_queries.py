@@ -14,10 +14,10 @@ from tidewatch.sources.logs import promote_labels
 
 
 def results(spark, sf_dir):
-    """One document a day: a frame for each event type; errors of odd days failed. Written and read as JSON lines."""
-    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    """One document for a thousand events: a frame for each event type; errors of odd ones failed. Written and read as JSON lines."""
+    batch = F.floor(F.col("event_id") / 1000)
     points = F.sort_array(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), "event_id", "value")))
-    by = table(spark, sf_dir, "events").groupBy(day.alias("day"), "event_type").agg(points.alias("p"))
+    by = table(spark, sf_dir, "events").groupBy(batch.alias("batch"), "event_type").agg(points.alias("p"))
     field = lambda name, kind, labels=None: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), (labels if labels is not None else F.lit(None).cast("map<string,string>")).alias("labels"))
     text = lambda f: F.transform("p", lambda x: f(x).cast("string"))
     frame = F.struct(
@@ -25,15 +25,15 @@ def results(spark, sf_dir):
         F.array(field("note", "string"), field("Time", "time"), field("v", "number", F.create_map(F.lit("event_type"), F.col("event_type")))).alias("fields"),
         F.array(text(lambda x: x["event_id"]), text(lambda x: x["t"]), text(lambda x: x["value"])).alias("values"),
     )
-    failed = (F.col("event_type") == "error") & (F.dayofmonth("day") % 2 == 1)
+    failed = (F.col("event_type") == "error") & (F.col("batch") % 2 == 1)
     one = F.struct(F.when(failed, "timeout").alias("error"), F.when(~failed, F.array(frame)).alias("frames"))
-    docs = by.select("day", F.col("event_type").alias("key"), one.alias("r")).groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("key", "r"))).alias("results"))
+    docs = by.select("batch", F.col("event_type").alias("key"), one.alias("r")).groupBy("batch").agg(F.map_from_entries(F.collect_list(F.struct("key", "r"))).alias("results"))
     path = work_path(spark, "frames")
     docs.select("results").write.json(path)
     return frames.read_results(spark, path)
 
 
-GOOD = "NOT (event_type = 'error' AND day(ts) % 2 = 1)"
+GOOD = "NOT (event_type = 'error' AND (event_id // 1000) % 2 = 1)"
 
 
 @register("q_s1_frame_samples", f"SELECT 'A' || '' AS x, event_type AS ref_id, event_type || '|event_type=' || event_type AS series_key, epoch_ms(ts) AS t_ms, value AS v FROM events WHERE {GOOD}")
@@ -41,7 +41,7 @@ def s1(spark, sf_dir):
     return frames.frame_samples(results(spark, sf_dir)).select(F.lit("A").alias("x"), "ref_id", "series_key", ms("t").alias("t_ms"), "v")
 
 
-@register("q_s1e_frame_errors", "SELECT 'error' AS ref_id, 'timeout' AS message FROM (SELECT DISTINCT date_trunc('day', ts) AS d FROM events WHERE event_type = 'error' AND day(ts) % 2 = 1)")
+@register("q_s1e_frame_errors", "SELECT 'error' AS ref_id, 'timeout' AS message FROM (SELECT DISTINCT event_id // 1000 AS d FROM events WHERE event_type = 'error' AND (event_id // 1000) % 2 = 1)")
 def s1e(spark, sf_dir):
     return frames.frame_errors(results(spark, sf_dir))
 
@@ -52,20 +52,21 @@ def s2(spark, sf_dir):
     return rows.select("ref_id", F.array_join("names", ",").alias("names"), F.get("cells", F.lit(0)).alias("note"), F.get("cells", F.lit(1)).alias("at"))
 
 
-@register("q_s10_frame_suffixes", f"SELECT event_type AS ref_id, strftime(ts, '%d') AS d, event_type || CASE WHEN count(*) OVER (PARTITION BY event_type) > 1 THEN '-' || row_number() OVER (PARTITION BY event_type ORDER BY strftime(ts, '%d')) ELSE '' END AS suffix FROM (SELECT DISTINCT event_type, date_trunc('day', ts) AS ts FROM events WHERE {GOOD})")
+@register("q_s10_frame_suffixes", f"SELECT event_type AS ref_id, d, event_type || CASE WHEN count(*) OVER (PARTITION BY event_type) > 1 THEN '-' || row_number() OVER (PARTITION BY event_type ORDER BY d) ELSE '' END AS suffix FROM (SELECT DISTINCT event_type, event_id // 1000 AS d FROM events WHERE {GOOD})")
 def s10(spark, sf_dir):
-    """The frames of all days as one batch, which repeats every ref."""
-    rows = frames.frame_samples(results(spark, sf_dir)).select("ref_id", F.date_format("t", "dd").alias("d")).distinct()
+    """The frames of all documents as one batch, which repeats every ref."""
+    note = F.get("cells", F.lit(0)).cast("bigint")
+    rows = frames.frame_rows(results(spark, sf_dir)).select("ref_id", F.floor(note / 1000).alias("d")).distinct()
     named = csv.frame_suffixes(rows.select("ref_id", F.col("d").alias("frame")))
     return named.select("ref_id", F.col("frame").alias("d"), "suffix")
 
 
-@register("q_s10_frame_files", f"SELECT count(*) AS cells, count(DISTINCT event_type) AS refs FROM events WHERE {GOOD}")
+@register("q_s10_frame_files", f"SELECT event_type AS suffix, event_id::VARCHAR AS note, strftime(make_timestamp((epoch_us(ts) // 1000) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at FROM events WHERE {GOOD}")
 def s10_files(spark, sf_dir):
     path = work_path(spark, "frames-csv")
     csv.export_frames(frames.frame_rows(results(spark, sf_dir)).withColumn("frame", F.lit(0)), path)
     back = spark.read.csv(path)
-    return back.agg(F.count(F.lit(1)).alias("cells"), F.countDistinct(F.col("suffix")).alias("refs"))
+    return back.select("suffix", F.col("_c0").alias("note"), F.col("_c1").alias("at"))
 
 
 # logs
@@ -189,22 +190,22 @@ def f17(spark, sf_dir):
     return masked.select("doc_id", F.md5("d.text").alias("text_md5"), F.col("d.inner.url").alias("kept"), F.col("d.inner.password").alias("password"), "source")
 
 
-@register("q_s9_neutral_cells", """WITH cells AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '=' WHEN 1 THEN '  +' WHEN 2 THEN '-1.5' WHEN 3 THEN '@' WHEN 4 THEN 'a=' WHEN 5 THEN '+2' ELSE chr(9) || '-' END ||
-CASE WHEN doc_id % 7 IN (2, 5) THEN '' ELSE left(text, 20) END AS cell FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 1, 3, 6) THEN '''' || cell ELSE cell END AS cell FROM cells""")
+@register("q_s9_neutral_cells", """WITH cells AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '=' WHEN 1 THEN ' =' WHEN 2 THEN '-1.5' WHEN 3 THEN '@' WHEN 4 THEN 'a=' WHEN 5 THEN '+2' ELSE chr(9) || '-' END ||
+CASE WHEN doc_id % 7 IN (2, 5) THEN '' ELSE text END AS cell FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 3, 6) THEN '''' || cell ELSE cell END AS cell FROM cells""")
 def s9(spark, sf_dir):
     n = F.col("doc_id") % 7
-    lead = F.when(n == 0, "=").when(n == 1, "  +").when(n == 2, "-1.5").when(n == 3, "@").when(n == 4, "a=").when(n == 5, "+2").otherwise("\t-")
-    cells = table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, F.when(n.isin(2, 5), "").otherwise(F.left("text", F.lit(20)))).alias("cell"))
+    lead = F.when(n == 0, "=").when(n == 1, " =").when(n == 2, "-1.5").when(n == 3, "@").when(n == 4, "a=").when(n == 5, "+2").otherwise("\t-")
+    cells = table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, F.when(n.isin(2, 5), "").otherwise(F.col("text"))).alias("cell"))
     return csv.neutralize_cells(cells)
 
 
-@register("q_s8_csv_documents", "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text <> ''")
+@register("q_s8_csv_documents", "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents")
 def s8(spark, sf_dir):
-    """Whole texts, with their line breaks, quotes and commas, written as CSV and read back."""
+    """Whole texts, with their line breaks, quotes and commas, written as CSV and read back; CSV doesn't tell null from empty."""
     path = work_path(spark, "documents-csv")
-    table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text").write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return csv.read_csv(spark, path).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"))
+    table(spark, sf_dir, "documents").select("doc_id", "text").write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return csv.read_csv(spark, path).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
 DAILY = "SELECT date_trunc('day', ts) AS d, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1"
@@ -237,15 +238,17 @@ def t6(spark, sf_dir):
     return ranked(samples(spark, sf_dir), ["series_key"]).select(ms("t").alias("t_ms"), "series_key", (F.col("i") + 1).cast("int").alias("line"))
 
 
-@register("q_tool_export_panel_csv", f"WITH {USER_SAMPLES} SELECT strftime(date_trunc('day', t), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS timestamp, user_id, count(*) AS n FROM samples WHERE event_type = 'error' AND user_id < 5 GROUP BY 1, 2")
+@register("q_tool_export_panel_csv", f"WITH {USER_SAMPLES} SELECT strftime(date_trunc('day', t), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS timestamp, user_id % 25 AS shard, count(*) AS n FROM samples WHERE event_type = 'error' GROUP BY 1, 2")
 def tool_export(spark, sf_dir):
-    own = samples(spark, sf_dir, by_user=True).where("event_type = 'error' and user_id < 5")
-    by = own.groupBy("series_key", F.date_trunc("day", "t").alias("t")).agg(F.count("v").cast("double").alias("v"), F.first("ref_id").alias("ref_id"), F.first("labels").alias("labels"))
+    """The errors of each of 25 shards of users: the panel's series are the columns."""
+    own = samples(spark, sf_dir).where("event_type = 'error'").withColumn("shard", (F.col("user_id") % 25).cast("string"))
+    by = own.groupBy("shard", F.date_trunc("day", "t").alias("t")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    by = by.select(F.lit("A").alias("ref_id"), F.create_map(F.lit("shard"), F.col("shard")).alias("labels"), F.concat(F.lit("A|shard="), F.col("shard")).alias("series_key"), "t", "v")
     path = work_path(spark, "panel-csv")
     csv.export_wide_csv(by, path)
     back = csv.read_csv(spark, path)
     long = back.unpivot(["timestamp"], [c for c in back.columns if c != "timestamp"], "series", "n").where("n is not null")
-    return long.select("timestamp", F.regexp_extract("series", r"user=(\d+)", 1).cast("bigint").alias("user_id"), F.col("n").cast("bigint").alias("n"))
+    return long.select("timestamp", F.regexp_extract("series", r"shard=(\d+)", 1).cast("bigint").alias("shard"), F.col("n").cast("bigint").alias("n"))
 
 
 @register("q_s6_fresh_index", "SELECT 'c' || (user_id % 3) AS connection_id, event_type AS metric, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-29 18:00:00' GROUP BY ALL")
@@ -264,7 +267,7 @@ def tool_search(spark, sf_dir):
     return logs.search_logs(messages(spark, sf_dir), where, F.lit("2024-01-01").cast("timestamp"), F.lit("2024-12-31").cast("timestamp"))[0].select("id", ms("ts").alias("t_ms"))
 
 
-@register("q_f8_f10_live_values", f"""WITH {USER_SAMPLES}, days AS (SELECT DISTINCT date_trunc('day', t) AS d FROM samples WHERE t >= TIMESTAMP '2024-01-20')
+@register("q_f8_f10_live_values", f"""WITH {USER_SAMPLES}, days AS (SELECT DISTINCT date_trunc('day', t) AS d FROM samples)
 SELECT DISTINCT strftime(d, '%Y-%m-%d') AS incident_id, regexp_extract(user_id::VARCHAR, '^(1.)', 1) AS value FROM samples JOIN days ON t >= d AND t <= d + INTERVAL 1 DAY WHERE regexp_matches(user_id::VARCHAR, '^(1.)')""")
 def f10(spark, sf_dir):
     from tidewatch.operators.catalog import materialize_values

@@ -60,9 +60,9 @@ def samples(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFram
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One incident for each day from the 20th on that has events."""
+    """One incident for each day that has events."""
     day = F.date_trunc("day", F.col("ts").cast("timestamp"))
-    days = table(spark, sf_dir, "events").select(day.alias("starts_at")).where("starts_at >= timestamp'2024-01-20 00:00:00'").distinct()
+    days = table(spark, sf_dir, "events").select(day.alias("starts_at")).where("starts_at is not null").distinct()
     return days.select(F.date_format("starts_at", "yyyy-MM-dd").alias("incident_id"), "starts_at", (F.col("starts_at") + F.expr("interval 1 day")).alias("ends_at"))
 
 
@@ -72,7 +72,7 @@ USER_SAMPLES = "samples AS (SELECT event_id, event_type, user_id, ts AS t, value
 INCIDENTS = """incidents AS (
   SELECT DISTINCT strftime(date_trunc('day', ts), '%Y-%m-%d') AS incident_id, date_trunc('day', ts)::TIMESTAMP AS starts_at,
          date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS ends_at
-  FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00')"""
+  FROM events WHERE ts IS NOT NULL)"""
 WINDOWS = f"""{INCIDENTS}, windows AS (
   SELECT incident_id, 'incident' AS role, 'incident' AS label, 0 AS ord, starts_at AS from_ts, ends_at AS to_ts FROM incidents
   UNION ALL SELECT incident_id, 'pre', 'pre-incident', 1, starts_at - greatest(INTERVAL 30 MINUTE, ends_at - starts_at), starts_at FROM incidents

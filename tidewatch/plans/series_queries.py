@@ -354,41 +354,59 @@ def f16(spark, sf_dir):
     return report.select(*KEYS, "points", r6("mean").alias("mean"), "max", F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("points_in_runs", F.lit(0)).alias("points_in_runs"))
 
 
-VERDICT = f"""{SCORED}, facts AS (
+VERDICT = f"""{SCORED}{EXCURSIONS[len(STATS):]}, facts AS (
   SELECT incident_id, series_key, rank, title, score FROM (
     SELECT incident_id, series_key, kind || ' of ' || usr AS title, score, row_number() OVER (PARTITION BY incident_id ORDER BY score DESC, series_key) AS rank FROM ranks) WHERE rank <= 10),
 confirmed AS (SELECT incident_id, count(*) FILTER (WHERE score >= 1) AS k FROM facts GROUP BY ALL),
+brief AS (SELECT incident_id, series_key, count(*) AS n_excursions FROM excursions GROUP BY ALL),
+beyond AS (SELECT incident_id, series_key, count(*) AS over FROM tagged WHERE role = 'incident' AND v > 95 AND NOT isnan(v) GROUP BY ALL),
+left_out AS (SELECT incident_id, string_agg(label, ',' ORDER BY ord) AS excluded FROM flagged WHERE overlaps_incident GROUP BY incident_id),
 primary_ AS (
-  SELECT s.incident_id, s.series_key, s.n, s.mean, s.n_nonzero, p.pooled_mean, p.pooled_stddev,
-    CASE WHEN s.n = 0 OR p.pooled_mean IS NULL THEN NULL ELSE (s.mean - p.pooled_mean) / {EFFECTIVE.format(mean="p.pooled_mean", sd="p.pooled_stddev")} END AS z
-  FROM stats s LEFT JOIN pooled p USING (incident_id, series_key) WHERE s.role = 'incident' AND s.series_key LIKE 'A|event_type=error,%'),
-cl AS (SELECT *, CASE WHEN n = 0 OR pooled_mean IS NULL THEN 'insufficient-data' WHEN abs(z) >= 3 THEN 'statistically-unusual' ELSE 'common-during-normal-operations' END AS class,
-  CASE WHEN n % 3 = 0 THEN NULL ELSE n % 3 = 1 END AS crossed FROM primary_)"""
-
-
-@register("q_a8_verdict", f"""WITH {USER_SAMPLES}, {VERDICT} SELECT cl.incident_id, cl.series_key, class,
-CASE WHEN class = 'insufficient-data' THEN 'inconclusive' WHEN class = 'statistically-unusual' THEN CASE WHEN crossed = false THEN 'inconclusive' ELSE 'real-anomaly' END
-     WHEN n % 2 = 1 THEN 'inconclusive' ELSE 'likely-false-positive' END AS verdict,
-CASE WHEN class = 'insufficient-data' THEN 'low' WHEN class = 'statistically-unusual' THEN CASE WHEN crossed THEN 'high' WHEN crossed = false THEN 'low' ELSE 'medium' END
-     WHEN n % 2 = 1 THEN 'low' ELSE 'medium' END AS confidence,
-coalesce(k, 0)::INT AS n_confirmed FROM cl LEFT JOIN confirmed USING (incident_id)""")
+  SELECT s.incident_id, s.series_key, s.n, s.mean, s.n_nonzero, p.pooled_mean, p.pooled_stddev, coalesce(n_excursions, 0) AS n_excursions, excluded,
+    CASE WHEN regexp_extract(s.series_key, 'user=(.*)$', 1)::INT % 3 > 0 THEN over IS NOT NULL END AS crossed,
+    p.pooled_mean = 0 AND p.pooled_stddev = 0 AND s.n_nonzero > 0 AS zero,
+    CASE WHEN s.n > 0 AND NOT coalesce(zero, false) THEN (s.mean - p.pooled_mean) / {EFFECTIVE.format(mean="p.pooled_mean", sd="p.pooled_stddev")} END AS z
+  FROM stats s LEFT JOIN pooled p USING (incident_id, series_key) LEFT JOIN brief USING (incident_id, series_key) LEFT JOIN beyond USING (incident_id, series_key) LEFT JOIN left_out USING (incident_id)
+  WHERE s.role = 'incident' AND s.series_key LIKE 'A|event_type=error,%'),
+cl AS (SELECT *, CASE WHEN n = 0 OR pooled_mean IS NULL THEN 'insufficient-data' WHEN zero THEN 'baseline-all-zero' WHEN abs(z) >= 3 THEN 'statistically-unusual' ELSE 'common-during-normal-operations' END AS class FROM primary_),
+judged AS (SELECT cl.*, coalesce(k, 0) AS k,
+  CASE class WHEN 'insufficient-data' THEN 'inconclusive' WHEN 'baseline-all-zero' THEN CASE WHEN crossed THEN 'real-anomaly' ELSE 'inconclusive' END
+       WHEN 'statistically-unusual' THEN CASE WHEN crossed = false THEN 'inconclusive' ELSE 'real-anomaly' END
+       ELSE CASE WHEN n_excursions > 0 THEN 'inconclusive' ELSE 'likely-false-positive' END END AS verdict,
+  CASE class WHEN 'insufficient-data' THEN 'low' WHEN 'baseline-all-zero' THEN CASE WHEN coalesce(crossed, false) OR coalesce(k, 0) > 0 THEN 'medium' ELSE 'low' END
+       WHEN 'statistically-unusual' THEN CASE WHEN crossed THEN 'high' WHEN crossed = false THEN 'low' ELSE 'medium' END
+       ELSE CASE WHEN n_excursions > 0 THEN 'low' ELSE 'medium' END END AS confidence
+  FROM cl LEFT JOIN confirmed USING (incident_id))"""
+
+
+@register("q_a8_verdict", f"WITH {USER_SAMPLES}, {VERDICT} SELECT incident_id, series_key, class, verdict, confidence, k::INT AS n_confirmed FROM judged")
 def a8(spark, sf_dir):
-    """Every user's errors as the primary series; the threshold's crossing and the excursions stand in from the counts."""
+    """Every user's errors as the primary series, with its own crossings of a threshold, excursions and controls left out."""
     return verdicts(spark, sf_dir).select(*KEYS, "class", "verdict", "confidence", F.size("confirmed").alias("n_confirmed"))
 
 
 def verdicts(spark, sf_dir):
-    rows = stats(spark, sf_dir, by_user=True)
-    own = classified(rows).where(F.col("series_key").startswith("A|event_type=error,"))
+    """Two users of three have an alert whose threshold is 95."""
+    kept, left_out = windows.exclude_overlapping(all_windows(spark, sf_dir))
+    rows = windows.tag_windows(samples(spark, sf_dir, by_user=True), stored(kept, "windows"))
+    by_window = stored(series.series_stats(rows, WINDOW), "stats")
+    base = stored(pooled(by_window), "pooled")
+    error = F.col("series_key").startswith("A|event_type=error,")
+    inside = rows.where((F.col("role") == "incident") & error)
+    crossings = series.threshold_runs(inside, KEYS, F.lit(95.0), "above").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("crossings"))
+    brief = series.brief_excursions(inside.join(base, KEYS), KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_excursions"))
+    own = series.classify_baseline(by_window.where((F.col("role") == "incident") & error).join(base, KEYS, "left"))
     best = correlate.top_candidates(scored(spark, sf_dir), ["incident_id"])
     title = F.concat(F.col("event_type"), F.lit(" of "), F.col("user_id").cast("string"))
     listed = best.groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct("rank", title.alias("title"), "score"))).alias("candidates"))
-    facts = own.join(listed, "incident_id", "left").withColumns({
+    facts = own.join(crossings, KEYS, "left").join(brief, KEYS, "left").join(listed, "incident_id", "left").join(left_out, "incident_id", "left")
+    alerted = F.regexp_extract("series_key", "user=(.*)$", 1).cast("int") % 3 > 0
+    facts = facts.withColumns({
         "candidates": F.coalesce("candidates", F.array().cast("array<struct<rank:int,title:string,score:double>>")),
-        "threshold_crossed": F.when(F.col("n") % 3 != 0, F.col("n") % 3 == 1),
-        "n_excursions": F.col("n") % 2,
-        "adhoc": F.col("n") == 1,
-        "warnings": F.array().cast("array<string>"),
+        "threshold_crossed": F.when(alerted, F.col("crossings").isNotNull()),
+        "n_excursions": F.coalesce("n_excursions", F.lit(0)),
+        "adhoc": F.lit(False),
+        "warnings": F.transform(F.coalesce("excluded", F.array().cast("array<string>")), lambda x: F.concat(x, F.lit(" overlaps the incident"))),
     })
     return verdict.summarize_findings(facts)
 
@@ -396,39 +414,40 @@ def verdicts(spark, sf_dir):
 @register("q_a9_scope", f"""WITH {USER_SAMPLES}, {VERDICT}, titles AS (SELECT incident_id, title, min(rank) AS rank FROM facts WHERE score >= 1 GROUP BY ALL),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY rank) AS i, count(*) OVER (PARTITION BY incident_id) AS k FROM titles),
 listed AS (SELECT incident_id, k || ' dashboards: ' || string_agg(title, ', ' ORDER BY i) FILTER (WHERE i <= 5) || CASE WHEN k > 5 THEN ' and ' || (k - 5) || ' more' ELSE '' END AS scope FROM numbered GROUP BY incident_id, k)
-SELECT cl.incident_id, cl.series_key, CASE WHEN class = 'insufficient-data' THEN 'unknown' WHEN class = 'common-during-normal-operations' AND n % 2 = 0 THEN 'none' ELSE coalesce(scope, 'isolated') END AS scope
+SELECT cl.incident_id, cl.series_key, CASE WHEN class = 'insufficient-data' THEN 'unknown' WHEN class = 'common-during-normal-operations' AND n_excursions = 0 THEN 'none' ELSE coalesce(scope, 'isolated') END AS scope
 FROM cl LEFT JOIN listed USING (incident_id)""")
 def a9(spark, sf_dir):
     return verdicts(spark, sf_dir).select(*KEYS, "scope")
 
 
-@register("q_tool_summarize_findings", f"""WITH {USER_SAMPLES}, {VERDICT} SELECT class, CASE WHEN crossed THEN 'yes' WHEN crossed = false THEN 'no' ELSE 'unknown' END AS crossed, count(*) AS n FROM cl GROUP BY ALL""")
+@register("q_tool_summarize_findings", f"""WITH {USER_SAMPLES}, {VERDICT} SELECT incident_id, series_key, verdict, confidence,
+(CASE WHEN class = 'common-during-normal-operations' AND n_excursions > 0 THEN 2 ELSE 1 END + CASE WHEN class <> 'common-during-normal-operations' AND n_excursions > 0 THEN 1 ELSE 0 END + CASE WHEN crossed IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN k > 0 THEN 1 ELSE 0 END)::INT AS n_reasons,
+concat_ws('; ', replace(excluded, ',', ' overlaps the incident; ') || ' overlaps the incident', CASE WHEN crossed IS NULL THEN 'whether the threshold was crossed' END) AS missing FROM judged""")
 def summarize(spark, sf_dir):
-    crossed = F.when(F.col("threshold_crossed").isNull(), "unknown").when(F.col("threshold_crossed"), "yes").otherwise("no")
-    return verdicts(spark, sf_dir).groupBy("class", crossed.alias("crossed")).agg(F.count(F.lit(1)).alias("n"))
+    return verdicts(spark, sf_dir).select(*KEYS, "verdict", "confidence", F.size("reasons").alias("n_reasons"), F.array_join("missing", "; ").alias("missing"))
 
 
-REPORT = f"""WITH {SAMPLES}, {TAGGED}, {RUNS.format(on="v > 80.0", source="tagged", keys="incident_id, label, series_key")}, counted AS (SELECT incident_id, label, series_key, count(*) AS runs FROM runs GROUP BY ALL)
+REPORT = f"""WITH FRAMES, {TAGGED}, {RUNS.format(on="v > 80.0", source="tagged", keys="incident_id, label, series_key")}, counted AS (SELECT incident_id, label, series_key, count(*) AS runs FROM runs GROUP BY ALL)
 SELECT t.incident_id, t.label, t.series_key, count(v) AS n, round(avg(v), 6) AS mean, coalesce(any_value(runs), 0) AS runs, least(count(*), 40) AS points, 'PROVENANCE' AS provenance
 FROM tagged t LEFT JOIN counted USING (incident_id, label, series_key) GROUP BY 1, 2, 3"""
 
 
-def _report(spark, sf_dir, provenance):
+def _report(spark, sf_dir, provenance, by_user=False):
     keys = ["incident_id", "label", "series_key"]
-    out = series.window_report(tagged(spark, sf_dir), keys, F.lit(80.0), include_points=True, most=40, provenance=provenance)
+    out = series.window_report(tagged(spark, sf_dir, by_user), keys, F.lit(80.0), include_points=True, most=40, provenance=provenance)
     runs = out["runs"].groupBy(*keys).agg(F.first("total").alias("runs"))
     points = out["points"].groupBy(*keys).agg(F.count(F.lit(1)).alias("points"))
     rows = out["stats"].join(runs, keys, "left").join(points, keys)
     return rows.select(*keys, "n", r6("mean").alias("mean"), F.coalesce("runs", F.lit(0)).alias("runs"), "points", "provenance")
 
 
-@register("q_tool_execute_query_window", REPORT.replace("PROVENANCE", "panel"))
+@register("q_tool_execute_query_window", REPORT.replace("FRAMES", SAMPLES).replace("PROVENANCE", "panel"))
 def execute_window(spark, sf_dir):
     """Every window of every incident: statistics, runs above a threshold, and how many points a chart would get."""
     return _report(spark, sf_dir, "panel")
 
 
-@register("q_tool_execute_adhoc_query", REPORT.replace("PROVENANCE", "adhoc"))
+@register("q_tool_execute_adhoc_query", REPORT.replace("FRAMES", USER_SAMPLES).replace("PROVENANCE", "adhoc"))
 def execute_adhoc(spark, sf_dir):
-    """The same report over a frame that the user brings."""
-    return _report(spark, sf_dir, "adhoc")
+    """The same report over series that no panel shows: one for each event type and user."""
+    return _report(spark, sf_dir, "adhoc", by_user=True)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import iso, number_text
 
-LEAD = r"(?s)\A[\x00-\x20\x7f]*[=+\-@].*"
+#: What a spreadsheet takes for a formula (white space that it skips, then a sign; a space is not skipped),
+#: and what is a number as a whole.
+SKIPPED = "\t\r\n\v\f"
+SIGNS = "=+-@"
+LEAD = r"\A[\t\r\n\x0B\f]*[=+\-@]"
 NUMBER = r"\A[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\z"
+#: Series that one wide table may have as columns.
+MOST_SERIES = 10_000
 
 
 def neutral(cell: Column) -> Column:
@@ -20,35 +28,32 @@ def neutralize_cells(df: DataFrame) -> DataFrame:
     """All text columns, and their headers, neutralised."""
     out = []
     for name, kind in df.dtypes:
-        head = name
-        if name.lstrip("".join(map(chr, [*range(33), 127])))[:1] in ("=", "+", "-", "@"):
-            head = f"'{name}"
+        head = f"'{name}" if name.lstrip(SKIPPED).startswith(tuple(SIGNS)) else name
         own = F.col(f"`{name}`")
         out.append((neutral(own) if kind == "string" else own).alias(head))
     return df.select(*out)
 
 
 def column_names(series: list[tuple[str, dict]]) -> list[str]:
-    """A header for each series: its sorted labels or its ref, with a number where an earlier header is the same."""
-    used: set[str] = set()
-    names = []
+    """A header for each series, all distinct: its labels in order, or its ref; of equal ones the later are numbered."""
+    heads: dict[str, None] = {}
     for ref, labels in series:
-        base = ",".join(f"{k}={v}" for k, v in sorted((labels or {}).items())) or ref
-        name, n = base, 1
-        while name in used:
-            n += 1
-            name = f"{base} ({n})"
-        used.add(name)
-        names.append(name)
-    return names
+        plain = ",".join(f"{k}={v}" for k, v in sorted((labels or {}).items())) or ref
+        numbered = (f"{plain} ({n})" for n in itertools.count(2))
+        heads[next(h for h in itertools.chain([plain], numbered) if h not in heads)] = None
+    return list(heads)
 
 
 def wide(samples: DataFrame) -> DataFrame:
     """timestamp (ISO) and one text column for each series of `samples`, over the union of their times, in order.
 
-    The list of series is collected to name the columns, as a table's columns are always known to the driver.
+    The series are collected to name the columns, as a table's columns are always known to the driver; more than
+    `MOST_SERIES` are an error, and belong in one file for each (`export_frames`).
     """
-    heads = samples.groupBy("series_key").agg(F.first("ref_id").alias("ref_id"), F.first("labels").alias("labels")).orderBy("series_key").collect()
+    heads = samples.groupBy("series_key").agg(F.first("ref_id").alias("ref_id"), F.first("labels").alias("labels"))
+    heads = heads.orderBy("series_key").limit(MOST_SERIES + 1).collect()
+    if len(heads) > MOST_SERIES:
+        raise ValueError(f"more than {MOST_SERIES} series can't be columns of one table; export a file for each")
     names = column_names([(h.ref_id, h.labels) for h in heads])
     pivot = samples.groupBy("t").pivot("series_key", [h.series_key for h in heads]).agg(F.first("v"))
     columns = [number_text(F.col(f"`{h.series_key}`")).alias(n) for h, n in zip(heads, names, strict=True)]
