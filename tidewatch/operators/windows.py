@@ -38,7 +38,10 @@ def compute_windows(incidents: DataFrame, offsets: Sequence[tuple[str, int]] = C
 
 
 def check_windows(incidents: DataFrame, longest_ms: int = LONGEST, open_longest_ms: int = OPEN_LONGEST, now: Column | None = None) -> DataFrame:
-    """incident_id and `problem` for incidents too long or empty, and open ones that have run for long; none is good."""
+    """incident_id, `problem` and `fatal` for incidents too long or empty, and open ones that have run for long.
+
+    The last is a warning only, and so is not `fatal`: searches of logs and panels go on with it. A good one has no row.
+    """
     end = F.coalesce("ends_at", now if now is not None else F.current_timestamp())
     span = (F.unix_micros(end) - F.unix_micros("starts_at")) / 1000
     problem = (
@@ -46,7 +49,8 @@ def check_windows(incidents: DataFrame, longest_ms: int = LONGEST, open_longest_
         .when(span > longest_ms, "the window is longer than the look-back limit")
         .when(F.col("ends_at").isNull() & (span > open_longest_ms), "the incident is open and long; give it an end")
     )
-    return incidents.select("incident_id", problem.alias("problem")).where("problem is not null")
+    fatal = (span <= 0) | (span > longest_ms)
+    return incidents.select("incident_id", problem.alias("problem"), fatal.alias("fatal")).where("problem is not null")
 
 
 def flag_overlaps(windows: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as c
-from tidewatch.operators import alerts, catalog, correlate, knowledge
-from tidewatch.plans.registry import SAMPLES, USER_SAMPLES, derive, ms, register, samples, table
+from tidewatch.operators import alerts, catalog, correlate, knowledge, render, windows
+from tidewatch.plans.registry import SAMPLES, USER_SAMPLES, derive, ms, r6, register, samples, table
 from tidewatch.sources.alerts import flatten_batches, parse_batches
 
 PANEL = ["connection_id", "dashboard_uid", "panel_id"]
@@ -238,6 +238,34 @@ def f23(spark, sf_dir):
     return catalog.survey_panels(spark.sql(PANELS)).select(*PANEL, "coverage", "total")
 
 
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+@register("q_tool_render_dashboard", f"""WITH targets AS ({TARGETS}), panels AS ({PANELS}), {SAMPLES}, kinds AS (
+SELECT *, CASE WHEN NOT has_targets THEN 'non-queryable' WHEN is_mirror THEN 'mirror' WHEN row_number() OVER (PARTITION BY connection_id, dashboard_uid, (NOT is_mirror AND has_targets) ORDER BY "at", panel_id) <= 25 THEN 'executable' ELSE 'beyond-limit' END AS coverage,
+  TIMESTAMP '2024-01-31 00:00:00' - to_days((substr(dashboard_uid, 2)::INT % 29 + 1)) AS from_ts, from_ts + INTERVAL 1 DAY AS to_ts, 'A|event_type=' || {list(KINDS)}[panel_id % 5 + 1] AS series_key FROM panels),
+asked AS (SELECT DISTINCT from_ts, to_ts, series_key FROM kinds WHERE coverage = 'executable'),
+stats AS (SELECT from_ts, to_ts, series_key, 'executable' AS coverage, count(v) AS n, round(avg(v), 6) AS mean, max(v) AS max, least(count(*), 50) AS points FROM asked JOIN samples s USING (series_key) WHERE t >= from_ts AND t <= to_ts GROUP BY ALL)
+SELECT connection_id, dashboard_uid, panel_id, coverage, n, mean, max, points, 'https://g.example.com/d/' || dashboard_uid || '?viewPanel=' || panel_id || '&from=' || epoch_ms(from_ts) || '&to=' || epoch_ms(to_ts) || '&var-svc=s1' AS url
+FROM kinds LEFT JOIN stats USING (from_ts, to_ts, series_key, coverage)""")
+def render_dashboard(spark, sf_dir):
+    """Every dashboard in its saved range of a day: each panel shows one kind of events."""
+    targets(spark, sf_dir).createOrReplaceTempView("targets")
+    kind = F.get(F.array(*[F.lit(k) for k in KINDS]), (F.col("panel_id") % 5).cast("int"))
+    panels = spark.sql(PANELS).withColumn("series_key", F.concat(F.lit("A|event_type="), kind))
+    ago = F.expr("cast(substring(dashboard_uid, 2) as int) % 29")
+    saved = panels.select("connection_id", "dashboard_uid").distinct().select(
+        "*", *[F.lit(None).cast("string").alias(f"{p}_{w}") for p in ("explicit", "link") for w in ("from", "to")],
+        F.concat(F.lit("now-"), (ago + 1).cast("string"), F.lit("d")).alias("saved_from"), F.concat(F.lit("now-"), ago.cast("string"), F.lit("d")).alias("saved_to"),
+    )
+    ranges = windows.resolve_ranges(saved, F.lit("2024-01-31 00:00:00").cast("timestamp")).select("connection_id", "dashboard_uid", "from_ts", "to_ts")
+    shown, points = render.render_dashboards(panels, ranges, samples(spark, sf_dir), most=50)
+    drawn = points.groupBy(*render.ASKED).agg(F.count(F.lit(1)).alias("points")).withColumn("coverage", F.lit("executable"))
+    rows = shown.join(drawn, [*render.ASKED, "coverage"], "left")
+    url = c.dashboard_link(F.lit("https://g.example.com"), F.col("dashboard_uid"), F.col("panel_id"), F.col("from_ts"), F.col("to_ts"), F.create_map(F.lit("svc"), F.lit("s1")))
+    return rows.select(*PANEL, "coverage", "n", r6("mean").alias("mean"), "max", "points", url.alias("url"))
+
+
 @register("q_f29_inventory", f"WITH targets AS ({TARGETS}), panels AS ({PANELS}) SELECT connection_id, dashboard_uid, count(*) AS panels, count(*) FILTER (WHERE has_targets) AS with_targets, count(*) FILTER (WHERE has_links) AS with_links, 'svc' AS variables FROM panels GROUP BY ALL")
 def f29(spark, sf_dir):
     targets(spark, sf_dir).createOrReplaceTempView("targets")

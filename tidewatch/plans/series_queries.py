@@ -52,7 +52,7 @@ def f1(spark, sf_dir):
     return all_windows(spark, sf_dir).select("incident_id", "role", "label", "ord", ms("from_ts").alias("from_ms"), ms("to_ts").alias("to_ms"))
 
 
-@register("q_f1_checks", "SELECT o_orderkey AS incident_id, CASE WHEN o_orderkey % 3 = 0 THEN 'the window is empty' WHEN o_orderkey % 3 = 1 THEN 'the window is longer than the look-back limit' ELSE 'the incident is open and long; give it an end' END AS problem FROM orders WHERE o_orderkey % 4 <> 3")
+@register("q_f1_checks", "SELECT o_orderkey AS incident_id, CASE WHEN o_orderkey % 3 = 0 THEN 'the window is empty' WHEN o_orderkey % 3 = 1 THEN 'the window is longer than the look-back limit' ELSE 'the incident is open and long; give it an end' END AS problem, o_orderkey % 3 < 2 AS fatal FROM orders WHERE o_orderkey % 4 <> 3")
 def f1_checks(spark, sf_dir):
     """Orders as incidents: empty, too long, open for two days, or good."""
     key = F.col("o_orderkey")

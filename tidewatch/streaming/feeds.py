@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,31 +63,40 @@ RUN = "series_key string, start_t timestamp, end_t timestamp, min_v double, max_
 
 
 class RunProcessor(StatefulProcessor):
-    """The open run of each series over batches; a run is given out when a sample ends it, or time has passed it."""
+    """The open run of each series over batches; a run is given out when a sample ends it, or time has passed it.
+
+    A task holds the samples that one trigger brings of one series, so the trigger's size (`maxFilesPerTrigger`) bounds it.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", "start_t timestamp, end_t timestamp, min_v double, max_v double, n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        run = self.open.get() if self.open.exists() else None
-        run = list(run) if run else None
-        done = []
-        batch = pd.concat(list(rows)).sort_values("t", kind="stable")
-        for t, v, on in zip(batch["t"], batch["v"], batch["crosses"], strict=True):
-            if on:
-                run = [run[0], t, min(run[2], v), max(run[3], v), run[4] + 1] if run else [t, t, v, v, 1]
-            elif run:
-                done.append((key[0], *run))
-                run = None
+        frames = list(rows)
+        t = np.concatenate([f["t"].to_numpy("datetime64[us]") for f in frames])
+        order = np.argsort(t, kind="stable")
+        t, v, on = t[order], *(np.concatenate([f[c].to_numpy() for f in frames])[order] for c in ("v", "crosses"))
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]])))
+        starts, ends = edges[::2], edges[1::2]
+        least, most = (f.reduceat(v[on], np.cumsum(ends - starts) - (ends - starts)) if len(starts) else v[:0] for f in (np.minimum, np.maximum))
+        runs = [[pd.Timestamp(t[a]), pd.Timestamp(t[b - 1]), lo, hi, int(b - a)] for a, b, lo, hi in zip(starts, ends, least.tolist(), most.tolist(), strict=True)]
+        if self.open.exists():
+            before = list(self.open.get())
+            if on[0]:
+                first = runs[0]
+                runs[0] = [before[0], first[1], min(before[2], first[2]), max(before[3], first[3]), before[4] + first[4]]
+            else:
+                runs.insert(0, before)
+        goes_on = bool(on[-1])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if run:
-            self.open.update(tuple(run))
-            self.handle.registerTimer(int(pd.Timestamp(run[1]).timestamp() * 1000) + 1)
+        if goes_on:
+            self.open.update(tuple(runs[-1]))
+            self.handle.registerTimer(int(pd.Timestamp(runs[-1][1]).timestamp() * 1000) + 1)
         elif self.open.exists():
             self.open.clear()
-        yield self.table(done)
+        yield self.table([(key[0], *r) for r in runs[: len(runs) - goes_on]])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         done = []
