@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import label_overlap_lists, match_text, once
+from tidewatch.session import stored
 
 MIXED, MIRROR = "-- Mixed --", "-- Dashboard --"
 #: Datasource names that stand for no datasource of their own.
@@ -211,6 +212,7 @@ def alert_backed_panels(panels: DataFrame, rules: DataFrame) -> DataFrame:
 
 def alert_overview(backed: DataFrame, limit: int = FOUND) -> DataFrame:
     """The panels with the most rules, with `total` of all."""
+    backed = stored(backed, "backed")
     total = backed.agg(F.count(F.lit(1)).alias("total"))
     top = backed.withColumn("n_rules", F.size("rules")).orderBy(F.desc("n_rules"), *PANEL).limit(limit)
     return top.join(F.broadcast(total))
@@ -245,15 +247,15 @@ def related(found: DataFrame, backed: DataFrame, meta: DataFrame, author: str |
 
 def rank_related(found: DataFrame, backed: DataFrame, meta: DataFrame, author: str | None = None, limit: int = FOUND) -> DataFrame:
     """Alert-backed panels first, then by overlap, by the author's own dashboards, and by the latest update."""
-    rows = related(found, backed, meta, author)
-    total = found.agg(F.count(F.lit(1)).alias("total"))
+    rows = stored(related(found, backed, meta, author), "related")
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
     top = rows.orderBy(F.desc("alert_backed"), F.desc("overlap"), F.desc("same_author"), F.desc_nulls_last("updated"), *PANEL).limit(limit)
     return top.join(F.broadcast(total))
 
 
 def metric_catalog(samples: DataFrame, term: str, limit: int = 50) -> DataFrame:
     """Metric names that contain the term, sorted, the first `limit`, with `total`."""
-    names = samples.where(match_text(term, F.col("metric"))).select("metric").distinct()
+    names = stored(samples.where(match_text(term, F.col("metric"))).select("metric").distinct(), "names")
     total = names.agg(F.count(F.lit(1)).alias("total"))
     return names.orderBy("metric").limit(limit).join(F.broadcast(total))
 
@@ -265,6 +267,7 @@ def label_keys(samples: DataFrame, metric: str) -> DataFrame:
 def label_values(samples: DataFrame, metric: str, label: str, limit: int = 50) -> DataFrame:
     """The values of one label of one metric, sorted, the first `limit`, with `total`."""
     values = samples.where((F.col("metric") == metric) & F.col("labels")[label].isNotNull()).groupBy(F.col("labels")[label].alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    values = stored(values, "values")
     total = values.agg(F.count(F.lit(1)).alias("total"))
     return values.orderBy("value").limit(limit).join(F.broadcast(total))
 
