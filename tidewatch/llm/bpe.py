@@ -40,8 +40,8 @@ from tidewatch.llm.shared import texts
 
 #: Bytes of text in a block, beyond which the next block begins.
 BLOCK_BYTES = 32 << 20
-#: Documents in a packed row.
-PACKED_ROWS = 256
+#: Documents in a packed row, and words of which a task packs ids at once.
+PACKED_ROWS, PENDING = 256, 500_000
 #: Buckets of words for each shuffle partition, and at least.
 BUCKETS, LEAST_BUCKETS = 4, 4096
 
@@ -189,6 +189,35 @@ def word_ids(words: DataFrame, path: str) -> DataFrame:
     return words.select(ids_of(path).alias("ids"), "at").select("ids", F.explode("at").alias("at")).select("at.block", "at.place", "ids")
 
 
+def packed_ids(rows: DataFrame) -> DataFrame:
+    """block, places (as differences), lengths and ids: what a task has of a block, `PENDING` rows at a time, in one row."""
+    names = ["block", "places", "lengths", "ids"]
+
+    def pack(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        block, place = whole.column("block").to_numpy(), whole.column("place").to_numpy()
+        order = np.lexsort((place, block))
+        block, place, ids = block[order], place[order], whole.column("ids").take(pa.array(order)).combine_chunks()
+        lengths = pc.binary_length(ids).to_numpy() // 4
+        flat, ends = np.frombuffer(b"".join(ids.to_pylist()), "<u4"), np.concatenate([[0], np.cumsum(lengths)])
+        cut = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1))
+        out = [(int(block[i]), packed(np.diff(place[i:k], prepend=0)), packed(lengths[i:k]), packed(flat[ends[i] : ends[k]])) for i, k in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary() if i else pa.int64()) for i in range(4)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        for batch in batches:
+            if len(batch):
+                parts.append(batch)
+            if sum(map(len, parts)) >= PENDING:
+                yield pack(parts)
+                parts = []
+        if parts:
+            yield pack(parts)
+
+    return rows.mapInArrow(run, "block bigint, places binary, lengths binary, ids binary")
+
+
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The slices of `flat` that begin at starts[i] with lengths[i], for each i of `at`, one after the other."""
     n = lengths[at]
@@ -199,11 +228,12 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.n
 
 def restore(docs: pa.Table, words: pa.Table, path: str) -> pa.Table:
     """The ids and the decoded text of the documents of one block, by the places of their words."""
-    at = words.column("place").to_numpy()
-    if len(at) and at.max() != len(at) - 1 or not len(at) and docs.num_rows and any(len(unpacked(x.as_py())) for x in docs.column("places")):
+    empty = [np.zeros(0, np.uint32)]
+    at = np.concatenate([np.cumsum(unpacked(x.as_py())) for x in words.column("places")] or empty).astype(np.int64)
+    n = np.concatenate([unpacked(x.as_py()) for x in words.column("lengths")] or empty).astype(np.int64)
+    flat = np.concatenate([unpacked(x.as_py()) for x in words.column("ids")] or empty)
+    if len(at) and at.max() != len(at) - 1 or not len(at) and any(len(unpacked(x.as_py())) for x in docs.column("places")):
         raise ValueError("a block's words changed between two passes over the input; write the input to a table first")
-    n = pc.binary_length(words.column("ids")).to_numpy() // 4
-    flat = np.frombuffer(b"".join(words.column("ids").to_pylist()), "<u4")
     starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     starts[at], lengths[at] = np.cumsum(n) - n, n
     table, out = pieces(path), []
@@ -221,7 +251,7 @@ def encode_decode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) ->
     """doc_id, `ids` (little-endian unsigned 32-bit integers) and `decoded` for every row of `docs`."""
     rows = split(docs)
     buckets = max(LEAST_BUCKETS, BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    coded = word_ids(distinct_words(block_words(rows, block_bytes, buckets)), path)
+    coded = packed_ids(word_ids(distinct_words(block_words(rows, block_bytes, buckets)), path))
     placed = block_places(rows, block_bytes)
     return placed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(lambda a, b: restore(a, b, path), "doc_id bigint, ids binary, decoded string")
 
