@@ -785,6 +785,38 @@ def test_pipeline(spark, small, known):
         assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_is_its_sql(spark, small, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, small)
+    rel = con.sql(queries.SQL[name])
+    columns = sorted(df.columns)
+    assert sorted(rel.columns) == columns
+    at = [rel.columns.index(c) for c in columns]
+    assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == Counter(tuple(r[i] for i in at) for r in rel.fetchall())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidewatch.llm import shared
+
+    context = SimpleNamespace(getConf=lambda: {}, master="spark://host:7077", applicationId="x")
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared.shared_dir(SimpleNamespace(sparkContext=context))
+
+
+def test_redaction_of_very_many_secrets_takes_time_in_proportion(spark):
+    text = "token=abcdef " * 100_000
+    began = time.time()
+    row = secrets.without_secrets(table(spark, [(1, text)])).first()
+    assert row.text == "[ASSIGN] " * 100_000 and time.time() - began < 60
+
+
 def test_all_operators_are_registered():
     import __spark_entry__
 

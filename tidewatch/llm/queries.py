@@ -73,6 +73,48 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, learned).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def crc32_sql(table: str) -> str:
+    """CTEs that give the CRC-32 of each doc_id of `table` as text: `crcs` (doc_id, crc)."""
+    return f"""steps AS (SELECT i::BIGINT AS i, i::BIGINT AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM steps WHERE k < 8),
+bytes AS (SELECT i, v FROM steps WHERE k = 8),
+crc AS (SELECT DISTINCT doc_id, 4294967295::BIGINT AS c, 1 AS pos FROM {table} WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, xor(v, c >> 8), pos + 1 FROM crc JOIN bytes ON i = xor(c & 255, ord(substr(doc_id::VARCHAR, pos, 1))) WHERE pos <= length(doc_id::VARCHAR)),
+crcs AS (SELECT doc_id, xor(c, 4294967295) AS crc FROM crc WHERE pos > length(doc_id::VARCHAR))"""
+
+
+OP5_SQL = f"""
+WITH RECURSIVE {crc32_sql("documents")}, docs AS (
+  SELECT row_number() OVER () AS r, d.doc_id, lang, coalesce(crc % 3 = 1, false) AS held_out, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS words
+  FROM documents d LEFT JOIN crcs USING (doc_id)
+), framed AS (
+  SELECT r, lang, held_out, ' ' || unnest(words) || ' ' AS w FROM docs
+), cut AS (
+  SELECT r, lang, held_out, w, n, unnest(range(1, length(w) - n + 2)) AS pos FROM framed, unnest([1, 2, 3]) AS orders(n)
+), grams AS (
+  SELECT r, lang, held_out, substr(w, pos, n) AS g, count(*) AS k FROM cut WHERE n > 1 OR (pos > 1 AND pos < length(w)) GROUP BY ALL
+), profile AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY k DESC, length(g), g) - 1 AS place
+  FROM (SELECT lang, g, sum(k) AS k FROM grams WHERE lang IS NOT NULL AND NOT held_out GROUP BY ALL) QUALIFY place < {langid.PROFILE}
+), own AS (
+  SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY k DESC, length(g), g) - 1 AS place FROM grams QUALIFY place < {langid.DOCUMENT}
+), bounds AS (
+  SELECT max(n) AS missing FROM (SELECT count(*) AS n FROM profile GROUP BY lang)
+), sizes AS (
+  SELECT r, count(*) AS n FROM own GROUP BY r
+), met AS (
+  SELECT r, p.lang, count(*) AS n, sum(abs(p.place - own.place)) AS apart FROM own JOIN profile p USING (g) GROUP BY ALL
+), distances AS (
+  SELECT s.r, l.lang, coalesce(apart, 0) + (s.n - coalesce(m.n, 0)) * missing AS d, s.n * missing AS most
+  FROM sizes s CROSS JOIN (SELECT DISTINCT lang FROM profile) l CROSS JOIN bounds LEFT JOIN met m ON m.r = s.r AND m.lang = l.lang
+), nearest AS (
+  SELECT r, lang, d, coalesce(lead(d) OVER o, most) AS rest, row_number() OVER o AS i FROM distances WINDOW o AS (PARTITION BY r ORDER BY d, lang)
+)
+SELECT doc_id, held_out, coalesce(n.lang, 'und') AS lang_pred, coalesce(((rest - d) / nullif(rest, 0))::DOUBLE, 0) AS score
+FROM docs LEFT JOIN nearest n ON n.r = docs.r AND n.i = 1
+"""
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -171,6 +213,7 @@ QUERIES = {
 SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
+    "op5_language_id": OP5_SQL,
     "op7_warc": OP7_SQL,
     "op10_secrets": op10_sql(),
 }
