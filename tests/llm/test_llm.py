@@ -225,6 +225,20 @@ def test_repeats_within_a_document(spark):
     assert sum(r.first_start != r.start for r in rows) >= 49 and {r.first_doc_id for r in rows} == {1}
 
 
+def test_without_repeats(spark, odd, empty):
+    rng = random.Random(9)
+    p = passages(rng, 60)
+    texts = [(1, f"{passages(rng, 30)} {p} é end"), (2, f"start {p} {passages(rng, 30)}"), (3, passages(rng, 50)), (4, None), (5, p), (5, p)]
+    frame = table(spark, texts)
+    rows = substring.without_repeats(frame)
+    assert rows.columns == frame.columns
+    left = sorted((r.doc_id, r.text or "") for r in rows.collect())
+    assert len(left) == 6 and left[0][1] == texts[0][1] and left[2][1] == texts[2][1] and left[3][1] == ""
+    assert left[1][1].startswith("start") and all(len(t) < len(p) // 2 for i, t in left if i == 5) and len(left[1][1]) < len(texts[1][1]) - len(p) // 2
+    assert all(r.n_chars == len(r.text or "") for r in rows.collect())
+    assert substring.without_repeats(odd).count() == len(ODD) and substring.without_repeats(empty).count() == 0
+
+
 def test_popular_passages_are_dealt_over_parts(spark, monkeypatch):
     from tidewatch.llm import shared
 

@@ -23,10 +23,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.shared import spread_join, texts, written
 
@@ -77,25 +78,23 @@ def units(data: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     return starts[whole], ends[at[whole]]
 
 
-def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """row (unique), doc_id, start and size in bytes, digest: one row for each unit."""
-    rows = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
+def digests(rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """row, doc_id, start and size in bytes, digest: one row for each unit of `rows` (row, doc_id, text)."""
+    rows = rows.select("row", "doc_id", F.col("text").cast("binary").alias("text"))
     names = ["row", "doc_id", "start", "size", "digest"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for i in range(0, len(batch), TEXTS):
                 part = batch.slice(i, TEXTS)
                 columns: list[list] = [[] for _ in names]
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
+                for row, doc_id, text in zip(part.column("row").to_pylist(), part.column("doc_id").to_pylist(), part.column("text"), strict=True):
                     text = text.as_py()
                     starts, ends = units(np.frombuffer(text, np.uint8), span)
                     own = [hashlib.blake2b(text[a:b], digest_size=DIGEST_BYTES).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                     for column, values in zip(columns, ([row] * len(own), [doc_id] * len(own), starts.tolist(), (ends - starts).tolist(), own), strict=True):
                         column += values
-                    row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return rows.mapInArrow(run, "row bigint, doc_id bigint, start int, size int, digest binary")
@@ -107,27 +106,66 @@ def repeated(docs: DataFrame, span: int = SPAN) -> DataFrame:
     first_doc_id and first_start are the original's (the span's own, where it is the original), and n_places the most
     occurrences of a unit of the span.
     """
-    every = written(digests(docs, span), "substring-units")
+    return spans(texts(docs).withColumn("row", F.monotonically_increasing_id()), span).drop("row", "original")
+
+
+def spans(rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """The spans of `repeated` for `rows` (row, doc_id, text), with row and whether the span is the original."""
+    every = written(digests(rows, span), "substring-units")
     shared = every.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hits = spread_join(every.select("digest", "row", "start", "size", "doc_id"), written(shared, "substring-shared"), "digest", "n", "row", "start", how="inner")
     unit = F.struct("start", "size", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"), "n")
     # a text's units are at most its bytes over LEAST
     lists = hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(unit)).alias("units"))
-    names = ["doc_id", "start", "end", "first_doc_id", "first_start", "n_places"]
+    names = ["row", "doc_id", "start", "end", "first_doc_id", "first_start", "n_places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = []
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), batch.column("units").to_pylist(), strict=True):
+            original: list[bool] = []
+            for row, doc_id, own in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("units").to_pylist(), strict=True):
                 before = None
                 for u in own:
                     origin = u["first_row"], u["start"] - u["first_start"]
-                    if origin == before and u["start"] <= out[-1][2]:
-                        out[-1][2] = u["start"] + u["size"]
-                        out[-1][5] = max(out[-1][5], u["n"])
+                    if origin == before and u["start"] <= out[-1][3]:
+                        out[-1][3] = u["start"] + u["size"]
+                        out[-1][6] = max(out[-1][6], u["n"])
                     else:
-                        out.append([doc_id, u["start"], u["start"] + u["size"], u["first_doc_id"], u["first_start"], u["n"]])
+                        out.append([row, doc_id, u["start"], u["start"] + u["size"], u["first_doc_id"], u["first_start"], u["n"]])
+                        original.append(origin == (row, 0))
                         before = origin
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(len(names))], names=names)
-
-    return lists.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+            yield pa.RecordBatch.from_arrays([*(pa.array([o[i] for o in out], pa.int64()) for i in range(len(names))), pa.array(original, pa.bool_())], names=[*names, "original"])
+
+    return lists.mapInArrow(run, ", ".join(f"{n} bigint" for n in names) + ", original boolean")
+
+
+def cut_out(text: str, spans: str) -> str:
+    """`text` without the spans of bytes, given as start:end joined by commas, in order; a character cut in two goes."""
+    data, out, at = text.encode(), [], 0
+    for span in spans.split(","):
+        start, end = map(int, span.split(":"))
+        out.append(data[at : max(at, start)])
+        at = max(at, end)
+    return b"".join([*out, data[at:]]).decode(errors="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def without(text: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else cut_out(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
+
+
+def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """The rows of `docs`, all columns, with every span that repeats an original cut out of `text` (`n_chars` to match)."""
+    columns = [F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(docs.columns)]
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "substring-rows")
+    at = {c: F.col(f"keep_{i}") for i, c in enumerate(docs.columns)}
+    found = spans(keyed.select("row", at["doc_id"].cast("long").alias("doc_id"), F.coalesce(at["text"], F.lit("")).alias("text")), span)
+    lists = found.where("not original").groupBy(F.col("row").alias("of")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    joined = keyed.join(lists, F.col("row") == F.col("of"), "left")
+    text_spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    joined = joined.withColumn("cut", without(F.when(F.col("of").isNotNull(), at["text"]), text_spans))
+    text = F.when(F.col("of").isNotNull(), F.col("cut")).otherwise(at["text"])
+    out = at | {"text": text}
+    if "n_chars" in at:
+        out["n_chars"] = F.when(F.col("of").isNotNull(), F.length(text)).otherwise(at["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[v.alias(c) for c, v in out.items()])
