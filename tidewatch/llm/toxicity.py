@@ -2,8 +2,8 @@
 
 Words that may be disguised (figures or signs for letters, letters or parts apart, letters repeated) become lattices: of the
 letters that each character may stand for, and of white space that may part words or be dropped. Viterbi decoding picks the
-reading that a character model of the corpus and the channel's costs make likeliest. Within a token, runs of single letters
-with separators of any length between them, and tokens that may go on in the next ones to a telling word are decoded so.
+reading that a character model of the corpus and the channel's costs make likeliest. Tokens, runs of single letters with
+separators of any length between them, and two or three tokens that may be parts of a telling word are decoded so.
 
 The score of a text is that of its most telling word, as it stands or as restored, where a word speaks
 through itself and its beginnings, weighed by how often labelled texts with it are toxic. All labelled texts are read, but
@@ -74,6 +74,7 @@ MARKS = "".join(c for c in EDGES if c not in STANDS_FOR)
 #: Tokens of which a worker remembers what they tell; beyond, it starts afresh.
 MEMORY = 300_000
 
+REPEATED = re.compile(r"(.)\1+")
 WORD = re.compile(r"[^\W\d_]+")
 _signs = re.escape("".join(STANDS_FOR))
 #: A sign that has a reading, a mark before a letter, a figure after one, or two like letters.
@@ -153,6 +154,11 @@ def spelled(path: tuple | None) -> str:
     return "".join(reversed(letters))
 
 
+def squeezed(word: str) -> str:
+    """`word` with each run of a letter as one."""
+    return REPEATED.sub(r"\1", word)
+
+
 def readings(token: str, model: CharacterModel) -> set[str]:
     """The words in a token of lower case, as they stand and, where it may be disguised, as restored."""
     bare = token.strip(EDGES)
@@ -176,6 +182,7 @@ class Reader:
         # words that tell by themselves, and how they may begin when their parts stand apart
         self.whole = {f for f, p in (only or {}).items() if p >= LEAST and len(f) > 3 and f.isalpha()}
         self.parts = {w[:n] for w in self.whole for n in range(1, len(w))} - self.whole
+        self.squeezed = {squeezed(w) for w in self.whole}
 
     def token(self, token: str) -> tuple[str, ...]:
         known = self.memory.get(token)
@@ -207,11 +214,11 @@ class Reader:
             found.update(f for f in features(set(self.restored(m[0]))) if self.only is None or f in self.only)
         for i in [i for i, t in enumerate(tokens) if t in self.parts or (not t.isalpha() and t.translate(PLAIN) in self.parts)]:
             window = [t.strip(MARKS + "!") for t in tokens[i : i + 3]]
-            whole = any("".join(window[:k]).translate(PLAIN) in self.whole for k in (2, 3))
-            if whole or len(window[0]) > 1:
-                # only whole words: beginnings of words that chance to stand together tell nothing
-                words = {*self.restored(" ".join(window[:2])), *self.restored(" ".join(window))}
-                found.update(f for f in features(words & self.whole) if f in self.only)
+            for k in (2, 3):
+                if squeezed("".join(window[:k]).translate(PLAIN)) in self.squeezed:
+                    # only whole words: beginnings of words that chance to stand together tell nothing
+                    words = self.whole.intersection(self.restored(" ".join(window[:k])))
+                    found.update(f for f in features(words) if f in self.only)
         return found
 
 
@@ -303,9 +310,11 @@ def word_table(docs: DataFrame, labels: DataFrame, model: CharacterModel, size:
     rows = train.mapInArrow(run, "feature string, near bigint, toxic boolean, n bigint").groupBy("feature", "near", "toxic").agg(F.sum("n").alias("n"))
     once = F.when(F.col("near").isNull(), F.col("n")).otherwise(1)
     sums = rows.groupBy("feature").agg(F.sum(once).alias("n"), F.sum(F.when(F.col("toxic"), once).otherwise(0)).alias("bad"))
+    # the sums that count are stored, as their total is asked for as well
+    sums = written(sums.where((F.col("feature") == "") | (F.col("bad") >= SUPPORT)), "toxicity-features")
     total = sums.where("feature = ''").select(F.col("n").alias("of"), (F.col("bad") / F.col("n")).alias("prior"))  # one row
     share = (F.col("bad") + WEIGHT * F.col("prior")) / (F.col("n") + WEIGHT)
-    shares = sums.where("feature <> ''").where(F.col("bad") >= SUPPORT).join(F.broadcast(total)).withColumn("share", share)
+    shares = sums.where("feature <> ''").join(F.broadcast(total)).withColumn("share", share)
     told = shares.where((F.col("share") >= LEAST) | (F.col("share") >= LEANS * F.col("prior")))
     told = told.orderBy(F.col("share") < LEAST, F.desc("bad"), "feature").limit(size)
     return {r.feature: r.share for r in told.select("feature", "share").collect()}  # at most `size` rows
