@@ -24,7 +24,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from tidewatch.llm.shared import texts
 #: Bytes of text in a block, beyond which the next block begins.
 BLOCK_BYTES = 32 << 20
 #: Documents in a packed row, and words of which a task packs ids at once.
-PACKED_ROWS, PENDING = 256, 500_000
+PACKED_ROWS, PENDING = 256, 200_000
 #: Buckets of words for each shuffle partition, and at least.
 BUCKETS, LEAST_BUCKETS = 4, 4096
 
@@ -94,10 +94,22 @@ class Block:
         order = np.argsort(-np.bincount(seen, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
-        self.words: list[str] = words.take(pa.array(order)).to_pylist()
+        self.words = words.take(pa.array(order))
         self.places = rank[seen]
         self.lengths = np.concatenate([x.value_lengths().to_numpy() for x in lists]).astype(np.uint32)
-        self.number = at << 32 | zlib.crc32("\n".join(self.words).encode())
+        sizes = pc.binary_length(self.words).to_numpy()
+        self.ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.bytes = bytes(self.words.buffers()[2] or b"") if len(self.words) else b""
+        self.number = at << 32 | zlib.crc32(self.bytes, zlib.crc32(sizes.tobytes()))
+
+    def dealt(self, buckets: int) -> tuple[np.ndarray, pa.Array]:
+        """The buckets that have words of the block, and the words of each, as lines of a place and a word."""
+        own = np.fromiter((zlib.crc32(self.bytes[a:b]) % buckets for a, b in pairwise(self.ends.tolist())), np.int32, len(self.words))
+        order = np.argsort(own, kind="stable")
+        lines = pc.binary_join_element_wise(pa.array(order).cast(pa.string()), self.words.take(pa.array(order)), " ")
+        full, starts = np.unique(own[order], return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), lines)
+        return full, pc.binary_join(lists, "\n")
 
 
 def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Block]:
@@ -133,12 +145,9 @@ def block_words(rows: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, block_bytes):
-            dealt: list[list[str]] = [[] for _ in range(buckets)]
-            for at, word in enumerate(block.words):
-                dealt[zlib.crc32(word.encode()) % buckets].append(f"{at} {word}")
-            full = [b for b, lines in enumerate(dealt) if lines]
-            packed = ["\n".join([str(block.number), *dealt[b]]) for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.string())], names=["bucket", "packed"])
+            full, lines = block.dealt(buckets)
+            number = pa.array([str(block.number)] * len(full), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pc.binary_join_element_wise(number, lines, "\n")], names=["bucket", "packed"])
 
     return rows.mapInArrow(run, "bucket int, packed string")
 
