@@ -153,8 +153,8 @@ def test_cuts_are_those_of_the_rolling_hash():
     data = bytes(random.Random(5).randrange(256) for _ in range(3000))
     h, marks = 0, set()
     for i, b in enumerate(data):
-        h = (2 * h + int(substring.GEAR[b])) & 0xFFFFFFFF
-        if h >> (32 - substring.CUT_BITS) == 0:
+        h = (2 * h + int(substring.GEAR[b])) & 0xFFFF
+        if h >> (16 - substring.CUT_BITS) == 0:
             marks.add(i + 1)
     last, want = 0, []
     for i in range(1, len(data) + 1):

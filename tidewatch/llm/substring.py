@@ -1,6 +1,6 @@
 """Substring deduplication over content-defined chunks.
 
-A gear rolling hash over the bytes of each text marks a cut wherever its top bits are zero, so cuts depend on the last 32
+A gear rolling hash over the bytes of each text marks a cut wherever its top bits are zero, so cuts depend on the last 16
 bytes alone and an insertion moves only the chunks it touches. Chunks have `LEAST` to `MOST` bytes, but for the last. The
 unit that is deduplicated is a variable run of chunks: from each chunk's beginning to the first end of a chunk that is
 `SPAN` bytes or more away, so equal content gives equal units wherever it lies, and short chunks that are equal by chance
@@ -10,7 +10,7 @@ text that continue each other in one original too form one span, so a span's byt
 
 A digest is 96 bits of BLAKE2b, and is taken as proof of equality. Digests of boilerplate, which very many texts have, are
 dealt over several partitions (`spread_join`). The bytes of a passage before its first cut and after its last are not in
-its span: some 40 on each side.
+its span: some 35 on each side.
 
 Results for odd inputs: null and empty texts, and texts below `SPAN` bytes, have no units and no spans; rows that repeat are
 repetitions of each other whatever their doc_id; a null doc_id is smaller than any other; an empty table gives an empty
@@ -39,18 +39,20 @@ SPAN = 64
 DIGEST_BYTES = 12
 #: Texts that a task takes at once.
 TEXTS = 500
-GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
+#: A hash has as many bits as its window has bytes: each byte shifts the older ones out by one.
+WINDOW = 16
+GEAR = np.random.default_rng(11).integers(0, 1 << WINDOW, 256, dtype=np.uint16)
 
 
 def cuts(data: np.ndarray, cut_bits: int = CUT_BITS, least: int = LEAST, most: int = MOST) -> np.ndarray:
     """Ends of the chunks of a text's bytes."""
-    # h[i] = GEAR[b[i]] + 2 h[i - 1] in 32 bits, a window of 32 bytes, by doubling the part of the window that is summed
+    # h[i] = GEAR[b[i]] + 2 h[i - 1] in 16 bits, by doubling the part of the window that is summed
     h = GEAR[data]
-    for k in (1, 2, 4, 8, 16):
+    for k in (1, 2, 4, 8):
         if len(h) > k:
-            shifted = h[:-k] << np.uint32(k)
+            shifted = h[:-k] << np.uint16(k)
             h = np.concatenate([h[:k], h[k:] + shifted])
-    marks = np.flatnonzero(h >> np.uint32(32 - cut_bits) == 0) + 1
+    marks = np.flatnonzero(h >> np.uint16(WINDOW - cut_bits) == 0) + 1
     ends, last = [], 0
     for m in marks.tolist():
         if m - last < least:
