@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, exact_dedup, langid, packing, quality, secrets, simhash, substring, toxicity, warc
+from tidewatch.llm import bestfit, bpe, exact_dedup, langid, lexical, packing, quality, secrets, simhash, substring, toxicity, warc, whitening
 from tidewatch.llm.shared import documents
 
 
@@ -198,6 +198,44 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)},
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    each = rows.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "one"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("one").alias("whitened"), F.get("explained", "at").alias("explained"), "identity_error")
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP12_SQL = r"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), asked AS (
+  SELECT item_id, row_number() OVER () AS i, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), corpus AS (
+  SELECT count(*)::HUGEINT AS n, sum(len(terms))::HUGEINT AS l FROM split WHERE len(terms) > 0
+), held AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM split) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held CROSS JOIN corpus GROUP BY term, n
+), lengths AS (
+  SELECT doc_id, r, 75 + (25 * len(terms) * n) // l AS m FROM split CROSS JOIN corpus WHERE len(terms) > 0
+), scores AS (
+  SELECT item_id, i, doc_id, r, sum(w * q * ((1000000000::HUGEINT * tf) // (1000 * tf + 12 * m))) AS score
+  FROM (SELECT item_id, i, term, count(*) AS q FROM asked GROUP BY ALL) JOIN weights USING (term) JOIN held USING (term) JOIN lengths USING (r)
+  GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score::BIGINT AS score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def op13_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bestfit.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -209,6 +247,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_secrets": op10_secrets,
+    "op11_whitening": op11_whitening,
+    "op12_lexical": op12_lexical,
+    "op13_bestfit": op13_bestfit,
 }
 SQL = {
     "op1_exact_dedup": OP1_SQL,
@@ -216,4 +257,5 @@ SQL = {
     "op5_language_id": OP5_SQL,
     "op7_warc": OP7_SQL,
     "op10_secrets": op10_sql(),
+    "op12_lexical": OP12_SQL,
 }
