@@ -242,10 +242,77 @@ def test_folders(spark):
     df = spark.createDataFrame([("root", None), ("a", "root"), ("b", "a"), ("x", "y"), ("y", "x"), ("lost", "gone")], "uid string, parent_uid string")
     up = {(r.uid, r.ancestor, r.depth) for r in knowledge.folder_ancestors(spark, df, df.select("uid")).collect()}
     assert up == {("a", "root", 1), ("b", "a", 1), ("b", "root", 2), ("x", "y", 1), ("y", "x", 1)}
-    down = knowledge.folder_contents(df, "root")
-    assert {(r.uid, r.depth, r.truncated) for r in down.collect()} == {("a", 1, False), ("b", 2, False)}
-    assert {r.truncated for r in knowledge.folder_contents(df, "root", most=1).collect()} == {True}
-    assert knowledge.folder_contents(df, "x").count() == 1
+
+
+def contents(spark, edges, boards, roots, **how):
+    folders = spark.createDataFrame([(u, p, f"Folder {u}") for u, p in edges], "uid string, parent_uid string, title string")
+    held = spark.createDataFrame([(f, u, u.upper()) for f, u in boards], "folder_uid string, uid string, title string")
+    return knowledge.folder_contents(folders, held, spark.createDataFrame([(r,) for r in roots], "root string"), **how)
+
+
+def summaries(found):
+    return {r.root: (r.dashboards_total, r.subfolders_total, r.folders_scanned, r.truncated) for r in found.summary.collect()}
+
+
+TREE = [("root", None), ("b", "root"), ("a", "root"), ("a2", "a"), ("b1", "b"), ("deep", "a2"), ("lost", "gone"), ("empty", None)]
+BOARDS = [("root", "d1"), ("a", "d2"), ("a", "d0"), ("deep", "d3"), ("b1", "d4"), ("nowhere", "d5")]
+
+
+def test_folder_listing(spark):
+    one = contents(spark, TREE, BOARDS, ["root", "a", "empty", "gone"])
+    assert summaries(one) == {"root": (1, 2, 1, False), "a": (2, 1, 1, False), "empty": (0, 0, 1, False)}
+    assert [(r.root, r.uid, r.title) for r in one.dashboards.orderBy("root", "place").collect()] == [("a", "d0", "D0"), ("a", "d2", "D2"), ("root", "d1", "D1")]
+    below = contents(spark, TREE, BOARDS, ["root", "a", "empty"], recursive=True)
+    assert summaries(below) == {"root": (5, 2, 6, False), "a": (3, 1, 3, False), "empty": (0, 0, 1, False)}
+    assert [r.uid for r in below.dashboards.where("root = 'root'").orderBy("place").collect()] == ["d1", "d0", "d2", "d4", "d3"]
+    assert [r.uid for r in below.folders.where("root = 'root'").orderBy("at").collect()] == ["root", "a", "b", "a2", "b1", "deep"]
+    assert {(r.root, r.uid, r.title, r.place) for r in below.subfolders.collect()} == {("root", "a", "Folder a", 1), ("root", "b", "Folder b", 2), ("a", "a2", "Folder a2", 1)}
+
+
+def test_folder_listing_is_cut_breadth_first(spark):
+    """The folder itself counts as one; what is left out shows, and nothing does where all fits."""
+    for most, want in ((1, ["root"]), (2, ["root", "a"]), (4, ["root", "a", "b", "a2"]), (5, ["root", "a", "b", "a2", "b1"])):
+        cut = contents(spark, TREE, BOARDS, ["root", "empty"], recursive=True, most=most)
+        assert [r.uid for r in cut.folders.where("root = 'root'").orderBy("at").collect()] == want
+        assert summaries(cut)["root"][2:] == (most, True) and summaries(cut)["empty"][3] is False
+    for most in (6, None):
+        assert summaries(contents(spark, TREE, BOARDS, ["root"], recursive=True, most=most))["root"] == (5, 2, 6, False)
+    few = contents(spark, TREE, BOARDS, ["root"], recursive=True, limit=2)
+    assert [r.uid for r in few.dashboards.orderBy("place").collect()] == ["d1", "d0"] and summaries(few)["root"][0] == 5
+
+
+def test_folder_listing_of_chains_and_cycles(spark):
+    chain = [("f00", None)] + [(f"f{i:02}", f"f{i - 1:02}") for i in range(1, 41)]
+    found = contents(spark, chain, [("f40", "last")], ["f00", "f39"], recursive=True)
+    assert summaries(found) == {"f00": (1, 1, 41, False), "f39": (1, 1, 2, False)}
+    assert found.folders.where("root = 'f00'").agg(F.max("depth")).first()[0] == 40
+    cycle = contents(spark, [("x", "y"), ("y", "x"), ("self", "self"), ("x", "y")], [("x", "dx"), ("y", "dy")], ["x", "self"], recursive=True)
+    got = summaries(cycle)
+    assert got["x"][0] == 2 and got["x"][2:] == (2, False) and got["self"] == (0, 1, 1, False)
+
+
+def test_folder_listing_within_a_connection(spark):
+    folders = spark.createDataFrame([("c1", "r", None, "R"), ("c1", "s", "r", "S"), ("c2", "r", None, "R"), ("c2", "t", "r", "T")], "connection_id string, uid string, parent_uid string, title string")
+    boards = spark.createDataFrame([("c1", "s", "d", "D"), ("c2", "r", "d", "D"), ("c2", "t", "e", "E")], "connection_id string, folder_uid string, uid string, title string")
+    found = knowledge.folder_contents(folders, boards, spark.createDataFrame([("c1", "r"), ("c2", "r")], "connection_id string, root string"), recursive=True, scope=["connection_id"])
+    assert {(r.connection_id, r.uid) for r in found.dashboards.collect()} == {("c1", "d"), ("c2", "d"), ("c2", "e")}
+
+
+def test_keys_of_knowledge_are_trimmed(spark):
+    panels = spark.createDataFrame([("c", "d", 1, 1, "knowledge: Key4", None), ("c", "d", 2, 2, "knowledge: b", "x")], "connection_id string, dashboard_uid string, panel_id int, at int, title string, content string")
+    known = knowledge.extract_knowledge(panels)
+    assert {(r.product_key, r.json, r.prose, r.parse_error) for r in known.collect()} == {("key4", None, "", False), ("b", None, "x", False)}
+    asked = spark.createDataFrame([(" KEY4 ",), ("\tkey4\n",)], "key string")
+    assert [r.panel_id for r in knowledge.knowledge_matches(known, asked).collect()] == [1]
+    nothing = spark.createDataFrame([], "alert_id int, folder string, depth int")
+    hit = knowledge.attach_knowledge(spark.createDataFrame([(1,)], "alert_id int"), spark.createDataFrame([(1, 0, " Key4 ")], "alert_id int, position int, key string"), nothing, known, spark.createDataFrame([], "dashboard_uid string, home string"))
+    assert [r.panel_id for r in hit.collect()] == [1]
+
+
+def test_overview_of_knowledge(spark):
+    boards = spark.createDataFrame([("c", "d", "Known", "f", ["knowledge", "x"]), ("c", "e", "Bare", None, ["knowledge"]), ("c", "g", "Other", "f", ["x"]), ("c", "h", "None", "f", None)], "connection_id string, uid string, title string, folder_uid string, tags array<string>")
+    known = spark.createDataFrame([("c", "d", "b"), ("c", "d", "a"), ("c", "g", "z")], "connection_id string, dashboard_uid string, product_key string")
+    assert {(r.dashboard_uid, r.title, r.folder_uid, *r.product_keys) for r in knowledge.knowledge_overview(boards, known).collect()} == {("d", "Known", "f", "a", "b"), ("e", "Bare", None)}
 
 
 def test_masking(spark):

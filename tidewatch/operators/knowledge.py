@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import stored, work_path
+
 MARK = "knowledge"
 FENCE = r"(?is)```json\s*\n(.*?)```"
 SPACE = " \t\n\x0b\x0c\r"
-HOPS, FOLDERS = 10, 500
+#: Folders up, folders looked into, and rows listed of a folder.
+HOPS, FOLDERS, LISTED = 10, 500, 200
 
 
 def extract_knowledge(panels: DataFrame, mark: str = MARK) -> DataFrame:
     """product_key, json, prose and parse_error of text panels titled `<mark>: <key>`; of one key the first panel counts.
 
     `panels` has connection_id, dashboard_uid, panel_id, at, title and content. The first fenced block is parsed and the
-    rest is prose; a block that can't be parsed leaves the whole text, with parse_error.
+    rest is prose; a block that can't be parsed leaves the whole text, with parse_error. Null content is empty.
     """
     key = F.trim(F.regexp_extract(F.coalesce("title", F.lit("")), rf"(?i)^{mark}:\s*(.+)$", 1))
     rows = panels.withColumn("product_key", F.lower(key)).where("product_key <> ''")
     first = Window.partitionBy("connection_id", "dashboard_uid", "product_key").orderBy("at", "panel_id")
     rows = rows.withColumn("_i", F.row_number().over(first)).where("_i = 1")
+    rows = rows.withColumn("content", F.coalesce("content", F.lit("")))
     block = F.nullif(F.regexp_extract("content", FENCE, 1), F.lit(""))
     fenced = F.col("content").rlike(FENCE)
     parsed = F.try_parse_json(block)
@@ -56,16 +63,92 @@ def folder_ancestors(spark: SparkSession, folders: DataFrame, start: DataFrame,
     return found
 
 
-def folder_contents(folders: DataFrame, root: str, depth: int = HOPS, most: int = FOLDERS) -> DataFrame:
-    """The folders below `root` with their depth, nearest first, at most `most`, and `truncated`."""
-    level = folders.where(F.col("parent_uid") == root).select("uid", F.lit(1).alias("depth"))
-    found = level
-    for d in range(2, depth + 1):
-        level = folders.select("uid", "parent_uid").join(level.select(F.col("uid").alias("_p")), F.col("parent_uid") == F.col("_p")).where(F.col("uid") != root).select("uid", F.lit(d).alias("depth"))
-        found = found.unionByName(level)
-    found = found.groupBy("uid").agg(F.min("depth").alias("depth"))
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    return found.orderBy("depth", "uid").limit(most).join(F.broadcast(total)).withColumn("truncated", F.col("total") > most).drop("total")
+class Contents(NamedTuple):
+    """What folders hold. `scope` columns and `root` say of which folder each row is.
+
+    `folders`: uid, depth (the folder itself at 0) and `at`, its place in breadth-first order, of each folder that was looked
+    into. `dashboards` and `subfolders` (direct ones alone): uid, title and `place` (from 1). `summary`: dashboards_total,
+    subfolders_total, folders_scanned and truncated, one row for each folder asked for.
+    """
+
+    folders: DataFrame
+    dashboards: DataFrame
+    subfolders: DataFrame
+    summary: DataFrame
+
+
+def _descend(roots: DataFrame, edges: DataFrame, own: list[str], scope: list[str], most: int | None) -> DataFrame:
+    """`own`, uid, depth, at and `scanned` of the roots and all below them; a row that isn't scanned marks a root that was cut.
+
+    One level after the other, for all roots at once, until a level is empty. Each level is a table, so a plan never holds
+    more than one hop, and folders that were met before (on a cycle) are left out.
+    """
+    spark = roots.sparkSession
+    path = work_path(spark, "folders")
+    level = roots.withColumns({"depth": F.lit(0), "at": F.lit(0).cast("long"), "scanned": F.lit(True)})
+    depth, schema = 0, None
+    while True:
+        level.write.parquet(f"{path}/level={depth}")
+        schema = schema or level.schema
+        known = spark.read.schema(schema).parquet(*[f"{path}/level={d}" for d in range(depth + 1)])
+        last = spark.read.schema(schema).parquet(f"{path}/level={depth}")
+        if last.where("scanned").isEmpty():
+            return known
+        ends = last.groupBy(*own).agg((F.max("at") + 1).alias("_next"), F.bool_and("scanned").alias("_whole"))
+        front = last.join(ends.where("_whole"), own).select(*own, F.col("uid").alias("_up"), F.col("at").alias("_at"), "_next")
+        met = front.join(edges, [*scope, "_up"]).select(*own, "uid", "_at", "_next")
+        # a folder that is listed twice is looked into where it comes first
+        new = met.join(known.select(*own, "uid"), [*own, "uid"], "left_anti").groupBy(*own, "uid").agg(F.min("_at").alias("_at"), F.first("_next").alias("_next"))
+        rank = F.row_number().over(Window.partitionBy(*own).orderBy("_at", "uid"))
+        placed = new.withColumn("_i", rank)
+        if most is not None:
+            placed = placed.where(F.col("_i") <= most)
+        depth += 1
+        at = F.col("_next") + F.col("_i") - 1
+        inside = at < most if most is not None else F.lit(True)
+        level = placed.select(*own, "uid", F.lit(depth).alias("depth"), at.alias("at"), inside.alias("scanned"))
+        if most is not None:
+            level = level.where(F.col("at") <= most)  # one row beyond tells that the root was cut
+
+
+def folder_contents(folders: DataFrame, dashboards: DataFrame, roots: DataFrame, recursive: bool = False, most: int | None = FOLDERS, limit: int | None = LISTED, scope: Sequence[str] = ()) -> Contents:
+    """Dashboards and subfolders of each folder in `roots` (column `root`), at once for all of them.
+
+    `folders` has uid, parent_uid and title, `dashboards` folder_uid, uid and title; `scope` names columns (say, the
+    connection) that all three tables have and within which uids hold. One level alone, or with `recursive` the dashboards
+    of all folders below, of any depth; subfolders are the direct ones either way. Folders are looked into in breadth-first
+    order, siblings by uid, at most `most` of them, the root among these; `truncated` is true where any was left out. At
+    most `limit` dashboards and subfolders are listed, in that order and then by uid; the totals count all that was found.
+    A root that isn't among the folders has no rows; cycles end where they meet a folder again. None lifts a bound.
+    """
+    scope = list(scope)
+    own = [*scope, "root"]
+    known = folders.select(*scope, F.col("uid").alias("root")).distinct()
+    start = roots.select(*own).distinct().join(known, own, "left_semi").withColumn("uid", F.col("root"))
+    named = folders.where("parent_uid is not null").select(*scope, F.col("parent_uid").alias("_up"), "uid", "title")
+    if recursive:
+        every = _descend(start, named.drop("title"), own, scope, most)
+    else:
+        every = stored(start.withColumns({"depth": F.lit(0), "at": F.lit(0).cast("long"), "scanned": F.lit(True)}), "folder-roots")
+    scanned = every.where("scanned").select(*own, "uid", "depth", "at")
+
+    held = dashboards.select(*scope, F.col("folder_uid").alias("_in"), F.col("uid").alias("_uid"), "title")
+    found = stored(scanned.withColumnRenamed("uid", "_in").join(held, [*scope, "_in"]).select(*own, F.col("_uid").alias("uid"), "title", "at"), "folder-dashboards")
+    direct = stored(start.select(*own, F.col("uid").alias("_up")).join(named, [*scope, "_up"]).select(*own, "uid", "title", F.lit(0).cast("long").alias("at")), "folder-subfolders")
+
+    def listed(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy("at", "uid", "title")))
+        return (placed if limit is None else placed.where(F.col("place") <= limit)).drop("at")
+
+    count = lambda rows, name: rows.groupBy(*own).agg(F.count(F.lit(1)).alias(name))
+    looked = every.groupBy(*own).agg(F.count_if("scanned").alias("folders_scanned"), (~F.bool_and("scanned")).alias("truncated"))
+    totals = looked.join(count(found, "dashboards_total"), own, "left").join(count(direct, "subfolders_total"), own, "left")
+    summary = totals.select(*own, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("dashboards_total", "subfolders_total")], "folders_scanned", "truncated")
+    return Contents(scanned, listed(found), listed(direct), summary)
+
+
+def _product_key(key: Column) -> Column:
+    return F.lower(F.btrim(key, F.lit(SPACE)))
 
 
 def attach_knowledge(alerts: DataFrame, keys: DataFrame, ancestors: DataFrame, knowledge: DataFrame, homes: DataFrame) -> DataFrame:
@@ -77,7 +160,7 @@ def attach_knowledge(alerts: DataFrame, keys: DataFrame, ancestors: DataFrame, k
     it has several. Then all others are tried in order, each with the keys in order. `depth` is that of the first one's
     folder, and null for a panel of another dashboard.
     """
-    wanted = keys.select("alert_id", F.lower("key").alias("product_key"), "position").groupBy("alert_id", "product_key").agg(F.min("position").alias("position"))
+    wanted = keys.select("alert_id", _product_key(F.col("key")).alias("product_key"), "position").groupBy("alert_id", "product_key").agg(F.min("position").alias("position"))
     met = ancestors.join(homes, F.col("folder") == F.col("home"))
     walked = met.groupBy("alert_id").agg(F.min(F.struct("depth", "dashboard_uid")).alias("walked"))
     hits = alerts.select("alert_id").join(wanted, "alert_id").join(knowledge, "product_key").join(walked, "alert_id", "left")
@@ -88,5 +171,16 @@ def attach_knowledge(alerts: DataFrame, keys: DataFrame, ancestors: DataFrame, k
 
 
 def knowledge_matches(knowledge: DataFrame, keys: DataFrame) -> DataFrame:
-    """Every knowledge panel with one of the keys."""
-    return knowledge.join(keys.select(F.lower("key").alias("product_key")).distinct(), "product_key", "left_semi")
+    """Every knowledge panel with one of the keys, whatever their case and the space around them."""
+    return knowledge.join(keys.select(_product_key(F.col("key")).alias("product_key")).distinct(), "product_key", "left_semi")
+
+
+def knowledge_overview(dashboards: DataFrame, knowledge: DataFrame, tag: str = MARK) -> DataFrame:
+    """connection_id, dashboard_uid, title, folder_uid and the sorted product_keys of every dashboard with the tag.
+
+    `dashboards` has connection_id, uid, title, folder_uid and tags. One without knowledge panels has no keys.
+    """
+    own = ["connection_id", "dashboard_uid"]
+    keys = knowledge.groupBy(*own).agg(F.array_sort(F.collect_set("product_key")).alias("product_keys"))
+    tagged = dashboards.where(F.array_contains("tags", tag)).select("connection_id", F.col("uid").alias("dashboard_uid"), "title", "folder_uid")
+    return tagged.join(keys, own, "left").withColumn("product_keys", F.coalesce("product_keys", F.array().cast("array<string>")))

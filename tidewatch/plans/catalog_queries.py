@@ -543,7 +543,7 @@ def f25_pages(spark, sf_dir):
 
 @register("q_j17_all_matches", f"WITH {FIRST} SELECT dashboard_uid, panel_id, product_key FROM firsts WHERE product_key IN ('key4', 'key8', 'key13')")
 def j17(spark, sf_dir):
-    keys = table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") == 0, "KEY4").when(F.col("r_regionkey") == 1, "Key8").otherwise("key13").alias("key"))
+    keys = table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") == 0, " KEY4 ").when(F.col("r_regionkey") == 1, "Key8\n").otherwise("key13").alias("key"))
     return knowledge.knowledge_matches(known(spark, sf_dir), keys).select("dashboard_uid", "panel_id", "product_key")
 
 
@@ -564,9 +564,41 @@ def j18(spark, sf_dir):
     return knowledge.folder_ancestors(spark, rows, rows.select("uid"))
 
 
-@register("q_j19_descendants", f"WITH RECURSIVE folders AS ({FOLDERS}), walk AS (SELECT uid, 1 AS depth FROM folders WHERE parent_uid = 3 UNION ALL SELECT f.uid, depth + 1 FROM walk w JOIN folders f ON f.parent_uid = w.uid WHERE depth < 10) SELECT uid, depth, (SELECT count(*) FROM walk) > 500 AS truncated FROM walk ORDER BY depth, uid LIMIT 500")
+BELOW = f"""WITH RECURSIVE folders AS ({FOLDERS}), walk AS (
+  SELECT uid AS root, uid, 0 AS depth FROM folders UNION ALL SELECT w.root, f.uid, depth + 1 FROM walk w JOIN folders f ON f.parent_uid = w.uid),
+placed AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, uid) - 1 AS nth FROM walk), boards AS (
+  SELECT c_custkey AS uid, c_name AS title, c_custkey % 1000 AS folder_uid FROM customer),
+held AS (SELECT root, b.uid, title, nth FROM placed p JOIN boards b ON b.folder_uid = p.uid WHERE nth < 500)"""
+
+
+def boards(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_name").alias("title"), (F.col("c_custkey") % 1000).alias("folder_uid"))
+
+
+def contents(spark, sf_dir, recursive):
+    """What every folder of the tree holds: customers as dashboards."""
+    rows = folders(spark, sf_dir).withColumn("title", F.concat(F.lit("Folder "), F.col("uid").cast("string")))
+    return knowledge.folder_contents(rows, boards(spark, sf_dir), rows.select(F.col("uid").alias("root")), recursive)
+
+
+@register("q_j19_descendants", f"{BELOW} SELECT root, uid, depth, nth FROM placed WHERE nth < 500")
 def j19(spark, sf_dir):
-    return knowledge.folder_contents(folders(spark, sf_dir), 3)
+    return contents(spark, sf_dir, True).folders.withColumnRenamed("at", "nth")
+
+
+@register("q_j19_dashboards", f"{BELOW} SELECT * FROM (SELECT root, uid, title, row_number() OVER (PARTITION BY root ORDER BY nth, uid) AS place FROM held) WHERE place <= 200")
+def j19_dashboards(spark, sf_dir):
+    return contents(spark, sf_dir, True).dashboards
+
+
+@register("q_tool_list_folder", f"""{BELOW}, direct AS (SELECT parent_uid AS root, count(*) AS n FROM folders WHERE parent_uid IS NOT NULL GROUP BY 1), forms AS (SELECT unnest([true, false]) AS recursive),
+boards_of AS (SELECT root, count(*) AS n, count(*) FILTER (WHERE nth = 0) AS own FROM held GROUP BY 1), sizes AS (SELECT root, count(*) AS n FROM placed GROUP BY 1)
+SELECT s.root, recursive, coalesce(CASE WHEN recursive THEN b.n ELSE b.own END, 0) AS dashboards_total, coalesce(d.n, 0) AS subfolders_total,
+CASE WHEN recursive THEN least(s.n, 500) ELSE 1 END AS folders_scanned, recursive AND s.n > 500 AS truncated FROM sizes s CROSS JOIN forms LEFT JOIN direct d USING (root) LEFT JOIN boards_of b USING (root)""")
+def list_folder(spark, sf_dir):
+    """Both forms of the listing of every folder, with what each leaves out."""
+    whole, one = (contents(spark, sf_dir, r).summary.withColumn("recursive", F.lit(r)) for r in (True, False))
+    return whole.unionByName(one)
 
 
 ATTACH = f"""{WALK}, {FIRST}, al AS (SELECT o_orderkey AS alert_id, o_orderkey % 2000 AS folder, 'key' || (o_custkey % 60) AS k0, 'key' || (o_custkey % 7) AS k1 FROM orders),
@@ -585,7 +617,7 @@ attached AS (SELECT alert_id, dashboard_uid, panel_id, product_key, depth FROM (
 def j16(spark, sf_dir):
     """Alerts in folders of the tree; every tenth folder is the home of a knowledge dashboard."""
     rows = folders(spark, sf_dir)
-    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("alert_id"), (F.col("o_orderkey") % 2000).alias("at"), F.array(F.concat(F.lit("Key"), (F.col("o_custkey") % 60).cast("string")), F.concat(F.lit("key"), (F.col("o_custkey") % 7).cast("string"))).alias("k"))
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("alert_id"), (F.col("o_orderkey") % 2000).alias("at"), F.array(F.concat(F.lit("  Key"), (F.col("o_custkey") % 60).cast("string"), F.lit(" ")), F.concat(F.lit("key"), (F.col("o_custkey") % 7).cast("string"))).alias("k"))
     keys = own.select("alert_id", F.posexplode("k").alias("position", "key"))
     up = knowledge.folder_ancestors(spark, rows, rows.select("uid"), own=True)
     above = own.join(up, F.col("at") == F.col("uid")).select("alert_id", F.col("ancestor").alias("folder"), "depth")
