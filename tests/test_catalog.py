@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import columns as c
 from tidewatch.operators import alerts, catalog, knowledge, logs, mask
 from tidewatch.session import work_path
-from tidewatch.sources import csv, frames
+from tidewatch.sources import csv, frames, index_store
 from tidewatch.sources.alerts import read_alert_store
 from tidewatch.sources.logs import promote_labels
 
@@ -363,3 +363,60 @@ def test_nested_panels(spark):
     assert out == {(1, "A", "ds"), (1, "B", "own"), (3, "A", None), (3, "B", "own")}
     with pytest.raises(Exception, match="too deep"):
         catalog.flatten_panels(df, depth=1).collect()
+
+
+ENTRY = "connection_id string, metric string"
+
+
+def saved(spark, path, rows, at="2024-01-01 10:00:00", **how):
+    index_store.save_index(spark.createDataFrame(rows, ENTRY), path, built_at=F.lit(at).cast("timestamp"), **how)
+
+
+def loaded(spark, path, now="2024-01-01 11:00:00", schema=ENTRY, **how):
+    return sorted(tuple(r)[: len(schema.split(","))] for r in index_store.load_fresh_index(spark, path, schema, now=F.lit(now).cast("timestamp"), **how).collect())
+
+
+def test_a_build_replaces_the_one_before(spark):
+    path = work_path(spark, "index")
+    assert loaded(spark, path) == []
+    saved(spark, path, [("a", "old"), ("a", "gone"), ("b", "kept")])
+    saved(spark, path, [("a", "new"), ("a", "new")])
+    assert loaded(spark, path) == [("a", "new"), ("a", "new"), ("b", "kept")]
+    saved(spark, path, [], connections=["b"])  # a build that found nothing
+    assert loaded(spark, path) == [("a", "new"), ("a", "new")]
+
+
+def test_an_old_or_foreign_build_hides_what_it_replaced(spark):
+    path = work_path(spark, "index")
+    saved(spark, path, [("a", "x"), ("b", "x"), ("c", "x")])
+    saved(spark, path, [("a", "y")], version=0)
+    saved(spark, path, [("b", "y")], at="2024-01-01 04:59:59")
+    assert loaded(spark, path) == [("c", "x")]
+    assert loaded(spark, path, now="2024-01-01 16:00:00") == [("c", "x")] and loaded(spark, path, now="2024-01-01 16:00:01") == []
+
+
+def test_a_save_is_seen_whole_or_not_at_all(spark):
+    """Entries of a save that isn't done, or never will be, are not seen; neither are those replaced under a reader."""
+    path = work_path(spark, "index")
+    saved(spark, path, [("a", "x")])
+    reader = index_store.load_fresh_index(spark, path, ENTRY, now=F.lit("2024-01-01 11:00:00").cast("timestamp"))
+    spark.createDataFrame([("a", "half")], ENTRY).write.partitionBy("connection_id").parquet(f"{path}/entries/build=unfinished")
+    assert loaded(spark, path) == [("a", "x")]
+    saved(spark, path, [("a", "y")])
+    assert [r.metric for r in reader.collect()] == ["x"] and loaded(spark, path) == [("a", "y")]
+
+
+def test_builds_may_be_saved_at_the_same_time(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = work_path(spark, "index")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: saved(spark, path, [(f"c{i}", "x"), ("all", str(i))]), range(8)))
+    found = loaded(spark, path)
+    assert [r for r in found if r[0] != "all"] == [(f"c{i}", "x") for i in range(8)] and len(found) == 9
+
+
+def test_columns_that_a_build_lacks_have_defaults(spark):
+    path = work_path(spark, "index")
+    saved(spark, path, [("a", "x")])
+    assert loaded(spark, path, schema=f"{ENTRY}, labels array<string>", defaults={"labels": F.array(F.lit("none"))}) == [("a", "x", ["none"])]

@@ -251,19 +251,25 @@ def tool_export(spark, sf_dir):
     return long.select("timestamp", F.regexp_extract("series", r"shard=(\d+)", 1).cast("bigint").alias("shard"), F.col("n").cast("bigint").alias("n"))
 
 
-@register("q_s6_fresh_index", "SELECT 'c' || (user_id % 3) AS connection_id, event_type AS metric, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-29 18:00:00' GROUP BY ALL")
+@register("q_s6_fresh_index", """SELECT 'c' || (user_id % 5) AS connection_id, event_type AS metric, count(*) AS n FROM events
+WHERE user_id % 5 IN (0, 1, 4) AND (user_id % 5 = 4 OR event_type <> 'error') GROUP BY ALL""")
 def s6(spark, sf_dir):
-    """Entries built when each event came in; those of the last six hours before the 30th are fresh."""
+    """Five connections: c0 and c1 are built again without errors, c2 again by another version, c3 by an old build saved later, c4 once."""
     path = work_path(spark, "index")
-    entries = table(spark, sf_dir, "events").select(F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("connection_id"), F.col("event_type").alias("metric"), F.col("ts").cast("timestamp").alias("at"))
-    index_store.save_index(entries, path, built_at=F.col("at"))
-    fresh = index_store.load_fresh_index(spark, path, now=F.lit("2024-01-30 00:00:00").cast("timestamp"))
+    at = lambda text: F.lit(text).cast("timestamp")
+    entries = table(spark, sf_dir, "events").select(F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("connection_id"), F.col("event_type").alias("metric"))
+    of = lambda *ids: entries.where(F.col("connection_id").isin(*ids))
+    index_store.save_index(entries, path, built_at=at("2024-01-29 20:00:00"))
+    index_store.save_index(of("c0", "c1").where("metric <> 'error'"), path, built_at=at("2024-01-30 00:30:00"))
+    index_store.save_index(of("c2"), path, built_at=at("2024-01-30 00:30:00"), version=0)
+    index_store.save_index(of("c3"), path, built_at=at("2024-01-29 12:00:00"))
+    fresh = index_store.load_fresh_index(spark, path, entries.schema, now=at("2024-01-30 01:00:00"))
     return fresh.groupBy("connection_id", "metric").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("q_tool_search_logs", "SELECT event_id AS id, epoch_ms(ts) AS t_ms FROM events WHERE event_type = 'error' AND props LIKE '%7%' ORDER BY ts, event_id LIMIT 500")
+@register("q_tool_search_logs", "SELECT event_id AS id, epoch_ms(ts) AS t_ms FROM events WHERE props LIKE '%7%' ORDER BY ts, event_id LIMIT 500")
 def tool_search(spark, sf_dir):
-    where = (F.col("source") == "error") & F.contains("message", F.lit("7"))
+    where = F.contains("message", F.lit("7"))
     return logs.search_logs(messages(spark, sf_dir), where, F.lit("2024-01-01").cast("timestamp"), F.lit("2024-12-31").cast("timestamp"))[0].select("id", ms("ts").alias("t_ms"))
 
 
