@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as c
-from tidewatch.operators import alerts, catalog, knowledge, logs, mask
+from tidewatch.operators import alerts, catalog, knowledge, logs, mask, skew
 from tidewatch.session import work_path
 from tidewatch.sources import csv, frames, index_store
 from tidewatch.sources.alerts import read_alert_store
@@ -131,6 +131,11 @@ def target(expr=None, query=None, raw=None, measurement=None, tags=None, uid="d1
         (target(query='SELECT x FROM "db"."rp"."cpu" WHERE "host" = \'h1\' AND t > 1 GROUP BY time(1m)', raw=True, measurement="stale"), {"cpu"}, {("host", "h1")}),
         (target(query="SELECT x FROM stale", raw=False, measurement="mem", tags=[("host", "=", "h2")]), {"mem"}, {("host", "h2")}),
         (target(query="select x from (disk)", raw=None, measurement="mem"), {"mem", "disk"}, set()),
+        (target('a{x="1",y!~"2, z=\\"3\\"" , w = "4"} > on (x) b{x="1"} # "'), {"a", "b"}, {("x", "1"), ("y", '2, z=\\"3\\"'), ("w", "4")}),
+        (target('a{p="c:\\\\", q="r"}'), {"a"}, {("p", "c:\\\\"), ("q", "r")}),
+        (target(query="SELECT x FROM cpu WHERE (a='1' OR \"b\" = '2 and c = 3') AND d != '4' AND e >= '5'\n AND f='6' GROUP BY g='7'", raw=True), {"cpu"}, {("a", "1"), ("b", "2 and c = 3"), ("f", "6")}),
+        (target(query='select x from ( "a.b"."c d" ) where k=\'v\' limit 1', raw=True), {"c d"}, {("k", "v")}),
+        (target(query="", raw=True, measurement="m"), set(), set()),
     ],
 )
 def test_query_info(spark, given, metrics, pairs):
@@ -138,6 +143,20 @@ def test_query_info(spark, given, metrics, pairs):
     assert set(row.metrics) == metrics and {(p.key, p.value) for p in row.label_pairs} == pairs
 
 
+def test_texts_are_read_once_each(spark, monkeypatch):
+    """However often a text occurs and however its results are used; a hot text is dealt where the table is too large to broadcast."""
+    rows = [target('rate(x{p="q"}[1m])', panel=i) for i in range(60)] + [target(f'y{i}{{p="{i}"}}', panel=i) for i in range(20)] + [target(query="SELECT v FROM z", panel=7)]
+    df = spark.createDataFrame(rows, TARGET)
+    table = catalog.query_texts(catalog.active_query_fields(df).withColumn("_text", F.struct(*catalog.TEXTS)).withColumn("_hash", F.xxhash64("_text")))
+    assert sorted((r["_n"], *r["_info"].metrics) for r in table.collect()) == sorted([(60, "x"), *[(1, f"y{i}") for i in range(20)], (1, "z")])
+    index = catalog.build_metric_index(df)
+    assert "regexp" not in index._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(map(str, index.collect()))
+    monkeypatch.setattr(catalog, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 8)
+    assert sorted(map(str, catalog.build_metric_index(df).collect())) == want
+
+
 def test_index_and_broken_sources(spark):
     rows = [target('rate(http_requests_total{service="checkout"}[5m])'), target('http_requests_total{service="payments"}', uid="d2", panel=5, title="Payments overview"), target("up", source="missing-ds", panel=2), target("up", source="$ds", panel=3), target("up", source="-- Dashboard --", panel=4)]
     df = spark.createDataFrame(rows, TARGET)
@@ -420,3 +439,40 @@ def test_columns_that_a_build_lacks_have_defaults(spark):
     path = work_path(spark, "index")
     saved(spark, path, [("a", "x")])
     assert loaded(spark, path, schema=f"{ENTRY}, labels array<string>", defaults={"labels": F.array(F.lit("none"))}) == [("a", "x", ["none"])]
+
+
+def keyed(spark, rows, key="k"):
+    return spark.createDataFrame(rows, f"{key} int, ms long").selectExpr(key, "timestamp_millis(ms) AS ts", "ms AS message")
+
+
+@pytest.mark.parametrize("least", [10_000, 5])
+def test_pairs_of_a_hot_key(spark, monkeypatch, least):
+    monkeypatch.setattr(skew, "HOT_ROWS", least)
+    left = [(1, i) for i in range(40)] + [(1, 3)] * 12 + [(2, 7), (3, 1), (None, 1)]
+    right = [(1, i) for i in range(30)] + [(2, i) for i in range(15)] + [(4, 1), (None, 1)]
+    a, b = keyed(spark, left).repartition(5), keyed(spark, right, "j").repartition(3)
+    want = sorted((str(x), m, n) for x, m in left for y, n in right if x == y and x is not None)
+    assert sorted((r.key, r.left_message, r.right_message) for r in logs.join_pairs(a, b, "k", "j").collect()) == want
+    near = [(k, m, n) for k, m, n in want if abs(m - n) <= 4]
+    assert sorted((r.key, r.left_message, r.right_message) for r in logs.join_pairs(a, b, "k", "j", 4).collect()) == near
+
+
+def test_a_hot_key_is_dealt_over_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    left = spark.range(100).selectExpr("1 AS k", "id AS x")
+    right = spark.range(100).selectExpr("1 AS k", "id AS y")
+    cells = skew.grid(left, right, ["k"]).groupBy("_line", "_column").count().collect()
+    assert len(cells) == 100 and sum(r["count"] for r in cells) == 10_000 and max(r["count"] for r in cells) < 1_000
+
+
+@pytest.mark.parametrize("least", [10_000, 5])
+def test_many_events_to_one(spark, monkeypatch, least):
+    monkeypatch.setattr(skew, "HOT_ROWS", least)
+    many, one = [(1, i) for i in range(40)] + [(2, 5), (3, 6), (None, 1)], [(1, 100), (2, 200), (9, 1), (None, 2)]
+    a, b = keyed(spark, many), keyed(spark, one, "j")
+    met = logs.join_to_one(a, b, "k", "j")
+    assert sorted((r.key, r.many_message, r.one_message) for r in met.collect()) == sorted([("1", i, 100) for i in range(40)] + [("2", 5, 200)])
+    assert {(r.key, r.one_message) for r in logs.join_to_one(a, b, "k", "j", keep=True).collect()} == {("1", 100), ("2", 200), ("3", None)}
+    with pytest.raises(Exception, match="several events"):
+        logs.join_to_one(a, keyed(spark, [(1, 1), (1, 2)], "j"), "k", "j").collect()
+    assert logs.join_to_one(a, keyed(spark, [(1, 1), (9, 2), (9, 3)], "j"), "k", "j").count() == 40

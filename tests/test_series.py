@@ -59,6 +59,31 @@ def test_runs_go_on_over_gaps_in_time(spark):
     assert [r.n for r in series.threshold_runs(df, ["series_key"], F.lit(1.0)).collect()] == [3]
 
 
+def test_only_the_ends_of_chunks_are_put_in_order(spark):
+    """Of alternating samples nearly every one is a run; what is sorted over a whole series is two runs a chunk."""
+    values = [float(i % 2) for i in range(6_000)]
+    out = series.threshold_runs(points(spark, values), ["series_key"], F.lit(0.5), chunk_ms=c.HOUR)
+    assert out.count() == 3_000
+    plan = series.runs_of(points(spark, values), ["series_key"], F.when(F.col("v") < 0.5, "low"), c.HOUR)._jdf.queryExecution().optimizedPlan().toString()
+    whole = [line for line in plan.splitlines() if "Window [" in line]
+    assert whole and all("_chunk" in line or "_of" in line for line in whole)
+
+
+def test_sides_change_at_the_ends_of_chunks(spark):
+    rng = random.Random(3)
+    values = [rng.choice([-1.0, 0.0, 1.0]) for _ in range(400)]
+    side = F.when(F.col("v") < 0, "low").when(F.col("v") > 0, "high")
+    want = []
+    for i, v in enumerate(values):
+        if v and want and want[-1][0] == v and want[-1][2] == i - 1:
+            want[-1][2] = i
+        elif v:
+            want.append([v, i, i])
+    for chunk in (c.MINUTE, 3 * c.MINUTE, c.DAY):
+        found = series.runs_of(points(spark, values), ["series_key"], side, chunk).select("side", F.unix_millis("start_t") / 60_000, F.unix_millis("end_t") / 60_000, "n").collect()
+        assert sorted(tuple(r) for r in found) == sorted(("low" if v < 0 else "high", a, b, b - a + 1) for v, a, b in want)
+
+
 def stats(spark, values):
     rows = series.series_stats(points(spark, values), ["series_key"]).collect()
     return rows[0] if rows else None
@@ -161,6 +186,22 @@ def incidents(spark, *rows):
     return spark.createDataFrame(rows, "incident_id string, starts_at timestamp, ends_at timestamp")
 
 
+def test_gaps_are_counted(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(n)) for k, n in (("a", 50), ("b", 100_000), ("c", 10**9)) for _ in range(rng.randrange(200, 300))] + [("one", 5), ("one", 5), ("two", 5), ("two", 12)]
+    df = spark.createDataFrame(rows, "series_key string, ms long").selectExpr("series_key", "timestamp_millis(ms) AS t")
+    want = {}
+    for k in {k for k, _ in rows}:
+        times = sorted({m for q, m in rows if q == k})
+        gaps = sorted(b - a for a, b in zip(times, times[1:], strict=False))
+        if gaps:
+            want[k] = (len(times), gaps[len(gaps) // 2], times[-1] - times[0])
+    for chunk in (c.DAY, 1_000):
+        found = series.resolution(df, ["series_key"], chunk)
+        assert {r.series_key: (r.points, r.gap_ms, r.span_ms) for r in found.collect()} == want
+        assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_windows(spark):
     rows = windows.compute_windows(incidents(spark, ("a", at(0), at(10)))).collect()
     by = {r.label: (r.from_ts, r.to_ts) for r in rows}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import label_overlap_lists, match_text, once
+from tidewatch.functions.columns import label_overlap_lists, match_text
+from tidewatch.operators.skew import look_up
 from tidewatch.session import stored
 
 MIXED, MIRROR = "-- Mixed --", "-- Dashboard --"
@@ -24,13 +25,15 @@ KEYWORDS = (
     "floor", "round", "clamp", "clamp_max", "clamp_min", "sort", "sort_desc", "scalar", "vector", "time", "timestamp",
 )
 GROUPING = ("by", "without", "on", "ignoring", "group_left", "group_right")
-#: What holds no metric's name: strings; then the insides of selectors, ranges, and lists of label names.
-STRING = r'"(?:\\.|[^"\\])*"'
+#: What holds no metric's name, in an expression without strings: the insides of selectors, ranges, and lists of label names.
 ASIDE = rf"(?<=\{{)[^{{}}]*|\[[^\]]*\]|(?i:\b(?:{'|'.join(GROUPING)})\s*\([^)]*\))"
-#: A name with the bracket that follows it, if any; a label test; a tag test.
+#: A name with the bracket that follows it, if any; a label's name.
 NAMED = r"(?<![\w:.])[A-Za-z_:][A-Za-z0-9_:]*+\s*+[({]?"
-LABEL_TEST = r'[A-Za-z_][A-Za-z0-9_]*\s*(?:=~?|![=~])\s*"[^"]*"'
-TAG_TEST = r"[A-Za-z_][A-Za-z0-9_]*\"?\s*=\s*'[^']*'"
+LABEL = "^[A-Za-z_][A-Za-z0-9_]*$"
+BLANK = " \t\r\n"
+#: What a target's query is read from, and bytes of texts up to which their table is broadcast.
+TEXTS = ("expr", "query", "measurement", "tags")
+BROADCAST_BYTES = 8 << 20
 
 
 def flatten_panels(dashboards: DataFrame, depth: int = 5) -> DataFrame:
@@ -71,49 +74,109 @@ def active_query_fields(targets: DataFrame) -> DataFrame:
     return targets.withColumns({"query": F.when(raw.isNull() | raw, F.col("query")), "measurement": F.when(raw.isNull() | ~raw, F.col("measurement")), "tags": F.when(raw.isNull() | ~raw, F.col("tags"))})
 
 
-def _tests(text: Column, pattern: str, quote: str) -> Column:
-    """The tests of `text` that the pattern finds, as pairs of a key and a quoted value."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    key = lambda t: F.regexp_substr(t, F.lit("^[A-Za-z0-9_]+"))
-    value = lambda t: F.rtrim(F.substring(t, F.instr(t, quote) + 1, F.length(t)), F.lit(quote))
-    return F.transform(found, lambda t: F.struct(key(t).alias("key"), value(t).alias("value")))
+def _quoted(text: Column, quote: str) -> tuple[Column, Column]:
+    """`text` cut at its quotes: what stands outside of strings, and each string with what stands before it."""
+    parts = F.split(text, quote)
+    outside = F.filter(parts, lambda _, i: i % 2 == 0)
+    # the last part has no quote after it
+    at = F.when(F.size(parts) > 2, F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return outside, F.transform(at, lambda i: F.struct(F.get(parts, i - 1).alias("before"), F.get(parts, i).alias("value")))
+
+
+def _pairs(strings: Column, key: Callable[[Column], Column]) -> Column:
+    """Key and value of the strings whose `key`, from what stands before, is a label's name."""
+    named = F.transform(strings, lambda s: F.struct(key(s["before"]).alias("key"), s["value"].alias("value")))
+    return F.array_distinct(F.filter(named, lambda p: F.coalesce(p["key"].rlike(LABEL), F.lit(False))))
+
+
+def _matched_label(before: Column) -> Column:
+    """The label of a matcher whose value follows: what stands between the last comma or brace and the operator."""
+    tail = F.rtrim(F.substring_index(F.substring_index(before, "{", -1), ",", -1), F.lit(BLANK))
+    return F.when(F.right(tail, F.lit(1)).isin("=", "~"), F.btrim(tail, F.lit(BLANK + "=!~")))
+
+
+def _compared_tag(before: Column) -> Column:
+    """The tag of an equality whose value follows: the last word before the sign, without quotes."""
+    tail = F.rtrim(F.translate(before, "\t\r\n", "   "))
+    word = F.substring_index(F.substring_index(F.rtrim(F.rtrim(tail, F.lit("="))), " ", -1), "(", -1)
+    return F.when(F.right(tail, F.lit(1)) == "=", F.btrim(word, F.lit('"')))
 
 
 def _last_name(measurement: Column) -> Column:
-    """What follows the last dot of a measurement, without quotes."""
-    return F.nullif(F.btrim(F.substring_index(measurement, ".", -1), F.lit('"')), F.lit(""))
+    """What follows the last dot of a measurement, without quotes; none is empty."""
+    return F.coalesce(F.btrim(F.substring_index(measurement, ".", -1), F.lit('"')), F.lit(""))
 
 
-def _names(expr: Column) -> Column:
-    """The metrics of an expression: every name before a selector, and other names that no bracket follows."""
-    bare = F.regexp_replace(F.regexp_replace(expr, STRING, '""'), ASIDE, " ")
-    words = F.regexp_extract_all(bare, F.lit(NAMED), 0)
-    split = F.transform(words, lambda w: F.struct(F.rtrim(w, F.lit("({ \t\r\n")).alias("name"), F.right(w, F.lit(1)).alias("then")))
+def _names(outside: Column) -> Column:
+    """The metrics of an expression without its strings: every name before a selector, and others that no bracket follows."""
+    words = F.regexp_extract_all(F.regexp_replace(F.array_join(outside, '""'), ASIDE, " "), F.lit(NAMED), 0)
+    split = F.transform(words, lambda w: F.struct(F.rtrim(w, F.lit("({" + BLANK)).alias("name"), F.right(w, F.lit(1)).alias("then")))
     metric = lambda w: (w["then"] == "{") | ((w["then"] != "(") & ~F.lower(w["name"]).isin(*KEYWORDS))
     return F.array_distinct(F.transform(F.filter(split, metric), lambda w: w["name"]))
 
 
+def _from_expression(expr: Column) -> Column:
+    """metrics and pairs of an expression. Escaped quotes end no string; values keep their escapes."""
+    escapes = (("\\\\", "\x01"), ('\\"', "\x02"))
+    for sign, mark in escapes:
+        expr = F.replace(expr, F.lit(sign), F.lit(mark))
+
+    def restored(value: Column) -> Column:
+        for sign, mark in escapes:
+            value = F.replace(value, F.lit(mark), F.lit(sign))
+        return value
+
+    outside, strings = _quoted(expr, '"')
+    pairs = F.filter(_pairs(strings, _matched_label), lambda p: p["key"] != "__name__")
+    return F.struct(_names(outside).alias("metrics"), F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), restored(p["value"]).alias("value"))).alias("pairs"))
+
+
+def _from_statement(query: Column, measurement: Column, tags: Column) -> Column:
+    """metrics and pairs of a statement, or of the fields that one is built from.
+
+    A statement has the last part of the name that follows its first `from`, and the tags that its condition, from `where`
+    to the next clause, tests for equality.
+    """
+    after = lambda word: F.get(F.split(query, rf"(?i)\b{word}\b", 2), F.lit(1))
+    source = F.regexp_substr(F.ltrim(F.regexp_replace(after("from"), r"^\s*\(", "")), F.lit(r'^(?:"[^"]+"|[\w.])+'))
+    condition = F.get(F.split(after("where"), r"(?i)\b(?:(?:group|order)\s+by|limit)\b", 2), F.lit(0))
+    _, strings = _quoted(F.coalesce(condition, F.lit("")), "'")
+    named = F.filter(F.array(_last_name(measurement), _last_name(source)), lambda n: n != "")
+    built = F.transform(F.coalesce(tags, F.array()), lambda t: F.struct(t["key"].alias("key"), t["value"].alias("value")))
+    return F.struct(F.array_distinct(named).alias("metrics"), F.array_distinct(F.concat(built, _pairs(strings, _compared_tag))).alias("pairs"))
+
+
+def query_texts(rows: DataFrame) -> DataFrame:
+    """The table of distinct query texts: `_hash`, `_text`, `_n` (targets that have it) and `_info` (metrics and pairs).
+
+    It is written before anything reads it, so every expression is evaluated once a text, however it is used.
+    """
+    texts = rows.groupBy("_hash", "_text").agg(F.count(F.lit(1)).alias("_n"))
+    text = F.col("_text")
+    info = F.when(text["expr"].isNotNull(), _from_expression(text["expr"])).otherwise(_from_statement(F.coalesce(text["query"], F.lit("")), text["measurement"], text["tags"]))
+    return stored(texts.withColumn("_info", info), "query-texts")
+
+
 def extract_query_info(targets: DataFrame) -> DataFrame:
     """`targets` with `metrics` (distinct names) and `label_pairs` (distinct key and value) read from their query texts.
 
-    An expression's names are read after strings, selectors, ranges and lists of labels are taken out, so that labels and
-    their values do not pass for metrics. A statement has the last part of what it reads from, and the tags that its
-    condition tests for equality; a target that is built from fields has those of its fields. Each text is searched once
-    for names and once for tests, where a row is, without a shuffle.
+    Panels are copied far more often than written, so texts are read once each, in a table of their own, and joined back
+    by hash and text; a text that many targets share is no hot key, as the table is broadcast where its size allows it
+    and else the text's targets are dealt over tasks. An expression's names are read after strings, selectors, ranges and
+    lists of labels are taken out, so that labels and their values do not pass for metrics.
     """
-    rows = active_query_fields(targets)
-    expr, query = F.col("expr"), F.coalesce("query", F.lit(""))
-    labels = F.filter(_tests(expr, LABEL_TEST, '"'), lambda p: p["key"] != "__name__")
-    promql = F.struct(_names(expr).alias("metrics"), F.array_distinct(labels).alias("pairs"))
-
-    source = F.regexp_extract(query, r'(?i)\bfrom\s+\(?\s*((?:"[^"]+"|[A-Za-z0-9_.])+)', 1)
-    condition = F.split(F.get(F.split(query, r"(?i)\bwhere\b", 2), F.lit(1)), r"(?i)\b(?:group by|order by|limit)\b", 2)
-    tested = F.coalesce(_tests(F.get(condition, F.lit(0)), TAG_TEST, "'"), F.array())
-    built = F.transform(F.coalesce("tags", F.array()), lambda t: F.struct(t["key"].alias("key"), t["value"].alias("value"))) if "tags" in targets.columns else F.array()
-    named = F.array(_last_name(F.col("measurement")), _last_name(source))
-    statement = F.struct(F.array_distinct(F.array_compact(named)).alias("metrics"), F.array_distinct(F.concat(built, tested)).alias("pairs"))
-    info = once(F.when(expr.isNotNull(), promql).otherwise(statement), lambda x: x)
-    return rows.withColumn("_info", info).select(*targets.columns, F.col("_info.metrics").alias("metrics"), F.col("_info.pairs").alias("label_pairs"))
+    rows = active_query_fields(targets if "tags" in targets.columns else targets.withColumn("tags", F.lit(None).cast("array<struct<key:string,operator:string,value:string>>")))
+    text = F.struct(*TEXTS)
+    rows = rows.withColumn("_text", text).withColumn("_hash", F.xxhash64("_text"))
+    table = query_texts(rows)
+    size = table.agg(F.sum(F.octet_length(F.to_json("_text")) + F.octet_length(F.to_json("_info")))).first()[0] or 0  # one row
+    known = table.withColumnRenamed("_text", "_of")
+    same = F.col("_text").eqNullSafe(F.col("_of"))
+    if size <= BROADCAST_BYTES:
+        found = rows.join(F.broadcast(known.withColumnRenamed("_hash", "_h")), (F.col("_hash") == F.col("_h")) & same)
+    else:
+        found = look_up(rows, known, ["_hash"], "_n", same=same)
+    return found.select(*[f"`{c}`" for c in targets.columns], F.col("_info.metrics").alias("metrics"), F.col("_info.pairs").alias("label_pairs"))
 
 
 def labels_of(pairs: Column) -> Column:

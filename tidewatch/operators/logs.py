@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.skew import look_up, pairs
+from tidewatch.session import stored
+
 CAP = 500
 #: Parts of a stream that are ranked apart.
 PARTS = 256
@@ -70,18 +73,38 @@ def events_of(found: DataFrame, events: DataFrame, names: Sequence[str]) -> Data
     return events.where(F.col("stream").isin(list(names))).join(found.select("key"), "key", "left_semi")
 
 
+def _side(events: DataFrame, key: str, name: str) -> DataFrame:
+    return events.select(F.col(key).cast("string").alias("key"), F.col("ts").alias(f"{name}_ts"), F.col("message").alias(f"{name}_message")).where("key is not null")
+
+
 def join_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, within_ms: int | None = None) -> DataFrame:
-    """Each event of the left with each of the right whose key, of another name, is equal, and near in time if asked."""
-    a = left.select(F.col(left_key).cast("string").alias("key"), F.col("ts").alias("left_ts"), F.col("message").alias("left_message"))
-    b = right.select(F.col(right_key).cast("string").alias("key"), F.col("ts").alias("right_ts"), F.col("message").alias("right_message"))
+    """Each event of the left with each of the right whose key, of another name, is equal, and near in time if asked.
+
+    A key that many events of either side share, in one stretch of time if that is bounded, is dealt over a grid of tasks.
+    """
+    a, b = _side(left, left_key, "left"), _side(right, right_key, "right")
     if within_ms is None:
-        return a.join(b, "key")
+        return pairs(a, b, ["key"])
     # events that are near lie in the same stretch of time or in neighbouring ones
     stretch = lambda ts: F.floor(F.unix_millis(ts) / F.lit(max(1, within_ms)))
     a = a.withColumn("_at", stretch("left_ts"))
     b = b.withColumn("_at", F.explode(F.array(*[stretch("right_ts") + F.lit(d) for d in (-1, 0, 1)])))
     near = F.abs(F.unix_millis("left_ts") - F.unix_millis("right_ts")) <= within_ms
-    return a.join(b, ["key", "_at"]).where(near).drop("_at")
+    return pairs(a, b, ["key", "_at"]).where(near).drop("_at")
+
+
+def join_to_one(many: DataFrame, one: DataFrame, many_key: str, one_key: str, keep: bool = False) -> DataFrame:
+    """Each event of `many` with the one event of the other side that has its key: many_ts, many_message, one_ts, one_message.
+
+    A key that occurs more than once on that side, and on the first, is an error when the rows are computed, as which one is
+    meant can't be told; with `keep` events without a partner stay. Swap the sides for the other direction.
+    """
+    sizes = _side(many, many_key, "many").groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    single = _side(one, one_key, "one").groupBy("key").agg(F.count(F.lit(1)).alias("_ones"), F.min(F.struct("one_ts", "one_message")).alias("_one"))
+    table = stored(single.join(sizes, "key"), "one-side")
+    found = look_up(_side(many, many_key, "many"), table, ["key"], "_n", "left" if keep else "inner")
+    clear = F.assert_true(F.coalesce(F.col("_ones") == 1, F.lit(True)), "a key has several events on the side that must have one").isNull()
+    return found.where(clear).select("key", "many_ts", "many_message", "_one.one_ts", "_one.one_message")
 
 
 def search_logs(logs: DataFrame, where: Column | Mapping[str, str], from_ts: Column, to_ts: Column, limit: int = CAP, ties: Sequence[str] = ("id",)) -> tuple[DataFrame, DataFrame]:

@@ -58,21 +58,22 @@ def _chunk(chunk_ms: int) -> Column:
 def runs_of(samples: DataFrame, keys: Sequence[str], side: Column, chunk_ms: int = DAY, ties: Sequence[str] = ()) -> DataFrame:
     """The maximal runs of samples with one and the same `side` (null ends a run): side, start_t, end_t, duration_ms, min_v,
     max_v, n. Gaps in time do not end a run.
+
+    Runs are found within chunks of time. Only the first and the last of a chunk can go on in another one, so these alone,
+    two rows a chunk at most, are put in the order of the whole series; those between stay with their chunk.
     """
-    in_chunk = Window.partitionBy(*keys, "_chunk")
-    rows = samples.withColumn("_chunk", _chunk(chunk_ms)).withColumn("side", side)
-    rows = rows.withColumn("_i", F.row_number().over(in_chunk.orderBy("t", *ties))).withColumn("_size", F.count(F.lit(1)).over(in_chunk))
-    among = Window.partitionBy(*keys, "_chunk", "side").orderBy("t", *ties)
-    runs = rows.where("side is not null").withColumn("_run", F.col("_i") - F.row_number().over(among))
-    parts = runs.groupBy(*keys, "_chunk", "side", "_run").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.count(F.lit(1)).alias("n"), (F.min("_i") == 1).alias("_first"), (F.max("_i") == F.first("_size")).alias("_last"), F.min("_i").alias("_at"))
-    # a run goes on where it ends one chunk and begins the series' next chunk
-    chunks = samples.select(*keys, _chunk(chunk_ms).alias("_chunk")).distinct().withColumn("_before", F.lag("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk")))
-    along = Window.partitionBy(*keys).orderBy("_chunk", "_at")
-    parts = parts.join(chunks, [*keys, "_chunk"])
-    before = lambda c: F.lag(c).over(along)
-    goes_on = F.col("_first") & F.coalesce(before("_last") & (before("_chunk") == F.col("_before")) & (before("side") == F.col("side")), F.lit(False))
-    numbered = parts.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_id", F.sum("_new").over(along))
-    whole = numbered.groupBy(*keys, "side", "_id").agg(F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t"), F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"), F.sum("n").alias("n"))
+    along = Window.partitionBy(*keys, "_chunk").orderBy("t", *ties)
+    rows = samples.withColumn("_chunk", _chunk(chunk_ms)).withColumn("_side", side)
+    rows = rows.withColumn("_i", F.row_number().over(along)).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_chunk")))
+    rows = rows.withColumn("_new", (F.col("_i") == 1) | ~F.lag("_side").over(along).eqNullSafe(F.col("_side"))).withColumn("_run", F.count_if("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy(*keys, "_chunk", "_run").agg(F.first("_side").alias("side"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.count(F.lit(1)).alias("n"), (F.min("_i") == 1).alias("_first"), (F.max("_i") == F.first("_size")).alias("_last"))
+    # at the ends of a chunk a stretch without a side counts too: it parts the runs around it
+    edge = F.col("_first") | F.col("_last")
+    parts = parts.where(edge | F.col("side").isNotNull()).withColumn("_of", F.when(~edge, F.col("_chunk")))
+    stitched = Window.partitionBy(*keys, "_of").orderBy("_chunk", "_run")
+    goes_on = F.col("_of").isNull() & F.col("_first") & F.coalesce(F.lag("side").over(stitched).eqNullSafe(F.col("side")), F.lit(False))
+    numbered = parts.withColumn("_new", F.when(goes_on & F.lag("_chunk").over(stitched).isNotNull(), 0).otherwise(1)).withColumn("_id", F.sum("_new").over(stitched)).where("side is not null")
+    whole = numbered.groupBy(*keys, "_of", "side", "_id").agg(F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t"), F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"), F.sum("n").alias("n"))
     return whole.select(*keys, "side", "start_t", "end_t", (F.unix_millis("end_t") - F.unix_millis("start_t")).alias("duration_ms"), "min_v", "max_v", "n")
 
 
@@ -131,14 +132,23 @@ def downsample(samples: DataFrame, keys: Sequence[str], most: int = MAX_POINTS,
 
 
 def resolution(samples: DataFrame, keys: Sequence[str], chunk_ms: int = DAY) -> DataFrame:
-    """points, gap_ms (the upper median of the gaps) and span_ms over the distinct times, for two times or more."""
+    """points, gap_ms (the upper median of the gaps) and span_ms over the distinct times, for two times or more.
+
+    Gaps are counted by value, and the median is the first value at which the running count passes half. Distinct gaps are
+    distinct whole numbers whose sum is within the series' span, so a series has few: 251,000 at most in a year, and
+    fewer than 1.5 million in 30 years, whatever the number of its samples.
+    """
     times = samples.where("t is not null").select(*keys, F.unix_millis("t").alias("ms"), _chunk(chunk_ms).alias("_chunk")).distinct()
     ends = times.groupBy(*keys, "_chunk").agg(F.max("ms").alias("_end"))
     ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk"))).drop("_end")
     last = F.lag("ms").over(Window.partitionBy(*keys, "_chunk").orderBy("ms"))
     rows = times.withColumn("_last", last).join(ends, [*keys, "_chunk"]).withColumn("gap", F.col("ms") - F.coalesce("_last", "_before"))
-    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY gap DESC)")
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), upper.cast("bigint").alias("gap_ms"), (F.max("ms") - F.min("ms")).alias("span_ms")).where("points >= 2")
+    counts = rows.where("gap is not null").groupBy(*keys, "gap").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(own.orderBy("gap").rowsBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(own), "_span": F.sum(F.col("gap") * F.col("_n")).over(own)})
+    half = F.expr("_all div 2")
+    return found.where((F.col("_upto") > half) & (F.col("_upto") - F.col("_n") <= half)).select(*keys, (F.col("_all") + 1).alias("points"), F.col("gap").alias("gap_ms"), F.col("_span").alias("span_ms"))
 
 
 def window_report(tagged: DataFrame, keys: Sequence[str], threshold: Column | None = None, direction: str = "above", include_points: bool = False, most: int = MAX_POINTS, provenance: str = "panel") -> dict[str, DataFrame]:

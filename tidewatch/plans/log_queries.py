@@ -136,6 +136,24 @@ def j7(spark, sf_dir):
     return logs.join_pairs(rows.where("event_type = 'click'"), right, "user_id", "uid", 3_600_000).select(F.col("left_message").alias("left_id"), F.col("right_message").alias("right_id"))
 
 
+@register("q_j7_pairs", "SELECT a.user_id::VARCHAR AS key, count(*) AS n, max(a.event_id + b.event_id) AS most FROM events a JOIN events b ON a.user_id = b.user_id WHERE a.event_type = 'click' AND b.event_type = 'error' GROUP BY 1")
+def j7_pairs(spark, sf_dir):
+    """Clicks and errors of one user, whenever they were."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("message"), "event_type")
+    met = logs.join_pairs(rows.where("event_type = 'click'"), rows.where("event_type = 'error'").withColumnRenamed("user_id", "uid"), "user_id", "uid")
+    return met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("left_message") + F.col("right_message")).alias("most"))
+
+
+@register("q_j7_many_to_one", """SELECT e.event_id, epoch_ms(e.ts) - epoch_ms(l.ts) AS after_ms FROM events e JOIN (
+SELECT user_id, min(ts) AS ts FROM events WHERE event_type = 'purchase' GROUP BY 1) l USING (user_id)""")
+def j7_one(spark, sf_dir):
+    """Every event with its user's first purchase, of which each user has one."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("message"), "event_type")
+    first = rows.where("event_type = 'purchase'").groupBy(F.col("user_id").alias("uid")).agg(F.min("ts").alias("ts"), F.lit(None).cast("bigint").alias("message"))
+    met = logs.join_to_one(rows, first, "user_id", "uid")
+    return met.select(F.col("many_message").alias("event_id"), (ms("many_ts") - ms("one_ts")).alias("after_ms"))
+
+
 CAPPED = "capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY turn, conv_id::VARCHAR, text) AS i FROM conversations) WHERE i <= 60)"
 
 
