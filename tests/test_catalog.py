@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as c
+from tidewatch.functions.patterns import BadPattern, stored_pattern
 from tidewatch.operators import alerts, catalog, knowledge, logs, mask, skew
 from tidewatch.session import work_path
 from tidewatch.sources import csv, frames, index_store
 from tidewatch.sources.alerts import read_alert_store
+from tidewatch.streaming import feeds
 from tidewatch.sources.logs import promote_labels
 
 
@@ -476,3 +478,114 @@ def test_many_events_to_one(spark, monkeypatch, least):
     with pytest.raises(Exception, match="several events"):
         logs.join_to_one(a, keyed(spark, [(1, 1), (1, 2)], "j"), "k", "j").collect()
     assert logs.join_to_one(a, keyed(spark, [(1, 1), (9, 2), (9, 3)], "j"), "k", "j").count() == 40
+
+
+@pytest.mark.parametrize(
+    ("regex", "values", "want"),
+    [
+        (r"/web-(\d+)/", ["web-12", "db-1", "x web-7 y"], {"12", "7"}),
+        (r"web-(?<n>\d+)", ["web-12"], {"12"}),
+        ("[(w]eb-12", ["web-12", "(eb-12", "eb-12"], {"web-12", "(eb-12"}),
+        (r"web-\d+", ["web-12", "no"], {"web-12"}),
+        (r"\(a\)(b)?", ["(a)", "(a)b"], {"(a)", "b"}),
+        ("/WEB-(.)/i", ["web-1"], {"1"}),
+        ("/[a-z]+/g", ["one two", "one"], {"two", "one"}),
+        ("/(?:a|b)(?=c)(c)/", ["ac", "bd"], {"c"}),
+        (r"/(?<a>x)(?<b>y)\k<b>/", ["xyy", "xyx"], {"x"}),
+        ("^a$", ["a", "a\n", "b"], {"a"}),
+        ("[[&&]x{", ["[x{", "&x{", "x{"], {"[x{", "&x{"}),
+        ("", ["a"], {"a"}),
+    ],
+)
+def test_values_through_a_stored_pattern(spark, regex, values, want):
+    T = dt.datetime(2024, 1, 1, 12)
+    samples = spark.createDataFrame([(T, {"host": v}) for v in values] + [(T, {"other": "web-9"}), (dt.datetime(2024, 1, 3), {"host": "web-99"})], "t timestamp, labels map<string,string>")
+    incident = spark.createDataFrame([("i", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))], "incident_id string, from_ts timestamp, to_ts timestamp")
+    assert {r.value for r in catalog.materialize_values(samples, incident, "host", regex).collect()} == want
+
+
+@pytest.mark.parametrize("regex", ["(", "a)", "[a", "*a", "a**", "(?x)", "/a/q", "/a/ii", "a\\", "a|+"])
+def test_what_is_no_pattern(regex):
+    with pytest.raises(BadPattern):
+        stored_pattern(regex)
+
+
+def test_live_variables(spark):
+    day = lambda n: dt.datetime(2024, 1, n, 12)
+    samples = spark.createDataFrame([(day(1), {"host": "web-1"}), (day(1), {"host": "db-2"}), (day(2), {"host": "web-3"}), (day(3), {"host": "db-4"})], "t timestamp, labels map<string,string>")
+    windows = spark.createDataFrame([("i", "incident", 1), ("j", "incident", 3), ("i", "control", 2)], "incident_id string, role string, day int").selectExpr("incident_id", "role", "make_timestamp(2024, 1, day, 0, 0, 0) AS from_ts", "make_timestamp(2024, 1, day, 23, 0, 0) AS to_ts")
+    tags = 'show tag values with key = "host"'
+    rows = [("web", "query", tags, r"/^web-(\d)/", "influxdb", ["$__all"], None), ("bad", "query", tags, "(", "influxdb", ["$__all"], None), ("fixed", "query", tags, None, "influxdb", ["web-1"], None), ("known", "query", tags, None, "influxdb", ["$__all"], ["x"]), ("const", "constant", None, None, None, ["$__all"], None), ("metric", "query", tags, None, "prometheus", ["$__all"], None)]
+    variables = spark.createDataFrame([(*r, None) for r in rows], "name string, type string, query string, regex string, datasource_type string, current array<string>, options array<string>, all_value string")
+    found, unresolved = catalog.live_values(variables, {}, samples, windows.where("role = 'incident'"))
+    assert {tuple(r) for r in found.collect()} == {("i", "web", "1")}
+    assert {tuple(r) for r in unresolved.collect()} == {(i, n) for i in "ij" for n in ("bad", "const", "metric")} | {("j", "web")}
+    # the values of the incident's own window hold in its controls too
+    from tidewatch.operators.windows import tag_windows
+
+    values = spark.createDataFrame([("i", "host", "db-2"), ("i", "host", "web-3")], "incident_id string, name string, value string")
+    kept = catalog.in_windows(tag_windows(samples, windows), values, "host", "host").select("incident_id", "role", F.col("labels")["host"].alias("h"))
+    assert {tuple(r) for r in kept.collect()} == {("i", "incident", "db-2"), ("i", "control", "web-3"), ("j", "incident", "db-4")}
+
+
+def batch(at, *alerts):
+    import json
+
+    return json.dumps({"receivedAt": at, "payload": {"alerts": [{"fingerprint": f, "status": s, "labels": {"alertname": "a"}} for f, s in alerts]}})
+
+
+@pytest.mark.parametrize("split", ["128m", "300b"])
+def test_alerts_of_one_time_are_in_the_order_of_the_store(spark, split):
+    at = "2024-01-02T00:00:00.000Z"
+    lines = [batch("2024-01-01T00:00:00.000Z", ("old", "firing"), ("f", "old"))] + [batch(at, ("f", f"s{i}"), ("g", f"t{i}"), ("f", "second")) for i in range(40)] + [batch(at, ("h", "last"))]
+    path = written(spark, *lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        store = read_alert_store(spark, path)
+        assert [(r.fingerprint, r.state) for r in alerts.latest_alert(store).collect()] == [("h", "last")]
+        assert {r.fingerprint: r.state for r in alerts.alert_by_fingerprint(store).collect()} == {"old": "firing", "f": "s39", "g": "t39", "h": "last"}
+        assert [(r.fingerprint, r.state) for r in alerts.recent_alerts(store, 5).collect()] == [("h", "last"), ("f", "s39"), ("g", "t39"), ("f", "second"), ("f", "s38")]
+        assert {(r.fingerprint, r.state) for r in alerts.recent_batches(store, 2).collect()} == {("h", "last"), ("f", "s39"), ("g", "t39"), ("f", "second")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_ties_without_places_do_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame([("f", "a", i) for i in range(50)], "fingerprint string, state string, n int").withColumn("received_at", F.lit("2024-01-01").cast("timestamp"))
+    first = [alerts.alert_by_fingerprint(rows.repartition(k)).collect() for k in (1, 3, 7)]
+    assert first[0] == first[1] == first[2] and alerts.recent_alerts(rows.repartition(5), 3).collect() == alerts.recent_alerts(rows.repartition(2), 3).collect()
+
+
+def test_batches_delivered_again_give_nothing(spark):
+    """In the same trigger, in a later one, and after a restart; lines without a time as well."""
+    path, out, state = (work_path(spark, n) for n in ("feed", "out", "state"))
+    lines = [batch("2024-01-01T00:00:00.000Z", ("f", "firing"), ("g", "firing")), batch("2024-01-01T01:00:00.000Z", ("f", "resolved")), batch(None, ("n", "firing"))]
+
+    def deliver(*some):
+        spark.createDataFrame([(x,) for x in some], "value string").coalesce(1).write.mode("append").text(path)
+        feeds.store_alerts(feeds.alert_feed(spark, path), out, state)
+        return sorted((r.fingerprint, r.state) for r in spark.read.parquet(out).collect())
+
+    all_ = [("f", "firing"), ("f", "resolved"), ("g", "firing"), ("n", "firing")]
+    assert deliver(*lines, *lines) == all_
+    assert deliver(lines[0], lines[2]) == all_ and deliver(*lines, batch("2024-01-01T02:00:00.000Z", ("f", "firing"))) == sorted([*all_, ("f", "firing")])
+
+
+def test_unknown_labels_are_an_error(spark):
+    rows = spark.createDataFrame([("m", {"a": "1"}), ("m", {"a": "2"})], "metric string, labels map<string,string>")
+    assert [r.value for r in catalog.label_values(rows, "m", "a").collect()] == ["1", "2"]
+    for metric, label in (("m", "b"), ("x", "a")):
+        with pytest.raises(catalog.UnknownLabel):
+            catalog.label_values(rows, metric, label)
+
+
+def test_values_that_are_no_numbers(spark):
+    path = written(spark, '{"results": {"A": {"frames": [{"fields": [{"name": "t", "type": "time"}, {"name": "x", "type": "number"}], "values": [[0, "soon", 60000], ["n/a", 1, "2.5"]]}]}}}')
+    rows = frames.frame_samples(frames.read_results(spark, path)).select(F.unix_millis("t").alias("ms"), "v").collect()
+    assert sorted(tuple(r) for r in rows) == [(0, None), (60000, 2.5)]
+
+
+def test_answers_of_several_sources(spark):
+    a, b = spark.createDataFrame([(1, "x")], "n int, s string"), spark.createDataFrame([(2,)], "n int")
+    assert {(r.connection_id, r.n, r.s) for r in catalog.union_sources({"a": a, "b": b}).collect()} == {("a", 1, "x"), ("b", 2, None)}

@@ -109,21 +109,43 @@ def resolve_connections(alerts: DataFrame, connections: DataFrame) -> DataFrame:
     return rows.withColumn("connection_id", F.when(F.col("status") == "matched", F.col("_id")).when(F.col("status") == "only-connection", F.col("_only"))).drop("_of", "_host", "_id", "_n", "_only", "_count")
 
 
+def _stored_at(alerts: DataFrame) -> Column:
+    """When a batch came in and, of equal times, where it is in the store: what is stored later is newer."""
+    return F.struct("received_at", *[c for c in ("place",) if c in alerts.columns])
+
+
+def _within(alerts: DataFrame) -> list[Column]:
+    """The order of alerts of one batch: by position, and by all they say where no position is known."""
+    return [F.col("position")] if "position" in alerts.columns and "place" in alerts.columns else [F.to_json(F.struct(*[F.col(f"`{c}`") for c in alerts.columns]))]
+
+
 def latest_alert(alerts: DataFrame) -> DataFrame:
-    """All alerts of the newest batch, by a comparison with one aggregated row."""
-    newest = alerts.agg(F.max("received_at").alias("_newest"))
-    return alerts.join(F.broadcast(newest), F.col("received_at") == F.col("_newest")).drop("_newest")
+    """All alerts of the newest batch, by a comparison with one aggregated row; without places, of all that came in then."""
+    newest = alerts.agg(F.max(_stored_at(alerts)).alias("_newest"))
+    return alerts.join(F.broadcast(newest), _stored_at(alerts).eqNullSafe(F.col("_newest"))).drop("_newest")
 
 
 def alert_by_fingerprint(alerts: DataFrame) -> DataFrame:
-    """The newest state of each fingerprint."""
-    rest = F.struct(*[F.col(c) for c in alerts.columns])
-    best = alerts.groupBy("fingerprint").agg(F.max_by(rest, "received_at").alias("r"))
+    """The newest state of each fingerprint: the first alert that has it in the newest batch that does.
+
+    The order is total, so ties don't depend on how rows are dealt.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in alerts.columns])
+    known = "position" in alerts.columns and "place" in alerts.columns
+    last = F.struct(_stored_at(alerts), -F.col("position") if known else _within(alerts)[0])
+    best = alerts.groupBy("fingerprint").agg(F.max_by(rest, last).alias("r"))
     return best.select("r.*")
 
 
 def recent_alerts(alerts: DataFrame, n: int = RECENT) -> DataFrame:
-    return alerts.orderBy(F.desc("received_at"), "fingerprint").limit(n)
+    """The `n` newest alerts, the newest batch first and in each in its order."""
+    return alerts.orderBy(_stored_at(alerts).desc(), *_within(alerts)).limit(n)
+
+
+def recent_batches(alerts: DataFrame, n: int = RECENT) -> DataFrame:
+    """All alerts of the `n` newest batches."""
+    newest = alerts.select(_stored_at(alerts).alias("_at")).distinct().orderBy(F.desc("_at")).limit(n)
+    return alerts.withColumn("_of", _stored_at(alerts)).join(F.broadcast(newest), F.col("_of").eqNullSafe(F.col("_at")), "left_semi").drop("_of")
 
 
 def firing_alerts(alerts: DataFrame, wanted: Mapping[str, str], limit: int = LISTED) -> DataFrame:

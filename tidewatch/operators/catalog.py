@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.columns import label_overlap_lists, match_text
+from tidewatch.functions.patterns import BadPattern, stored_pattern
 from tidewatch.operators.skew import look_up
 from tidewatch.session import stored
 
@@ -327,14 +331,33 @@ def label_keys(samples: DataFrame, metric: str) -> DataFrame:
     return samples.where(F.col("metric") == metric).select(F.explode(F.map_keys("labels")).alias("label")).distinct()
 
 
+class UnknownLabel(ValueError):
+    """A metric has no such label."""
+
+
 def label_values(samples: DataFrame, metric: str, label: str, limit: int = 50) -> DataFrame:
-    """The values of one label of one metric, sorted, the first `limit`, with `total`."""
+    """The values of one label of one metric, sorted, the first `limit`, with `total`; a label that the metric lacks is an error."""
     values = samples.where((F.col("metric") == metric) & F.col("labels")[label].isNotNull()).groupBy(F.col("labels")[label].alias("value")).agg(F.count(F.lit(1)).alias("n"))
     values = stored(values, "values")
+    if values.isEmpty():
+        raise UnknownLabel(f"{metric!r} has no label {label!r}")
     total = values.agg(F.count(F.lit(1)).alias("total"))
     return values.orderBy("value").limit(limit).join(F.broadcast(total))
 
 
+def panels_of_metrics(index: DataFrame, limit: int = 5) -> DataFrame:
+    """Of each metric the first `limit` panels of the index, with `total` of all."""
+    place = F.row_number().over(Window.partitionBy("metric").orderBy(*PANEL))
+    first = index.withColumn("_i", place).where(F.col("_i") <= limit).drop("_i")
+    return first.join(index.groupBy("metric").agg(F.count(F.lit(1)).alias("total")), "metric")
+
+
+def union_sources(answers: Mapping[str, DataFrame]) -> DataFrame:
+    """What several connections answer as one table with `connection_id`; a column that one lacks is null there."""
+    parts = [df.withColumn("connection_id", F.lit(name)) for name, df in answers.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def failed_sources(expected: DataFrame, got: DataFrame) -> DataFrame:
     """Connections that gave no result, so that none is missing in silence."""
     return expected.select("connection_id").distinct().join(got.select("connection_id").distinct(), "connection_id", "left_anti")
@@ -365,15 +388,75 @@ def filter_by_values(samples: DataFrame, label: str, values: Sequence[str]) -> D
     return samples.where(F.col("labels")[label].isin(list(values))) if values else samples
 
 
+#: How a pattern's parts are named in a row.
+PATTERN = T.StructType([T.StructField("text", T.StringType()), T.StructField("groups", T.IntegerType()), T.StructField("every", T.BooleanType())])
+
+
+def _matched(value: Column, text: Column, groups: Column, every: Column) -> Column:
+    """What a variable takes from a value: the first group, or the match where there is none or it took no part; null without a match.
+
+    Where all matches are asked for, these are in the groups' place, so the second counts if there is one.
+    """
+    found = F.regexp_extract_all(value, text, F.lit(0))
+    group = F.nullif(F.call_function("regexp_extract", value, text, F.least(groups, F.lit(1))), F.lit(""))
+    return F.when(F.size(found) == 0, F.lit(None)).when(every, F.coalesce(F.get(found, F.lit(1)), F.get(found, F.lit(0)))).otherwise(F.coalesce(group, F.get(found, F.lit(0))))
+
+
 def materialize_values(samples: DataFrame, incident: DataFrame, label: str, regex: str | None = None) -> DataFrame:
-    """incident_id and `value`: what the label takes inside the incident's own window, through the regex's group or match."""
+    """incident_id and `value`: what the label takes inside the incident's own window, through the regex's group or match.
+
+    `regex` is in the form that dashboards store, `/body/flags` or a body alone; what is no pattern raises BadPattern.
+    """
     from tidewatch.operators.windows import tag_windows
 
     raw = tag_windows(samples, incident).select("incident_id", F.col("labels")[label].alias("value")).where("value is not null").distinct()
-    if regex is None:
+    if not regex:
         return raw
-    group = 1 if "(" in regex.replace("\\(", "").replace("(?", "") else 0
-    return raw.where(F.col("value").rlike(regex)).select("incident_id", F.regexp_extract("value", regex, group).alias("value")).distinct()
+    p = stored_pattern(regex)
+    return raw.select("incident_id", _matched(F.col("value"), F.lit(p.text), F.lit(p.groups), F.lit(p.every)).alias("value")).where("value is not null").distinct()
+
+
+@F.pandas_udf(PATTERN)
+def _patterns(stored: pd.Series) -> pd.DataFrame:
+    """The patterns of variables; nulls for what is none."""
+
+    def parts(text: str | None) -> tuple:
+        try:
+            return tuple(stored_pattern(text)) if text else ("(?s).*", 0, False)
+        except BadPattern:
+            return (None, None, None)
+
+    return pd.DataFrame([parts(t) for t in stored], columns=["text", "groups", "every"])
+
+
+def live_values(variables: DataFrame, overrides: Mapping[str, Sequence[str]], samples: DataFrame, incident: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Values of the variables that would match everything, from the samples inside each incident's own window.
+
+    `variables` has name, type, query, regex and datasource_type besides what `resolve_variable_values` takes. Only those
+    that stand for all and have no options are looked up, and of these the ones whose query lists the values of a tag of a
+    store of tags. Gives (incident_id, name, value), to be used for every window of the incident (`in_windows`), and
+    (incident_id, name) of the unresolved: other kinds, no pattern, or no value.
+    """
+    from tidewatch.operators.windows import tag_windows
+
+    open_ = stored(resolve_variable_values(variables, overrides).where("unresolved").select("name", "type", "query", "regex", "datasource_type"), "open-variables")
+    label = F.regexp_extract("query", r'(?is)\A\s*show\s+tag\s+values\b.*\bwith\s+key\s*=\s*"?([^"\s]+)', 1)
+    asked = open_.withColumn("_label", label).where("type = 'query' and datasource_type = 'influxdb' and _label <> ''").withColumn("_p", _patterns("regex")).where("_p.text is not null")
+    held = tag_windows(samples, incident).select("incident_id", F.explode("labels").alias("_label", "_value")).where("_value is not null").distinct()
+    taken = _matched(F.col("_value"), F.col("_p.text"), F.col("_p.groups"), F.col("_p.every"))
+    found = stored(held.join(asked, "_label").select("incident_id", "name", taken.alias("value")).where("value is not null").distinct(), "live-values")
+    names = open_.agg(F.collect_list("name").alias("_names"))  # one row: the names that a dashboard declares
+    every = incident.select("incident_id").distinct().join(F.broadcast(names)).select("incident_id", F.explode("_names").alias("name"))
+    return found, every.join(found, ["incident_id", "name"], "left_anti")
+
+
+def in_windows(tagged: DataFrame, values: DataFrame, name: str, label: str) -> DataFrame:
+    """Samples of all windows whose label has a value that the variable took in the incident's own; an incident without any keeps all."""
+    own = values.where(F.col("name") == name).select("incident_id", F.col("value").alias("_value"))
+    some = own.select("incident_id").distinct().withColumn("_some", F.lit(True))
+    rows = tagged.withColumn("_own", F.col("labels")[label])
+    hit = rows.join(own, (rows["incident_id"] == own["incident_id"]) & (rows["_own"] == own["_value"]), "left_semi")
+    return hit.unionByName(rows.join(some, "incident_id", "left_anti")).drop("_own")
 
 
 class FilterConflict(ValueError):

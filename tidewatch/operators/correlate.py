@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import MINUTE, label_overlap
 from tidewatch.operators.series import Z, classify_baseline
+from tidewatch.operators.skew import pairs
 
 LIMIT = 10
 
@@ -37,13 +38,13 @@ def top_candidates(scored: DataFrame, keys: Sequence[str], limit: int = LIMIT, t
 
 
 def candidate_panels(index: DataFrame, primary: DataFrame) -> DataFrame:
-    """Panels that share a metric with a primary panel, once each, without the primary itself.
+    """Panels that share a metric with a primary panel, once each, without the primary itself. A metric of many panels is dealt over tasks.
 
     `index` has connection_id, dashboard_uid, panel_id, metric; `primary` has incident_id and the same four columns.
     """
     wanted = primary.select("incident_id", "metric").distinct()
     panel = ["connection_id", "dashboard_uid", "panel_id"]
-    found = index.join(wanted, "metric").groupBy("incident_id", *panel).agg(F.min("metric").alias("metric"), F.count(F.lit(1)).alias("n_shared"))
+    found = pairs(index, wanted, ["metric"]).groupBy("incident_id", *panel).agg(F.min("metric").alias("metric"), F.count(F.lit(1)).alias("n_shared"))
     return found.join(primary.select("incident_id", *panel).distinct(), ["incident_id", *panel], "left_anti")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import columns as c
 from tidewatch.operators import alerts, catalog, correlate, knowledge, render, windows
 from tidewatch.plans.registry import SAMPLES, USER_SAMPLES, derive, ms, r6, register, samples, table
+from tidewatch.session import stored
 from tidewatch.sources.alerts import flatten_batches, parse_batches
 
 PANEL = ["connection_id", "dashboard_uid", "panel_id"]
@@ -79,7 +80,7 @@ SELECT 'c0' AS connection_id, 'k' || (doc_id % 25) AS dashboard_uid, doc_id AS p
 FROM documents"""
 FIRST = f"""panels AS (SELECT *, lower(trim(regexp_extract(title, '(?i)^knowledge:\\s*(.+)$', 1))) AS product_key FROM ({KNOWLEDGE})),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dashboard_uid, product_key ORDER BY "at", panel_id) AS i FROM panels WHERE product_key <> '') WHERE i = 1)"""
-PRIMARY = "primary_ AS (SELECT panel_id AS incident_id, connection_id, dashboard_uid, panel_id, metric FROM index_ WHERE dashboard_uid = 'd1' AND connection_id = 'c1' AND metric <> 'up')"
+PRIMARY = "primary_ AS (SELECT dashboard_uid || ':' || panel_id AS incident_id, connection_id, dashboard_uid, panel_id, metric FROM index_ WHERE dashboard_uid IN ('d1', 'd2') AND connection_id = 'c1')"
 #: A primary panel's product: its dashboard and those that the knowledge panels of its key link to.
 SCOPE = f"""{FIRST}, scope AS (SELECT DISTINCT incident_id, dashboard_uid FROM primary_
   UNION SELECT DISTINCT p.incident_id, 'd' || (f.panel_id % 17) FROM primary_ p JOIN firsts f ON f.product_key = 'key' || p.panel_id WHERE f.panel_id % 3 = 0)"""
@@ -91,8 +92,9 @@ CANDIDATES = f"""WITH {METRICS}, {PRIMARY}, {SCOPE}, cands AS (
 
 
 def candidates(spark, sf_dir):
-    own = index(spark, sf_dir)
-    primary = own.where("dashboard_uid = 'd1' and connection_id = 'c1' and metric <> 'up'").withColumn("incident_id", F.col("panel_id"))
+    """The panels of two dashboards as primaries, with the metric that most panels have."""
+    own = stored(index(spark, sf_dir), "index")
+    primary = own.where("dashboard_uid in ('d1', 'd2') and connection_id = 'c1'").withColumn("incident_id", F.concat_ws(":", "dashboard_uid", F.col("panel_id").cast("string")))
     return correlate.candidate_panels(own, primary), primary
 
 
@@ -378,12 +380,7 @@ def a11(spark, sf_dir):
 
 @register("q_a14_totals", f"WITH {METRICS} SELECT metric, panel_id, total FROM (SELECT metric, panel_id, row_number() OVER (PARTITION BY metric ORDER BY connection_id, dashboard_uid, panel_id) AS i, count(*) OVER (PARTITION BY metric) AS total FROM index_) WHERE i <= 5")
 def a14(spark, sf_dir):
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("metric")
-    rows = index(spark, sf_dir)
-    totals = rows.groupBy("metric").agg(F.count(F.lit(1)).alias("total"))
-    return rows.withColumn("i", F.row_number().over(own.orderBy(*PANEL))).where("i <= 5").join(totals, "metric").select("metric", "panel_id", "total")
+    return catalog.panels_of_metrics(stored(index(spark, sf_dir), "index")).select("metric", "panel_id", "total")
 
 
 @register("q_a16_failed_sources", "SELECT DISTINCT 'c' || c_nationkey AS connection_id FROM customer WHERE 'c' || c_nationkey NOT IN (SELECT 'c' || s_nationkey FROM supplier WHERE s_suppkey % 3 = 0)")
@@ -456,16 +453,17 @@ def j14(spark, sf_dir):
 
 
 def store(spark, sf_dir):
-    """Batches of some of one day's alerts as JSON lines; those of every third day are torn."""
+    """Batches of some of one day's alerts as JSON lines, in the order of their numbers; those of every third day are torn."""
     rows = raw_alerts(spark, sf_dir)
     alert = F.struct("fingerprint", F.col("state").alias("status"), "labels", "annotations", c.iso(F.col("starts_at")).alias("startsAt"), c.iso(F.col("ends_at")).alias("endsAt"), F.col("generator_url").alias("generatorURL"), F.col("dashboard_url").alias("dashboardURL"), F.col("panel_url").alias("panelURL"))
-    batches = rows.groupBy("starts_at", F.floor(F.col("id") / 1000)).agg(F.collect_list(alert).alias("alerts"))
+    batches = rows.groupBy("starts_at", F.floor(F.col("id") / 1000).alias("line")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", alert.alias("alert"))), lambda a, b: F.signum(a["id"] - b["id"]).cast("int")), lambda x: x["alert"]).alias("alerts"))
     line = F.to_json(F.struct(c.iso(c.later(F.col("starts_at"), F.lit(3_600_000))).alias("receivedAt"), F.struct("alerts").alias("payload")))
     torn = F.dayofmonth("starts_at") % 3 == 0
-    return flatten_batches(parse_batches(batches.select(F.when(torn, F.left(line, F.lit(40))).otherwise(line).alias("value"))))
+    place = F.struct(F.lit("store").alias("file"), F.lit(0).alias("block"), F.col("line"))
+    return flatten_batches(parse_batches(batches.select(F.when(torn, F.left(line, F.lit(40))).otherwise(line).alias("value"), place.alias("place"))))
 
 
-STORED = f"stored AS (SELECT *, starts_at + INTERVAL 1 HOUR AS received_at FROM ({ALERTS}) WHERE day(starts_at) % 3 <> 0)"
+STORED = f"stored AS (SELECT *, starts_at + INTERVAL 1 HOUR AS received_at, id // 1000 AS line FROM ({ALERTS}) WHERE day(starts_at) % 3 <> 0)"
 
 
 @register("q_s4_alert_store", f"WITH {STORED} SELECT fingerprint, state, epoch_ms(received_at) AS received_ms, alertname, coalesce(panel_url, dashboard_url, generator_url) AS url FROM stored")
@@ -473,19 +471,31 @@ def s4(spark, sf_dir):
     return store(spark, sf_dir).select("fingerprint", "state", ms("received_at").alias("received_ms"), F.col("labels")["alertname"].alias("alertname"), F.coalesce("panel_url", "dashboard_url", "generator_url").alias("url"))
 
 
-@register("q_r7_latest_batch", f"WITH {STORED} SELECT fingerprint, state, epoch_ms(received_at) AS received_ms FROM stored WHERE received_at = (SELECT max(received_at) FROM stored)")
+@register("q_r7_latest_batch", f"WITH {STORED} SELECT fingerprint, state, epoch_ms(received_at) AS received_ms FROM stored WHERE (received_at, line) = (SELECT max((received_at, line)) FROM stored)")
 def r7(spark, sf_dir):
     return alerts.latest_alert(store(spark, sf_dir)).select("fingerprint", "state", ms("received_at").alias("received_ms"))
 
 
-@register("q_r7_by_fingerprint", f"WITH {STORED} SELECT fingerprint, epoch_ms(max(received_at)) AS received_ms FROM stored GROUP BY 1")
+NEWEST = f"WITH {STORED} SELECT fingerprint, state, epoch_ms(received_at) AS received_ms, alertname, coalesce(panel_url, dashboard_url, generator_url) AS url FROM stored"
+
+
+def stored_alert(rows):
+    return rows.select("fingerprint", "state", ms("received_at").alias("received_ms"), F.col("labels")["alertname"].alias("alertname"), F.coalesce("panel_url", "dashboard_url", "generator_url").alias("url"))
+
+
+@register("q_r7_by_fingerprint", f"{NEWEST} QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY received_at DESC, line DESC, id) = 1")
 def r7_fingerprint(spark, sf_dir):
-    return alerts.alert_by_fingerprint(store(spark, sf_dir)).select("fingerprint", ms("received_at").alias("received_ms"))
+    return stored_alert(alerts.alert_by_fingerprint(store(spark, sf_dir)))
 
 
-@register("q_r7_recent", f"WITH {STORED} SELECT fingerprint, epoch_ms(received_at) AS received_ms FROM stored ORDER BY received_at DESC, fingerprint LIMIT 20")
+@register("q_r7_recent", f"{NEWEST} ORDER BY received_at DESC, line DESC, id LIMIT 20")
 def r7_recent(spark, sf_dir):
-    return alerts.recent_alerts(store(spark, sf_dir)).select("fingerprint", ms("received_at").alias("received_ms"))
+    return stored_alert(alerts.recent_alerts(store(spark, sf_dir)))
+
+
+@register("q_r7_recent_batches", f"{NEWEST} QUALIFY dense_rank() OVER (ORDER BY received_at DESC, line DESC) <= 20")
+def r7_batches(spark, sf_dir):
+    return stored_alert(alerts.recent_batches(store(spark, sf_dir)))
 
 
 FIRING = f"""WITH f AS (SELECT * FROM ({ALERTS}) WHERE alertname = 'a7' AND priority = '5-LOW')

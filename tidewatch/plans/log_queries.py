@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import logs, mask, windows
+from tidewatch.operators.catalog import live_values, materialize_values, union_sources
 from tidewatch.plans.registry import SAMPLES, USER_SAMPLES, ms, register, samples, table
 from tidewatch.session import work_path
 from tidewatch.sources import csv, frames, index_store
@@ -184,8 +185,8 @@ def tool_correlate(spark, sf_dir):
 def u1(spark, sf_dir):
     """The same question to three connections, as one table with the connection's name."""
     rows = table(spark, sf_dir, "events")
-    parts = [rows.where(F.col("user_id") % 3 == i).withColumn("connection_id", F.lit(f"c{i}")) for i in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("connection_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    answers = {f"c{i}": rows.where(F.col("user_id") % 3 == i) for i in range(3)}
+    return union_sources(answers).groupBy("connection_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("q_u3_distinct_times", f"WITH {SAMPLES} SELECT DISTINCT series_key, epoch_ms(t) AS t_ms FROM samples")
@@ -294,10 +295,28 @@ def tool_search(spark, sf_dir):
 @register("q_f8_f10_live_values", f"""WITH {USER_SAMPLES}, days AS (SELECT DISTINCT date_trunc('day', t) AS d FROM samples)
 SELECT DISTINCT strftime(d, '%Y-%m-%d') AS incident_id, regexp_extract(user_id::VARCHAR, '^(1.)', 1) AS value FROM samples JOIN days ON t >= d AND t <= d + INTERVAL 1 DAY WHERE regexp_matches(user_id::VARCHAR, '^(1.)')""")
 def f10(spark, sf_dir):
-    from tidewatch.operators.catalog import materialize_values
     from tidewatch.plans.registry import incidents
 
     own = windows.compute_windows(incidents(spark, sf_dir)).where("role = 'incident'")
-    return materialize_values(samples(spark, sf_dir, by_user=True), own, "user", "^(1.)")
+    return materialize_values(samples(spark, sf_dir, by_user=True), own, "user", "/^(?<user>1.)/")
 
 
+
+
+@register("q_f10_variables", f"""WITH {USER_SAMPLES}, days AS (SELECT DISTINCT strftime(date_trunc('day', t), '%Y-%m-%d') AS incident_id, date_trunc('day', t) AS d FROM samples WHERE t IS NOT NULL),
+held AS (SELECT DISTINCT incident_id, event_type, user_id::VARCHAR AS u FROM samples JOIN days ON t >= d AND t <= d + INTERVAL 1 DAY),
+found AS (SELECT DISTINCT incident_id, 'last' AS name, CASE WHEN length(u) > 1 THEN right(u, 1) ELSE u END AS value FROM held UNION SELECT incident_id, 'kind', upper(event_type[1]) || substr(event_type, 2) FROM held WHERE event_type[1] = 'E' UNION SELECT incident_id, 'type', event_type FROM held)
+SELECT incident_id, name, value FROM found UNION ALL SELECT incident_id, name, NULL FROM days CROSS JOIN (SELECT unnest(['kind', 'other', 'custom', 'broken', 'none']) AS name)""")
+def f10_variables(spark, sf_dir):
+    """Variables that stand for all, looked up in each day: some have values, some a pattern that fits none, some no way to be looked up."""
+    from tidewatch.plans.registry import incidents
+
+    own = windows.compute_windows(incidents(spark, sf_dir)).where("role = 'incident'")
+    tags = lambda label: f'SHOW TAG VALUES FROM "m" WITH KEY = "{label}" WHERE $timeFilter'
+    rows = [
+        ("last", "query", tags("user"), "/^[0-9]+([0-9])$|^[(0-9)]$/", "influxdb"), ("kind", "query", tags("event_type"), "/^E/", "influxdb"), ("type", "query", tags("event_type"), None, "influxdb"),
+        ("other", "query", "label_values(up)", None, "prometheus"), ("custom", "custom", tags("user"), None, "influxdb"), ("broken", "query", tags("user"), "/(/", "influxdb"), ("none", "query", tags("absent"), None, "influxdb"),
+    ]
+    variables = spark.createDataFrame([(*r, ["$__all"], None, None) for r in rows], "name string, type string, query string, regex string, datasource_type string, current array<string>, options array<string>, all_value string")
+    found, unresolved = live_values(variables, {}, samples(spark, sf_dir, by_user=True), own)
+    return found.unionByName(unresolved.withColumn("value", F.lit(None).cast("string")))

@@ -286,9 +286,9 @@ ranks AS (
   SELECT *, abs(magnitude) * (1 + overlap) * (1 + coalesce(1 / (1 + abs(lag_ms) / 60000), 0)) AS score FROM cands)"""
 
 
-def scored(spark, sf_dir):
+def scored(spark, sf_dir, rows=None):
     """Series of other event types as candidates; the primary panel shows errors, and its alert names user 8."""
-    rows = tagged(spark, sf_dir, by_user=True)
+    rows = tagged(spark, sf_dir, by_user=True) if rows is None else rows
     own = series.series_stats(rows.where("role = 'incident'"), [*KEYS, "event_type", "user_id"])
     base = stored(series.series_stats(rows.where("role = 'pre'"), KEYS).where("n > 0"), "before")
     first = series.onset(rows.where("role = 'incident'"), base, KEYS)
@@ -388,7 +388,8 @@ def a8(spark, sf_dir):
 def verdicts(spark, sf_dir):
     """Two users of three have an alert whose threshold is 95."""
     kept, left_out = windows.exclude_overlapping(all_windows(spark, sf_dir))
-    rows = windows.tag_windows(samples(spark, sf_dir, by_user=True), stored(kept, "windows"))
+    # tagged once: statistics, runs, excursions and scores are all of these rows
+    rows = stored(windows.tag_windows(samples(spark, sf_dir, by_user=True), stored(kept, "windows")), "tagged")
     by_window = stored(series.series_stats(rows, WINDOW), "stats")
     base = stored(pooled(by_window), "pooled")
     error = F.col("series_key").startswith("A|event_type=error,")
@@ -396,7 +397,7 @@ def verdicts(spark, sf_dir):
     crossings = series.threshold_runs(inside, KEYS, F.lit(95.0), "above").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("crossings"))
     brief = series.brief_excursions(inside.join(base, KEYS), KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_excursions"))
     own = series.classify_baseline(by_window.where((F.col("role") == "incident") & error).join(base, KEYS, "left"))
-    best = correlate.top_candidates(scored(spark, sf_dir), ["incident_id"])
+    best = correlate.top_candidates(scored(spark, sf_dir, rows), ["incident_id"])
     title = F.concat(F.col("event_type"), F.lit(" of "), F.col("user_id").cast("string"))
     listed = best.groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct("rank", title.alias("title"), "score"))).alias("candidates"))
     facts = own.join(crossings, KEYS, "left").join(brief, KEYS, "left").join(listed, "incident_id", "left").join(left_out, "incident_id", "left")

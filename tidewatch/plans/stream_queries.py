@@ -40,6 +40,7 @@ def st1(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = rows.groupBy("starts_at", F.floor(F.col("id") / 1000)).agg(F.collect_list(alert).alias("alerts"))
     path = work_path(spark, "alert-lines")
     batches.select(F.to_json(F.struct(c.iso(F.col("starts_at")).alias("receivedAt"), F.struct("alerts").alias("payload"))).alias("value")).write.text(path)
+    spark.read.text(path).repartition(3).write.mode("append").text(path)  # delivered again, in other files
     out = work_path(spark, "alert-store")
     feeds.store_alerts(feeds.alert_feed(spark, path), out, work_path(spark, "alert-state"))
     stored = spark.read.parquet(out)

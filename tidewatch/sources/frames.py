@@ -31,13 +31,14 @@ def _frames(results: DataFrame, *keep: str) -> DataFrame:
 def frame_samples(results: DataFrame, *keep: str) -> DataFrame:
     """One row for each point of each numeric field: ref_id, labels, series_key, t, v.
 
-    The first field of type `time` is the axis; a frame without one is skipped, and so are fields of other types.
+    The first field of type `time` is the axis; a frame without one is skipped, and so are fields of other types. A value that
+    is no number is null; a point without a time is left out.
     """
     frames = _frames(results, *keep).withColumn("axis", F.array_position(F.transform("fields", lambda f: f["type"]), "time") - 1).where("axis >= 0")
     fields = frames.select(*keep, "ref_id", "axis", "values", F.posexplode("fields").alias("at", "field")).where("field.type = 'number'")
     points = fields.select(*keep, "ref_id", "field.labels", F.explode(F.arrays_zip(F.get("values", F.col("axis").cast("int")).alias("t"), F.get("values", F.col("at")).alias("v"))).alias("p"))
     labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
-    rows = points.where("p.t is not null").select(*keep, "ref_id", labels.alias("labels"), F.timestamp_millis(F.col("p.t").cast("double").cast("bigint")).alias("t"), F.col("p.v").cast("double").alias("v"))
+    rows = points.where(F.col("p.t").try_cast("double").isNotNull()).select(*keep, "ref_id", labels.alias("labels"), F.timestamp_millis(F.col("p.t").try_cast("double").try_cast("bigint")).alias("t"), F.col("p.v").try_cast("double").alias("v"))
     return rows.withColumn("series_key", series_key(F.col("ref_id"), F.col("labels")))
 
 
@@ -49,6 +50,6 @@ def frame_rows(results: DataFrame, *keep: str) -> DataFrame:
 
     def cell(field, i):
         text = F.get(F.get("values", i), F.col("row"))
-        return F.when(field["type"] == "time", iso(F.timestamp_millis(text.try_cast("double").cast("bigint")))).otherwise(text)
+        return F.when(field["type"] == "time", iso(F.timestamp_millis(text.try_cast("double").try_cast("bigint")))).otherwise(text)
 
     return rows.select(*keep, "ref_id", "frame", "row", F.transform("fields", lambda f: f["name"]).alias("names"), F.transform("fields", cell).alias("cells"))

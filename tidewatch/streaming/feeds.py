@@ -17,10 +17,19 @@ from tidewatch.sources.alerts import flatten_batches, parse_batches
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def alert_feed(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Normalised alerts of the JSON lines that arrive in a folder."""
+def alert_feed(spark: SparkSession, path: str, files_per_trigger: int = 1000, late: str | None = "1 day") -> DataFrame:
+    """Normalised alerts of the JSON lines that arrive in a folder; a line that is delivered again gives nothing.
+
+    A digest of each line is kept for `late` after its file arrived, by the files' own times, so lines may be delivered
+    again within that time, in files of any name; what a line says of its time doesn't matter. A file whose own
+    time is longer before the newest one's than that is not taken. None turns this off.
+    """
     lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).format("text").load(path)
-    return normalize_alerts(flatten_batches(parse_batches(lines)))
+    arrived = lines.select("value", F.sha2("value", 256).alias("digest"), F.col("_metadata.file_modification_time").alias("arrived"))
+    if late is not None:
+        arrived = arrived.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["digest"])
+    batches = parse_batches(arrived.drop("digest", "arrived"))
+    return normalize_alerts(flatten_batches(batches))
 
 
 def store_alerts(feed: DataFrame, path: str, checkpoint: str):
