@@ -569,12 +569,16 @@ def test_restored_words():
         assert model.restore(seen) == word
     assert {"idiot", "moron"} <= toxicity.Reader(model).text("You i d i o t, and m_o_r_o_n!")
     reader = toxicity.Reader(model, {"idiot": 0.9, "moron": 0.9, "disgusting": 0.9})
-    for seen, word in [("you id iot", "idiot"), ("i . . . d . . . i . . . o . . . t", "idiot"), ("i   d   i   o   t", "idiot"), ("mor on", "moron"), ("i diot!", "idiot"), ("m0r 0n", "moron"), ("1d iot", "idiot"), ("dis gus ting", "disgusting")]:
+    for seen, word in [("you id iot", "idiot"), ("i . . . d . . . i . . . o . . . t", "idiot"), ("i   d   i   o   t", "idiot"), ("mor on", "moron"), ("i diot!", "idiot"), ("m0r 0n", "moron"), ("1d iot", "idiot"), ("dis gus ting", "disgusting"), ("i d i ot", "idiot"), ("you 1 d 10 t!", "idiot"), ("d i sg u s t1ng", "disgusting"), ("m . o ro ,n", "moron")]:
         assert reader.text(seen) == {word}, seen
+    named = model_of(["loser", "poser", "the", "and", "laser"] * 30)
+    for seen in ("1o ser", "l o se r", "1 0 s 3 r", "lo$ er", "loo s e rr", "the 1o5 er and"):
+        assert toxicity.Reader(named, {"loser": 0.9}).text(seen) == {"loser"}, seen
+    assert not toxicity.Reader(named, {"loser": 0.9}).text("p oser, la ser, lo the ser")
     assert not reader.text("of the and the of and") and model.restore("hello the") == "hello the"
 
 
-@pytest.mark.parametrize("piece", ["1", "a", "4a", "i d ", "1!|", "a.", "(", "id "])
+@pytest.mark.parametrize("piece", ["1", "a", "4a", "i d ", "1!|", "a.", "(", "id ", "i ", "id i . ", "i . . ", "idiott t t "])
 def test_decoding_takes_time_in_proportion(piece):
     reader = toxicity.Reader(model_of(["idiot", "the"] * 20), {"idiot": 0.9})
     began = time.process_time()
@@ -602,6 +606,28 @@ def test_viterbi_finds_the_cheapest_path():
         assert model.restore(seen) == "".join(c for c, _ in best)
 
 
+def test_decoding_of_any_length_is_exact(monkeypatch):
+    """What is settled on the way changes no path: long texts come out as they do where nothing is settled before the end."""
+    model, rng = model_of(["idiot", "moron", "tail", "till", "sail", "the", "and", "loser"] * 20), random.Random(9)
+    seen = ["".join(rng.choices("1!|06ailtsod4@ .s", k=rng.randint(500, 2_000))) for _ in range(12)]
+    monkeypatch.setattr(toxicity, "SETTLED", 1 << 40)
+    whole = [model.restore(s) for s in seen]
+    for settled in (1, 7, 256):
+        monkeypatch.setattr(toxicity, "SETTLED", settled)
+        assert [model.restore(s) for s in seen] == whole
+
+
+def test_tokens_that_can_tell_nothing_are_not_decoded():
+    """The walk through the lattice leaves out no token whose decoding has a feature."""
+    model, rng = model_of(["idiot", "moron", "clown", "the", "and"] * 20), random.Random(10)
+    only = {"idiot": 0.9, "moro*": 0.9, "clow*": 0.3, "clown": 0.8}
+    reader = toxicity.Reader(model, only)
+    for _ in range(3_000):
+        token = "".join(rng.choice([c, c, c + c, {"i": "1", "o": "0", "l": "|", "c": "("}.get(c, c), rng.choice("xy1.*")]) for c in rng.choice(["idiot", "moron", "clown", "hello"]))
+        want = {f for w in toxicity.readings(token, model) for f in (w, w[:4] + "*", w[:5] + "*") if f in only}
+        assert set(reader.token(token)[0]) == want, token
+
+
 def test_toxicity_is_the_plain_result(spark, docs, known):
     """Word table and scores against sums over all texts; readings and near copies are tested apart."""
     every = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -3,7 +3,9 @@
 Words that may be disguised (figures or signs for letters, letters or parts apart, letters repeated) become lattices: of the
 letters that each character may stand for, and of white space that may part words or be dropped. Viterbi decoding picks the
 reading that a character model of the corpus and the channel's costs make likeliest. Tokens, runs of single letters with
-separators of any length between them, and two or three tokens that may be parts of a telling word are decoded so.
+separators of any length between them, and stretches of any number of tokens that may be parts of a telling word are decoded
+so. Where such stretches are, and which tokens can come to a telling word at all, is found by a walk of the telling words'
+prefix tree through the lattice, with every reading of every sign; the decoding then says what was meant.
 
 The score of a text is that of its most telling word, as it stands or as restored, where a word speaks
 through itself and its beginnings, weighed by how often labelled texts with it are toxic. All labelled texts are read, but
@@ -13,8 +15,9 @@ that lean to toxic texts without telling grade the texts below the threshold.
 
 The character model sums n-grams over all documents and keeps the `MODEL` most frequent; the word table sums documents for
 each feature over the training labels (a bounded sample of them) and keeps those that tell; both reach every task and are bounded by their parameters.
-Texts are read whole. A word without any disguise has one path through its lattice and is not decoded. A path is settled
-every `SETTLED` characters, so decoding takes time in proportion and little memory, however long a token is.
+Texts are read whole. A word without any disguise has one path through its lattice and is not decoded. Decoding is exact: as
+it goes on, letters are settled that all paths share, so it takes time in proportion and little memory, however long a token
+is. A worker remembers what each distinct token tells over all the tasks that it runs.
 
 Results for odd inputs: a null or empty text has the lowest score; documents without a label do not train; a label of a
 repeated doc_id counts for each row with that id; labels without a doc_id are left out; rows are scored one by one; where no label tells anything every score is
@@ -64,17 +67,16 @@ STANDS_FOR = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c", "{": "c", "<": "c", "€": "e", "£": "l",
 }
-PLAIN = str.maketrans({sign: letters[0] for sign, letters in STANDS_FOR.items()})
 SIGN, DROP_SIGN, DROP_OTHER, DROP_RUN, DROP_DOUBLE, DROP_SPACE = 1.0, 8.0, 0.5, 0.7, 4.0, 1.0
-#: Characters after which the best path so far is settled.
+#: Characters after which it is looked for what all paths share.
 SETTLED = 256
 EDGES = ".,;:?\"'*#%&-_()[]<>"
 #: Of these, those without a reading.
 MARKS = "".join(c for c in EDGES if c not in STANDS_FOR)
 #: Tokens of which a worker remembers what they tell; beyond, it starts afresh.
-MEMORY = 300_000
+MEMORY = 500_000
+NOTHING = (), ()
 
-REPEATED = re.compile(r"(.)\1+")
 WORD = re.compile(r"[^\W\d_]+")
 _signs = re.escape("".join(STANDS_FOR))
 #: A sign that has a reading, a mark before a letter, a figure after one, or two like letters.
@@ -113,16 +115,17 @@ class CharacterModel:
         """The likeliest words behind `seen`, by Viterbi decoding over the last two letters."""
         settled: list[str] = []
         # for each state its cost and its letters, linked from the last to the first
-        paths: dict[str, tuple[float, tuple | None]] = {" ": (0.0, None)}
+        paths: dict[str, tuple[float, list | None]] = {" ": (0.0, None)}
+        look = SETTLED
         for i, c in enumerate(seen):
-            if i % SETTLED == SETTLED - 1:
-                state, (cost, path) = min(paths.items(), key=lambda kv: (kv[1][0], kv[0]))
-                settled.append(spelled(path))
-                paths = {state: (cost, None)}
-            ahead: dict[str, tuple[float, tuple | None]] = {}
+            if i == look:
+                letters, left = settle([path for _, path in paths.values()])
+                settled.append(letters)
+                look = i + max(SETTLED, left)
+            ahead: dict[str, tuple[float, list | None]] = {}
             if c.isspace():
                 for state, (cost, path) in paths.items():
-                    parted = (cost, path) if state == " " else (cost + self.cost(state, " "), (path, " "))
+                    parted = (cost, path) if state == " " else (cost + self.cost(state, " "), [path, " "])
                     for to, reached in ((" ", parted), (state, (cost + DROP_SPACE, path))):
                         if to not in ahead or reached[0] < ahead[to][0]:
                             ahead[to] = reached
@@ -140,13 +143,13 @@ class CharacterModel:
                 for r, channel in readings:
                     to, total = (state + r)[-2:], cost + channel + self.cost(state, r)
                     if to not in ahead or total < ahead[to][0]:
-                        ahead[to] = (total, (path, r))
+                        ahead[to] = (total, [path, r])
             paths = ahead
         state = min(paths, key=lambda state: (paths[state][0] + self.cost(state, " "), state))
         return "".join([*settled, spelled(paths[state][1])]).strip()
 
 
-def spelled(path: tuple | None) -> str:
+def spelled(path: list | None) -> str:
     letters = []
     while path:
         path, letter = path
@@ -154,9 +157,66 @@ def spelled(path: tuple | None) -> str:
     return "".join(reversed(letters))
 
 
-def squeezed(word: str) -> str:
-    """`word` with each run of a letter as one."""
-    return REPEATED.sub(r"\1", word)
+def settle(paths: list[list | None]) -> tuple[str, int]:
+    """The letters up to the last that all paths share, which are cut off them, and how many the longest has left."""
+    depth: dict[int, int] = {}
+    path, shared = paths[0], None
+    while path:
+        depth[id(path)] = len(depth)
+        path = path[0]
+    at, longest = 0, len(depth)
+    path = paths[0]
+    for other in paths:
+        n = 0
+        while other and id(other) not in depth:
+            other, n = other[0], n + 1
+        longest = max(longest, n)
+        if other is None:
+            return "", longest
+        if depth[id(other)] >= at:
+            at, shared = depth[id(other)], other
+    letters = spelled(shared)
+    shared[:] = [None, ""]
+    return letters, longest - len(letters)
+
+
+class Tree:
+    """A prefix tree, walked through the lattice of what was written."""
+
+    def __init__(self, words: set[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: set[int] = set()
+        for word in words:
+            node = 0
+            for c in word:
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                node = self.next[node][c]
+            self.ends.add(node)
+
+    def walk(self, states: dict[tuple[int, str], int], token: str, met: set[int] | None = None) -> dict[tuple[int, str], int]:
+        """States (a node and the letter last read, with where the word began) after `token`; nodes entered go to `met`.
+
+        A sign stands for each of its letters or nothing, another mark for nothing, a letter for itself or, again, for nothing.
+        """
+        for c in token:
+            letter = c.isalpha()
+            ahead: dict[tuple[int, str], int] = {}
+            for (node, last), start in states.items():
+                if (not letter or c == last) and ahead.get((node, last), -1) < start:
+                    ahead[node, last] = start
+                for r in c if letter else STANDS_FOR.get(c, ""):
+                    to = self.next[node].get(r)
+                    if to is not None:
+                        if met is not None:
+                            met.add(to)
+                        if ahead.get((to, r), -1) < start:
+                            ahead[to, r] = start
+            states = ahead
+            if not states:
+                break
+        return states
 
 
 def readings(token: str, model: CharacterModel) -> set[str]:
@@ -178,50 +238,99 @@ class Reader:
     """The features of texts, token by token; `only` says which are of use."""
 
     def __init__(self, model: CharacterModel, only: dict[str, float] | None = None):
-        self.model, self.only, self.memory = model, only, {}
-        # words that tell by themselves, and how they may begin when their parts stand apart
+        self.model, self.only = model, only
+        self.memory: dict[str, tuple[tuple[str, ...], tuple[tuple[int, str], ...]]] = {}
+        self.spans: dict[str, tuple[str, ...]] = {}
+        # what a token must come to, and words that tell by themselves, which may stand in parts
+        self.useful = Tree({f.rstrip("*") for f in only or {}})
         self.whole = {f for f, p in (only or {}).items() if p >= LEAST and len(f) > 3 and f.isalpha()}
-        self.parts = {w[:n] for w in self.whole for n in range(1, len(w))} - self.whole
-        self.squeezed = {squeezed(w) for w in self.whole}
-
-    def token(self, token: str) -> tuple[str, ...]:
+        self.tree = Tree(self.whole)
+
+    def readings(self, token: str) -> set[str] | tuple[str]:
+        if not DISGUISED.search(token):
+            return (token,) if token.isalpha() else readings(token, self.model)
+        if self.only is not None:
+            met: set[int] = set()
+            self.useful.walk({(0, ""): 0}, token, met)
+            if self.useful.ends.isdisjoint(met):  # no path comes to a feature
+                return set(WORD.findall(token))
+        return readings(token, self.model)
+
+    def begins(self, token: str) -> tuple[tuple[int, str], ...]:
+        """Where in the tree a word may be after `token` as its first part."""
+        if token[0] not in self.tree.next[0] and token[0].isalpha():
+            return ()
+        return tuple(s for s in self.tree.walk({(0, ""): 0}, token) if s[0])
+
+    def token(self, token: str) -> tuple[tuple[str, ...], tuple[tuple[int, str], ...]]:
+        """The features in a token, and where a word may be after it as its first part."""
         known = self.memory.get(token)
         if known is None:
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
-            words = readings(token, self.model)
-            if self.only is None:
-                known = tuple(features(words))
+            words, only = self.readings(token), self.only
+            if only is None:
+                found = tuple(features(set(words)))
             else:
-                known = tuple({f for w in words for f in (w, f"{w[:4]}*", f"{w[:5]}*") if f in self.only})
-            self.memory[token] = known
+                found = tuple({f for w in words for f in (w, w[:4] + "*", w[:5] + "*") if f in only})
+            known = found, self.begins(token)
+            # nearly all tell nothing, and share one entry
+            self.memory[token] = known = known if known != NOTHING else NOTHING
         return known
 
     def restored(self, seen: str) -> tuple[str, ...]:
         """The words behind `seen`."""
-        known = self.memory.get(seen)
+        known = self.spans.get(seen)
         if known is None:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            known = self.memory[seen] = tuple(self.model.restore(seen).split())
+            if len(self.spans) >= MEMORY:
+                self.spans.clear()
+            known = self.spans[seen] = tuple(self.model.restore(seen).split())
         return known
 
+    def parts(self, tokens: list[str], begins: dict[str, tuple[tuple[int, str], ...]]) -> Iterator[str]:
+        """Stretches of tokens that one of the words may be spread over; `begins` has the tokens that may begin one."""
+        states: dict[tuple[int, str], int] = {}
+        for i, token in enumerate(tokens):
+            if states:
+                before = states
+                states = self.tree.walk(before, token)
+                for start in {start for s, start in states.items() if s[0] in self.tree.ends and s not in before}:
+                    yield " ".join(t.strip(MARKS + "!") for t in tokens[start : i + 1])
+            if token in begins:
+                for s in begins[token]:
+                    states[s] = i
+
     def text(self, text: str) -> set[str]:
         text = text.lower()
         tokens = text.split()
-        found = set(chain.from_iterable(map(self.token, set(tokens))))
+        found: set[str] = set()
+        begins = {}
+        for token in set(tokens):
+            own, first = self.memory.get(token) or self.token(token)
+            if own:
+                found.update(own)
+            if first:
+                begins[token] = first
         for m in APART.finditer(text):
             found.update(f for f in features(set(self.restored(m[0]))) if self.only is None or f in self.only)
-        for i in [i for i, t in enumerate(tokens) if t in self.parts or (not t.isalpha() and t.translate(PLAIN) in self.parts)]:
-            window = [t.strip(MARKS + "!") for t in tokens[i : i + 3]]
-            for k in (2, 3):
-                if squeezed("".join(window[:k]).translate(PLAIN)) in self.squeezed:
-                    # only whole words: beginnings of words that chance to stand together tell nothing
-                    words = self.whole.intersection(self.restored(" ".join(window[:k])))
-                    found.update(f for f in features(words) if f in self.only)
+        if begins:
+            for stretch in self.parts(tokens, begins):
+                # only whole words: beginnings of words that chance to stand together tell nothing
+                words = self.whole.intersection(self.restored(stretch))
+                found.update(f for f in features(words) if f in self.only)
         return found
 
 
+_reader: list = []
+
+
+def reader_of(value: tuple) -> Reader:
+    """The worker's reader for a broadcast value, which later tasks find as earlier ones left it."""
+    if not _reader or _reader[0] is not value:
+        _reader[:] = [value, Reader(*value)]
+    return _reader[1]
+
+
 def held_out() -> Column:
     return langid.held_out(4, 2)
 
@@ -268,20 +377,21 @@ def near_links(rows: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> DataFrame:
     """text, toxic and near of labelled documents that are not held out, of equal texts one.
 
-    near is the class of a text that has near copies among the others, and null for other texts. Texts are not shuffled:
-    the labels, about `bound` of them at most, are broadcast, and so are the documents chosen.
+    near is the class of a text that has near copies among the others, and null for other texts. The labels, about `bound`
+    of them at most, are broadcast, so one scan finds their texts, which are written apart; all else reads only these.
     """
     marked = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("of")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marked = written(marked.where("of is not null"), "toxicity-labels")
     n = marked.count()
     if n > bound:
         marked = marked.where(F.pmod(F.xxhash64("of"), F.lit(n)) < bound)
-    copies = docs.join(F.broadcast(marked), F.col("doc_id") == F.col("of")).groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    chosen = written(copies.agg(F.min("of").alias("of"), F.max("toxic").alias("toxic")).drop("digest"), "toxicity-chosen")
-    links = near_links(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("of", "text"))
-    near = simhash.components(links).select(F.col("node").alias("of"), F.col("root").alias("near"))
-    chosen = written(chosen.join(near, "of", "left"), "toxicity-classed")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "toxic", "near")
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.col("doc_id").alias("of"), text.alias("text")).join(F.broadcast(marked), "of").select("of", "toxic", "text", F.sha2("text", 256).alias("digest"))
+    own = written(own, "toxicity-texts")
+    chosen = written(own.groupBy("digest").agg(F.min("of").alias("of"), F.max("toxic").alias("toxic")), "toxicity-chosen")
+    texts = written(own.drop("toxic").join(F.broadcast(chosen), ["digest", "of"]).dropDuplicates(["of", "digest"]).select("of", "toxic", "text"), "toxicity-distinct")
+    near = simhash.components(near_links(texts.select("of", "text"))).select(F.col("node").alias("of"), F.col("root").alias("near"))
+    return texts.join(near, "of", "left").select("text", "toxic", "near")
 
 
 def word_table(docs: DataFrame, labels: DataFrame, model: CharacterModel, size: int = FEATURES) -> dict[str, float]:
@@ -290,11 +400,11 @@ def word_table(docs: DataFrame, labels: DataFrame, model: CharacterModel, size:
     The toxic texts of a class of near copies count as one text for each feature, and so do its other texts.
     """
     train = labelled(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `MODEL`
+    shared = docs.sparkSession.sparkContext.broadcast((model, None))  # bounded by `MODEL`
     names = ["feature", "near", "toxic", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+        reader = reader_of(shared.value)
         for batch in batches:
             for i in range(0, len(batch), 2000):
                 part = batch.slice(i, 2000)
@@ -334,8 +444,8 @@ def score(docs: DataFrame, model: CharacterModel, table: dict[str, float]) -> Da
     shared = docs.sparkSession.sparkContext.broadcast((model, table))  # bounded by `MODEL` and `FEATURES`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table = shared.value
-        reader = Reader(model, table)
+        reader = reader_of(shared.value)
+        table = reader.only
         for batch in batches:
             scores = [weigh([table[f] for f in reader.text(t.as_py() or "")]) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
