@@ -2,9 +2,10 @@
 
 The ledger is a table in the shared folder with one row for each blob (content address: SHA-256 of the text) and version of
 the rules that has ever been scanned, with the spans found, or none. A run content-addresses every document version it is
-given, keeps one copy of each blob, scans only pairs of blob and rule version that the ledger lacks, appends them, and
-joins the findings back to every document with that content. The version of the rules is a digest of the rules themselves,
-so changed rules never meet old findings. A pair that is there twice (runs at the same time, a repeated append) counts once.
+given, keeps one copy of each blob, scans only pairs of blob and rule version that the ledger lacks, adds them in a folder of
+its own, and joins the findings back to every document with that content. The version of the rules is a digest of the rules
+themselves, so changed rules never meet old findings. Runs at the same time don't share a folder to write to; a pair that
+both scan is there twice and counts once. A blob that the ledger should have and lacks is an error, never a clean text.
 
 Give `ledger`, or set `LEDGER_CONF` in the session, to a folder that later runs use again; else each run has its own.
 
@@ -12,7 +13,7 @@ Every rule is tried at most a few times for each character: a run of characters
 beginning only, or is bounded in length.
 
 Of a blob's copies one is picked by map-side partial aggregation, so a blob with very many copies is never gathered. The
-join back to documents moves identifiers and digests, not texts.
+join back to documents moves identifiers and digests, not texts, and deals a blob with very many copies over tasks.
 
 Results for odd inputs: null counts as empty and has no findings; texts of any length are scanned whole; documents that
 repeat, or have a null doc_id, get their findings row by row; an empty table gives an empty result and leaves the ledger as
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.shared import scratch, written
+from tidewatch.llm.shared import scratch, spread_join, written
 
 #: The base rules, in the order in which kinds are listed; pattern, group that holds the value, its least length.
 BASE_RULES = (
@@ -73,8 +75,9 @@ def blob() -> Column:
 
 
 def read_ledger(docs: DataFrame, ledger: str) -> DataFrame | None:
+    """The rows of all runs that are done; None where there was none."""
     try:
-        return docs.sparkSession.read.schema(LEDGER).parquet(ledger)
+        return docs.sparkSession.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(ledger)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -82,7 +85,7 @@ def read_ledger(docs: DataFrame, ledger: str) -> DataFrame | None:
 
 
 def extend_ledger(docs: DataFrame, ledger: str, rules=RULES) -> None:
-    """Scan the blobs of `docs` that the ledger at `ledger` lacks for this version of the rules, and append them."""
+    """Scan the blobs of `docs` that the ledger at `ledger` lacks for this version of the rules, and add them as a run of their own."""
     rule_version = version_of(rules)
     blobs = docs.groupBy(blob().alias("blob")).agg(F.first(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
     seen = read_ledger(docs, ledger)
@@ -95,18 +98,22 @@ def extend_ledger(docs: DataFrame, ledger: str, rules=RULES) -> None:
             spans = pa.array([scan(t.as_py(), rules) for t in batch.column("text")], kind)
             yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.repeat(rule_version, len(batch)), spans], names=["blob", "rule_version", "spans"])
 
-    blobs.mapInArrow(run, LEDGER).write.mode("append").parquet(ledger)
+    blobs.mapInArrow(run, LEDGER).write.parquet(f"{ledger}/run-{uuid.uuid4().hex}")
 
 
 def findings(docs: DataFrame, ledger: str | None = None, keep: Sequence[str] = (), rules=RULES) -> DataFrame:
     """doc_id, blob, spans and the columns in `keep` (as keep_0, keep_1 ...) for every row of `docs`, by way of the ledger."""
     ledger = ledger or docs.sparkSession.conf.get(LEDGER_CONF, None) or scratch(docs.sparkSession, "secret-ledger")
     extend_ledger(docs, ledger, rules)
-    # a blob without findings needs no row of the ledger
-    hits = read_ledger(docs, ledger).where((F.col("rule_version") == version_of(rules)) & (F.size("spans") > 0))
-    hits = hits.groupBy(F.col("blob").alias("of")).agg(F.first("spans").alias("spans"))
+    known = read_ledger(docs, ledger).where(F.col("rule_version") == version_of(rules)).groupBy("blob").agg(F.first("spans").alias("spans"))
+    copies = docs.groupBy(blob().alias("blob")).agg(F.count(F.lit(1)).alias("n"))
+    # every blob has a row, with spans or none
+    scanned = F.assert_true(F.col("spans").isNotNull(), "the ledger lacks a blob that was scanned").isNull()
+    known = written(copies.join(known, "blob", "left").where(scanned), "secret-blobs")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob().alias("blob"), *[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)])
-    joined = rows.join(hits, F.col("blob") == F.col("of"), "left").drop("of")
+    # copies of one blob without ids are told apart by where they lie
+    rows = rows.withColumn("lies", F.spark_partition_id())
+    joined = spread_join(rows, known.where(F.size("spans") > 0), "blob", "n", "doc_id", "lies").drop("n", "lies")
     return joined.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
 
