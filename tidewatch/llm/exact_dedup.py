@@ -78,15 +78,18 @@ def exact_groups(spark: SparkSession, path: str, state_dir: str | None = None, f
     state = keeper_state(spark, path, state_dir or scratch(spark, "dedup-state"), files_per_trigger, digest)
     state = written(state, "dedup-keepers")
     rows = located(spark.read, path, digest)
-    hits = state.where("group_size > 1").select("keeper.file", "keeper.row", F.col("digest").alias("of"))
-    if hits.count() <= BROADCAST_HITS:
-        hits = F.broadcast(hits)
+    hits = state.where("group_size > 1")
+    small = hits.count() <= BROADCAST_HITS
+    some = F.broadcast if small else (lambda df: df)
     # the locator is unique, so this join has no hot key however large a group is
-    first = rows.join(hits, ["file", "row"]).select(F.col("of").alias("digest"), F.col("text").alias("keeper_text"))
-    known = written(state.join(first, "digest", "left"), "dedup-known")
-    same = (F.col("group_size") == 1) | (F.col("text") == F.col("keeper_text"))
-    found = written(spread_join(rows, known, "digest", "group_size", "file", "row").select("doc_id", "file", "row", "digest", "keeper", "group_size", same.alias("same")), "dedup-found")
-    clash = found.where("not same").select("digest").distinct()
+    at = hits.select("keeper.file", "keeper.row", F.col("digest").alias("of"))
+    first = rows.join(some(at), ["file", "row"]).select(F.col("of").alias("digest"), F.col("text").alias("keeper_text"))
+    known = written(hits.select("digest", "group_size").join(first, "digest"), "dedup-known")
+    # texts that are alone in their group stay where they are; copies alone meet their keeper's text
+    copies = rows.join(some(hits.select("digest")), "digest", "left_semi")
+    met = spread_join(copies, known, "digest", "group_size", "file", "row", how="inner")
+    clash = written(met.where(F.col("text") != F.col("keeper_text")).select("digest").distinct(), "dedup-clashes")
+    found = spread_join(rows.drop("text"), state, "digest", "group_size", "file", "row", how="inner")
     if not clash.isEmpty():
         found = _by_bytes(rows, found, clash)
     stays = (F.col("file") == F.col("keeper.file")) & (F.col("row") == F.col("keeper.row"))
@@ -98,21 +101,30 @@ def _by_bytes(rows: DataFrame, found: DataFrame, clash: DataFrame) -> DataFrame:
     members = rows.join(clash, "digest", "left_semi")
     groups = members.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "file", "row")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
     apart = members.join(groups, ["digest", "text"]).select("doc_id", "file", "row", "digest", "keeper", "group_size")
-    return found.join(clash, "digest", "left_anti").drop("same").unionByName(apart)
+    return found.join(clash, "digest", "left_anti").unionByName(apart)
 
 
 def land(docs: DataFrame) -> str:
-    """Write `docs` to the shared folder; the stream and the byte check both read that copy."""
+    """Write `docs` to the shared folder; the stream and the byte check both read that copy.
+
+    Columns other than doc_id and text are named by their places, so that no name of theirs matters.
+    """
     path = scratch(docs.sparkSession, "dedup-landed")
-    docs.write.parquet(path)
+    docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, _names(docs), strict=True)]).write.parquet(path)
     return path
 
 
+def _names(docs: DataFrame) -> list[str]:
+    return [c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(docs.columns)]
+
+
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     spark = docs.sparkSession
     path = land(docs)
-    kept = exact_groups(spark, path).where("kept").select(F.col("file").alias("_at_file"), F.col("row").alias("_at_row"))
-    back = spark.read.schema(T.StructType(docs.schema.fields)).parquet(path)
-    rows = back.select("*", F.col("_metadata.file_path").alias("_own_file"), F.col("_metadata.row_index").alias("_own_row"))
-    return rows.join(kept, (F.col("_own_file") == F.col("_at_file")) & (F.col("_own_row") == F.col("_at_row")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = exact_groups(spark, path).where("kept").select(F.col("file").alias("kept_file"), F.col("row").alias("kept_row"))
+    fields = [T.StructField(n, f.dataType) for n, f in zip(_names(docs), docs.schema.fields, strict=True)]
+    back = spark.read.schema(T.StructType(fields)).parquet(path)
+    rows = back.select("*", F.col("_metadata.file_path").alias("at_file"), F.col("_metadata.row_index").alias("at_row"))
+    stay = rows.join(kept, (F.col("at_file") == F.col("kept_file")) & (F.col("at_row") == F.col("kept_row")), "left_semi")
+    return stay.select(*[F.col(n).alias(c) for n, c in zip(_names(docs), docs.columns, strict=True)])
