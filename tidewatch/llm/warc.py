@@ -1,7 +1,7 @@
 """WARC archives: writing, normalising a monolithic gzip stream into one member for each record, and reading by index.
 
-Spark's text sink writes each partition's records as gzip streams of some `ARCHIVE_BYTES` of content each, through whatever
-file system the path names and under its commit protocol. The normaliser inflates each such file once, piece by piece, cuts
+Spark's text sink writes each partition's records as gzip streams of at most `ARCHIVE_BYTES` of content each (or one record,
+where that is larger), counted record by record, through whatever file system the path names and under its commit protocol. The normaliser inflates each such file once, piece by piece, cuts
 the stream at the records' declared lengths, and rewrites every record as a gzip member of its own; each member's offset and
 length, known as it is made, go to a sidecar index, so a record is later read alone. Of pages with equal payloads the one
 with the largest page_id is a response and the others are revisits that refer to it; their records hold the HTTP header
@@ -24,10 +24,12 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.shared import scratch, spread_join, written
 
@@ -35,8 +37,9 @@ CRLF = "\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # pages carry no date
-#: Content of an archive on average; records in one are limited to as many as have that size at the mean.
+#: Content of an archive at most, with headers, and repeated payloads up to which their table is broadcast.
 ARCHIVE_BYTES = 32 << 20
+BROADCAST_REPEATED = 50_000
 EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 INDEX = "archive string, record int, offset bigint, length bigint, record_id string"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -49,7 +52,11 @@ def judged(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumn("own", own)
     # digests alone are grouped; a page that is the only one with its payload needs no row of the join
     first = rows.where("own is not null").groupBy("own").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    joined = spread_join(rows, written(first.where("n > 1"), "warc-repeated"), "own", "n", "page_id", "url")
+    repeated = written(first.where("n > 1"), "warc-repeated")
+    if repeated.count() <= BROADCAST_REPEATED:  # some 5 MB; pages stay where they are
+        joined = rows.join(F.broadcast(repeated), "own", "left")
+    else:
+        joined = spread_join(rows, repeated, "own", "n", "page_id", "url")
     again = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id", "url", "html", F.sha1(F.col("html").cast("binary")).alias("hex"),
@@ -98,11 +105,32 @@ def base32_sha1_of_hex(hexes: Column) -> Column:
     return F.concat(*[five(i) for i in range(32)])
 
 
+def numbered(archive_bytes: int) -> Column:
+    """The archive of a record of `size` bytes within its task: the next one where the record would exceed the bound.
+
+    Only sizes go through Python, in the order of the rows, with the count so far kept over a task's batches.
+    """
+
+    @F.pandas_udf(T.LongType())
+    def number(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        at, held = 0, 0
+        for batch in sizes:
+            out = []
+            for size in batch:
+                if held and held + size > archive_bytes:
+                    at, held = at + 1, 0
+                held += size
+                out.append(at)
+            yield pd.Series(out, dtype="int64")
+
+    return number(F.octet_length("record").cast("long") + 4)
+
+
 def write_monolithic(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write the records of `pages` under `path`, each file one gzip stream over all its records."""
-    size = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html")).alias("bytes")).first()  # one row
-    most = max(1, archive_bytes * size.n // (size.bytes or 1)) if size.n else 1
-    records(pages, least).write.option("compression", "gzip").option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).text(path)
+    rows = records(pages, least).withColumn("n", numbered(archive_bytes))
+    part = F.concat_ws("-", F.spark_partition_id(), "n")
+    rows.select(F.col("record").alias("value"), part.alias("archive")).write.partitionBy("archive").option("compression", "gzip").option("lineSep", CRLF * 2).text(path)
 
 
 def split(stream: Iterator[bytes]) -> Iterator[bytes]:
@@ -152,8 +180,9 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
 
     Returns the index, which is written to `target`/index. A file is inflated once, in one task, and stays one file.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(source)
+    # a task writes one file of each of its archives
+    files = files.select(F.regexp_extract("path", "archive=([^/]+)/", 1).alias("archive"), "content")
     names = ["archive", "record", "offset", "length", "record_id", "member"]
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
@@ -199,7 +228,7 @@ def read_records(spark: SparkSession, target: str) -> DataFrame:
     response is computed from what was read.
     """
     index = spark.read.schema(INDEX).parquet(f"{target}/index")
-    # an archive's records are limited in number, and their places are in one row
+    # an archive's bytes, headers with them, are bounded, and so are its records, whose places are in one row
     places = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("record", "offset", "length"))).alias("places"))
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
