@@ -3,10 +3,10 @@
 Spark splits each text into words: runs without ASCII white space. The vocabularies this is for never join across white
 space, so the ids of a text are the ids of its words in order. Documents are taken in blocks of bounded size. A block lists
 its distinct words, most frequent first, and for each of its documents the places of its words in that list. The lists are
-dealt out by word, packed into a row for each of many buckets of words, and unpacked there into the table of distinct words:
-each word with the blocks that have it and its place in each. Every distinct word is encoded once; its ids go back to each
-block and place, and from there to the documents by position. Decoding joins ids to the id-to-piece table. A word that is
-everywhere weighs one entry for each block, never one for each occurrence, and what a block gathers is bounded by its size.
+dealt out by word, packed into a row for each of many buckets of words, and unpacked there. Every distinct word is encoded
+once, in a table of its own; its ids are joined back to each block and place, and go from there to the documents by position.
+Decoding joins ids to the id-to-piece table. A word that is everywhere weighs one row for each block, never one for each
+occurrence, no list grows with the input, and what a block gathers is bounded by its size.
 
 Words and positions come from two passes over the same input, which give the same blocks as long as the input's partitions
 and their order are the same; a checksum of its words is part of a block's number, so a difference is found and is an error.
@@ -181,21 +181,24 @@ def ids_of(path: str) -> Column:
     return ids(F.col("word"))
 
 
-def distinct_words(packed: DataFrame) -> DataFrame:
-    """The table of distinct words: bucket, word, and where it is (`at`: block and place)."""
-    # one shuffle of packed rows; the table keeps their partitions
+def entries(packed: DataFrame) -> DataFrame:
+    """bucket, word, block and place for every word of every block."""
+    # one shuffle of packed rows; what follows keeps their partitions
     head = F.substring_index("packed", "\n", 1)
     rest = F.substring("packed", F.length(head) + 2, F.length("packed"))
     lines = packed.repartition("bucket").select("bucket", head.cast("bigint").alias("block"), F.split(rest, "\n").alias("lines"))
     each = lines.select("bucket", "block", F.explode("lines").alias("line"))
     place, word = F.substring_index("line", " ", 1).cast("int"), F.substring("line", F.instr("line", " ") + 1, F.length("line"))
-    entries = each.select("bucket", word.alias("word"), F.struct("block", place.alias("place")).alias("at"))
-    return entries.groupBy("bucket", "word").agg(F.collect_list("at").alias("at"))
+    return each.select("bucket", word.alias("word"), "block", place.alias("place"))
 
 
-def word_ids(words: DataFrame, path: str) -> DataFrame:
-    """block, place and ids of every word of every block, each distinct word encoded once."""
-    return words.select(ids_of(path).alias("ids"), "at").select("ids", F.explode("at").alias("at")).select("at.block", "at.place", "ids")
+def word_ids(rows: DataFrame, path: str) -> DataFrame:
+    """block, place and ids of every word of every block: the table of distinct words, each encoded once, joined back.
+
+    A word of every block has a row for each of them, which pass the join one after the other; none is gathered.
+    """
+    words = rows.select("bucket", "word").distinct().select("bucket", "word", ids_of(path).alias("ids"))
+    return rows.join(words, ["bucket", "word"]).select("block", "place", "ids")
 
 
 def packed_ids(rows: DataFrame) -> DataFrame:
@@ -260,7 +263,7 @@ def encode_decode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) ->
     """doc_id, `ids` (little-endian unsigned 32-bit integers) and `decoded` for every row of `docs`."""
     rows = split(docs)
     buckets = max(LEAST_BUCKETS, BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    coded = packed_ids(word_ids(distinct_words(block_words(rows, block_bytes, buckets)), path))
+    coded = packed_ids(word_ids(entries(block_words(rows, block_bytes, buckets)), path))
     placed = block_places(rows, block_bytes)
     return placed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(lambda a, b: restore(a, b, path), "doc_id bigint, ids binary, decoded string")
 
