@@ -95,6 +95,21 @@ def test_large_groups_are_dealt_over_parts(spark, odd, monkeypatch):
     assert sorted(map(key, exact_dedup.exact_groups(spark, path).collect())) == want
 
 
+def test_copies_go_whatever_the_names_of_columns(spark):
+    names = ["_own_file", "_at_file", "_own_row", "_metadata", "digest", "keeper", "group_size", "file", "row", "own_0", "at_file", "kept_row", "a.b", "same", "of", "n", "_part", "kept"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in [(1, "a"), (2, "a"), (3, "b"), (None, None), (4, "")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = exact_dedup.without_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted((tuple(r) for r in rows if r[0] in (2, 3, 4)), key=repr)
+
+
+def test_texts_without_copies_are_not_shuffled(spark):
+    path = exact_dedup.land(table(spark, [(i, f"text {i % 40}") for i in range(60)]))
+    plan = exact_dedup.exact_groups(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not any("text#" in line for line in plan.splitlines() if "Join" in line)
+
+
 def test_exact_on_nothing(spark, empty):
     assert exact_dedup.exact_groups(spark, exact_dedup.land(empty)).count() == 0
     assert exact_dedup.without_copies(empty).columns == empty.columns
@@ -511,7 +526,7 @@ def test_normalised_archives_are_plain_gzip(spark, small):
     index = warc.normalise(spark, source, target).collect()
     for name, content in [(r.archive, r.content) for r in warc.archives(spark, target).collect()]:
         whole = gzip.decompress(content)
-        mono = next(r.content for r in spark.read.format("binaryFile").load(source).collect() if r.path.endswith(name))
+        mono = next(r.content for r in spark.read.format("binaryFile").load(source).collect() if f"archive={name}/" in r.path)
         assert whole == gzip.decompress(mono)
         parts = sorted((r.offset, r.length) for r in index if r.archive == name)
         assert b"".join(gzip.decompress(content[o : o + n]) for o, n in parts) == whole
@@ -540,6 +555,26 @@ def test_archives_are_bounded(spark):
     assert {r.page_id for r in warc.read_records(spark, target).collect()} == set(range(100))
 
 
+def test_archives_are_bounded_under_skew(spark, tmp_path):
+    """Small pages, then large ones beside each other; pages without content; a record larger than an archive."""
+    large = "".join(random.Random(1).choices("abcdefgh ", k=60_000))
+    rows = [(i, f"u{i}", "x" * (i % 50)) for i in range(600)] + [(1000 + i, None, large + str(i)) for i in range(40)] + [(2000 + i, "u", "") for i in range(300)] + [(3000, "u", large * 3)]
+    source, target = f"file://{tmp_path}/s", f"file://{tmp_path}/t"
+    warc.write_monolithic(pages(spark, [(*r, "x", "x") for r in rows]).coalesce(2), source, archive_bytes=100_000)
+    sizes = [sum(map(len, warc.inflate(open(f, "rb").read()))) for f in sorted(map(str, tmp_path.glob("s/*/*.gz")))]
+    assert len(sizes) > 25 and sorted(sizes)[-2] <= 100_000 and sizes and max(sizes) < 190_000
+    warc.normalise(spark, source, target)
+    back = warc.read_records(spark, target).collect()
+    assert Counter(r.page_id for r in back) == Counter(i for i, _, _ in rows)
+
+
+@pytest.mark.parametrize("least", [50_000, 0])
+def test_repeated_payloads_with_and_without_a_broadcast(spark, monkeypatch, least):
+    monkeypatch.setattr(warc, "BROADCAST_REPEATED", least)
+    rows = warc.judged(pages(spark, [(*r, "x", "x") for r in [(1, "a", "x"), (2, "b", "x"), (3, "c", None), (4, "d", ""), (5, "e", "y"), (None, "f", "x")]])).collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in rows} == {(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (5, "response", None), (None, "revisit", 2)}
+
+
 def test_broken_stream_is_an_error():
     with pytest.raises(ValueError):
         list(warc.split(iter([b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab"])))
@@ -765,6 +800,42 @@ def test_pairs_that_are_in_the_ledger_twice_count_once(spark):
     assert [(r.doc_id, len(r.spans)) for r in secrets.findings(docs, ledger).orderBy("doc_id").collect()] == [(1, 1), (2, 1)]
 
 
+def test_runs_may_share_a_ledger_at_the_same_time(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidewatch.llm.shared import scratch
+
+    ledger, want = scratch(spark, "l"), Counter((i, tuple(base_spans(t))) for i, t in SECRETS)
+
+    def run(n):
+        rows = secrets.findings(table(spark, [*SECRETS, (100 + n, f"token=abcdefg{n}")]), ledger).where("doc_id < 100 or doc_id is null").collect()
+        return Counter((r.doc_id, tuple((s.kind, s.start, s.end) for s in r.spans if s.kind in ("assign", "access", "hex"))) for r in rows)
+
+    with ThreadPoolExecutor(4) as pool:
+        assert all(got == want for got in pool.map(run, range(12)))
+    assert secrets.read_ledger(table(spark, []), ledger).select("blob").distinct().count() == len({t or "" for _, t in SECRETS}) + 12
+
+
+def test_a_blob_that_the_ledger_lost_is_an_error(spark, monkeypatch):
+    from tidewatch.llm.shared import scratch
+
+    ledger, docs = scratch(spark, "l"), table(spark, SECRETS)
+    secrets.extend_ledger(docs.limit(2), ledger)
+    monkeypatch.setattr(secrets, "extend_ledger", lambda *a: None)
+    with pytest.raises(Exception, match="lacks a blob"):
+        secrets.findings(docs, ledger).collect()
+
+
+def test_a_blob_with_many_copies_is_dealt_over_parts(spark, monkeypatch):
+    from tidewatch.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    texts = [(None, "secret=abcdefgh")] * 20 + [(i, "secret=abcdefgh") for i in range(20)] + [(99, "token=12345678")]
+    rows = secrets.findings(table(spark, texts).repartition(5)).collect()
+    assert len(rows) == 41 and all(len(r.spans) == 1 for r in rows)
+    assert secrets.without_secrets(table(spark, texts)).where("text = '[ASSIGN]'").count() == 41
+
+
 def test_a_ledger_named_by_the_session_is_shared(spark):
     from tidewatch.llm.shared import scratch
 

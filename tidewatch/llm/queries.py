@@ -177,10 +177,19 @@ def ascii_sql(pattern: str) -> str:
     return f"{pattern[: folded.start()]}(?:{names}){pattern[end + 1 :]}"
 
 
+#: The base rules for another engine, from what is asked for and not from the operator: pattern, group of the value, least length.
+BASE_SQL = {
+    "assign": ("(?:" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6),
+    "access": ("AKIA[A-Z0-9]+", 0, 20),
+    "hex": ("[0-9a-f]+", 0, 24),
+}
+
+
 def op10_sql() -> str:
     """Matches are cut out together with the text before them, so that lengths give their places."""
     parts = []
     for order, (kind, pattern, group, least) in enumerate(secrets.RULES):
+        pattern, group, least = BASE_SQL.get(kind, (pattern, group, least))
         guard = re.match(r"\(\?<!\[(.*?)\]\)", pattern)
         before = f"(.*?(?:^|[^{guard[1]}]))" if guard else "(.*?)"
         own = f"(?s){before}({ascii_sql(pattern)})".replace("'", "''")
