@@ -715,6 +715,21 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
 # byte pairs
 
 
+def test_a_word_is_encoded_once(monkeypatch):
+    """Also where its rows go on over several batches."""
+    import pyarrow as pa
+
+    asked = []
+    own = bpe.encoded
+    monkeypatch.setattr(bpe, "encoded", lambda words, path: asked.extend(words.to_pylist()) or own(words, path))
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    words = sorted(["a"] * 7 + ["bc"] * 2 + ["zebra", "the", "the", "thesis"])
+    rows = [pa.RecordBatch.from_pydict({"word": words[i : i + 3], "block": list(range(i, len(words[i : i + 3]) + i)), "place": [0] * len(words[i : i + 3])}) for i in range(0, len(words), 3)]
+    out = [(b, i) for batch in bpe.word_ids(iter(rows), path) for b, i in zip(batch.column("block").to_pylist(), batch.column("ids").to_pylist(), strict=True)]
+    assert sorted(asked) == sorted(set(words))
+    assert [i for _, i in sorted(out)] == [own(pa.array([w]), path)[0].as_py() for w in words]
+
+
 def test_encode_decode(odd, docs, known, empty):
     from tokenizers import Tokenizer
 

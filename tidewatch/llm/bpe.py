@@ -3,10 +3,11 @@
 Spark splits each text into words: runs without ASCII white space. The vocabularies this is for never join across white
 space, so the ids of a text are the ids of its words in order. Documents are taken in blocks of bounded size. A block lists
 its distinct words, most frequent first, and for each of its documents the places of its words in that list. The lists are
-dealt out by word, packed into a row for each of many buckets of words, and unpacked there. Every distinct word is encoded
-once, in a table of its own; its ids are joined back to each block and place, and go from there to the documents by position.
-Decoding joins ids to the id-to-piece table. A word that is everywhere weighs one row for each block, never one for each
-occurrence, no list grows with the input, and what a block gathers is bounded by its size.
+dealt out by word, packed into a row for each of many buckets of words, and unpacked and sorted by word there: the table of
+distinct words, each with a row for each block that has it. Every distinct word is encoded once, as its rows begin; its ids go
+with its rows back to each block and place, and from there to the documents by position. Decoding joins ids to the id-to-piece
+table. A word that is everywhere weighs one row for each block, never one for each occurrence; its rows pass one after the
+other, no list grows with the input, and what a block gathers is bounded by its size.
 
 Words and positions come from two passes over the same input, which give the same blocks as long as the input's partitions
 and their order are the same; a checksum of its words is part of a block's number, so a difference is found and is an error.
@@ -31,9 +32,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.llm.quality import word_array
 from tidewatch.llm.shared import texts
@@ -168,41 +168,43 @@ def block_places(rows: DataFrame, block_bytes: int) -> DataFrame:
     return rows.mapInArrow(run, "block bigint, ids array<bigint>, lengths binary, places binary")
 
 
-def ids_of(path: str) -> Column:
-    """The ids of `word` as little-endian unsigned 32-bit integers."""
+def encoded(words: pa.Array, path: str) -> pa.Array:
+    """The ids of words as little-endian unsigned 32-bit integers."""
+    coded = [e.ids for e in tokenizer(path).encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in coded], dtype=np.int64)]).astype(np.int32)
+    flat = np.fromiter(chain.from_iterable(coded), "<u4", int(ends[-1]))
+    return pa.Array.from_buffers(pa.binary(), len(coded), [None, pa.py_buffer((ends * 4).tobytes()), pa.py_buffer(flat.tobytes())])
 
-    @F.arrow_udf(T.BinaryType())
-    def ids(words: pa.Array) -> pa.Array:
-        coded = [e.ids for e in tokenizer(path).encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in coded], dtype=np.int64)]).astype(np.int32)
-        flat = np.fromiter(chain.from_iterable(coded), "<u4", int(ends[-1]))
-        return pa.Array.from_buffers(pa.binary(), len(coded), [None, pa.py_buffer((ends * 4).tobytes()), pa.py_buffer(flat.tobytes())])
 
-    return ids(F.col("word"))
-
-
-def entries(packed: DataFrame) -> DataFrame:
-    """bucket, word, block and place for every word of every block."""
-    # one shuffle of packed rows; what follows keeps their partitions
+def sorted_words(packed: DataFrame) -> DataFrame:
+    """word, block and place for every word of every block, the rows of a word one after the other."""
+    # one shuffle of packed rows; the sort keeps their partitions
     head = F.substring_index("packed", "\n", 1)
     rest = F.substring("packed", F.length(head) + 2, F.length("packed"))
     lines = packed.repartition("bucket").select("bucket", head.cast("bigint").alias("block"), F.split(rest, "\n").alias("lines"))
     each = lines.select("bucket", "block", F.explode("lines").alias("line"))
     place, word = F.substring_index("line", " ", 1).cast("int"), F.substring("line", F.instr("line", " ") + 1, F.length("line"))
-    return each.select("bucket", word.alias("word"), "block", place.alias("place"))
-
-
-def word_ids(rows: DataFrame, path: str) -> DataFrame:
-    """block, place and ids of every word of every block: the table of distinct words, each encoded once, joined back.
+    return each.select("bucket", word.alias("word"), "block", place.alias("place")).sortWithinPartitions("bucket", "word").drop("bucket")
 
-    A word of every block has a row for each of them, which pass the join one after the other; none is gathered.
-    """
-    words = rows.select("bucket", "word").distinct().select("bucket", "word", ids_of(path).alias("ids"))
-    return rows.join(words, ["bucket", "word"]).select("block", "place", "ids")
 
-
-def packed_ids(rows: DataFrame) -> DataFrame:
-    """block, places (as differences), lengths and ids: what a task has of a block, `PENDING` rows at a time, in one row."""
+def word_ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """block, place and ids of sorted words: a word is encoded where its rows begin, also where they go on in later batches."""
+    last, kept = None, None
+    for batch in batches:
+        coded = batch.column("word").dictionary_encode()
+        words = coded.dictionary
+        if not len(words):
+            continue
+        if words[0].as_py() == last:
+            ids = pa.concat_arrays([kept, encoded(words.slice(1), path)])
+        else:
+            ids = encoded(words, path)
+        last, kept = words[-1].as_py(), ids.slice(len(ids) - 1)
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), ids.take(coded.indices)], names=["block", "place", "ids"])
+
+
+def packed_ids(rows: DataFrame, path: str) -> DataFrame:
+    """block, places (as differences), lengths and ids of sorted words: what a task has of a block, `PENDING` rows at a time, in one row."""
     names = ["block", "places", "lengths", "ids"]
 
     def pack(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -218,9 +220,8 @@ def packed_ids(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
-        for batch in batches:
-            if len(batch):
-                parts.append(batch)
+        for batch in word_ids(batches, path):
+            parts.append(batch)
             if sum(map(len, parts)) >= PENDING:
                 yield pack(parts)
                 parts = []
@@ -263,7 +264,7 @@ def encode_decode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) ->
     """doc_id, `ids` (little-endian unsigned 32-bit integers) and `decoded` for every row of `docs`."""
     rows = split(docs)
     buckets = max(LEAST_BUCKETS, BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    coded = packed_ids(word_ids(entries(block_words(rows, block_bytes, buckets)), path))
+    coded = packed_ids(sorted_words(block_words(rows, block_bytes, buckets)), path)
     placed = block_places(rows, block_bytes)
     return placed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(lambda a, b: restore(a, b, path), "doc_id bigint, ids binary, decoded string")
 
