@@ -89,7 +89,7 @@ def exact_groups(spark: SparkSession, path: str, state_dir: str | None = None, f
     copies = rows.join(some(hits.select("digest")), "digest", "left_semi")
     met = spread_join(copies, known, "digest", "group_size", "file", "row", how="inner")
     clash = written(met.where(F.col("text") != F.col("keeper_text")).select("digest").distinct(), "dedup-clashes")
-    found = spread_join(rows.drop("text"), state, "digest", "group_size", "file", "row", how="inner")
+    found = written(spread_join(rows.drop("text"), state, "digest", "group_size", "file", "row", how="inner"), "dedup-found")
     if not clash.isEmpty():
         found = _by_bytes(rows, found, clash)
     stays = (F.col("file") == F.col("keeper.file")) & (F.col("row") == F.col("keeper.row"))
