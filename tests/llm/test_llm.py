@@ -344,6 +344,13 @@ def test_links_find_every_component(spark, dense):
         assert sorted(map(sorted, by.values())) == sorted(map(sorted, want.values()))
 
 
+def test_variants_are_not_broadcast(spark):
+    """Their size is taken for that of the fingerprints, of which there are 68 times fewer."""
+    frame = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % (1 << 63),) for i in range(50)], "fp long")
+    plan = simhash.links(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_one_of_each(odd, empty):
     rows = simhash.one_of_each(odd)
     assert rows.columns == odd.columns

@@ -98,7 +98,8 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
         far = ball_links(written(near, "simhash-dense"))
     a, b = sparse.withColumnRenamed("fp", "a"), variants.withColumnRenamed("fp", "b")
     # a crowded half may be on one side only, so both orders of a pair are taken
-    pairs = a.join(b, ["which", "key"]).where((F.col("a") != F.col("b")) & (distance(F.col("a"), F.col("b")) <= RADIUS))
+    # Spark takes the size of the variants for that of the fingerprints they are made from, and would broadcast them
+    pairs = a.join(b.hint("merge"), ["which", "key"]).where((F.col("a") != F.col("b")) & (distance(F.col("a"), F.col("b")) <= RADIUS))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return (pairs if far is None else pairs.unionByName(far)).distinct()
 
