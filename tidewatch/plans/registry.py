@@ -43,7 +43,9 @@ def derive(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame
 
 
 def r6(c: Column | str) -> Column:
-    return F.round((F.col(c) if isinstance(c, str) else c) * F.lit(1.000000000001), 6)
+    """Rounded to six places; like the SQL's, a small negative number becomes a negative zero, where Spark's has no sign."""
+    v = (F.col(c) if isinstance(c, str) else c) * F.lit(1.000000000001)
+    return F.signum(v) * F.abs(F.round(v, 6))
 
 
 def ms(c: Column | str) -> Column:
