@@ -589,3 +589,16 @@ def test_values_that_are_no_numbers(spark):
 def test_answers_of_several_sources(spark):
     a, b = spark.createDataFrame([(1, "x")], "n int, s string"), spark.createDataFrame([(2,)], "n int")
     assert {(r.connection_id, r.n, r.s) for r in catalog.union_sources({"a": a, "b": b}).collect()} == {("a", 1, "x"), ("b", 2, None)}
+
+
+@pytest.mark.parametrize("cell", [1, 2, 2000])
+def test_paired_sources_are_not_grouped_as_pairs(spark, monkeypatch, cell):
+    monkeypatch.setattr(catalog, "SOURCES", cell)
+    a = [("m1", ["x", "y", "own1"]), ("m2", ["y", "y", None]), ("m3", ["z"]), ("m4", ["only"]), ("m5", None), ("m1", ["z"])]
+    b = [("l1", ["y", "x"]), ("l2", ["z", "x", "own2"]), ("l3", ["y"]), ("l3", ["z", "x"]), ("l4", [])]
+    found = catalog.pair_sources(*[spark.createDataFrame(rows, "id string, tags array<string>") for rows in (a, b)])
+    known = lambda rows: {i: {t for j, tags in rows if j == i for t in tags or [] if t} for i, _ in rows}
+    want = [(i, k, sorted(s & t)) for i, s in known(a).items() for k, t in known(b).items() if s & t]
+    assert sorted((r.metric_id, r.log_id, r.shared) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
