@@ -591,6 +591,19 @@ def test_answers_of_several_sources(spark):
     assert {(r.connection_id, r.n, r.s) for r in catalog.union_sources({"a": a, "b": b}).collect()} == {("a", 1, "x"), ("b", 2, None)}
 
 
+def test_batches_with_the_same_alerts_are_not_one(spark):
+    import tempfile
+
+    from tidewatch.plans.catalogue import QUERIES
+
+    folder = tempfile.mkdtemp(dir="/tmp")
+    orders = [(key, 7, "O", "1-URGENT") for key in (1, 20_001, 40_001)]
+    orders = spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string")
+    orders.withColumn("o_orderdate", F.lit("1995-01-01").cast("date")).write.parquet(f"{folder}/orders.parquet")
+    # of one day, fingerprint and customer, in batches of their own
+    assert [tuple(r) for r in QUERIES["q_st1_alert_feed"](spark, folder).collect()] == [("fp1", "firing", 1, 3)]
+
+
 @pytest.mark.parametrize("cell", [1, 2, 2000])
 def test_paired_sources_are_not_grouped_as_pairs(spark, monkeypatch, cell):
     monkeypatch.setattr(catalog, "SOURCES", cell)

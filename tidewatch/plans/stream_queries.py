@@ -37,9 +37,10 @@ def st1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw_alerts(spark, sf_dir)
     labels = F.map_concat("labels", F.create_map(F.lit("kind"), (F.col("id") % 5).cast("string")))
     alert = F.struct("fingerprint", F.col("state").alias("status"), labels.alias("labels"), "annotations", c.iso(F.col("starts_at")).alias("startsAt"), c.iso(F.col("ends_at")).alias("endsAt"), F.col("generator_url").alias("generatorURL"), F.col("dashboard_url").alias("dashboardURL"), F.col("panel_url").alias("panelURL"))
-    batches = rows.groupBy("starts_at", F.floor(F.col("id") / 1000)).agg(F.collect_list(alert).alias("alerts"))
+    batches = rows.groupBy("starts_at", F.floor(F.col("id") / 1000).alias("batch")).agg(F.collect_list(alert).alias("alerts"))
     path = work_path(spark, "alert-lines")
-    batches.select(F.to_json(F.struct(c.iso(F.col("starts_at")).alias("receivedAt"), F.struct("alerts").alias("payload"))).alias("value")).write.text(path)
+    # alerts have no id, so batches of a day may hold the same; their numbers tell them from lines that are delivered again
+    batches.select(F.to_json(F.struct(c.iso(F.col("starts_at")).alias("receivedAt"), "batch", F.struct("alerts").alias("payload"))).alias("value")).write.text(path)
     spark.read.text(path).repartition(3).write.mode("append").text(path)  # delivered again, in other files
     out = work_path(spark, "alert-store")
     feeds.store_alerts(feeds.alert_feed(spark, path), out, work_path(spark, "alert-state"))
