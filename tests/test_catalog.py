@@ -615,3 +615,12 @@ def test_paired_sources_are_not_grouped_as_pairs(spark, monkeypatch, cell):
     assert sorted((r.metric_id, r.log_id, r.shared) for r in found.collect()) == sorted(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_ancestors_are_joined_hop_by_hop(spark):
+    df = spark.createDataFrame([("root", None), ("a", "root"), ("b", "a"), ("c", "b"), ("self", "self"), ("two", "a"), ("two", "b")], "uid string, parent_uid string")
+    up = knowledge.folder_ancestors(spark, df, df.select("uid").distinct(), hops=2, own=True)
+    assert "Join" not in up._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.uid, r.ancestor, r.depth) for r in up.where("depth > 0").collect())
+    assert got == sorted([("a", "root", 1), ("b", "a", 1), ("b", "root", 2), ("c", "b", 1), ("c", "a", 2), ("two", "a", 1), ("two", "b", 1), ("two", "root", 2), ("two", "a", 2)])
+    assert up.where("depth = 0").count() == 6

@@ -48,19 +48,27 @@ def related_uids(texts: DataFrame, column: str, *keep: str) -> DataFrame:
 def folder_ancestors(spark: SparkSession, folders: DataFrame, start: DataFrame, hops: int = HOPS, own: bool = False) -> DataFrame:
     """uid, ancestor and depth (from 1) for each `uid` of `start`, up to `hops`; ends at a root, a cycle or a gap.
 
-    With `own` a folder is its own ancestor at depth 0. Each hop is one join, so the depth and not the size of the tree
-    bounds the plan.
+    With `own` a folder is its own ancestor at depth 0. Each hop is one merge join whose result is a table, so no task holds
+    the tree, and no plan more than one hop. Rows that have reached a root go into no further join, so a root that many
+    folders share is no hot key.
     """
     edges = folders.select(F.col("uid").alias("_at"), "parent_uid").where("parent_uid is not null")
     known = folders.select(F.col("uid").alias("_there"))
-    level = start.select("uid", F.col("uid").alias("ancestor"), F.array("uid").alias("_path"))
-    found = level.select("uid", "ancestor", F.lit(0).alias("depth")) if own else None
-    for depth in range(1, hops + 1):
-        up = level.join(edges, F.col("ancestor") == F.col("_at")).where(~F.array_contains("_path", F.col("parent_uid")))
-        level = up.select("uid", F.col("parent_uid").alias("ancestor"), F.concat("_path", F.array("parent_uid")).alias("_path")).join(known, F.col("ancestor") == F.col("_there"), "left_semi")
-        rows = level.select("uid", "ancestor", F.lit(depth).alias("depth"))
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    edges = stored(edges.join(known.hint("merge"), F.col("parent_uid") == F.col("_there"), "left_semi"), "folder-edges")
+    further = edges.select(F.col("_at").alias("_there"), F.lit(True).alias("_more")).distinct()
+    edges = stored(edges.join(further.hint("merge"), F.col("parent_uid") == F.col("_there"), "left").drop("_there"), "folder-edges")
+    path = work_path(spark, "ancestors")
+    level = start.select("uid", F.col("uid").alias("ancestor"), F.array("uid").alias("_path"), F.lit(0).alias("depth"), F.lit(True).alias("_more"))
+    schema = level.schema
+    for depth in range(hops + 1):
+        level.write.parquet(f"{path}/level={depth}")
+        last = spark.read.schema(schema).parquet(f"{path}/level={depth}").where("_more")
+        if depth == hops or last.isEmpty():
+            break
+        up = last.drop("_more", "depth").join(edges.hint("merge"), F.col("ancestor") == F.col("_at")).where(~F.array_contains("_path", F.col("parent_uid")))
+        level = up.select("uid", F.col("parent_uid").alias("ancestor"), F.concat("_path", F.array("parent_uid")).alias("_path"), F.lit(depth + 1).alias("depth"), "_more")
+    found = spark.read.schema(schema).parquet(*[f"{path}/level={d}" for d in range(depth + 1)]).select("uid", "ancestor", "depth")
+    return found if own else found.where("depth > 0")
 
 
 class Contents(NamedTuple):
