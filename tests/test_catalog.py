@@ -624,3 +624,16 @@ def test_ancestors_are_joined_hop_by_hop(spark):
     got = sorted((r.uid, r.ancestor, r.depth) for r in up.where("depth > 0").collect())
     assert got == sorted([("a", "root", 1), ("b", "a", 1), ("b", "root", 2), ("c", "b", 1), ("c", "a", 2), ("two", "a", 1), ("two", "b", 1), ("two", "root", 2), ("two", "a", 2)])
     assert up.where("depth = 0").count() == 6
+
+
+def test_alerts_are_not_expanded_by_the_panels_of_a_key(spark):
+    own = spark.createDataFrame([(1,), (2,)], "alert_id int")
+    keys = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (2, 0, "y"), (2, 1, "x")], "alert_id int, position int, key string")
+    above = spark.createDataFrame([(1, "f", 2)], "alert_id int, folder string, depth int")
+    homes = spark.createDataFrame([("k9", "f")], "dashboard_uid string, home string")
+    panels = [(f"k{b}", p, key) for b in (1, 2, 9) for p, key in ((3, "x"), (4, "x"), (5, "y"), (6, "y")) if (b, key) != (9, "x")]
+    panels = spark.createDataFrame(panels, "dashboard_uid string, panel_id int, product_key string")
+    found = knowledge.attach_knowledge(own, keys, above, panels, homes)
+    assert {(r.alert_id, r.dashboard_uid, r.panel_id, r.product_key, r.position, r.depth) for r in found.collect()} == {(1, "k9", 5, "y", 1, 2), (2, "k1", 5, "y", 0, None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number") >= 3  # panels are cut to the first of a key before they meet alerts

@@ -167,15 +167,25 @@ def attach_knowledge(alerts: DataFrame, keys: DataFrame, ancestors: DataFrame, k
     with a knowledge dashboard gives the one that is tried first, with the keys in order; its first dashboard counts where
     it has several. Then all others are tried in order, each with the keys in order. `depth` is that of the first one's
     folder, and null for a panel of another dashboard.
+
+    Of a key's panels only two can be the best: the first on the alert's nearest dashboard and the first of all. So an alert has
+    a row for each of its keys, however many panels these have.
     """
     wanted = keys.select("alert_id", _product_key(F.col("key")).alias("product_key"), "position").groupBy("alert_id", "product_key").agg(F.min("position").alias("position"))
     met = ancestors.join(homes, F.col("folder") == F.col("home"))
     walked = met.groupBy("alert_id").agg(F.min(F.struct("depth", "dashboard_uid")).alias("walked"))
-    hits = alerts.select("alert_id").join(wanted, "alert_id").join(knowledge, "product_key").join(walked, "alert_id", "left")
-    near = F.coalesce(F.col("dashboard_uid") == F.col("walked.dashboard_uid"), F.lit(False))
-    hits = hits.withColumn("depth", F.when(near, F.col("walked.depth"))).drop("walked")
+    place = F.row_number()
+    boards = knowledge.withColumn("_i", place.over(Window.partitionBy("product_key", "dashboard_uid").orderBy("panel_id"))).where("_i = 1").drop("_i")
+    firsts = boards.withColumn("_i", place.over(Window.partitionBy("product_key").orderBy("dashboard_uid", "panel_id"))).where("_i = 1")
+    rest = [k for k in knowledge.columns if k != "product_key"]
+    boards = boards.select("product_key", F.col("dashboard_uid").alias("_at"), F.struct(*rest).alias("_near"))
+    firsts = firsts.select("product_key", F.struct(*rest).alias("_first"))
+    rows = wanted.join(alerts.select("alert_id"), "alert_id", "left_semi").join(walked, "alert_id", "left").withColumn("_at", F.col("walked.dashboard_uid"))
+    # a key with a panel has a first one
+    rows = rows.join(firsts, "product_key").join(boards, ["product_key", "_at"], "left").withColumn("_k", F.coalesce("_near", "_first"))
+    hits = rows.select("product_key", "alert_id", "position", "_k.*", F.when(F.col("_near").isNotNull(), F.col("walked.depth")).alias("depth"))
     best = Window.partitionBy("alert_id").orderBy(F.col("depth").isNull(), "dashboard_uid", "position", "panel_id")
-    return hits.withColumn("_i", F.row_number().over(best)).where("_i = 1").drop("_i")
+    return hits.withColumn("_i", place.over(best)).where("_i = 1").drop("_i")
 
 
 def knowledge_matches(knowledge: DataFrame, keys: DataFrame) -> DataFrame:

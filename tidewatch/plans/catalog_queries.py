@@ -629,10 +629,12 @@ def j16(spark, sf_dir):
     rows = folders(spark, sf_dir)
     own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("alert_id"), (F.col("o_orderkey") % 2000).alias("at"), F.array(F.concat(F.lit("  Key"), (F.col("o_custkey") % 60).cast("string"), F.lit(" ")), F.concat(F.lit("key"), (F.col("o_custkey") % 7).cast("string"))).alias("k"))
     keys = own.select("alert_id", F.posexplode("k").alias("position", "key"))
-    up = knowledge.folder_ancestors(spark, rows, rows.select("uid"), own=True)
-    above = own.join(up, F.col("at") == F.col("uid")).select("alert_id", F.col("ancestor").alias("folder"), "depth")
-    panels = known(spark, sf_dir)
+    asked = own.select(F.col("at").alias("uid")).distinct()
+    up = knowledge.folder_ancestors(spark, rows, rows.select("uid").join(asked, "uid", "left_semi"), own=True)
+    panels = stored(known(spark, sf_dir), "knowledge")
     homes = panels.select("dashboard_uid").distinct().withColumn("home", F.expr("10 * cast(substring(dashboard_uid, 2) as bigint)"))
+    up = up.join(homes, F.col("ancestor") == F.col("home"), "left_semi")  # folders without knowledge lead to nothing
+    above = own.join(up, F.col("at") == F.col("uid")).select("alert_id", F.col("ancestor").alias("folder"), "depth")
     found = knowledge.attach_knowledge(own.select("alert_id"), keys, above, panels, homes)
     return found.select("alert_id", "dashboard_uid", "panel_id", "product_key", "depth")
 
@@ -642,11 +644,10 @@ TRY_CAST(regexp_extract(lower(coalesce(panel_url, dashboard_url, generator_url))
 SELECT id, alert_name, state, ctx.dashboard_uid, CASE WHEN h < 5 AND h <> 3 THEN 'c' || h END AS connection_id, k.dashboard_uid AS knowledge_uid, k.panel_id AS knowledge_panel, k.product_key FROM ctx LEFT JOIN attached k ON k.alert_id = ctx.id""")
 def alert_context(spark, sf_dir):
     """Each alert with what it links to, the connection that its host belongs to, and its knowledge panel."""
-    raw = raw_alerts(spark, sf_dir).drop("connection_id")
-    rows = alerts.normalize_alerts(raw.withColumn("connection_id", F.lit(None).cast("string"))).select("id", "alert_name", "dashboard_uid")
-    hosts = alerts.resolve_connections(raw, connections(spark, sf_dir)).select("id", "state", "connection_id")
+    rows = alerts.normalize_alerts(raw_alerts(spark, sf_dir).drop("connection_id"))
+    rows = alerts.resolve_connections(rows, connections(spark, sf_dir)).select("id", "alert_name", "state", "dashboard_uid", "connection_id")
     own = j16(spark, sf_dir).select(F.col("alert_id").alias("id"), F.col("dashboard_uid").alias("knowledge_uid"), F.col("panel_id").alias("knowledge_panel"), "product_key")
-    return rows.join(hosts, "id").join(own, "id", "left").select("id", "alert_name", "state", "dashboard_uid", "connection_id", "knowledge_uid", "knowledge_panel", "product_key")
+    return rows.join(own, "id", "left").select("id", "alert_name", "state", "dashboard_uid", "connection_id", "knowledge_uid", "knowledge_panel", "product_key")
 
 
 @register("q_tool_get_product_context", f"""WITH {FIRST} SELECT o_custkey % 60 AS k, count(DISTINCT o_orderkey) AS asked, any_value(n) AS panels, any_value(links) AS links FROM orders
