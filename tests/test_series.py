@@ -298,3 +298,10 @@ def test_rounding_keeps_the_sign_of_zero(spark):
     got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(r6("v")).collect()]
     sql = plain("SELECT round(v, 6) FROM (SELECT unnest($v::DOUBLE[]) AS v)")
     assert list(map(repr, got)) == [repr(r[0]) for r in duckdb.connect().execute(sql, {"v": values}).fetchall()]
+
+
+def test_runs_are_sorted_once_a_step(spark):
+    found = series.threshold_runs(points(spark, [1.0, 9.0, 9.0, 1.0]), ["series_key"], F.lit(5.0), "above")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Window [") == 4  # two for each: within chunks, and over their ends
+    assert series.cap_runs(found, ["series_key"])._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0

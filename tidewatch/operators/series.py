@@ -64,9 +64,10 @@ def runs_of(samples: DataFrame, keys: Sequence[str], side: Column, chunk_ms: int
     """
     along = Window.partitionBy(*keys, "_chunk").orderBy("t", *ties)
     rows = samples.withColumn("_chunk", _chunk(chunk_ms)).withColumn("_side", side)
-    rows = rows.withColumn("_i", F.row_number().over(along)).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_chunk")))
-    rows = rows.withColumn("_new", (F.col("_i") == 1) | ~F.lag("_side").over(along).eqNullSafe(F.col("_side"))).withColumn("_run", F.count_if("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = rows.groupBy(*keys, "_chunk", "_run").agg(F.first("_side").alias("side"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.count(F.lit(1)).alias("n"), (F.min("_i") == 1).alias("_first"), (F.max("_i") == F.first("_size")).alias("_last"))
+    rows = rows.withColumns({"_i": F.row_number().over(along), "_end": F.lead(F.lit(True)).over(along).isNull(), "_was": F.lag("_side").over(along)})
+    rows = rows.withColumn("_new", (F.col("_i") == 1) | ~F.col("_was").eqNullSafe(F.col("_side"))).withColumn("_run", F.count_if("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    # a run has one side, so grouping by it too changes no group, and spares a sort that the first of texts would need
+    parts = rows.groupBy(*keys, "_chunk", "_run", F.col("_side").alias("side")).agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.count(F.lit(1)).alias("n"), (F.min("_i") == 1).alias("_first"), F.bool_or("_end").alias("_last"))
     # at the ends of a chunk a stretch without a side counts too: it parts the runs around it
     edge = F.col("_first") | F.col("_last")
     parts = parts.where(edge | F.col("side").isNotNull()).withColumn("_of", F.when(~edge, F.col("_chunk")))
@@ -95,9 +96,10 @@ def brief_excursions(samples: DataFrame, keys: Sequence[str], width: float = EXC
 
 def cap_runs(runs: DataFrame, keys: Sequence[str], most: int = MAX_RUNS) -> DataFrame:
     """The first `most` runs of each key by start, with `total`."""
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy("start_t", "end_t"))
-    totals = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    return runs.withColumn("_i", order).where(F.col("_i") <= most).drop("_i").join(totals, list(keys))
+    own = Window.partitionBy(*keys)
+    # counted beside the order, as runs are dear to find twice
+    placed = runs.withColumns({"_i": F.row_number().over(own.orderBy("start_t", "end_t")), "total": F.count(F.lit(1)).over(own)})
+    return placed.where(F.col("_i") <= most).drop("_i")
 
 
 def onset(samples: DataFrame, baseline: DataFrame, keys: Sequence[str], sigma: float = SIGMA) -> DataFrame:
