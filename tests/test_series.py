@@ -305,3 +305,15 @@ def test_runs_are_sorted_once_a_step(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and plan.count("Window [") == 4  # two for each: within chunks, and over their ends
     assert series.cap_runs(found, ["series_key"])._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_verdicts_score_once_and_take_errors_alone(spark, small):
+    from tidewatch.plans import series_queries
+
+    seen, own = [], series.series_stats
+    try:
+        series.series_stats = lambda rows, keys: seen.append({r[0] for r in rows.select("series_key").distinct().collect()}) or own(rows, keys)
+        series_queries.verdicts(spark, small)
+    finally:
+        series.series_stats = own
+    assert all(k.startswith("A|event_type=error,") for k in seen[0]) and seen[0]

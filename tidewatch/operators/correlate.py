@@ -29,12 +29,12 @@ def score_candidates(joined: DataFrame, z: float = Z) -> DataFrame:
     return rows.withColumn("score", F.abs("magnitude") * (1 + F.col("overlap")) * (1 + timing))
 
 
-def top_candidates(scored: DataFrame, keys: Sequence[str], limit: int = LIMIT, ties: Sequence[str] = ("series_key",)) -> DataFrame:
-    """The `limit` best of each of `keys`, with `rank` and `total`."""
+def top_candidates(scored: DataFrame, keys: Sequence[str], limit: int = LIMIT, ties: Sequence[str] = ("series_key",), total: bool = True) -> DataFrame:
+    """The `limit` best of each of `keys`, with `rank` and, where it is asked for, `total`: all are scored again to be counted."""
     window = Window.partitionBy(*keys)
     ranks = scored.withColumn("rank", F.row_number().over(window.orderBy(F.desc("score"), *ties)))
-    totals = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    return ranks.where(F.col("rank") <= limit).join(totals, list(keys))
+    best = ranks.where(F.col("rank") <= limit)
+    return best.join(scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("total")), list(keys)) if total else best
 
 
 def candidate_panels(index: DataFrame, primary: DataFrame) -> DataFrame:

@@ -389,15 +389,16 @@ def verdicts(spark, sf_dir):
     """Two users of three have an alert whose threshold is 95."""
     kept, left_out = windows.exclude_overlapping(all_windows(spark, sf_dir))
     # tagged once: statistics, runs, excursions and scores are all of these rows
-    rows = stored(windows.tag_windows(samples(spark, sf_dir, by_user=True), stored(kept, "windows")), "tagged")
-    by_window = stored(series.series_stats(rows, WINDOW), "stats")
-    base = stored(pooled(by_window), "pooled")
+    rows = windows.tag_windows(samples(spark, sf_dir, by_user=True), stored(kept, "windows"))
+    rows = stored(rows.select(*WINDOW, "event_type", "user_id", "t", "v"), "tagged")
     error = F.col("series_key").startswith("A|event_type=error,")
+    by_window = stored(series.series_stats(rows.where(error), WINDOW), "stats")
+    base = stored(pooled(by_window), "pooled")
     inside = rows.where((F.col("role") == "incident") & error)
     crossings = series.threshold_runs(inside, KEYS, F.lit(95.0), "above").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("crossings"))
     brief = series.brief_excursions(inside.join(base, KEYS), KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_excursions"))
     own = series.classify_baseline(by_window.where((F.col("role") == "incident") & error).join(base, KEYS, "left"))
-    best = correlate.top_candidates(scored(spark, sf_dir, rows), ["incident_id"])
+    best = correlate.top_candidates(scored(spark, sf_dir, rows), ["incident_id"], total=False)
     title = F.concat(F.col("event_type"), F.lit(" of "), F.col("user_id").cast("string"))
     listed = best.groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct("rank", title.alias("title"), "score"))).alias("candidates"))
     facts = own.join(crossings, KEYS, "left").join(brief, KEYS, "left").join(listed, "incident_id", "left").join(left_out, "incident_id", "left")
@@ -435,7 +436,8 @@ FROM tagged t LEFT JOIN counted USING (incident_id, label, series_key) GROUP BY
 
 def _report(spark, sf_dir, provenance, by_user=False):
     keys = ["incident_id", "label", "series_key"]
-    out = series.window_report(tagged(spark, sf_dir, by_user), keys, F.lit(80.0), include_points=True, most=40, provenance=provenance)
+    rows = stored(tagged(spark, sf_dir, by_user).select(*keys, "t", "v"), "tagged")  # read four times
+    out = series.window_report(rows, keys, F.lit(80.0), include_points=True, most=40, provenance=provenance)
     runs = out["runs"].groupBy(*keys).agg(F.first("total").alias("runs"))
     points = out["points"].groupBy(*keys).agg(F.count(F.lit(1)).alias("points"))
     rows = out["stats"].join(runs, keys, "left").join(points, keys)
