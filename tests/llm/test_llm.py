@@ -673,6 +673,33 @@ def test_tokens_that_can_tell_nothing_are_not_decoded():
         assert set(reader.token(token)[0]) == want, token
 
 
+def test_few_tokens_are_walked_or_decoded_letter_by_letter(monkeypatch):
+    """Walks are remembered by their beginnings, and letters without a choice are not weighed."""
+    model, rng, walks = model_of(["idiot", "moron", "the", "and"] * 20), random.Random(11), Counter()
+    walk, cost = toxicity.Tree.walk, toxicity.CharacterModel.cost
+    monkeypatch.setattr(toxicity.Tree, "walk", lambda *of: walks.update(["walk"]) or walk(*of))
+    monkeypatch.setattr(toxicity.CharacterModel, "cost", lambda *of: walks.update(["cost"]) or cost(*of))
+    reader = toxicity.Reader(model, {"idiot": 0.9, "moron": 0.9})
+    assert not reader.text(" ".join("".join(rng.choices("abcdefmt17", k=9)) for _ in range(20_000)))
+    assert walks["walk"] < 2_000
+    walks.clear()
+    assert model.restore("a" + "bcdefghij" * 50 + "klmm" + "nopqrstuv" * 50) in {"a" + "bcdefghij" * 50 + end + "nopqrstuv" * 50 for end in ("klm", "klmm")}
+    assert walks["cost"] < 20
+
+
+@pytest.mark.parametrize("signs", ["abcß Σσς1²_.é", "中文字日本 a", "".join(map(chr, range(0x4E00, 0x4F00))) + " b"])
+def test_counts_of_joined_texts_are_those_of_each(signs, monkeypatch):
+    rng, want = random.Random(12), Counter()
+    texts = ["", " ", *("".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(200))]
+    monkeypatch.setattr(langid, "PENDING", 500)
+    by = langid.Counts()
+    for t in texts:
+        by.add("", t)
+        want.update(langid.grams(langid.letters(t)).tolist())
+    codes, n = by.settle()[""]
+    assert dict(zip(codes.tolist(), n.tolist(), strict=True)) == want and codes.tolist() == sorted(want)
+
+
 def test_toxicity_is_the_plain_result(spark, docs, known):
     """Word table and scores against sums over all texts; readings and near copies are tested apart."""
     every = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -15,6 +15,8 @@ not train; repeated rows and null ids are handled row by row; other columns are
 
 from __future__ import annotations
 
+import functools
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,19 +29,24 @@ ORDERS = (1, 2, 3)
 PROFILE = 1000
 DOCUMENT = 300
 UNKNOWN = "und"
-#: n-grams of a batch in memory before they are counted.
-PENDING = 2_000_000
+#: Characters of a batch in memory before their n-grams are counted, and n-grams in a table of all of some letters.
+PENDING = 500_000
+TABLE = 4_000_000
 #: A score below this is too close to call.
 LEAST_SCORE = 0.02
 _SHIFT = 21  # bits of a code point
 
 
+@functools.cache
+def alphabetic() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)], bool)
+
+
 def letters(text: str) -> np.ndarray:
     """Code points in lower case, each run of other characters as one space, with a space at both ends."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    known, back = np.unique(points, return_inverse=True)
-    alpha = np.array([chr(c).isalpha() for c in known.tolist()], bool)[back] if len(points) else np.zeros(0, bool)
-    kept = np.concatenate([[32], np.where(alpha, points, 32), [32]]).astype(np.int64)
+    kept = np.concatenate([[32], np.where(alphabetic()[points], points, 32), [32]]).astype(np.int64)
     return kept[np.concatenate([[True], (kept[1:] != 32) | (kept[:-1] != 32)])]
 
 
@@ -67,29 +74,65 @@ def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(codes, return_counts=True)
 
 
+def tally(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`counted(grams(points))`; n-grams of few different letters are counted in a table of all that there may be."""
+    place = np.zeros(int(points.max()) + 1, np.int64)
+    place[points] = 1
+    known = np.flatnonzero(place)
+    k = len(known)
+    if k ** max(ORDERS) > TABLE:
+        return counted(grams(points))
+    place[known] = np.arange(k)
+    at = place[points]
+    gap = int(place[32])  # a space is at both ends
+    out = []
+    for n in ORDERS:
+        m = len(at) - n + 1
+        if m < 1:
+            continue
+        index = np.zeros(m, np.int64)
+        for i in range(n):
+            index = index * k + at[i : i + m]
+        times = np.bincount(index, minlength=k**n).reshape((k,) * n)
+        if n == 1:
+            times[gap] = 0
+        if n == 2:
+            times[gap, gap] = 0
+        for i in range(1, n - 1):
+            times[(slice(None),) * i + (gap,)] = 0
+        found = np.nonzero(times)
+        code = np.zeros(len(found[0]), np.int64)
+        for letter in found:
+            code = (code << _SHIFT) | known[letter]
+        out.append((code, times[found]))
+    codes, n = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.argsort(codes)
+    return codes[order], n[order]
+
+
 class Counts:
-    """Counts of n-grams for each language, with few codes in memory that are not yet counted."""
+    """Counts of n-grams for each language, with few texts in memory that are not yet counted."""
 
     def __init__(self):
-        self.codes: dict[str, list[np.ndarray]] = {}
+        self.texts: dict[str, list[str]] = {}
         self.sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.held = 0
 
-    def add(self, lang: str, codes: np.ndarray) -> None:
-        self.codes.setdefault(lang, []).append(codes)
-        self.held += len(codes)
+    def add(self, lang: str, text: str) -> None:
+        self.texts.setdefault(lang, []).append(text)
+        self.held += len(text)
         if self.held > PENDING:
             self.settle()
 
     def settle(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        for lang, parts in self.codes.items():
-            codes, n = counted(np.concatenate(parts))
+        for lang, parts in self.texts.items():
+            codes, n = tally(letters("\n".join(parts)))  # as framed as each by itself
             if lang in self.sums:
                 old, was = self.sums[lang]
                 codes, back = np.unique(np.concatenate([old, codes]), return_inverse=True)
                 n = np.bincount(back, np.concatenate([was, n]), len(codes)).astype(np.int64)
             self.sums[lang] = codes, n
-        self.codes, self.held = {}, 0
+        self.texts, self.held = {}, 0
         return self.sums
 
 
@@ -104,7 +147,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             by = Counts()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                by.add(lang, grams(letters(text.as_py())))
+                by.add(lang, text.as_py())
             for lang, (codes, n) in by.settle().items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], names=["lang", "gram", "n"])
 

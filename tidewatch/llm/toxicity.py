@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -75,6 +75,8 @@ EDGES = ".,;:?\"'*#%&-_()[]<>"
 MARKS = "".join(c for c in EDGES if c not in STANDS_FOR)
 #: Tokens of which a worker remembers what they tell; beyond, it starts afresh.
 MEMORY = 500_000
+#: Steps of walks that it remembers.
+STEPS = 100_000
 NOTHING = (), ()
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -83,6 +85,10 @@ _signs = re.escape("".join(STANDS_FOR))
 DISGUISED = re.compile(rf"[{_signs}]|[*._-][^\W\d_]|[^\W\d_][0-9]|([^\W\d_])\1")
 #: Three or more letters or signs, each alone between separators.
 APART = re.compile(rf"(?<![^\W_])(?:[^\W\d_]|[{_signs}])(?:[\s._*-]++(?:[^\W\d_]|[{_signs}])(?![^\W_])){{2,}}")
+#: Two of these with separators around, as in every such run; quicker to look for.
+BEFORE = re.compile(rf"[\s._*-](?=.[\s._*-])(?:[^\W\d_]|[{_signs}])[\s._*-]+(?:[^\W\d_]|[{_signs}])(?![^\W_])")
+#: What some token of such a run has, its second letter.
+ALONE = re.compile(rf"(?:\A|[._*-])(?:[^\W\d_]|[{_signs}])(?:[._*-]|\Z)")
 
 
 class CharacterModel:
@@ -92,6 +98,15 @@ class CharacterModel:
         self.counts = counts
         self.total = max(1, sum(n for g, n in counts.items() if len(g) == 1))
         self.cache: dict[str, float] = {}
+        self.kinds: dict[str, tuple[list[tuple[str, float]], float | None] | None] = {}
+
+    def kind(self, c: str) -> tuple[list[tuple[str, float]], float | None] | None:
+        """What a character may stand for and the cost of dropping one that isn't repeated; None for white space."""
+        readings = [(c, 0.0)] if c.isalpha() else []
+        readings += [(r, SIGN) for r in STANDS_FOR.get(c, "")]
+        drop = None if c.isalpha() else DROP_SIGN if c in STANDS_FOR else DROP_OTHER
+        known = self.kinds[c] = None if c.isspace() else (readings, drop)
+        return known
 
     def cost(self, before: str, c: str) -> float:
         known = self.cache.get(before + c)
@@ -113,17 +128,27 @@ class CharacterModel:
 
     def restore(self, seen: str) -> str:
         """The likeliest words behind `seen`, by Viterbi decoding over the last two letters."""
-        settled: list[str] = []
+        # where paths part: before the first there is one, and after the last they only join
+        parting = [i for i, c in enumerate(seen) if not c.isalpha() or i and c == seen[i - 1]]
+        if not parting:
+            return seen
+        begin, last = parting[0], parting[-1]
+        settled = [seen[:begin]]
         # for each state its cost and its letters, linked from the last to the first
-        paths: dict[str, tuple[float, list | None]] = {" ": (0.0, None)}
-        look = SETTLED
-        for i, c in enumerate(seen):
+        paths: dict[str, tuple[float, list | None]] = {(" " + settled[0])[-2:]: (0.0, None)}
+        look, cache, kinds = begin + SETTLED, self.cache, self.kinds
+        for i in range(begin, len(seen)):
+            if i > last and len(paths) == 1:
+                [(_, path)] = paths.values()
+                return "".join([*settled, spelled(path), seen[i:]]).strip()
+            c = seen[i]
             if i == look:
                 letters, left = settle([path for _, path in paths.values()])
                 settled.append(letters)
                 look = i + max(SETTLED, left)
             ahead: dict[str, tuple[float, list | None]] = {}
-            if c.isspace():
+            kind = kinds[c] if c in kinds else self.kind(c)
+            if kind is None:
                 for state, (cost, path) in paths.items():
                     parted = (cost, path) if state == " " else (cost + self.cost(state, " "), [path, " "])
                     for to, reached in ((" ", parted), (state, (cost + DROP_SPACE, path))):
@@ -131,17 +156,16 @@ class CharacterModel:
                             ahead[to] = reached
                 paths = ahead
                 continue
-            readings = [(c, 0.0)] if c.isalpha() else []
-            readings += [(r, SIGN) for r in STANDS_FOR.get(c, "")]
+            readings, drop = kind
             if i and c == seen[i - 1]:
                 drop = DROP_RUN if seen[max(0, i - 2) : i + 3].count(c) > 2 else DROP_DOUBLE
-            else:
-                drop = None if c.isalpha() else DROP_SIGN if c in STANDS_FOR else DROP_OTHER
             for state, (cost, path) in paths.items():
                 if drop is not None and (state not in ahead or cost + drop < ahead[state][0]):
                     ahead[state] = (cost + drop, path)
                 for r, channel in readings:
-                    to, total = (state + r)[-2:], cost + channel + self.cost(state, r)
+                    after = state + r
+                    letter = cache[after] if after in cache else self.cost(state, r)
+                    to, total = after[-2:], cost + channel + letter
                     if to not in ahead or total < ahead[to][0]:
                         ahead[to] = (total, [path, r])
             paths = ahead
@@ -180,6 +204,20 @@ def settle(paths: list[list | None]) -> tuple[str, int]:
     return letters, longest - len(letters)
 
 
+class Reached(dict):
+    """States that a walk from the root may come to, and, by character, what is reached next, found when first asked for."""
+
+    def __init__(self, tree: Tree, states: frozenset[tuple[int, str]]):
+        self.tree, self.states = tree, states
+        self.told = any(node in tree.ends for node, _ in states)
+        #: Whether it is known that the walk meets a word, or that it doesn't.
+        self.settled = self.told or not states
+
+    def __missing__(self, c: str) -> Reached:
+        to = self[c] = self.tree.reached(frozenset(self.tree.walk(dict.fromkeys(self.states, 0), c)))
+        return to
+
+
 class Tree:
     """A prefix tree, walked through the lattice of what was written."""
 
@@ -194,9 +232,45 @@ class Tree:
                     self.next.append({})
                 node = self.next[node][c]
             self.ends.add(node)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[frozenset, Reached] = {}
+        self.steps = 0
+        self.root = self.reached(frozenset([(0, "")]))
+
+    def reached(self, states: frozenset[tuple[int, str]]) -> Reached:
+        self.steps += 1
+        known = self.known.get(states)
+        if known is None:
+            known = self.known[states] = Reached(self, states)
+        return known
+
+    def come(self, token: str) -> Reached:
+        """Where it is known whether some path through `token`, or its beginning, meets a word; else where `token` ends."""
+        at = self.start()
+        for c in token:
+            at = at[c]
+            if at.settled:
+                break
+        return at
+
+    def after(self, token: str) -> tuple[tuple[int, str], ...]:
+        """The states after `token` where a word has begun."""
+        at = self.start()
+        for c in token:
+            at = at[c]
+            if not at.states:
+                return ()
+        return tuple(s for s in at.states if s[0])
+
+    def start(self) -> Reached:
+        if self.steps >= STEPS:
+            self.forget()
+        return self.root
 
-    def walk(self, states: dict[tuple[int, str], int], token: str, met: set[int] | None = None) -> dict[tuple[int, str], int]:
-        """States (a node and the letter last read, with where the word began) after `token`; nodes entered go to `met`.
+    def walk(self, states: dict[tuple[int, str], int], token: str) -> dict[tuple[int, str], int]:
+        """States (a node and the letter last read, with where the word began) after `token`.
 
         A sign stands for each of its letters or nothing, another mark for nothing, a letter for itself or, again, for nothing.
         """
@@ -209,8 +283,6 @@ class Tree:
                 for r in c if letter else STANDS_FOR.get(c, ""):
                     to = self.next[node].get(r)
                     if to is not None:
-                        if met is not None:
-                            met.add(to)
                         if ahead.get((to, r), -1) < start:
                             ahead[to, r] = start
             states = ahead
@@ -240,42 +312,47 @@ class Reader:
     def __init__(self, model: CharacterModel, only: dict[str, float] | None = None):
         self.model, self.only = model, only
         self.memory: dict[str, tuple[tuple[str, ...], tuple[tuple[int, str], ...]]] = {}
+        # nearly all tokens tell nothing; some are, or have, a letter alone
+        self.nothing: set[str] = set()
+        self.alone: set[str] = set()
         self.spans: dict[str, tuple[str, ...]] = {}
         # what a token must come to, and words that tell by themselves, which may stand in parts
         self.useful = Tree({f.rstrip("*") for f in only or {}})
+        self.heads = {f.rstrip("*")[: PREFIXES[0]] for f in only or {}}
         self.whole = {f for f, p in (only or {}).items() if p >= LEAST and len(f) > 3 and f.isalpha()}
         self.tree = Tree(self.whole)
 
-    def readings(self, token: str) -> set[str] | tuple[str]:
+    def tell(self, token: str) -> tuple[tuple[str, ...], tuple[tuple[int, str], ...]]:
+        """The features in a token, and where in the tree a word may be after it as its first part."""
+        only, told = self.only, True
+        if only is not None:
+            end = self.useful.come(token)
+            if not end.states and (token.isalpha() or token.strip(EDGES).isalpha()):
+                return NOTHING
+            told = end.told
         if not DISGUISED.search(token):
-            return (token,) if token.isalpha() else readings(token, self.model)
-        if self.only is not None:
-            met: set[int] = set()
-            self.useful.walk({(0, ""): 0}, token, met)
-            if self.useful.ends.isdisjoint(met):  # no path comes to a feature
-                return set(WORD.findall(token))
-        return readings(token, self.model)
-
-    def begins(self, token: str) -> tuple[tuple[int, str], ...]:
-        """Where in the tree a word may be after `token` as its first part."""
-        if token[0] not in self.tree.next[0] and token[0].isalpha():
-            return ()
-        return tuple(s for s in self.tree.walk({(0, ""): 0}, token) if s[0])
+            bare = token.strip(EDGES)
+            words = (bare,) if bare.isalpha() else WORD.findall(token)
+        else:
+            # no path comes to a feature: the token as it stands
+            words = readings(token, self.model) if told else WORD.findall(token)
+        if only is None:
+            return tuple(features(set(words))), ()
+        # all features of a word begin as one of the heads
+        found = {f for w in words if w[: PREFIXES[0]] in self.heads for f in (w, w[:4] + "*", w[:5] + "*") if f in only}
+        return tuple(found), self.tree.after(token)
 
     def token(self, token: str) -> tuple[tuple[str, ...], tuple[tuple[int, str], ...]]:
-        """The features in a token, and where a word may be after it as its first part."""
+        """What a token tells, which is remembered."""
         known = self.memory.get(token)
         if known is None:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            words, only = self.readings(token), self.only
-            if only is None:
-                found = tuple(features(set(words)))
+            known = self.tell(token)
+            if (len(token) == 1 or not token.isalpha()) and ALONE.search(token):
+                self.alone.add(token)
+            if known == NOTHING:
+                self.nothing.add(token)
             else:
-                found = tuple({f for w in words for f in (w, w[:4] + "*", w[:5] + "*") if f in only})
-            known = found, self.begins(token)
-            # nearly all tell nothing, and share one entry
-            self.memory[token] = known = known if known != NOTHING else NOTHING
+                self.memory[token] = known
         return known
 
     def restored(self, seen: str) -> tuple[str, ...]:
@@ -290,29 +367,36 @@ class Reader:
     def parts(self, tokens: list[str], begins: dict[str, tuple[tuple[int, str], ...]]) -> Iterator[str]:
         """Stretches of tokens that one of the words may be spread over; `begins` has the tokens that may begin one."""
         states: dict[tuple[int, str], int] = {}
-        for i, token in enumerate(tokens):
-            if states:
+        at = [i for i, token in enumerate(tokens) if token in begins]
+        for begin, after in zip(at, [*at[1:], len(tokens) - 1], strict=True):
+            for s in begins[tokens[begin]]:
+                states[s] = begin
+            for i in range(begin + 1, after + 1):
+                if not states:
+                    break
                 before = states
-                states = self.tree.walk(before, token)
+                states = self.tree.walk(before, tokens[i])
                 for start in {start for s, start in states.items() if s[0] in self.tree.ends and s not in before}:
                     yield " ".join(t.strip(MARKS + "!") for t in tokens[start : i + 1])
-            if token in begins:
-                for s in begins[token]:
-                    states[s] = i
 
     def text(self, text: str) -> set[str]:
         text = text.lower()
         tokens = text.split()
+        own = set(tokens)
+        if len(self.memory) + len(self.nothing) >= MEMORY:
+            for known in (self.memory, self.nothing, self.alone):
+                known.clear()
         found: set[str] = set()
         begins = {}
-        for token in set(tokens):
-            own, first = self.memory.get(token) or self.token(token)
-            if own:
-                found.update(own)
+        for token in own - self.nothing:
+            told, first = self.memory.get(token) or self.token(token)
+            if told:
+                found.update(told)
             if first:
                 begins[token] = first
-        for m in APART.finditer(text):
-            found.update(f for f in features(set(self.restored(m[0]))) if self.only is None or f in self.only)
+        if not self.alone.isdisjoint(own) and BEFORE.search(text):
+            for m in APART.finditer(text):
+                found.update(f for f in features(set(self.restored(m[0]))) if self.only is None or f in self.only)
         if begins:
             for stretch in self.parts(tokens, begins):
                 # only whole words: beginnings of words that chance to stand together tell nothing
@@ -408,14 +492,16 @@ def word_table(docs: DataFrame, labels: DataFrame, model: CharacterModel, size:
         for batch in batches:
             for i in range(0, len(batch), 2000):
                 part = batch.slice(i, 2000)
-                seen: Counter[tuple[str, int | None, bool]] = Counter()
+                seen: defaultdict[tuple[int | None, bool], Counter[str]] = defaultdict(Counter)
                 for text, toxic, near in zip(part.column("text"), part.column("toxic").to_pylist(), part.column("near").to_pylist(), strict=True):
                     found = reader.text(text.as_py() or "")
                     found.add("")  # counts the texts
-                    seen.update((f, near, bool(toxic)) for f in found)
-                columns = list(zip(*seen, strict=True)) or [(), (), ()]
+                    seen[near, bool(toxic)].update(found)
+                sizes = [len(n) for n in seen.values()]
+                of, bad = ([k[j] for k, size in zip(seen, sizes, strict=True) for _ in range(size)] for j in (0, 1))
+                columns = [list(chain.from_iterable(seen.values())), of, bad, list(chain.from_iterable(n.values() for n in seen.values()))]
                 kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip([*columns, seen.values()], kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     rows = train.mapInArrow(run, "feature string, near bigint, toxic boolean, n bigint").groupBy("feature", "near", "toxic").agg(F.sum("n").alias("n"))
     once = F.when(F.col("near").isNull(), F.col("n")).otherwise(1)
