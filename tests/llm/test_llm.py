@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, exact_dedup, langid, packing, quality, queries, secrets, simhash, substring, toxicity, warc
+from tidewatch.llm import bpe, exact_dedup, langid, packing, quality, queries, secrets, shared, simhash, substring, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, fp string, row string, kept string, spans string, score string, word string, block string"
 LONG = "lorem ipsum dolor sit amet " * 12_000
@@ -913,6 +913,46 @@ def test_redaction(spark):
     assert secrets.without_secrets(table(spark, SECRETS)).count() == len(SECRETS)
 
 
+@pytest.mark.parametrize("step", [exact_dedup.without_copies, simhash.one_of_each, secrets.without_secrets])
+def test_rows_go_without_a_shuffle_of_texts(spark, step):
+    """Not even where no list of rows is small enough to be broadcast by Spark itself."""
+    rng = random.Random(3)
+    texts = [(i, " ".join("".join(rng.choices("ghijklmnopqrstuvwxyz", k=9)) for _ in range(500))) for i in range(400)]
+    texts += [(1000 + i, texts[i][1]) for i in range(4)] + [(2000 + i, f"{texts[i][1]} token=12345678") for i in range(10, 14)]
+    frame = table(spark, texts).repartition(7)
+    frame.write.parquet(path := shared.scratch(spark, "t"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        rows = step(spark.read.schema(frame.schema).parquet(path)).select("doc_id", "text").collect()
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+    if step is secrets.without_secrets:
+        want = {i: t.replace("token=12345678", "[ASSIGN]") for i, t in texts}
+    elif step is exact_dedup.without_copies:
+        want = {i: t for i, t in texts if i >= 4}
+    else:
+        stay = {c for _, _, c in want_components(texts)}
+        want = {i: t for i, t in texts if i in stay}
+    assert {r.doc_id: r.text for r in rows} == want
+    assert moved < sum(len(t) for _, t in texts) / 4
+
+
+def test_picked_rows(spark, monkeypatch):
+    rows = shared.numbered(spark.range(0, 1000, 1, 3), "t")
+    for chosen in (rows.where("id % 3 = 0"), rows.where("id in (63, 64, 127, 999)"), rows, rows.where("false")):
+        want = sorted(r.id for r in chosen.collect())
+        for marked in (1 << 30, 0):
+            monkeypatch.setattr(shared, "MARKED", marked)
+            these, others = shared.picked(rows, chosen, "part", "place")
+            assert sorted(r.id for r in these.collect()) == want
+            assert sorted(r.id for r in others.collect()) == sorted({*range(1000)} - {*want})
+    with pytest.raises(Exception, match="gaps"):
+        shared.picked(rows.where("id > 500"), rows.where("id = 700"), "part", "place")
+
+
 # the pipeline
 
 

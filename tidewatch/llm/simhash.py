@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import spread_join, texts, written
+from tidewatch.llm.shared import numbered, picked, spread_join, texts, written
 
 SEED = 42
 SHINGLE = 3
@@ -152,9 +152,9 @@ def classes(rows: DataFrame, dense: int = DENSE) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each class the row with the smallest doc_id."""
-    rows = written(fingerprints(docs, docs.columns).withColumn("at", F.monotonically_increasing_id()), "simhash-rows")
-    # the rows that stay are picked without their texts, which are shuffled once
-    light = spread_join(rows.select("at", "row.doc_id", "fp"), classes(rows), "fp", "n", "at")
-    first = light.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "at")).alias("first")).select("first.at")
-    kept = rows.join(written(first, "simhash-kept"), "at", "left_semi")
+    rows = numbered(fingerprints(docs, docs.columns), "simhash-rows")
+    # the rows that stay are picked without their texts, which are never shuffled
+    light = spread_join(rows.select("part", "place", "row.doc_id", "fp"), classes(rows), "fp", "n", "part", "place")
+    first = light.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "part", "place")).alias("first"))
+    kept = picked(rows, first.select("first.part", "first.place"), "part", "place")[0]
     return kept.select(*[F.col(f"row.keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
