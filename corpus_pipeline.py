@@ -22,12 +22,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by their fingerprints the one with the smallest doc_id stays."""
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, stored=True)
 
 
 def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in a text give way to their kinds; every document stays."""
-    return secrets.without_secrets(docs)
+    return secrets.without_secrets(docs, stored=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

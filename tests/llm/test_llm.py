@@ -940,6 +940,17 @@ def test_rows_go_without_a_shuffle_of_texts(spark, step):
     assert moved < sum(len(t) for _, t in texts) / 4
 
 
+@pytest.mark.parametrize("step", [simhash.one_of_each, secrets.without_secrets])
+def test_stored_documents_are_not_copied(spark, step, odd, monkeypatch):
+    odd.withColumns({"part": F.lit("p"), "place": F.lit("q")}).repartition(3).write.parquet(path := shared.scratch(spark, "t"))
+    stored = spark.read.parquet(path)
+    want = Counter(step(stored).select("doc_id", "text", "n_chars").collect())
+    monkeypatch.delattr(shared, "numbered")
+    rows = step(stored, stored=True)
+    assert rows.columns == stored.columns
+    assert Counter(rows.select("doc_id", "text", "n_chars").collect()) == want
+
+
 def test_picked_rows(spark, monkeypatch):
     rows = shared.numbered(spark.range(0, 1000, 1, 3), "t")
     for chosen in (rows.where("id % 3 = 0"), rows.where("id in (63, 64, 127, 999)"), rows, rows.where("false")):

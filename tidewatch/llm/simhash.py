@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import numbered, picked, spread_join, texts, written
+from tidewatch.llm.shared import own_names, picked, placed, spread_join, texts, written
 
 SEED = 42
 SHINGLE = 3
@@ -150,11 +150,16 @@ def classes(rows: DataFrame, dense: int = DENSE) -> DataFrame:
     return written(classed.select("fp", "root", "n").join(least, "root"), "simhash-classes")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each class the row with the smallest doc_id."""
-    rows = numbered(fingerprints(docs, docs.columns), "simhash-rows")
+def one_of_each(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each class the row with the smallest doc_id.
+
+    Where `docs` is a plain read of `stored` Parquet files, its rows are picked from these; else from a copy.
+    """
+    rows = placed(docs, "simhash-docs", stored)
+    prints = written(fingerprints(rows, ["part", "place"]), "simhash-rows")
     # the rows that stay are picked without their texts, which are never shuffled
-    light = spread_join(rows.select("part", "place", "row.doc_id", "fp"), classes(rows), "fp", "n", "part", "place")
+    light = prints.select(F.col("row.keep_0").alias("part"), F.col("row.keep_1").alias("place"), "row.doc_id", "fp")
+    light = spread_join(light, classes(prints), "fp", "n", "part", "place")
     first = light.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "part", "place")).alias("first"))
     kept = picked(rows, first.select("first.part", "first.place"), "part", "place")[0]
-    return kept.select(*[F.col(f"row.keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(own_names(docs), docs.columns, strict=True)])
