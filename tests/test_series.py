@@ -317,3 +317,12 @@ def test_verdicts_score_once_and_take_errors_alone(spark, small):
     finally:
         series.series_stats = own
     assert all(k.startswith("A|event_type=error,") for k in seen[0]) and seen[0]
+
+
+def test_equal_values_do_not_deviate_however_they_are_dealt(spark):
+    """Parts of three to twelve values, of series whose only value is 0.01, 0.02 and so on; a pooled one has five equal windows."""
+    rows = spark.range(0, 30_000, 1, 5).select((F.col("id") % 997).alias("k"), ((F.col("id") % 997 + 1) / 100).alias("v"), F.lit(None).cast("timestamp").alias("t"))
+    found = series.series_stats(rows, ["k"]).where("stddev <> 0 or mean <> min or mean <> max")
+    assert found.count() == 0
+    windows_ = spark.range(0, 4_985, 1, 2).select((F.col("id") % 997).alias("k"), ((F.col("id") % 997 + 1) / 100).alias("mean"), F.lit(0.0).alias("stddev"), F.lit(1).alias("n"))
+    assert series.pooled_baseline(windows_, ["k"]).where("pooled_stddev <> 0").count() == 0

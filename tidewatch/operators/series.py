@@ -6,7 +6,7 @@ never sorted in a single task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,15 +17,27 @@ Z, SIGMA, EXCURSION = 3.0, 2.0, 2.0
 MAX_POINTS, MAX_RUNS = 2000, 1000
 
 
+def _spread(v: Column, kind: Callable[[Column], Column]) -> Column:
+    """`kind` of the values, and zero where all are equal.
+
+    Merging parts of equal values leaves some 1e-15 where a part has three or more, which `effective_stddev` would take for a deviation.
+    """
+    return F.when(F.min(v) == F.max(v), 0.0).otherwise(kind(v))
+
+
 def series_stats(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """mean, stddev (of the population), min, max, n and n_nonzero of the finite values, for each of `keys`."""
+    """mean, stddev (of the population), min, max, n and n_nonzero of the finite values, for each of `keys`.
+
+    Equal values are their own mean and don't deviate, however they are dealt over tasks.
+    """
     v = finite(F.col("v"))
-    return samples.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"), F.count_if(v != 0).alias("n_nonzero"))
+    mean = F.when((F.min(v) == F.max(v)) & (F.min(v) != 0), F.min(v)).otherwise(F.avg(v))
+    return samples.groupBy(*keys).agg(mean.alias("mean"), _spread(v, F.stddev_pop).alias("stddev"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"), F.count_if(v != 0).alias("n_nonzero"))
 
 
 def pooled_baseline(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """pooled_mean, pooled_stddev and n_controls over windows with values, each weighing the same."""
-    spread = F.sqrt(F.avg(F.col("stddev") * F.col("stddev")) + F.var_pop("mean"))
+    spread = F.sqrt(F.avg(F.col("stddev") * F.col("stddev")) + _spread(F.col("mean"), F.var_pop))
     return stats.where("n > 0").groupBy(*keys).agg(F.avg("mean").alias("pooled_mean"), spread.alias("pooled_stddev"), F.count(F.lit(1)).alias("n_controls"))
 
 
