@@ -637,3 +637,15 @@ def test_alerts_are_not_expanded_by_the_panels_of_a_key(spark):
     assert {(r.alert_id, r.dashboard_uid, r.panel_id, r.product_key, r.position, r.depth) for r in found.collect()} == {(1, "k9", 5, "y", 1, 2), (2, "k1", 5, "y", 0, None)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("row_number") >= 3  # panels are cut to the first of a key before they meet alerts
+
+
+@pytest.mark.parametrize("more", [False, True])
+def test_what_is_told_of_single_shared_tags_is_made_before_the_pairs(spark, more):
+    a = [("m1", ["x", "own1"]), ("m2", ["x", None]), ("m3", ["y"]), (None, ["x"]), *([("m4", ["y", "x"])] if more else [])]
+    b = [("l1", ["x", "own2"]), ("l2", ["y", "x"]), ("l3", ["z"]), ("l4", None)]
+    sides = [spark.createDataFrame(rows, "id string, tags array<string>") for rows in (a, b)]
+    found = catalog.pair_sources(*sides, lambda tags: F.array_join(tags, "+"))
+    want = [(i, k, "+".join(sorted(set(s) & set(t) - {None}))) for i, s in a for k, t in b if set(s) & set(t or []) - {None}]
+    assert sorted(map(repr, found.collect())) == sorted(f"Row(metric_id={i!r}, log_id={k!r}, shared={s!r})" for i, k, s in want)
+    pairs = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert ("array" in pairs) == more
